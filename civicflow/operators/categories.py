@@ -208,6 +208,7 @@ def min_share_filter(train: DataFrame, test: DataFrame, column: str, min_pct: fl
     both tables (left-semi joins against a keep-set of at most 100/min_pct
     classes)."""
     counts = train.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    keep = counts.filter(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()) >= min_pct).select(column)
+    keep = (counts.withColumn("_pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+                  .filter(F.col("_pct") >= min_pct).select(column))
     keep = bounded_broadcast(keep)
     return train.join(keep, column, "left_semi"), test.join(keep, column, "left_semi")

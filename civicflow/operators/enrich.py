@@ -59,7 +59,10 @@ def attach_shares(df: DataFrame, key: str, shares: DataFrame, shares_key: str, s
     if missing == "drop":
         j = j.dropna(subset=list(share_cols))
     elif missing == "mean":
-        means = shares.agg(*[F.avg(c).alias(c) for c in share_cols]).first()  # one row
+        # Sorted summation over the (small) dimension: the mean does not depend
+        # on how the dimension happens to be partitioned.
+        means = shares.agg(*[(F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda a, x: a + x)
+                              / F.count(c)).alias(c) for c in share_cols]).first()  # one row
         j = j.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in share_cols})
     else:
         raise ValueError(f"unknown missing policy {missing!r}")
@@ -101,8 +104,9 @@ def match_report(df: DataFrame, key: str, dim: DataFrame, dim_key: str, by: Sequ
         "match_rate", F.col("matched") / F.col("rows"))
 
 
-def unmatched_keys(df: DataFrame, key: str, dim: DataFrame, dim_key: str) -> DataFrame:
-    """Keys without a partner and their row counts (left-anti join)."""
+def unmatched_keys(df: DataFrame, key: str, dim: DataFrame, dim_key: str, by: str | None = None) -> DataFrame:
+    """Rows without a partner (left-anti join), counted per key (or per ``by``)."""
     d = dim.select(F.col(dim_key).alias("_mk")).distinct()
+    g = by or key
     return (df.join(d, df[key] == d["_mk"], "left_anti")
-              .groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key))
+              .groupBy(g).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), g))
