@@ -134,30 +134,30 @@ def threshold_moving(df: DataFrame, group: str, y: str, score: str, bin_width: f
     hist = binned.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"))
     wg = Window.partitionBy(group)
     wdesc = Window.partitionBy(group).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = (hist.withColumn("_N", F.sum("_n").over(wg)).withColumn("_P", F.sum("_pos").over(wg))
+    curve = (hist.withColumn("_gn", F.sum("_n").over(wg)).withColumn("_gp", F.sum("_pos").over(wg))
                  .withColumn("_sel", F.sum("_n").over(wdesc)).withColumn("_tp", F.sum("_pos").over(wdesc)))
     # "select nobody" point
-    none = (hist.groupBy(group).agg(F.sum("_n").alias("_N"), F.sum("_pos").alias("_P"))
-                .select(group, F.lit(max_bin + 1).alias("_bin"), "_N", "_P",
+    none = (hist.groupBy(group).agg(F.sum("_n").alias("_gn"), F.sum("_pos").alias("_gp"))
+                .select(group, F.lit(max_bin + 1).alias("_bin"), "_gn", "_gp",
                         F.lit(0).cast("long").alias("_sel"), F.lit(0).cast("long").alias("_tp")))
-    curve = curve.select(group, "_bin", "_N", "_P", "_sel", "_tp").unionByName(none)
+    curve = curve.select(group, "_bin", "_gn", "_gp", "_sel", "_tp").unionByName(none)
     # correct = selected positives + unselected negatives
-    curve = curve.withColumn("_correct", F.col("_tp") + (F.col("_N") - F.col("_P")) - (F.col("_sel") - F.col("_tp")))
+    curve = curve.withColumn("_correct", F.col("_tp") + (F.col("_gn") - F.col("_gp")) - (F.col("_sel") - F.col("_tp")))
     prev = F.lag("_sel").over(Window.partitionBy(group).orderBy(F.desc("_bin")))
-    hi = F.floor(F.col("_sel") * G / F.col("_N")).cast("int")
-    lo = F.when(prev.isNull(), F.lit(0)).otherwise(F.floor(prev * G / F.col("_N")).cast("int") + 1)
+    hi = F.floor(F.col("_sel") * G / F.col("_gn")).cast("int")
+    lo = F.when(prev.isNull(), F.lit(0)).otherwise(F.floor(prev * G / F.col("_gn")).cast("int") + 1)
     cover = curve.withColumn("_lo", lo).withColumn("_hi", hi).filter(F.col("_lo") <= F.col("_hi"))
-    per_rate = cover.select(group, "_bin", "_sel", "_N", "_correct",
+    per_rate = cover.select(group, "_bin", "_sel", "_gn", "_correct",
                             F.explode(F.sequence("_lo", "_hi")).alias("_i"))
-    acc = (per_rate.groupBy("_i").agg(F.sum("_correct").alias("_c"), F.sum("_N").alias("_t"),
+    acc = (per_rate.groupBy("_i").agg(F.sum("_correct").alias("_c"), F.sum("_gn").alias("_t"),
                                        F.count(F.lit(1)).alias("_groups"))
                    .withColumn("pooled_accuracy", F.col("_c") / F.col("_t")))
     n_groups = F.max("_groups").over(Window.partitionBy())
-    best = (acc.filter(F.col("_groups") == n_groups)
+    best = (acc.withColumn("_all", n_groups).filter(F.col("_groups") == F.col("_all"))
                .orderBy(F.desc("pooled_accuracy"), F.asc("_i")).limit(1)
                .select("_i", (F.col("_i") / F.lit(float(G))).alias("best_rate"), "pooled_accuracy"))
     thresholds = per_rate.join(best, "_i").select(
-        group, F.col("_bin").alias("threshold_bin"), (F.col("_sel") / F.col("_N")).alias("selection_rate"),
+        group, F.col("_bin").alias("threshold_bin"), (F.col("_sel") / F.col("_gn")).alias("selection_rate"),
         "best_rate", "pooled_accuracy")
     return thresholds, acc.select((F.col("_i") / F.lit(float(G))).alias("rate"), "pooled_accuracy")
 

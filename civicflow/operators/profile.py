@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from civicflow import functions as cf
 
-_ALL = Window.partitionBy()  # over a grouped (small) table only
+def _all():
+    return Window.partitionBy()  # over a grouped (small) table only
 
 
 def filter_funnel(df: DataFrame, keep: Column) -> DataFrame:
@@ -40,7 +41,7 @@ def frequency_table(df: DataFrame, column: str, dropna: bool = False) -> DataFra
 def share_table(df: DataFrame, column: str, digits: int = 4, dropna: bool = False) -> DataFrame:
     """(value, n, pct) with pct = n / all rows * 100 rounded half-even."""
     counts = frequency_table(df, column, dropna=dropna)
-    total = F.sum("n").over(_ALL)
+    total = F.sum("n").over(_all())
     return counts.withColumn("pct", cf.round_half_even(F.col("n") * 100.0 / total, digits))
 
 
@@ -157,7 +158,7 @@ class NullImputer:
 def share_tiers(df: DataFrame, column: str, cuts: Sequence[float] = (1.5, 0.5, 0.1)) -> DataFrame:
     """Class share (% of rows) and tier 1..len(cuts)+1 (share >= cut[i])."""
     t = share_table(df, column, digits=4)
-    pct = F.col("n") * 100.0 / F.sum("n").over(_ALL)
+    pct = F.col("n") * 100.0 / F.sum("n").over(_all())
     tier = F.lit(len(cuts) + 1)
     for i, c in reversed(list(enumerate(cuts))):
         tier = F.when(pct >= c, F.lit(i + 1)).otherwise(tier)
@@ -198,7 +199,7 @@ def share_drift(a: DataFrame, b: DataFrame, column: str, limit: float = 0.05) ->
     """Largest absolute difference of class shares between two tables."""
     def shares(d, name):
         g = d.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        return g.select(column, (F.col("n") / F.sum("n").over(_ALL)).alias(name))
+        return g.select(column, (F.col("n") / F.sum("n").over(_all())).alias(name))
     j = shares(a, "share_a").join(shares(b, "share_b"), column, "full_outer")
     diff = F.abs(F.coalesce("share_a", F.lit(0.0)) - F.coalesce("share_b", F.lit(0.0)))
     return j.agg(F.max(diff).alias("max_abs_diff")).withColumn("within_limit", F.col("max_abs_diff") < limit)
@@ -207,7 +208,7 @@ def share_drift(a: DataFrame, b: DataFrame, column: str, limit: float = 0.05) ->
 def pair_shares(df: DataFrame, group_cols: Sequence[str], label: str) -> DataFrame:
     """Relative frequency of each (group..., label) combination."""
     g = df.groupBy(*group_cols, label).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(_ALL))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(_all()))
 
 
 def count_per(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -1 +1,142 @@
-"""Catalogue family (filled in below)."""
+"""Catalogue: fairness audit (K1-K12) on labels x documents.
+
+y = quality, p = (n_chars > 500), groups = lang (and the tuple lang, source).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from civicflow.operators import fairness as fair
+from civicflow.plans.catalog import register
+from civicflow.plans.catalog.profile import _YP_SQL, labelled
+
+# K9 parameters: 100-character bins capped at bin 50, common-rate grid 0..1 in steps of 1/20.
+BIN_WIDTH, MAX_BIN, GRID = 100.0, 50, 20
+
+
+def _rates_sql(group: str) -> str:
+    return f"""
+    WITH t AS ({_YP_SQL}), cls AS (SELECT DISTINCT y AS c FROM t)
+    SELECT cls.c AS cls, {group}, CAST(count(*) AS BIGINT) AS rows,
+           count_if(p = cls.c) / count(*) AS selection_rate,
+           CASE WHEN count_if(y = cls.c) > 0 THEN count_if(y = cls.c AND p = cls.c) / count_if(y = cls.c)
+                ELSE 0.0 END AS tpr,
+           CASE WHEN count_if(y <> cls.c) > 0 THEN count_if(y <> cls.c AND p = cls.c) / count_if(y <> cls.c)
+                ELSE 0.0 END AS fpr
+    FROM t JOIN cls ON true GROUP BY cls.c, {group}"""
+
+
+def _r3(e: str) -> str:
+    return f"round_even(({e}) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE"
+
+
+def _metrics_sql(groups: str, first: str) -> str:
+    return f"""
+    WITH a AS ({_rates_sql(groups)}), b AS ({_rates_sql(first)}),
+         dp AS (SELECT cls, max(selection_rate) - min(selection_rate) AS dpd,
+                       greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)) AS eod FROM a GROUP BY cls),
+         di AS (SELECT cls, CASE WHEN max(selection_rate) > 0 THEN min(selection_rate) / max(selection_rate) END AS dir
+                FROM b GROUP BY cls)
+    SELECT dp.cls, {_r3('dpd')} AS {fair.DPD}, {_r3('eod')} AS {fair.EOD}, {_r3('dir')} AS {fair.DIR}
+    FROM dp JOIN di ON dp.cls = di.cls"""
+
+
+@register("fair_rates", _rates_sql("lang"))
+def fair_rates(spark, sf):
+    return fair.group_rates(labelled(spark, sf), "y", "p", ["lang"])
+
+
+@register("fair_per_class", _metrics_sql("lang", "lang"))
+def fair_per_class(spark, sf):
+    return fair.per_class_metrics(labelled(spark, sf), "y", "p", ["lang"])
+
+
+@register("fair_per_class_tuple", _metrics_sql("lang, source", "lang"))
+def fair_per_class_tuple(spark, sf):
+    return fair.per_class_metrics(labelled(spark, sf), "y", "p", ["lang", "source"])
+
+
+@register("fair_verdict", f"""
+WITH m AS ({_metrics_sql('lang', 'lang')})
+SELECT max({fair.DPD}) AS max_dpd, max({fair.EOD}) AS max_eod, bool_or({fair.DPD} > 0.2) AS dpd_violation,
+       bool_or({fair.EOD} > 0.2) AS eod_violation,
+       coalesce(bool_or({fair.DIR} IS NOT NULL AND NOT isnan({fair.DIR}) AND ({fair.DIR} < 0.8 OR {fair.DIR} > 1.2)), false)
+         AS dir_violation,
+       bool_or({fair.DPD} > 0.2) OR bool_or({fair.EOD} > 0.2)
+         OR coalesce(bool_or({fair.DIR} IS NOT NULL AND NOT isnan({fair.DIR}) AND ({fair.DIR} < 0.8 OR {fair.DIR} > 1.2)), false)
+         AS violation
+FROM m""")
+def fair_verdict(spark, sf):
+    return fair.verdict(fair.per_class_metrics(labelled(spark, sf), "y", "p", ["lang"]))
+
+
+@register("reweigh", f"""
+WITH t AS ({_YP_SQL})
+SELECT doc_id, lang, y, count(*) OVER () / count(*) OVER (PARTITION BY lang, y) AS weight FROM t""")
+def reweigh(spark, sf):
+    return fair.reweigh(labelled(spark, sf), ["lang"], "y").select("doc_id", "lang", "y", "weight")
+
+
+@register("reweigh_independence", f"""
+WITH t AS ({_YP_SQL})
+SELECT doc_id, lang, y,
+       CAST(count(*) OVER (PARTITION BY lang) AS DOUBLE) * count(*) OVER (PARTITION BY y)
+         / (count(*) OVER () * count(*) OVER (PARTITION BY lang, y)) AS weight
+FROM t""")
+def reweigh_independence(spark, sf):
+    return fair.reweigh(labelled(spark, sf), ["lang"], "y", method="independence").select("doc_id", "lang", "y", "weight")
+
+
+# Independent brute-force formulation for K9: every (grid rate, group, threshold)
+# combination is enumerated and the highest admissible threshold is picked.
+_TM_SQL = f"""
+WITH t AS ({_YP_SQL}),
+     b AS (SELECT lang, y, CAST(least(floor(n_chars / {BIN_WIDTH}::DOUBLE), {MAX_BIN}) AS INTEGER) AS bin FROM t),
+     th AS (SELECT DISTINCT lang, bin AS thr FROM b UNION SELECT DISTINCT lang, {MAX_BIN + 1} FROM b),
+     cur AS (SELECT th.lang, th.thr, count(*) AS n_g, count_if(b.bin >= th.thr) AS sel,
+                    count_if(b.bin >= th.thr AND b.y = 1) + count_if(b.bin < th.thr AND b.y <> 1) AS correct
+             FROM th JOIN b ON th.lang = b.lang GROUP BY th.lang, th.thr),
+     grid AS (SELECT range AS i FROM range(0, {GRID + 1})),
+     pick AS (SELECT g.i, c.lang, max(c.thr) AS thr FROM grid g JOIN cur c ON c.sel * {GRID} >= g.i * c.n_g
+              GROUP BY g.i, c.lang),
+     acc AS (SELECT p.i, sum(c.correct) / sum(c.n_g) AS pooled_accuracy
+             FROM pick p JOIN cur c ON p.lang = c.lang AND p.thr = c.thr GROUP BY p.i),
+     best AS (SELECT i, pooled_accuracy FROM acc ORDER BY pooled_accuracy DESC, i LIMIT 1)
+SELECT p.lang, CAST(p.thr AS INTEGER) AS threshold_bin, c.sel / c.n_g AS selection_rate,
+       best.i / {float(GRID)}::DOUBLE AS best_rate, best.pooled_accuracy
+FROM best JOIN pick p ON p.i = best.i JOIN cur c ON c.lang = p.lang AND c.thr = p.thr"""
+
+
+@register("threshold_moving", _TM_SQL)
+def threshold_moving(spark, sf):
+    thresholds, _ = fair.threshold_moving(labelled(spark, sf), "lang", "y", "n_chars", BIN_WIDTH, MAX_BIN, GRID)
+    return thresholds
+
+
+@register("fair_compare", None)
+def fair_compare(spark, sf):
+    """Metrics before vs after threshold moving (rows-only check)."""
+    df = labelled(spark, sf)
+    thresholds, _ = fair.threshold_moving(df, "lang", "y", "n_chars", BIN_WIDTH, MAX_BIN, GRID)
+    after = fair.apply_thresholds(df, thresholds, "lang", "n_chars", BIN_WIDTH, MAX_BIN, out="p_adj")
+    before_m = fair.per_class_metrics(df, "y", "p", ["lang"])
+    after_m = fair.per_class_metrics(after, "y", "p_adj", ["lang"], classes=[0, 1])
+    return fair.compare(before_m, after_m)
+
+
+@register("metric_flags", f"""
+WITH m AS ({_metrics_sql('lang, source', 'lang')})
+SELECT *, {fair.DPD} > 0.1 AS dpd_flag, {fair.EOD} > 0.1 AS eod_flag FROM m""")
+def metric_flags(spark, sf):
+    m = fair.per_class_metrics(labelled(spark, sf), "y", "p", ["lang", "source"])
+    return fair.metric_flags(m, cutoff=0.1)
+
+
+@register("fair_adjusted_rates", None)
+def fair_adjusted_rates(spark, sf):
+    """K9 step 5 + K1: selection rates per group after applying the moved thresholds."""
+    df = labelled(spark, sf)
+    thresholds, _ = fair.threshold_moving(df, "lang", "y", "n_chars", BIN_WIDTH, MAX_BIN, GRID)
+    after = fair.apply_thresholds(df, thresholds, "lang", "n_chars", BIN_WIDTH, MAX_BIN, out="p_adj")
+    return fair.group_rates(after.withColumn("p_adj", F.col("p_adj")), "y", "p_adj", ["lang"], classes=[1])
