@@ -30,7 +30,7 @@ def _grid_sql() -> str:
     for c in _YJ_COLS:
         for lam in scaling.DEFAULT_LAMBDAS:
             parts.append(
-                f"SELECT '{c}' AS column_name, {lam}::DOUBLE AS "lambda", "
+                f"SELECT '{c}' AS column_name, {lam}::DOUBLE AS \"lambda\", "
                 f"-count(*) / 2.0::DOUBLE * ln(var_pop({_yj_sql(c, lam)})) "
                 f"+ ({lam}::DOUBLE - 1) * sum(sign({c}) * ln(1 + abs({c}))) AS llf FROM lineitem")
     return f"""
