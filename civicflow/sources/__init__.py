@@ -1,0 +1,175 @@
+"""Readers and sinks.
+
+All readers take an explicit schema (no inference pass over 100 TB) and
+return lazy DataFrames; column pruning and predicate pushdown happen at scan.
+Scratch output goes under the session's checkpoint folder (a shared folder
+on a cluster), never a machine-local temp dir.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import uuid
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from civicflow import functions as cf
+from civicflow.session import ensure_checkpoint_dir
+
+# Fixed value: the ten raw ticket columns the reference keeps (all text).
+RAW_TICKET_COLUMNS = ["Created Date", "Closed Date", "Agency", "Complaint Type", "Descriptor",
+                      "Location Type", "Incident Zip", "Borough", "Vehicle Type", "Location"]
+RAW_TICKET_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_TICKET_COLUMNS])
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint location."""
+    base = ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/civicflow-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# ---------------------------------------------------------------- A1-A4
+
+def read_tickets_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_TICKET_SCHEMA,
+                     columns: Sequence[str] | None = None) -> DataFrame:
+    """A1: projected CSV scan with header and an explicit schema.  Files are
+    split into partitions by the reader (``spark.sql.files.maxPartitionBytes``);
+    there is no user-visible chunk loop."""
+    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return df.select(*[F.col(f"`{c}`") for c in (columns or schema.fieldNames())])
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """A2: first rows (a LIMIT, not a scan of everything)."""
+    return df.limit(n)
+
+
+def prepare_raw_tickets(df: DataFrame, years: Sequence[int] = (2022, 2023, 2024),
+                        created: str = "Created Date", closed: str = "Closed Date",
+                        required: str = "Complaint Type") -> DataFrame:
+    """Raw scan -> typed tickets: B1 fixed-format parse of both dates (bad ->
+    null), B3 year filter, B4 not-null on the class column, B5 conjunction."""
+    from civicflow.operators.clean import year_set_predicate
+    out = df.withColumns({created: cf.parse_fixed_timestamp(F.col(f"`{created}`")),
+                          closed: cf.parse_fixed_timestamp(F.col(f"`{closed}`"))})
+    return out.filter(year_set_predicate(created, years) & F.col(f"`{required}`").isNotNull())
+
+
+def read_dimension_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A4: small dimension file with header and explicit schema."""
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Load a prepared table; a missing path raises (no silent empty table)."""
+    return spark.read.format(fmt).option("header", True).load(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+
+
+# ---------------------------------------------------------------- A5: block report
+
+def read_block_report(spark: SparkSession, path: str, labels: Mapping[str, str], key: str = "key") -> DataFrame:
+    """A5: block-structured text report -> one row per block.
+
+    A block is a header line ``NAME:`` followed by ``Label: number (...)``
+    lines; lines starting with ``===`` are ignored.  A row is emitted only for
+    blocks that carry every label in ``labels`` (label text -> column name),
+    so titles and incomplete blocks produce nothing.  Each file is split into
+    numbered lines; a window *per file* carries the current header forward.
+    """
+    raw = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
+    lines = raw.select("_file", F.posexplode(F.split("value", "\n")).alias("_pos", "_line"))
+    lines = lines.filter(~F.trim("_line").startswith("==="))
+    header = F.regexp_extract("_line", r"^\s*([^:]+?)\s*:\s*$", 1)
+    label = F.regexp_extract("_line", r"^\s*([^:]+?)\s*:\s*[-+0-9.]", 1)
+    number = F.regexp_extract("_line", r":\s*([-+0-9.eE]+)", 1)
+    w = Window.partitionBy("_file").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    blk = Window.partitionBy("_file").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = (lines.withColumn("_hdr", F.when(header != "", header))
+              .withColumn("_hpos", F.when(header != "", F.col("_pos")))
+              .withColumn("_block", F.last("_hpos", ignorenulls=True).over(blk))
+              .withColumn(key, F.last("_hdr", ignorenulls=True).over(w))
+              .withColumn("_label", F.when((header == "") & (label != ""), label))
+              .withColumn("_value", F.when(F.col("_label").isNotNull(), number.try_cast("double"))))
+    vals = t.filter(F.col("_label").isNotNull() & F.col(key).isNotNull())
+    mapping = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    vals = vals.withColumn("_col", mapping[F.col("_label")]).filter(F.col("_col").isNotNull())
+    wide = vals.groupBy("_file", "_block", key).pivot("_col", list(labels.values())).agg(F.first("_value"))
+    complete = F.lit(True)
+    for c in labels.values():
+        complete = complete & F.col(c).isNotNull()
+    return wide.filter(complete).select(key, *labels.values())
+
+
+def write_block_report(df: DataFrame, key: str, columns: Mapping[str, str], path: str,
+                       title: str | None = None, digits: int = 3) -> None:
+    """Sink for the block format read by :func:`read_block_report`: one
+    block per row (``KEY:`` then ``Label: 0.412 (41.2%)`` lines)."""
+    parts = [F.concat(F.col(key), F.lit(":\n"))]
+    for col_name, label in columns.items():
+        v = cf.round_half_even(F.col(col_name), digits)
+        parts.append(F.format_string(f"\n  {label}: %.{digits}f (%.1f%%)\n", v, v * 100.0))
+    text = F.concat(*parts)
+    out = df.select(text.alias("value"))
+    if title:
+        out = df.sparkSession.range(1).select(F.lit(title).alias("value")).unionByName(out)
+    out.write.mode("overwrite").text(path)
+
+
+# ---------------------------------------------------------------- A6, A10, A12
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV sink with header (parquet is preferred for intermediate data)."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Parquet sink, optionally partitioned."""
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A10: JSON-lines sink (nested structs / maps kept)."""
+    df.write.mode("overwrite").json(path)
+
+
+# ---------------------------------------------------------------- A9: JSON ticket requests
+
+# Request fields and their defaults.
+REQUEST_SCHEMA = T.StructType([
+    T.StructField("ticket_id", T.LongType(), True),
+    T.StructField("Agency", T.StringType(), True),
+    T.StructField("Location_Type", T.StringType(), True),
+    T.StructField("Incident_Zip", T.StringType(), True),
+    T.StructField("Vehicle_Type", T.StringType(), True),
+    T.StructField("Descriptor", T.StringType(), True),
+    T.StructField("created_date", T.StringType(), True),
+    T.StructField("Borough", T.StringType(), True),
+])
+REQUEST_DEFAULTS = {"Agency": "DSNY", "Location_Type": "Street/Sidewalk", "Vehicle_Type": "N/A"}
+
+
+def apply_request_defaults(df: DataFrame, as_of=None) -> DataFrame:
+    """Fill absent request fields with their defaults; a missing creation
+    time becomes ``as_of`` (default: now); the text timestamp is parsed (B2)."""
+    now = F.localtimestamp() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    exprs = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in REQUEST_DEFAULTS.items()}
+    exprs["created_date"] = F.coalesce(cf.parse_timestamp("created_date"), now)
+    return df.withColumns(exprs)
+
+
+def read_requests_json(spark: SparkSession, path: str, as_of=None) -> DataFrame:
+    """JSON ticket requests with an explicit schema plus defaults."""
+    return apply_request_defaults(spark.read.schema(REQUEST_SCHEMA).json(path), as_of)
+
+
+def save_metadata(spark: SparkSession, path: str, meta: Mapping) -> None:
+    """One-row metadata table next to a saved model."""
+    spark.createDataFrame([(json.dumps(dict(meta), default=str),)], "meta string").write.mode("overwrite").parquet(
+        os.path.join(path, "metadata"))
