@@ -57,11 +57,14 @@ _STAGE1, _TRAIN = 6_500, 6_000
 
 @register("two_stage_split", f"""
 WITH h AS (SELECT o_orderkey, o_orderpriority, md5(CAST(o_orderkey AS VARCHAR) || ':{SEED}') AS h FROM orders),
-     q1 AS ({_quota_sql('h', 'o_orderpriority', '(SELECT count(*) FROM h)', str(_STAGE1))}),
+     nn AS (SELECT count(*) AS n, least(count(*), {_STAGE1}) AS t,
+                   CASE WHEN count(*) >= {_STAGE1} THEN {_STAGE1 - _TRAIN} ELSE CAST(floor(0.1 * count(*)) AS BIGINT) END AS q
+            FROM h),
+     q1 AS ({_quota_sql('h', 'o_orderpriority', '(SELECT n FROM nn)', '(SELECT t FROM nn)')}),
      drawn AS (SELECT o_orderkey, o_orderpriority, h FROM (
                  SELECT h.*, q1.quota, row_number() OVER (PARTITION BY h.o_orderpriority ORDER BY h.h, h.o_orderkey) AS r
                  FROM h JOIN q1 ON h.o_orderpriority = q1.o_orderpriority) WHERE r <= quota),
-     q2 AS ({_quota_sql('drawn', 'o_orderpriority', str(_STAGE1), str(_STAGE1 - _TRAIN))}),
+     q2 AS ({_quota_sql('drawn', 'o_orderpriority', '(SELECT t FROM nn)', '(SELECT q FROM nn)')}),
      ranked AS (SELECT d.o_orderkey, d.o_orderpriority, q2.n, q2.quota,
                        row_number() OVER (PARTITION BY d.o_orderpriority ORDER BY d.h, d.o_orderkey) AS r
                 FROM drawn d JOIN q2 ON d.o_orderpriority = q2.o_orderpriority)
