@@ -1 +1,96 @@
-"""Catalogue family (filled in below)."""
+"""Catalogue: Spark ML variants on the ``embeddings`` table (I1-I19, J5 OvR).
+
+Train / test = seeded-hash split of the vectors (80 / 20); features = the
+embedding array as a dense vector; label = ``label``.  Results are
+predictions on the test rows (rows-only checks, except the majority model).
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from civicflow import functions as cf
+from civicflow.operators import metrics, models, split
+from civicflow.plans.catalog import register
+from civicflow.session import table
+
+SEED = 42
+
+
+def _data(spark, sf):
+    e = table(spark, sf, "embeddings")
+    e = models.with_features(e.withColumn("label", F.col("label").cast("double")), array_col="embedding")
+    u = cf.hash_unit("vec_id", SEED)
+    train, test = e.filter(u < 0.8), e.filter(u >= 0.8)
+    d = len(e.select("embedding").first()[0])
+    k = e.agg(F.max("label")).first()[0]
+    return train, test, d, int(k) + 1
+
+
+def _pred(name):
+    def run(spark, sf):
+        train, test, d, k = _data(spark, sf)
+        model = models.fit_variant(name, train, d, k, "label", SEED)
+        out = models.predict(model, test)
+        return out.select("vec_id", F.col("label").cast("int").alias("label"),
+                          F.col("prediction").cast("int").alias("prediction"), "confidence")
+    run.__name__ = f"train_{name}"
+    return run
+
+
+_HASH_TEST = f"CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR) || ':{SEED}'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+
+register("train_dummy", f"""
+WITH tr AS (SELECT label FROM embeddings WHERE {_HASH_TEST} < 0.8),
+     m AS (SELECT label AS maj FROM tr GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)
+SELECT vec_id, label, maj AS prediction, CAST(NULL AS DOUBLE) AS confidence
+FROM embeddings, m WHERE {_HASH_TEST} >= 0.8""")(_pred("dummy"))
+
+for _name in ("dt", "rf", "gbc", "nb", "bernoulli_nb", "mlp", "lda", "qda", "ridge", "ada"):
+    register(f"train_{_name}")(_pred(_name))
+
+
+@register("train_weighted")
+def train_weighted(spark, sf):
+    """Reweighing weights (K8, group = label parity) as weightCol of a logistic model."""
+    from civicflow.operators.fairness import reweigh
+    train, test, d, k = _data(spark, sf)
+    train = reweigh(train.withColumn("grp", (F.col("vec_id") % 2).cast("int")), ["grp"], "label")
+    model = models.estimator("logreg", d, k, "label", SEED, weight_col="weight").fit(train)
+    return models.predict(model, test).select("vec_id", F.col("label").cast("int").alias("label"),
+                                              F.col("prediction").cast("int").alias("prediction"), "confidence")
+
+
+@register("leaderboard")
+def leaderboard(spark, sf):
+    """Variants ranked by weighted F1 on the test rows."""
+    train, test, d, k = _data(spark, sf)
+    res = models.train_many(["dummy", "dt", "nb", "lda", "ridge"], train, test, d, k)
+    return models.leaderboard(res)
+
+
+@register("tuned")
+def tuned(spark, sf):
+    """CV over tree depth with stratified folds, kept only if better on test."""
+    train, test, d, k = _data(spark, sf)
+    folds = split.stratified_fold_ids(train, "vec_id", "label", k=5, seed=SEED)
+    cv = models.tune_tree(folds, depths=(2, 4, 8), parallelism=2)
+    base = models.fit_variant("dt", train, d, k)
+    acc = lambda m: models.predict(m, test).select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    a0, a1 = acc(base), acc(cv.bestModel)
+    decision = models.keep_if_better(a0, a1)
+    best_depth = cv.bestModel.getOrDefault("maxDepth")
+    return spark.createDataFrame([(float(a0), float(a1), int(best_depth), bool(decision["use_tuned"]),
+                                   decision["improvement_pct"])],
+                                 "base_accuracy double, tuned_accuracy double, best_depth int, use_tuned boolean, "
+                                 "improvement_pct double")
+
+
+@register("auc_ovr_model")
+def auc_ovr_model(spark, sf):
+    """J5 one-vs-rest AUC from a model's class probabilities."""
+    train, test, d, k = _data(spark, sf)
+    model = models.fit_variant("nb", train, d, k)
+    pred = model.transform(test).withColumn("_prob", vector_to_array("probability"))
+    return metrics.auc_ovr(pred.withColumn("label", F.col("label").cast("int")), "label", "_prob", list(range(k)))
