@@ -1 +1,151 @@
-"""Catalogue family (filled in below)."""
+"""Catalogue: ticket scoring (L1) in batch and as a Structured Stream, with
+requests (A9) derived from ``events`` and result records (A10).
+
+zip -> borough uses nation -> region; group shares are the per-region
+segment shares; agency / descriptor / class dictionaries are small literals.
+"""
+
+from __future__ import annotations
+
+import time
+
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from civicflow import sources
+from civicflow.operators.joins import literal_table
+from civicflow.plans import scoring
+from civicflow.plans.catalog import register
+from civicflow.plans.catalog.enrich import _DIM_SQL, _SHARE_COLS, _SHARES_SQL, _shares, _zip_dim
+from civicflow.session import table
+
+AS_OF = "2024-02-01 00:00:00"
+
+# Request vocabularies used by the scorer.
+AGENCY_CODES = [("CLICK", 0), ("VIEW", 1), ("PURCHASE", 2), ("SIGNUP", 3), ("DSNY", 4)]
+GROUPS = ["noise", "cleanliness", "traffic", "street", "infrastructure", "other"]
+GROUP_DESCRIPTOR = [("noise", "loud"), ("cleanliness", "dirty"), ("traffic", "blocked"), ("street", "pothole"),
+                    ("infrastructure", "water")]
+DESCRIPTOR_CODES = [("loud", 0), ("dirty", 15), ("blocked", 3), ("pothole", 6), ("water", 7)]
+CLASS_NAMES = [(0, "click"), (1, "view"), (2, "purchase"), (3, "signup"), (4, "error")]
+CLASS_GROUPS = [("click", "browse"), ("view", "browse"), ("purchase", "convert"), ("signup", "convert")]
+
+
+def _dims(spark, sf) -> scoring.ScoringDims:
+    return scoring.ScoringDims(
+        zip_dim=_zip_dim(spark, sf),
+        shares=_shares(spark, sf),
+        share_cols=_SHARE_COLS,
+        agency_codes=literal_table(spark, AGENCY_CODES, "agency string, code int"),
+        group_descriptor=literal_table(spark, GROUP_DESCRIPTOR, "group string, descriptor string"),
+        descriptor_codes=literal_table(spark, DESCRIPTOR_CODES, "descriptor string, code int"),
+        class_names=literal_table(spark, CLASS_NAMES, "cls int, name string"),
+        class_groups=literal_table(spark, CLASS_GROUPS, "name string, grp string"),
+    )
+
+
+def _requests_raw(spark, sf):
+    ev = table(spark, sf, "events")
+    e = F.col("event_id")
+    groups = F.array(*[F.lit(g) for g in GROUPS])
+    return ev.select(
+        e.alias("ticket_id"),
+        F.when(e % 3 == 0, F.lit(None)).otherwise(F.upper("event_type")).alias("Agency"),
+        F.get_json_object("props", "$.k").alias("Incident_Zip"),
+        F.element_at(groups, (F.col("user_id") % len(GROUPS) + 1).cast("int")).alias("Descriptor"),
+        F.when(e % 5 == 0, F.lit(None)).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("created_date"),
+    )
+
+
+def _requests(spark, sf):
+    """Requests written as JSON lines and read back with schema + defaults."""
+    path = sources.scratch_path(spark, "score-requests")
+    sources.write_json(_requests_raw(spark, sf), path)
+    return path, sources.read_requests_json(spark, path, as_of=AS_OF)
+
+
+def _model(spark, sf, dims, requests):
+    """Decision tree predicting the event type from request features, fitted
+    on a seeded half of the requests (label joined from events)."""
+    from civicflow import functions as cf
+    feats = scoring.build_features(requests, dims, AS_OF)
+    codes = literal_table(spark, [(n, float(c)) for c, n in CLASS_NAMES], "et string, label double")
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("ticket_id"), "event_type")
+    lab = ev.join(codes, F.col("event_type") == F.col("et")).select("ticket_id", "label")
+    train = feats.join(lab, "ticket_id").filter(cf.hash_unit("ticket_id", 42) < 0.5)
+    vec = VectorAssembler(inputCols=scoring.feature_columns(dims), outputCol="features", handleInvalid="keep")
+    return DecisionTreeClassifier(maxDepth=5, seed=42).fit(vec.transform(train))
+
+
+_FEATURE_COLS = ["ticket_id", "zip_code", "Borough", *_SHARE_COLS, "age_days", "created_hour", "created_month",
+                 "created_dayofweek", "agency_code", "descriptor_code", "descriptor_used"]
+
+
+def _values(rows, cols):
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")"
+                                  for r in rows) + f") AS v({cols})"
+
+
+@register("score_features", f"""
+WITH r AS (
+  SELECT event_id AS ticket_id,
+         coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE upper(event_type) END, 'DSNY') AS Agency,
+         json_extract_string(props, '$.k') AS Incident_Zip,
+         ['{"', '".join(GROUPS)}'][user_id % {len(GROUPS)} + 1] AS Descriptor,
+         coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE date_trunc('second', ts) END, TIMESTAMP '{AS_OF}') AS created_date
+  FROM events),
+  z AS ({_DIM_SQL}), s AS ({_SHARES_SQL}),
+  m AS (SELECT {', '.join(f'list_reduce(list_sort(list({c})), lambda a, x: a + x) / count({c}) AS {c}' for c in _SHARE_COLS)} FROM s),
+  f AS (
+  SELECT r.*, CASE WHEN regexp_matches(Incident_Zip, '^[0-9]+$') THEN CAST(Incident_Zip AS BIGINT) ELSE 0 END AS zip_code
+  FROM r)
+SELECT f.ticket_id, f.zip_code, coalesce(z.borough, 'Unspecified') AS Borough,
+       {', '.join(f'coalesce(s.{c}, m.{c}) AS {c}' for c in _SHARE_COLS)},
+       (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(f.created_date)) / 86400000000.0 AS age_days,
+       CAST(hour(f.created_date) AS INTEGER) AS created_hour, CAST(month(f.created_date) AS INTEGER) AS created_month,
+       CAST(isodow(f.created_date) - 1 AS INTEGER) AS created_dayofweek,
+       CAST(coalesce(a.code, -1) AS INTEGER) AS agency_code, CAST(coalesce(dc.code, 99) AS INTEGER) AS descriptor_code,
+       gd.descriptor AS descriptor_used
+FROM f LEFT JOIN z ON f.zip_code = z.zip
+LEFT JOIN s ON upper(trim(coalesce(z.borough, 'Unspecified'))) = upper(trim(s.region))
+CROSS JOIN m
+LEFT JOIN (SELECT * FROM {_values(AGENCY_CODES, 'agency, code')}) a ON upper(f.Agency) = a.agency
+LEFT JOIN (SELECT * FROM {_values(GROUP_DESCRIPTOR, '"group", descriptor')}) gd ON f.Descriptor = gd."group"
+LEFT JOIN (SELECT * FROM {_values(DESCRIPTOR_CODES, 'descriptor, code')}) dc ON gd.descriptor = dc.descriptor""")
+def score_features(spark, sf):
+    _, req = _requests(spark, sf)
+    return scoring.build_features(req, _dims(spark, sf), AS_OF).select(*_FEATURE_COLS)
+
+
+def _flat(results):
+    r = F.col("result")
+    return results.select("ticket_id", r.group.alias("group"), r.specific_type.alias("specific_type"),
+                          r.confidence.alias("confidence"), r.borough.alias("borough"),
+                          r.descriptor_used.alias("descriptor_used"), r.duration_days.alias("duration_days"),
+                          F.to_json(r.shares).alias("shares_json"))
+
+
+@register("score_batch")
+def score_batch(spark, sf):
+    """L1 batch: score every request."""
+    dims = _dims(spark, sf)
+    _, req = _requests(spark, sf)
+    return _flat(scoring.score(req, dims, _model(spark, sf, dims, req), AS_OF))
+
+
+@register("score_stream")
+def score_stream(spark, sf):
+    """L1 stream: the same scorer over a file stream of requests
+    (availableNow trigger), results appended to parquet and read back."""
+    from civicflow.streaming import start_scoring
+    dims = _dims(spark, sf)
+    path, req = _requests(spark, sf)
+    model = _model(spark, sf, dims, req)
+    out = sources.scratch_path(spark, "score-stream-out")
+    q = start_scoring(spark, path, out, dims, model, AS_OF)
+    q.awaitTermination(600)
+    if q.isActive:
+        q.stop()
+        time.sleep(0.1)
+    return _flat(spark.read.parquet(out))
