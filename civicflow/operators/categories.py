@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from civicflow import functions as cf
 from civicflow.operators.joins import bounded_broadcast, broadcast_if_small
+from civicflow.session import cut_lineage
 
 
 def top_categories(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -120,7 +121,10 @@ class DenseCodes:
                                   (F.col(c).cast("double") if numeric else F.lit(None).cast("double")).alias("_d")))
         pairs = df.select(F.inline(F.array(*items))).distinct()
         w = Window.partitionBy("_col").orderBy(F.asc_nulls_last("_d"), F.asc_nulls_last("_s"))
-        self.codes = pairs.withColumn("_code", (F.row_number().over(w) - 1).cast("int")).select("_col", "_s", "_code")
+        codes = pairs.withColumn("_code", (F.row_number().over(w) - 1).cast("int")).select("_col", "_s", "_code")
+        # The code table is read once per column at transform time: write it
+        # once (reliable checkpoint) instead of recomputing the fit pass.
+        self.codes = cut_lineage(codes)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -149,3 +149,37 @@ def score_stream(spark, sf):
         q.stop()
         time.sleep(0.1)
     return _flat(spark.read.parquet(out))
+
+
+def _raw_tickets(spark, sf):
+    """Raw-ticket-shaped table derived from events (text columns, some blanks)."""
+    ev = table(spark, sf, "events")
+    n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    r = table(spark, sf, "region").select("r_regionkey", "r_name")
+    dim = F.broadcast(n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name"))
+    e = F.col("event_id")
+    groups = F.array(*[F.lit(g) for g in GROUPS])
+    t = ev.join(dim, (F.col("user_id") % 25) == F.col("n_nationkey"), "left")
+    return t.select(
+        e.alias("ticket_id"),
+        F.col("ts").alias("Created Date"),
+        (F.col("ts") + F.make_dt_interval(F.lit(0), F.floor(F.col("value") / 10).cast("int"), F.lit(0), F.lit(0)))
+        .alias("Closed Date"),
+        F.upper("event_type").alias("Agency"),
+        F.col("event_type").alias("Complaint Type"),
+        F.element_at(groups, (F.col("user_id") % len(GROUPS) + 1).cast("int")).alias("Descriptor"),
+        F.when(e % 7 == 0, F.lit(" ")).otherwise(F.lit("Street/Sidewalk")).alias("Location Type"),
+        (F.col("user_id") % 25).cast("string").alias("Incident Zip"),
+        F.when(e % 9 == 0, F.lit(None)).otherwise(F.col("r_name")).alias("Borough"),
+        F.when(e % 4 == 0, F.lit("nan")).otherwise(F.lit("CAR")).alias("Vehicle Type"),
+        F.lit("somewhere").alias("Location"))
+
+
+@register("ticket_features")
+def ticket_features(spark, sf):
+    """The whole preparation chain on event-derived tickets."""
+    from civicflow.plans.ticket_prep import TicketColumns, prepare_features
+    zips = _zip_dim(spark, sf).select(F.col("zip").alias("ZipCode"), F.col("borough").alias("Borough"))
+    shares = _shares(spark, sf).withColumnRenamed("region", "Stadtteil")
+    res = prepare_features(_raw_tickets(spark, sf), zips, shares, TicketColumns(share_cols=list(_SHARE_COLS)))
+    return res.features
