@@ -27,7 +27,7 @@ def top_categories(df: DataFrame, column: str, n: int) -> DataFrame:
     bounded by ``n`` however large the input.
     """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = counts.agg(F.sum("n")).scalar()
     with_pct = counts.withColumn("pct", cf.round_half_even(F.col("n") * 100.0 / total, 4))
     top = with_pct.filter(F.col(column).isNotNull()).orderBy(F.desc("n"), F.asc(column)).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc(column))))
@@ -155,7 +155,7 @@ class RareBucketer:
 
     def fit(self, df: DataFrame) -> RareBucketer:
         counts = df.groupBy(self.column).agg(F.count(F.lit(1)).alias("n"))  # null group counts in the total
-        pct = cf.round_half_even(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 4)
+        pct = cf.round_half_even(F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar(), 4)
         self.keep = (counts.withColumn("_pct", pct)
                      .filter(F.col(self.column).isNotNull() & (F.col("_pct") >= self.min_pct))
                      .select(F.col(self.column).alias("_k")))
@@ -212,7 +212,7 @@ def min_share_filter(train: DataFrame, test: DataFrame, column: str, min_pct: fl
     both tables (left-semi joins against a keep-set of at most 100/min_pct
     classes)."""
     counts = train.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    keep = (counts.withColumn("_pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    keep = (counts.withColumn("_pct", F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar())
                   .filter(F.col("_pct") >= min_pct).select(column))
     keep = bounded_broadcast(keep)
     return train.join(keep, column, "left_semi"), test.join(keep, column, "left_semi")

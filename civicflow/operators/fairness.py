@@ -98,7 +98,7 @@ def reweigh(df: DataFrame, group_cols: Sequence[str], y: str, method: str = "inv
     size check); no per-row dictionary lookups.
     """
     gy = df.groupBy(*group_cols, y).agg(F.count(F.lit(1)).alias("_ngy"))
-    total = F.sum("_ngy").over(Window.partitionBy())
+    total = gy.agg(F.sum("_ngy")).scalar()
     if method == "inverse":
         w = gy.select(*group_cols, y, (total / F.col("_ngy")).alias(out))
     elif method == "independence":

@@ -20,6 +20,13 @@ def _all():
     return Window.partitionBy()  # over a grouped (small) table only
 
 
+def total_of(counts: DataFrame, col: str = "n") -> Column:
+    """Grand total of a count column as a scalar subquery: the share
+    division stays a distributed projection instead of a single-task window
+    over every distinct value."""
+    return counts.agg(F.sum(col)).scalar()
+
+
 def filter_funnel(df: DataFrame, keep: Column) -> DataFrame:
     """Rows before/after a filter, removed, removal % and kept % (one pass)."""
     kept = F.count_if(F.coalesce(keep, F.lit(False)))
@@ -40,9 +47,10 @@ def frequency_table(df: DataFrame, column: str, dropna: bool = False) -> DataFra
 
 def share_table(df: DataFrame, column: str, digits: int = 4, dropna: bool = False) -> DataFrame:
     """(value, n, pct) with pct = n / all rows * 100 rounded half-even."""
-    counts = frequency_table(df, column, dropna=dropna)
-    total = F.sum("n").over(_all())
-    return counts.withColumn("pct", cf.round_half_even(F.col("n") * 100.0 / total, digits))
+    counts = df.filter(F.col(column).isNotNull()) if dropna else df
+    counts = counts.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    pct = cf.round_half_even(F.col("n") * 100.0 / total_of(counts), digits)
+    return counts.withColumn("pct", pct).orderBy(F.desc("n"), F.asc_nulls_last(column))
 
 
 def distinct_stats(df: DataFrame, column: str) -> DataFrame:
@@ -157,8 +165,10 @@ class NullImputer:
 
 def share_tiers(df: DataFrame, column: str, cuts: Sequence[float] = (1.5, 0.5, 0.1)) -> DataFrame:
     """Class share (% of rows) and tier 1..len(cuts)+1 (share >= cut[i])."""
-    t = share_table(df, column, digits=4)
-    pct = F.col("n") * 100.0 / F.sum("n").over(_all())
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    total = total_of(counts)
+    t = counts.withColumn("pct", cf.round_half_even(F.col("n") * 100.0 / total, 4))
+    pct = F.col("n") * 100.0 / total
     tier = F.lit(len(cuts) + 1)
     for i, c in reversed(list(enumerate(cuts))):
         tier = F.when(pct >= c, F.lit(i + 1)).otherwise(tier)
@@ -208,7 +218,7 @@ def share_drift(a: DataFrame, b: DataFrame, column: str, limit: float = 0.05) ->
 def pair_shares(df: DataFrame, group_cols: Sequence[str], label: str) -> DataFrame:
     """Relative frequency of each (group..., label) combination."""
     g = df.groupBy(*group_cols, label).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(_all()))
+    return g.withColumn("share", F.col("n") / total_of(g))
 
 
 def count_per(df: DataFrame, columns: Iterable[str]) -> DataFrame:
