@@ -100,20 +100,29 @@ def auc_from_long(long_df: DataFrame, cls: str, pos: str, score: str) -> DataFra
     return per.select(cls, auc.alias("auc"), F.col("P").cast("long").alias("support"))
 
 
-def auc_binary(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
-    """J5 for a binary label and one score column."""
+def _binned(score, bins: int | None):
+    s = F.col(score).cast("double") if isinstance(score, str) else score.cast("double")
+    return s if not bins else F.floor(s * bins) / float(bins)
+
+
+def auc_binary(df: DataFrame, y: str, score: str, positive=1, bins: int | None = None) -> DataFrame:
+    """J5 for a binary label and one score column.  ``bins`` (for scores in
+    [0, 1]) bounds the number of distinct scores per class, and with it the
+    size of the per-class rank window, at the price of treating scores in a
+    bin as tied."""
     long_df = df.select(F.lit(positive).alias("cls"), (F.col(y) == positive).cast("int").alias("pos"),
-                        F.col(score).cast("double").alias("score"))
+                        _binned(score, bins).alias("score"))
     return auc_from_long(long_df, "cls", "pos", "score")
 
 
-def auc_ovr(df: DataFrame, y: str, scores: str, classes: list) -> DataFrame:
+def auc_ovr(df: DataFrame, y: str, scores: str, classes: list, bins: int | None = None) -> DataFrame:
     """J5 one-vs-rest: ``scores`` is an array column, index i scoring
     ``classes[i]``.  Rows per class plus a support-weighted 'weighted' row."""
     cls_arr = F.array(*[F.lit(c) for c in classes])
-    long_df = (df.select(F.col(y), F.posexplode(scores).alias("_i", "score"))
+    long_df = (df.select(F.col(y), F.posexplode(scores).alias("_i", "_s"))
                  .select(F.element_at(cls_arr, F.col("_i") + 1).alias("cls"),
-                         (F.col(y) == F.element_at(cls_arr, F.col("_i") + 1)).cast("int").alias("pos"), "score"))
+                         (F.col(y) == F.element_at(cls_arr, F.col("_i") + 1)).cast("int").alias("pos"),
+                         _binned("_s", bins).alias("score")))
     per = auc_from_long(long_df, "cls", "pos", "score")
     weighted = per.agg(F.lit(None).cast(per.schema["cls"].dataType).alias("cls"),
                        (F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc"),

@@ -93,4 +93,5 @@ def auc_ovr_model(spark, sf):
     train, test, d, k = _data(spark, sf)
     model = models.fit_variant("nb", train, d, k)
     pred = model.transform(test).withColumn("_prob", vector_to_array("probability"))
-    return metrics.auc_ovr(pred.withColumn("label", F.col("label").cast("int")), "label", "_prob", list(range(k)))
+    return metrics.auc_ovr(pred.withColumn("label", F.col("label").cast("int")), "label", "_prob", list(range(k)),
+                           bins=10_000)
