@@ -56,7 +56,9 @@ def estimator(name: str, n_features: int, n_classes: int, label: str = "label",
                   "catboost": dict(maxIter=50, maxDepth=4, stepSize=0.3),
                   "gbc": dict(maxIter=5, maxDepth=2, stepSize=1.0)}[name]
         gbt = GBTClassifier(seed=seed, **params)
-        return OneVsRest(classifier=gbt, **common) if n_classes > 2 else GBTClassifier(seed=seed, **params, **common)
+        # one-vs-rest fits the k binary boosters concurrently
+        return (OneVsRest(classifier=gbt, parallelism=min(n_classes, 4), **common) if n_classes > 2
+                else GBTClassifier(seed=seed, **params, **common))
     if name == "nb":
         return NaiveBayes(modelType="gaussian", **common)
     if name == "bernoulli_nb":
@@ -308,16 +310,21 @@ def train_many(names: Sequence[str], train: DataFrame, test: DataFrame, n_featur
 
 
 def tune_tree(train: DataFrame, label: str = "label", fold_col: str = "fold", depths=(2, 4, 6, 8, 10),
-              parallelism: int = 2):
+              parallelism: int = 4):
     """Grid / random search over tree depth with k-fold CV on a
     precomputed stratified fold column (G5), weighted-F1 objective."""
     dt = DecisionTreeClassifier(labelCol=label, featuresCol=FEATURES, seed=42)
     grid = ParamGridBuilder().addGrid(dt.maxDepth, list(depths)).build()
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
-    k = train.agg(F.max(fold_col)).first()[0] + 1
-    cv = CrossValidator(estimator=dt, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col, numFolds=int(k),
-                        parallelism=parallelism, seed=42)
-    return cv.fit(train)
+    # every (fold, grid point) fit re-reads the input: materialise it once
+    data = train.select(label, FEATURES, fold_col).persist()
+    try:
+        k = data.agg(F.max(fold_col)).first()[0] + 1
+        cv = CrossValidator(estimator=dt, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
+                            numFolds=int(k), parallelism=parallelism, seed=42)
+        return cv.fit(data)
+    finally:
+        data.unpersist()
 
 
 def keep_if_better(base_acc: float, tuned_acc: float) -> dict:

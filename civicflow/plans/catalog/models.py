@@ -75,7 +75,7 @@ def tuned(spark, sf):
     """CV over tree depth with stratified folds, kept only if better on test."""
     train, test, d, k = _data(spark, sf)
     folds = split.stratified_fold_ids(train, "vec_id", "label", k=5, seed=SEED)
-    cv = models.tune_tree(folds, depths=(2, 4, 8), parallelism=2)
+    cv = models.tune_tree(folds, depths=(2, 4, 8), parallelism=4)
     base = models.fit_variant("dt", train, d, k)
     acc = lambda m: models.predict(m, test).select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     a0, a1 = acc(base), acc(cv.bestModel)
