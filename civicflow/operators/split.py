@@ -4,8 +4,8 @@ Row order comes from a seeded md5 of the key (``functions.seeded_hash``), so
 results do not depend on partitioning and can be reproduced in any SQL
 engine.  No operator here ranks a whole class inside one task:
 
-* draws are bounded (``total`` rows) and planned as a distributed
-  take-ordered;
+* draws are bounded (``total`` rows): a hash cut that provably admits the
+  draw removes all other rows before the (small) final ordering;
 * per-class bottom-k selection (two-stage split) first keeps only rows whose
   hash is below a per-class cut that provably admits at least the quota,
   then ranks those candidates;
@@ -50,6 +50,30 @@ def _largest_remainder(counts: DataFrame, strata: str, quota_total: int, n_total
              .drop("_base", "_rem", "_extra"))
 
 
+def bottom_k(df: DataFrame, key: str, k: int, seed: int = 42, n: int | None = None,
+             max_rounds: int = 8) -> DataFrame:
+    """The ``k`` rows with the smallest seeded hash (ties: key), exactly.
+
+    A plain ``orderBy().limit(k)`` would ship ``k`` rows from *every* input
+    partition to one final task.  Instead rows are first filtered to
+    ``hash_unit < cut`` with a cut chosen to admit about ``k`` plus a wide
+    margin; the candidate count is checked (and the cut doubled if short), so
+    the final ordering only sees ~``k`` rows.  Exact because the hash order
+    agrees with the order of its leading 32 bits.
+    """
+    n = df.count() if n is None else n
+    if k >= n:
+        return df
+    hashed = df.withColumn(_U, cf.hash_unit(key, seed))
+    cut = min(1.0, (k + 8 * math.sqrt(k) + 32) / n)
+    for _ in range(max_rounds):
+        cand = hashed.filter(F.col(_U) < F.lit(cut))
+        if cut >= 1.0 or cand.count() >= k:
+            break
+        cut = min(1.0, cut * 2)
+    return (cand.withColumn(_H, cf.seeded_hash(key, seed)).orderBy(_H, key).limit(k).drop(_H, _U))
+
+
 def exact_stratified_split(df: DataFrame, key: str, strata: str, seed: int = 42,
                            total: int = 66_000, test: int = 6_000, small_test_fraction: float = 0.1) -> DataFrame:
     """Reproducible draw of ``total`` rows, then a stratified split
@@ -62,7 +86,7 @@ def exact_stratified_split(df: DataFrame, key: str, strata: str, seed: int = 42,
     n = df.count()
     hashed = df.withColumn(_H, cf.seeded_hash(key, seed))
     if n >= total:
-        drawn = hashed.orderBy(_H, key).limit(total)   # bounded take-ordered
+        drawn = bottom_k(df, key, total, seed, n=n).withColumn(_H, cf.seeded_hash(key, seed))
         test_n, drawn_n = test, total
     else:
         drawn = hashed
