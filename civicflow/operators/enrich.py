@@ -36,9 +36,14 @@ def fill_group_from_dimension(df: DataFrame, key: str, group: str, dim: DataFram
 
 
 def lookup_with_default(df: DataFrame, key, dim: DataFrame, dim_key: str, dim_value: str, out: str,
-                        default=None, max_rows: int = 2_000_000) -> DataFrame:
-    """``out`` = dim value for ``key`` (column name or Column), else ``default``."""
-    d = _unique_dim(dim.select(F.col(dim_key).alias("_lk"), F.col(dim_value).alias("_lv")), "_lk", ["_lv"], max_rows)
+                        default=None, max_rows: int = 2_000_000, bounded: bool = False) -> DataFrame:
+    """``out`` = dim value for ``key`` (column name or Column), else ``default``.
+
+    ``bounded=True`` marks a literal dictionary with unique keys (bounded by
+    construction): it is broadcast as is, without de-duplication or size check.
+    """
+    d = dim.select(F.col(dim_key).alias("_lk"), F.col(dim_value).alias("_lv"))
+    d = bounded_broadcast(d) if bounded else _unique_dim(d, "_lk", ["_lv"], max_rows)
     k = cf.col(key)
     j = df.join(d, k == d["_lk"], "left")
     val = F.col("_lv") if default is None else F.coalesce(F.col("_lv"), F.lit(default))
@@ -70,11 +75,12 @@ def attach_shares(df: DataFrame, key: str, shares: DataFrame, shares_key: str, s
 
 
 def two_hop_lookup(df: DataFrame, key: str, first: DataFrame, first_key: str, first_value: str,
-                   second: DataFrame, second_key: str, second_value: str, out: str, default) -> DataFrame:
+                   second: DataFrame, second_key: str, second_value: str, out: str, default,
+                   bounded: bool = False) -> DataFrame:
     """Key -> intermediate value -> code; ``default`` when either hop misses."""
     tmp = "_hop1"
-    step = lookup_with_default(df, key, first, first_key, first_value, tmp)
-    step = lookup_with_default(step, tmp, second, second_key, second_value, out, default)
+    step = lookup_with_default(df, key, first, first_key, first_value, tmp, bounded=bounded)
+    step = lookup_with_default(step, tmp, second, second_key, second_value, out, default, bounded=bounded)
     return step.drop(tmp)
 
 

@@ -133,7 +133,7 @@ FROM events e LEFT JOIN (VALUES {', '.join(f"('{k}', {v})" for k, v in _TYPE_COD
 def code_lookup(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "event_type")
     codes = literal_table(spark, _TYPE_CODES, "k string, code int")
-    return enrich.lookup_with_default(ev, "event_type", codes, "k", "code", "type_code", -1)
+    return enrich.lookup_with_default(ev, "event_type", codes, "k", "code", "type_code", -1, bounded=True)
 
 
 # Part type -> product family (MEDIUM has none), family -> code; default code 99.
@@ -151,7 +151,7 @@ def two_hop(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_type")
     fam = literal_table(spark, _TYPE_FAMILY, "t string, fam string")
     code = literal_table(spark, _FAMILY_CODE, "fam string, code int")
-    return enrich.two_hop_lookup(p, "p_type", fam, "t", "fam", code, "fam", "code", "family_code", 99)
+    return enrich.two_hop_lookup(p, "p_type", fam, "t", "fam", code, "fam", "code", "family_code", 99, bounded=True)
 
 
 @register("class_group_label", """

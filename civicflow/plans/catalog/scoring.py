@@ -42,6 +42,7 @@ def _dims(spark, sf) -> scoring.ScoringDims:
         descriptor_codes=literal_table(spark, DESCRIPTOR_CODES, "descriptor string, code int"),
         class_names=literal_table(spark, CLASS_NAMES, "cls int, name string"),
         class_groups=literal_table(spark, CLASS_GROUPS, "name string, grp string"),
+        literal_dicts=True,
     )
 
 

@@ -35,6 +35,7 @@ class ScoringDims:
     descriptor_codes: DataFrame   # descriptor, code
     class_names: DataFrame        # class id, name
     class_groups: DataFrame       # name, group
+    literal_dicts: bool = False   # agency / descriptor dictionaries are literal (unique keys, bounded)
 
 
 FEATURE_ORDER = ["agency_code", "zip_code", "created_hour", "created_month", "created_dayofweek",
@@ -53,12 +54,13 @@ def build_features(requests: DataFrame, dims: ScoringDims, as_of=None) -> DataFr
         "created_month": cf.month_of("created_date"),
         "created_dayofweek": cf.weekday_of("created_date"),
     })
-    df = enrich.lookup_with_default(df, F.upper(F.col("Agency")), dims.agency_codes, "agency", "code", "agency_code", -1)
+    lit = dims.literal_dicts
+    df = enrich.lookup_with_default(df, F.upper(F.col("Agency")), dims.agency_codes, "agency", "code", "agency_code",
+                                    -1, bounded=lit)
     df = enrich.two_hop_lookup(df, "Descriptor", dims.group_descriptor, "group", "descriptor",
-                               dims.descriptor_codes, "descriptor", "code", "descriptor_code", 99)
-    df = df.join(F.broadcast(dims.group_descriptor.select(F.col("group").alias("_g"),
-                                                          F.col("descriptor").alias("descriptor_used"))),
-                 F.col("Descriptor") == F.col("_g"), "left").drop("_g")
+                               dims.descriptor_codes, "descriptor", "code", "descriptor_code", 99, bounded=lit)
+    df = enrich.lookup_with_default(df, "Descriptor", dims.group_descriptor, "group", "descriptor",
+                                    "descriptor_used", None, bounded=lit)
     return df
 
 
