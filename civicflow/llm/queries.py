@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicflow.llm import packing, token_blocks
+from pyspark.sql import functions as F
+
+from civicflow.llm import packing, quality, token_blocks, toxicity
 from civicflow.llm.common import documents
+from civicflow.session import table
 
 SQL: dict[str, str] = {}
 
@@ -16,10 +19,25 @@ def op4_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), with_ids=False)
 
 
+def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    weights = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_token_files(spark, token_blocks.write_token_files(documents(spark, sf_dir)))
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit_quality(docs, quality.rated(table(spark, sf_dir, "labels")))
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", "expected_grade", "tail_probability", quality.keep().alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_power_of_two_packing, op9_pfor_token_files)
+    f.__name__: f for f in (op4_power_of_two_packing, op8_ftrl_toxicity, op9_pfor_token_files, op10_ordinal_quality)
 }
