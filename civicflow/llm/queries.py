@@ -8,17 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from civicflow.llm import packing, quality, token_blocks, toxicity
+from civicflow.llm import packing, pii, quality, sharding, token_blocks, toxicity
 from civicflow.llm.common import documents
 from civicflow.session import table
 
 SQL: dict[str, str] = {}
 
 
+def op3_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summarise(pii.detect(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op4_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), with_ids=False)
 
 
+def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     weights = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -39,5 +48,5 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_power_of_two_packing, op8_ftrl_toxicity, op9_pfor_token_files, op10_ordinal_quality)
+    f.__name__: f for f in (op3_offset_preserving_pii, op4_power_of_two_packing, op6_lpt_sharding, op8_ftrl_toxicity, op9_pfor_token_files, op10_ordinal_quality)
 }
