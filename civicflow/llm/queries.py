@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from civicflow.llm import packing, pii, quality, sharding, token_blocks, toxicity
+from civicflow.llm import gray_simhash, packing, pii, quality, sharding, token_blocks, toxicity
 from civicflow.llm.common import documents
 from civicflow.session import table
 
@@ -28,6 +28,11 @@ def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gray_simhash.group_documents(documents(spark, sf_dir)).select(
+        "doc_id", gray_simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     weights = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -48,5 +53,5 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_offset_preserving_pii, op4_power_of_two_packing, op6_lpt_sharding, op8_ftrl_toxicity, op9_pfor_token_files, op10_ordinal_quality)
+    f.__name__: f for f in (op3_offset_preserving_pii, op4_power_of_two_packing, op6_lpt_sharding, op7_gray_simhash, op8_ftrl_toxicity, op9_pfor_token_files, op10_ordinal_quality)
 }
