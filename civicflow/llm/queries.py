@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from civicflow.llm import cap_filters, gray_simhash, packing, pii, quality, sharding, token_blocks, toxicity
+from civicflow.llm import cap_filters, decontam, gray_simhash, packing, pii, quality, sharding, token_blocks, toxicity
 from civicflow.llm.common import documents
 from civicflow.session import table
 
 SQL: dict[str, str] = {}
 
 
+def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op1_spaced_seed_decontamination"] = decontam.SQL
+
+
 def op2_spherical_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -57,5 +64,5 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_spherical_cap_dedup, op3_offset_preserving_pii, op4_power_of_two_packing, op6_lpt_sharding, op7_gray_simhash, op8_ftrl_toxicity, op9_pfor_token_files, op10_ordinal_quality)
+    f.__name__: f for f in (op1_spaced_seed_decontamination, op2_spherical_cap_dedup, op3_offset_preserving_pii, op4_power_of_two_packing, op6_lpt_sharding, op7_gray_simhash, op8_ftrl_toxicity, op9_pfor_token_files, op10_ordinal_quality)
 }
