@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from civicflow.llm import cap_filters, decontam, gray_simhash, packing, pii, quality, sharding, token_blocks, toxicity
+from civicflow.llm import cap_filters, decontam, gray_simhash, packing, pii, quality, sharding, substrings, token_blocks, toxicity
 from civicflow.llm.common import documents
 from civicflow.session import table
 
@@ -34,6 +34,10 @@ def op4_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), with_ids=False)
 
 
+def op5_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir), with_text=False)
+
+
 def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -64,5 +68,5 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_spaced_seed_decontamination, op2_spherical_cap_dedup, op3_offset_preserving_pii, op4_power_of_two_packing, op6_lpt_sharding, op7_gray_simhash, op8_ftrl_toxicity, op9_pfor_token_files, op10_ordinal_quality)
+    f.__name__: f for f in (op1_spaced_seed_decontamination, op2_spherical_cap_dedup, op3_offset_preserving_pii, op4_power_of_two_packing, op5_debruijn_substrings, op6_lpt_sharding, op7_gray_simhash, op8_ftrl_toxicity, op9_pfor_token_files, op10_ordinal_quality)
 }
