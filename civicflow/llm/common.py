@@ -9,11 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civicflow.session import ensure_checkpoint_dir, table
 
-#: ASCII white space that separates words: space, tab, LF, VT, FF, CR.
-SPACES = r"[\x20\x09-\x0D]+"
 #: Text of an Arrow batch that is held as Python objects at one time.
 SLICE_BYTES = 2 << 20
 
@@ -64,9 +63,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             first = last
 
 
-def word_count(text: str) -> "F.Column":
-    """Words of an expression (null: none)."""
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+def with_fields(rows: DataFrame, added: str) -> T.StructType:
+    """The rows' schema and further fields."""
+    return T.StructType([*rows.schema.fields, *T.StructType.fromDDL(added).fields])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns), ``doc_id`` and ``text``: what an operator adds can't clash with a column of the rows."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def global_index(df: DataFrame, order: list, what: str, name: str = "rank") -> DataFrame:

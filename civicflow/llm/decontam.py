@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import materialise
+from civicflow.llm.common import materialise, packed
 
 WINDOW, SUBSTITUTIONS, FEWEST = 15, 2, 6
 EQUAL = WINDOW - SUBSTITUTIONS
@@ -96,10 +96,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = Non
 
 def remove_overlapping(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows whose text overlaps no item."""
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    found = overlaps(rows.select("doc_id", "text", F.col("_text").alias("_key")), benchmark, ["doc_id", "_key"])
-    found = materialise(found.select(F.col("doc_id").alias("_doc_id"), "_key").distinct(), "overlapping")
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text") == F.col("_key")), "left_anti").drop("_text")
+    rows = packed(docs).withColumn("key", F.xxhash64("text"))
+    found = materialise(overlaps(rows, benchmark, ["doc_id", "key"]).select(
+        F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct(), "overlapping")
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")), "left_anti").select("row.*")
 
 
 #: The same rows from pigeonholes instead of masks: EQUAL of WINDOW words leave a run of five.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import materialise, slices
+from civicflow.llm.common import materialise, packed, slices
 from civicflow.llm.components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
@@ -256,7 +256,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_BITS) ->
     """One row of each group: that of the smallest id (rows with a null id stay)."""
     found = group_documents(docs, shingle, limit)
     kept = materialise(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "kept-ids")
-    rows = docs.join(kept.select(F.col("doc_id").alias("_kept_id"), F.col("times").alias("_times")), F.col("doc_id") == F.col("_kept_id"))
-    single = rows.where("_times = 1").select(*docs.columns)
-    repeated = rows.where("_times > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), "times")
+    rows = packed(docs)
+    rows = rows.where("doc_id is null").select("row").union(_first(rows.join(kept, rows.doc_id == kept.kept_id)))
+    return rows.select("row.*")
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """One row per id; only ids that several rows have are compared."""
+    return rows.where("times = 1").select("row").union(rows.where("times > 1").dropDuplicates(["doc_id"]).select("row"))

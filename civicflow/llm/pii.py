@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from civicflow.llm.common import slices
+from civicflow.llm.common import slices, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -204,13 +204,9 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(kind))], names=[*batch.schema.names, "pii"])
 
 
-def _schema(rows: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-
-
 def detect(rows: DataFrame) -> DataFrame:
     """``rows`` (with a column ``text``) and ``pii``: kind, range and whether it is written plainly."""
-    return rows.mapInArrow(_detect, _schema(rows) + ", pii array<struct<kind:string,start:bigint,end:bigint,plain:boolean>>")
+    return rows.mapInArrow(_detect, with_fields(rows, "pii array<struct<kind:string,start:bigint,end:bigint,plain:boolean>>"))
 
 
 def mask_text(text: str | None) -> str | None:
@@ -235,7 +231,7 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mask(rows: DataFrame) -> DataFrame:
     """``rows`` with identifiers in ``text`` masked."""
-    return rows.mapInArrow(_mask, _schema(rows))
+    return rows.mapInArrow(_mask, rows.schema)
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import materialise, slices
+from civicflow.llm.common import materialise, slices, with_fields
 from civicflow.llm.hashing import Words, mix
 from civicflow.llm.toxicity import held_out, sigmoid
 
@@ -195,8 +195,7 @@ def score_quality(rows: DataFrame, model: DataFrame) -> DataFrame:
     own = found[found.feature >= 0]
     w[own.feature.to_numpy()] = own.weight.to_numpy()
     thresholds = found[found.feature < 0].sort_values("feature", ascending=False).weight.to_numpy()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_score(w, thresholds), schema + ", expected_grade double, tail_probability double")
+    return rows.mapInArrow(_score(w, thresholds), with_fields(rows, "expected_grade double, tail_probability double"))
 
 
 def keep(tail: str = "tail_probability", text: str = "text", keep_from: float = KEEP_FROM):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import materialise, slices
+from civicflow.llm.common import materialise, slices, with_fields
 from civicflow.llm.hashing import Words, mix
 
 BITS = 20
@@ -163,5 +163,4 @@ def score_toxicity(rows: DataFrame, weights: DataFrame, bits: int = BITS) -> Dat
     found = weights.toPandas()  # at most 2 ** bits rows
     bias = float(found.weight[found.feature < 0].sum())
     found = found[found.feature >= 0]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double"
-    return rows.mapInArrow(_score(bits, found.feature.to_numpy(), found.weight.to_numpy(), bias), schema)
+    return rows.mapInArrow(_score(bits, found.feature.to_numpy(), found.weight.to_numpy(), bias), with_fields(rows, "score double"))
