@@ -58,13 +58,14 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     h, text = words.hashes(), words.text
     owner, feature = [text], [(h >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
 
-    raw = np.frombuffer(b"\n".join(plain), np.uint8)
-    size = np.fromiter(map(len, plain), np.int64, len(plain))
-    kind = _CLASS[raw]
-    run = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(kind) else np.zeros(0, np.int64)
+    kind = _CLASS[np.frombuffer(b"".join(t + b"\n" for t in plain), np.uint8)]
+    past = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
+    new = np.append(True, kind[1:] != kind[:-1])
+    new[past[:-1]] = True
+    run = np.flatnonzero(new)
     kind = kind[run].astype(np.int64)
     if len(kind) > 3:
-        of = np.searchsorted(np.cumsum(size + 1), run, "right")
+        of = np.searchsorted(past, run, "right")
         gram = kind[:-3] | kind[1:-2] << 8 | kind[2:-1] << 16 | kind[3:] << 24
         gram = mix(gram.astype(np.uint64) + np.uint64(0x1F123BB5)) >> np.uint64(64 - SHAPE_BITS)
         same = of[:-3] == of[3:]
@@ -195,6 +196,8 @@ def score_quality(rows: DataFrame, model: DataFrame) -> DataFrame:
     own = found[found.feature >= 0]
     w[own.feature.to_numpy()] = own.weight.to_numpy()
     thresholds = found[found.feature < 0].sort_values("feature", ascending=False).weight.to_numpy()
+    if not len(thresholds):  # fitted on nothing
+        thresholds = np.array([-1e3])
     return rows.mapInArrow(_score(w, thresholds), with_fields(rows, "expected_grade double, tail_probability double"))
 
 
