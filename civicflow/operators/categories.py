@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow import functions as cf
-from civicflow.operators.joins import bounded_broadcast, broadcast_if_small
+from civicflow.operators.joins import bounded_broadcast
 from civicflow.session import cut_lineage
 
 
@@ -106,10 +106,9 @@ class DenseCodes:
     fit get a null code.
     """
 
-    def __init__(self, columns: Sequence[str], suffix: str = "", max_broadcast_rows: int = 2_000_000):
+    def __init__(self, columns: Sequence[str], suffix: str = ""):
         self.columns = list(columns)
         self.suffix = suffix
-        self.max_broadcast_rows = max_broadcast_rows
         self.codes: DataFrame | None = None
 
     def fit(self, df: DataFrame) -> DenseCodes:
@@ -132,7 +131,6 @@ class DenseCodes:
         for c in self.columns:
             table = (self.codes.filter(F.col("_col") == c)
                      .select(F.col("_s").alias(f"_s_{c}"), F.col("_code").alias(f"_c_{c}")))
-            table = broadcast_if_small(table, self.max_broadcast_rows)
             out = (out.join(table, out[c].cast("string").eqNullSafe(F.col(f"_s_{c}")), "left")
                       .withColumn(c + self.suffix, F.col(f"_c_{c}"))
                       .drop(f"_s_{c}", f"_c_{c}"))
@@ -164,7 +162,7 @@ class RareBucketer:
 
     def transform(self, df: DataFrame) -> DataFrame:
         keep = self.keep.withColumn("_hit", F.lit(True))
-        keep = bounded_broadcast(keep) if self.bound is not None else broadcast_if_small(keep)
+        keep = bounded_broadcast(keep) if self.bound is not None else keep
         j = df.join(keep, df[self.column] == keep["_k"], "left")
         val = F.when(F.col(self.column).isNull() | F.col("_hit"), F.col(self.column)).otherwise(F.lit(self.other))
         return j.withColumn(self.column, val).drop("_k", "_hit")

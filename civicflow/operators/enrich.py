@@ -1,8 +1,9 @@
 """Dimension lookups and enrichment joins.
 
 Dimension sides are de-duplicated on their key (so a left join can never
-multiply fact rows) and broadcast only after a size check; the fact side is
-never shuffled for these joins when the dimension is small.
+multiply fact rows).  Literal dictionaries with unique keys are broadcast;
+any other dimension is joined plainly, so Spark broadcasts it by its size in
+bytes and the fact side is not shuffled when the dimension is small.
 """
 
 from __future__ import annotations
@@ -13,22 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicflow import functions as cf
-from civicflow.operators.joins import bounded_broadcast, broadcast_if_small
+from civicflow.operators.joins import bounded_broadcast
 
 
-def _unique_dim(dim: DataFrame, key: str, values: Sequence[str], max_rows: int) -> DataFrame:
+def _unique_dim(dim: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     # One row per key (smallest value on duplicates -> deterministic).
     d = dim.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.min(v).alias(v) for v in values])
-    return broadcast_if_small(d, max_rows)
+    return d
 
 
 def fill_group_from_dimension(df: DataFrame, key: str, group: str, dim: DataFrame, dim_key: str,
-                              dim_group: str, drop_unfilled: bool = True,
-                              max_rows: int = 2_000_000) -> DataFrame:
+                              dim_group: str, drop_unfilled: bool = True) -> DataFrame:
     """A missing (null or blank) ``group`` is filled from ``dim`` via
     ``key``; existing values are never overwritten; rows still missing are
     dropped (``drop_unfilled``)."""
-    d = _unique_dim(dim.select(F.col(dim_key).alias("_dk"), F.col(dim_group).alias("_dg")), "_dk", ["_dg"], max_rows)
+    d = _unique_dim(dim.select(F.col(dim_key).alias("_dk"), F.col(dim_group).alias("_dg")), "_dk", ["_dg"])
     j = df.join(d, df[key] == d["_dk"], "left")
     missing = F.col(group).isNull() | (F.trim(F.col(group)) == "")
     out = j.withColumn(group, F.when(missing, F.col("_dg")).otherwise(F.col(group))).drop("_dk", "_dg")
@@ -36,14 +36,14 @@ def fill_group_from_dimension(df: DataFrame, key: str, group: str, dim: DataFram
 
 
 def lookup_with_default(df: DataFrame, key, dim: DataFrame, dim_key: str, dim_value: str, out: str,
-                        default=None, max_rows: int = 2_000_000, bounded: bool = False) -> DataFrame:
+                        default=None, bounded: bool = False) -> DataFrame:
     """``out`` = dim value for ``key`` (column name or Column), else ``default``.
 
     ``bounded=True`` marks a literal dictionary with unique keys (bounded by
     construction): it is broadcast as is, without de-duplication or size check.
     """
     d = dim.select(F.col(dim_key).alias("_lk"), F.col(dim_value).alias("_lv"))
-    d = bounded_broadcast(d) if bounded else _unique_dim(d, "_lk", ["_lv"], max_rows)
+    d = bounded_broadcast(d) if bounded else _unique_dim(d, "_lk", ["_lv"])
     k = cf.col(key)
     j = df.join(d, k == d["_lk"], "left")
     val = F.col("_lv") if default is None else F.coalesce(F.col("_lv"), F.lit(default))
@@ -51,7 +51,7 @@ def lookup_with_default(df: DataFrame, key, dim: DataFrame, dim_key: str, dim_va
 
 
 def attach_shares(df: DataFrame, key: str, shares: DataFrame, shares_key: str, share_cols: Sequence[str],
-                  missing: str = "drop", drop_keys: bool = False, max_rows: int = 2_000_000) -> DataFrame:
+                  missing: str = "drop", drop_keys: bool = False) -> DataFrame:
     """Attach share columns by normalised key (upper + trim).
 
     ``missing='drop'``: rows with any missing share are dropped (C3).
@@ -59,15 +59,13 @@ def attach_shares(df: DataFrame, key: str, shares: DataFrame, shares_key: str, s
     dimension (C4), computed by one small aggregate.
     """
     d = shares.select(cf.normalize_key(shares_key).alias("_sk"), *share_cols)
-    d = _unique_dim(d, "_sk", list(share_cols), max_rows)
+    d = _unique_dim(d, "_sk", list(share_cols))
     j = df.join(d, cf.normalize_key(key) == d["_sk"], "left").drop("_sk")
     if missing == "drop":
         j = j.dropna(subset=list(share_cols))
     elif missing == "mean":
-        # Sorted summation over the (small) dimension: the mean does not depend
-        # on how the dimension happens to be partitioned.
-        means = shares.agg(*[(F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda a, x: a + x)
-                              / F.count(c)).alias(c) for c in share_cols]).first()  # one row
+        # one row; rounded, so that the order of summation doesn't show
+        means = shares.agg(*[cf.round_half_even(F.avg(c), 9).alias(c) for c in share_cols]).first()
         j = j.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in share_cols})
     else:
         raise ValueError(f"unknown missing policy {missing!r}")
@@ -97,7 +95,7 @@ def class_label(df: DataFrame, class_col: str, names: DataFrame, name_key: str,
 def keep_in_set(df: DataFrame, column: str, keys: DataFrame, key: str | None = None, bounded: bool = True) -> DataFrame:
     """Rows whose value is in ``keys`` (left-semi join)."""
     k = keys.select(F.col(key or column).alias("_ks"))
-    k = bounded_broadcast(k) if bounded else broadcast_if_small(k)
+    k = bounded_broadcast(k) if bounded else k
     return df.join(k, df[column] == k["_ks"], "left_semi")
 
 

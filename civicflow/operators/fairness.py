@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow import functions as cf
-from civicflow.operators.joins import broadcast_if_small
 
 DPD = "demographic_parity_difference"
 EOD = "equalized_odds_difference"
@@ -94,8 +93,7 @@ def reweigh(df: DataFrame, group_cols: Sequence[str], y: str, method: str = "inv
 
     ``inverse`` (default): 1 / relative frequency of (group tuple, label) = N / n(g, y).
     ``independence``: P(g) P(y) / P(g, y).
-    The (group, label) table is aggregated and joined back (broadcast after a
-    size check); no per-row dictionary lookups.
+    The (group, label) table is aggregated and joined back; no per-row dictionary lookups.
     """
     gy = df.groupBy(*group_cols, y).agg(F.count(F.lit(1)).alias("_ngy"))
     total = gy.agg(F.sum("_ngy")).scalar()
@@ -107,7 +105,6 @@ def reweigh(df: DataFrame, group_cols: Sequence[str], y: str, method: str = "inv
         w = gy.select(*group_cols, y, (ng * ny / (total * F.col("_ngy"))).alias(out))
     else:
         raise ValueError(method)
-    w = broadcast_if_small(w)
     cond = [df[c].eqNullSafe(w[c]) for c in [*group_cols, y]]
     return df.join(w, cond, "left").select(df["*"], w[out])
 
@@ -164,8 +161,8 @@ def threshold_moving(df: DataFrame, group: str, y: str, score: str, bin_width: f
 
 def apply_thresholds(df: DataFrame, thresholds: DataFrame, group: str, score: str, bin_width: float,
                      max_bin: int, out: str = "p_adjusted") -> DataFrame:
-    """K9 step 5: broadcast (group, threshold) back and predict ``bin >= threshold``."""
-    t = broadcast_if_small(thresholds.select(group, "threshold_bin"))
+    """K9 step 5: join (group, threshold) back and predict ``bin >= threshold``."""
+    t = thresholds.select(group, "threshold_bin")
     b = F.least(F.floor(F.col(score) / F.lit(bin_width)), F.lit(max_bin)).cast("int")
     return df.join(t, group, "left").withColumn(out, (b >= F.col("threshold_bin")).cast("int")).drop("threshold_bin")
 

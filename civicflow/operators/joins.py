@@ -1,21 +1,19 @@
 """Join helpers: when to broadcast a side.
 
-Rules used throughout the library:
-
-* a side whose size is bounded *by construction* (a top-N list, a keep-set of
+* A side whose size is bounded *by construction* (a top-N list, a keep-set of
   categories above a share threshold, a literal dictionary, a one-row
-  aggregate) is broadcast with :func:`bounded_broadcast`;
-* any other side (a dimension file, a distinct-value dictionary) goes through
-  :func:`broadcast_if_small`, which counts at most ``max_rows + 1`` rows and
-  falls back to a plain join (shuffle or AQE's runtime broadcast) beyond that.
+  aggregate) is broadcast with :func:`bounded_broadcast`.
+* Any other side is joined plainly: Spark broadcasts it if its size in bytes
+  is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise,
+  with AQE splitting skewed keys.  No job runs while a plan is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def bounded_broadcast(df: DataFrame) -> DataFrame:
@@ -23,15 +21,12 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a LIMIT job).  Larger sides
-    are returned unchanged so the planner uses a shuffle join (with AQE skew
-    splitting) instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def same_keys(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
+    """Equality of the columns of both sides in which a null equals a null."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & left[c].eqNullSafe(right[c])
+    return out
 
 
 def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicflow.operators.joins import broadcast_if_small
 
 # Fixed value: default lambda grid for the Yeo-Johnson search.
 DEFAULT_LAMBDAS = [-2.0, -1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0]
@@ -94,4 +93,4 @@ def class_balance_weights(df: DataFrame, label: str, out: str = "weight") -> Dat
     k = F.count(F.lit(1)).over(Window.partitionBy())
     total = F.sum("_nc").over(Window.partitionBy())
     w = counts.select(label, (total / (k * F.col("_nc"))).alias(out))
-    return df.join(broadcast_if_small(w), label, "left")
+    return df.join(w, label, "left")

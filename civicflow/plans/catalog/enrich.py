@@ -113,7 +113,7 @@ def shares_join(spark, sf):
 
 @register("shares_fallback", f"""
 WITH t AS ({_DIRTY_KEY_SQL}), s AS ({_SHARES_SQL}),
-     m AS (SELECT {', '.join(f'list_reduce(list_sort(list({c})), lambda a, x: a + x) / count({c}) AS {c}' for c in _SHARE_COLS)} FROM s)
+     m AS (SELECT {', '.join(f'round_even(avg({c}) * 1e9::DOUBLE, 0) / 1e9::DOUBLE AS {c}' for c in _SHARE_COLS)} FROM s)
 SELECT t.c_custkey, {', '.join(f'coalesce(s.{c}, m.{c}) AS {c}' for c in _SHARE_COLS)}
 FROM t LEFT JOIN s ON upper(trim(t.region_key)) = upper(trim(s.region)), m""")
 def shares_fallback(spark, sf):

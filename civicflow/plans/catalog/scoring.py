@@ -97,7 +97,7 @@ WITH r AS (
          coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE date_trunc('second', ts) END, TIMESTAMP '{AS_OF}') AS created_date
   FROM events),
   z AS ({_DIM_SQL}), s AS ({_SHARES_SQL}),
-  m AS (SELECT {', '.join(f'list_reduce(list_sort(list({c})), lambda a, x: a + x) / count({c}) AS {c}' for c in _SHARE_COLS)} FROM s),
+  m AS (SELECT {', '.join(f'round_even(avg({c}) * 1e9::DOUBLE, 0) / 1e9::DOUBLE AS {c}' for c in _SHARE_COLS)} FROM s),
   f AS (
   SELECT r.*, CASE WHEN regexp_matches(Incident_Zip, '^[0-9]+$') THEN CAST(Incident_Zip AS BIGINT) ELSE 0 END AS zip_code
   FROM r)

@@ -50,15 +50,19 @@ def split_small(spark, sf):
     return split.exact_stratified_split(c, "c_custkey", "c_mktsegment", SEED, total=66_000, test=6_000)
 
 
-# Scaled-down two-stage parameters (the reference draws 65,000 then keeps
-# 60,000 / 5,000); at a tenth of that both stages run on every driver scale.
-_STAGE1, _TRAIN = 6_500, 6_000
+# The same draw below the row count of every driver table of 0.01 and up, so
+# that the large branch has an oracle.
+@register("exact_split_drawn", _split_sql("orders", "o_orderkey", "o_orderpriority", 1000, 90))
+def exact_split_drawn(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return split.exact_stratified_split(o, "o_orderkey", "o_orderpriority", SEED, total=1_000, test=90)
 
 
-@register("two_stage_split", f"""
+def _two_stage_sql(stage1: int, train: int) -> str:
+    return f"""
 WITH h AS (SELECT o_orderkey, o_orderpriority, md5(CAST(o_orderkey AS VARCHAR) || ':{SEED}') AS h FROM orders),
-     nn AS (SELECT count(*) AS n, least(count(*), {_STAGE1}) AS t,
-                   CASE WHEN count(*) >= {_STAGE1} THEN {_STAGE1 - _TRAIN} ELSE CAST(floor(0.1 * count(*)) AS BIGINT) END AS q
+     nn AS (SELECT count(*) AS n, least(count(*), {stage1}) AS t,
+                   CASE WHEN count(*) >= {stage1} THEN {stage1 - train} ELSE least({stage1 - train}, count(*) // 10) END AS q
             FROM h),
      q1 AS ({_quota_sql('h', 'o_orderpriority', '(SELECT n FROM nn)', '(SELECT t FROM nn)')}),
      drawn AS (SELECT o_orderkey, o_orderpriority, h FROM (
@@ -68,10 +72,20 @@ WITH h AS (SELECT o_orderkey, o_orderpriority, md5(CAST(o_orderkey AS VARCHAR) |
      ranked AS (SELECT d.o_orderkey, d.o_orderpriority, q2.n, q2.quota,
                        row_number() OVER (PARTITION BY d.o_orderpriority ORDER BY d.h, d.o_orderkey) AS r
                 FROM drawn d JOIN q2 ON d.o_orderpriority = q2.o_orderpriority)
-SELECT o_orderkey, o_orderpriority, CASE WHEN r > n - quota THEN 'test' ELSE 'train' END AS split FROM ranked""")
+SELECT o_orderkey, o_orderpriority, CASE WHEN r > n - quota THEN 'test' ELSE 'train' END AS split FROM ranked"""
+
+
+@register("two_stage_split", _two_stage_sql(6_500, 6_000))
 def two_stage_split(spark, sf):
+    """A tenth of the usual sizes: both stages run on the smaller driver tables."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return split.two_stage_split(o, "o_orderkey", "o_orderpriority", SEED, stage1=6_500, train=6_000)
+
+
+@register("two_stage_split_full", _two_stage_sql(65_000, 60_000))
+def two_stage_split_full(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    return split.two_stage_split(o, "o_orderkey", "o_orderpriority", SEED, stage1=_STAGE1, train=_TRAIN)
+    return split.two_stage_split(o, "o_orderkey", "o_orderpriority", SEED)
 
 
 @register("fold_ids", f"""
