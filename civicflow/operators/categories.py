@@ -7,15 +7,16 @@ before it is broadcast (distinct-value code tables).
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow import functions as cf
 from civicflow.operators.joins import bounded_broadcast
+from civicflow.operators.profile import exact_quantiles
 from civicflow.session import cut_lineage
 
 
@@ -33,18 +34,47 @@ def top_categories(df: DataFrame, column: str, n: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc(column))))
 
 
+class Fitted:
+    """A fitted dictionary: constructor arguments and one table.
+
+    ``fit`` writes the table once to the shared folder; transforms never go
+    back to the training data.  ``save`` and ``load`` keep both (M1, A11).
+    """
+
+    params: tuple[str, ...] = ()
+    table_name = "codes"
+
+    def save(self, path: str) -> None:
+        table: DataFrame = getattr(self, self.table_name)
+        table.write.mode("overwrite").parquet(f"{path}/table")
+        values = json.dumps({p: getattr(self, p) for p in self.params})
+        table.sparkSession.createDataFrame([(type(self).__name__, values)], "kind string, params string").write.mode(
+            "overwrite").parquet(f"{path}/params")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str):
+        row = spark.read.parquet(f"{path}/params").first()
+        if row["kind"] != cls.__name__:
+            raise ValueError(f"{path} holds a {row['kind']}")
+        own = cls(**json.loads(row["params"]))
+        setattr(own, cls.table_name, spark.read.parquet(f"{path}/table"))
+        return own
+
+
 # ---------------------------------------------------------------- E2 / E3
 
-class TopNBucketer:
+class TopNBucketer(Fitted):
     """Keep the top-N values (count desc, value asc), others -> ``other``.
     Nulls also become ``other`` (they are never in the top list)."""
 
+    params, table_name = ("column", "n", "other", "out"), "keep"
+
     def __init__(self, column: str, n: int = 20, other: str = "Other", out: str | None = None):
         self.column, self.n, self.other, self.out = column, n, other, out or column
         self.keep: DataFrame | None = None
 
     def fit(self, df: DataFrame) -> TopNBucketer:
-        self.keep = top_categories(df, self.column, self.n).select(F.col(self.column).alias("_k"))
+        self.keep = cut_lineage(top_categories(df, self.column, self.n).select(F.col(self.column).alias("_k")))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -54,7 +84,7 @@ class TopNBucketer:
         return j.withColumn(self.out, val).drop("_k", "_hit")
 
 
-class TopNEncoder:
+class TopNEncoder(Fitted):
     """Top-N bucketing with rest label, then sorted dense codes over the
     processed values seen at fit time; the source column is dropped.
 
@@ -62,50 +92,47 @@ class TopNEncoder:
     rest label; if the rest label itself was unseen at fit, the code is null.
     """
 
+    params = ("column", "n", "rest", "out")
+
     def __init__(self, column: str, n: int = 50, rest: str = "sonstiges", out: str | None = None):
         self.column, self.n, self.rest = column, n, rest
         self.out = out or f"{column}_encoded"
         self.codes: DataFrame | None = None
 
     def fit(self, df: DataFrame) -> TopNEncoder:
-        top = top_categories(df, self.column, self.n).select(F.col(self.column).alias("_v"))
-        top_b = bounded_broadcast(top.withColumn("_hit", F.lit(True)))
-        # does any row fall outside the top list?  (existence test, short-circuits)
-        outside = (df.select(self.column).join(top_b, F.col(self.column) == F.col("_v"), "left")
-                     .filter(F.col("_hit").isNull()).limit(1).count() > 0)
-        values = top
-        if outside:
-            values = values.unionByName(df.sparkSession.range(1).select(F.lit(self.rest).alias("_v")))
-        self.codes = values.distinct().select(
-            "_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int").alias("_code"))
+        counts = cut_lineage(df.groupBy(F.col(self.column).alias("_v")).agg(F.count(F.lit(1)).alias("n")))
+        top = counts.where("_v is not null").orderBy(F.desc("n"), "_v").limit(self.n)
+        outside = counts.agg(F.sum("n")).scalar() > F.coalesce(top.agg(F.sum("n")).scalar(), F.lit(0))
+        rest = df.sparkSession.range(1).where(outside).select(F.lit(self.rest).alias("_v"))
+        order = Window.orderBy("_v")  # at most N + 1 rows
+        self.codes = cut_lineage(top.select("_v").union(rest).distinct().select(
+            "_v", (F.row_number().over(order) - 1).cast("int").alias("_code")))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        top = (self.codes.filter(F.col("_v") != self.rest)
-               .withColumnRenamed("_v", "_t").withColumnRenamed("_code", "_tc"))
-        j = df.join(bounded_broadcast(top), df[self.column] == F.col("_t"), "left")
-        rest = self._rest_code()
-        code = F.coalesce(F.col("_tc"), F.lit(rest).cast("int") if rest is not None else F.lit(None).cast("int"))
-        return j.withColumn(self.out, code).drop("_t", "_tc", self.column)
-
-    def _rest_code(self):
-        r = self.codes.filter(F.col("_v") == self.rest).select("_code").first()
-        return None if r is None else r[0]
+        codes = self.codes.select(F.col("_v").alias("_t"), F.col("_code").alias("_tc"), (F.col("_v") == self.rest).alias("_is_rest"))
+        rest = codes.where("_is_rest").agg(F.max("_tc")).scalar()
+        j = df.join(bounded_broadcast(codes), df[self.column] == F.col("_t"), "left")
+        return j.withColumn(self.out, F.coalesce(F.col("_tc"), rest)).drop("_t", "_tc", "_is_rest", self.column)
 
 
 # ---------------------------------------------------------------- E4
 
-class DenseCodes:
+class DenseCodes(Fitted):
     """Per column, distinct values in ascending order -> 0..k-1, null
-    gets the last code.  Numeric columns sort numerically, text binary.
-
-    ``fit`` is ONE pass for all columns: each row emits (column, value) pairs
-    that are de-duplicated with a map-side partial aggregate; codes are ranked
-    per column over that distinct table.  ``transform`` joins each column's
-    code table, broadcasting it only after a size check.  Values unseen at
-    fit get a null code.
+    gets the last code.  Numbers sort as numbers (integers exactly), text
+    binary.
+
+    ``fit`` is one pass for all columns: each row gives (column, value) pairs
+    that are made distinct with a map-side aggregate.  The distinct values are
+    range partitioned, numbered inside their partition and shifted by the rows
+    of the partitions before, so that no column is ranked in one task.
+    ``transform`` joins each column's codes.  Values unseen at fit get a null
+    code.
     """
 
+    params = ("columns", "suffix")
+
     def __init__(self, columns: Sequence[str], suffix: str = ""):
         self.columns = list(columns)
         self.suffix = suffix
@@ -115,15 +142,20 @@ class DenseCodes:
         types = {f.name: f.dataType for f in df.schema.fields}
         items = []
         for c in self.columns:
-            numeric = isinstance(types[c], T.NumericType)
-            items.append(F.struct(F.lit(c).alias("_col"), F.col(c).cast("string").alias("_s"),
-                                  (F.col(c).cast("double") if numeric else F.lit(None).cast("double")).alias("_d")))
+            whole = isinstance(types[c], T.IntegralType)
+            number = whole or isinstance(types[c], T.NumericType)
+            items.append(F.struct(
+                F.lit(c).alias("_col"), F.col(c).cast("string").alias("_s"), (F.col(c).cast("long") if whole else F.lit(None).cast("long")).alias("_l"),
+                (F.col(c).cast("double") if number and not whole else F.lit(None).cast("double")).alias("_d")))
+        order = [F.asc("_col"), F.asc_nulls_last("_l"), F.asc_nulls_last("_d"), F.asc_nulls_last("_s")]
         pairs = df.select(F.inline(F.array(*items))).distinct()
-        w = Window.partitionBy("_col").orderBy(F.asc_nulls_last("_d"), F.asc_nulls_last("_s"))
-        codes = pairs.withColumn("_code", (F.row_number().over(w) - 1).cast("int")).select("_col", "_s", "_code")
-        # The code table is read once per column at transform time: write it
-        # once (reliable checkpoint) instead of recomputing the fit pass.
-        self.codes = cut_lineage(codes)
+        local = cut_lineage(pairs.repartitionByRange(*order).sortWithinPartitions(*order)
+                                 .withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33)))
+        sizes = local.groupBy("_p", "_col").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+        before = Window.partitionBy("_col").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+        shift = sizes.select("_p", "_col", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+        self.codes = cut_lineage(local.join(shift, ["_p", "_col"]).select(
+            "_col", "_s", (F.col("_i") + F.col("_shift")).cast("int").alias("_code")))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -139,7 +171,7 @@ class DenseCodes:
 
 # ---------------------------------------------------------------- E5
 
-class RareBucketer:
+class RareBucketer(Fitted):
     """E5: values whose share of all rows, in % rounded to 4 decimals, is
     below ``min_pct`` become ``other``; nulls stay null.
 
@@ -147,6 +179,8 @@ class RareBucketer:
     ``100 / min_pct`` entries whatever the input size.
     """
 
+    params, table_name = ("column", "min_pct", "other"), "keep"
+
     def __init__(self, column: str, min_pct: float = 0.01, other: str = "Other"):
         self.column, self.min_pct, self.other = column, min_pct, other
         self.keep: DataFrame | None = None
@@ -154,15 +188,14 @@ class RareBucketer:
     def fit(self, df: DataFrame) -> RareBucketer:
         counts = df.groupBy(self.column).agg(F.count(F.lit(1)).alias("n"))  # null group counts in the total
         pct = cf.round_half_even(F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar(), 4)
-        self.keep = (counts.withColumn("_pct", pct)
-                     .filter(F.col(self.column).isNotNull() & (F.col("_pct") >= self.min_pct))
-                     .select(F.col(self.column).alias("_k")))
-        self.bound = int(math.floor(100.0 / self.min_pct)) if self.min_pct > 0 else None
+        self.keep = cut_lineage(counts.withColumn("_pct", pct)
+                                .filter(F.col(self.column).isNotNull() & (F.col("_pct") >= self.min_pct))
+                                .select(F.col(self.column).alias("_k")))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         keep = self.keep.withColumn("_hit", F.lit(True))
-        keep = bounded_broadcast(keep) if self.bound is not None else keep
+        keep = bounded_broadcast(keep) if self.min_pct > 0 else keep
         j = df.join(keep, df[self.column] == keep["_k"], "left")
         val = F.when(F.col(self.column).isNull() | F.col("_hit"), F.col(self.column)).otherwise(F.lit(self.other))
         return j.withColumn(self.column, val).drop("_k", "_hit")
@@ -172,21 +205,18 @@ class RareBucketer:
 
 class IQRCapper:
     """Clip each column into [Q1 - k*IQR, Q3 + k*IQR] (exact quartiles,
-    linear interpolation).  ``fit`` is one aggregate for all columns; the
-    bounds (two numbers per column) become literals in the transform."""
+    linear interpolation, by :func:`civicflow.operators.profile.exact_quantiles`);
+    the bounds (two numbers per column) become literals in the transform."""
 
-    def __init__(self, columns: Sequence[str], k: float = 1.5, exact: bool = True):
-        self.columns, self.k, self.exact = list(columns), k, exact
+    def __init__(self, columns: Sequence[str], k: float = 1.5):
+        self.columns, self.k = list(columns), k
         self.bounds: dict[str, tuple[float, float]] = {}
 
     def fit(self, df: DataFrame) -> IQRCapper:
-        arr = F.array(F.lit(0.25), F.lit(0.75))
-        aggs = [(F.percentile(F.col(c), arr) if self.exact else F.percentile_approx(F.col(c), arr, 100_000)).alias(c)
-                for c in self.columns]
-        row = df.agg(*aggs).first()
+        row = exact_quantiles(df, self.columns, [0.25, 0.75])
         self.bounds = {}
         for c in self.columns:
-            if row[c] is None or row[c][0] is None:
+            if row[c][0] is None:
                 continue
             q1, q3 = float(row[c][0]), float(row[c][1])
             iqr = q3 - q1

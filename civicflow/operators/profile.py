@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow import functions as cf
-
-def _all():
-    return Window.partitionBy()  # over a grouped (small) table only
+from civicflow.session import cut_lineage
 
 
 def total_of(counts: DataFrame, col: str = "n") -> Column:
@@ -74,13 +72,12 @@ def rows_per_year(df: DataFrame, ts_col: str) -> DataFrame:
 def topk_with_rest(df: DataFrame, column: str, k: int = 5, rest_label: str = "rest") -> DataFrame:
     """The ``k`` most frequent values (count desc, value asc) plus one rest row."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.desc("n"), F.asc_nulls_last(column))))
-    label = F.when(F.col("rank") <= k, F.col(column).cast("string")).otherwise(F.lit(rest_label))
-    return (ranked.groupBy(label.alias("label"))
-                  .agg(F.sum("n").alias("n"), F.min("rank").alias("rank"))
-                  .withColumn("rank", F.when(F.col("label") == rest_label, F.lit(k + 1)).otherwise(F.col("rank")))
-                  .select("rank", "label", "n"))
+    top = (counts.orderBy(F.desc("n"), F.asc_nulls_last(column)).limit(k)
+                 .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc_nulls_last(column)))))  # k rows
+    top = top.select("rank", F.col(column).cast("string").alias("label"), "n")
+    rest = total_of(counts) - F.coalesce(top.agg(F.sum("n")).scalar(), F.lit(0))
+    one = df.sparkSession.range(1).select(F.lit(k + 1).alias("rank"), F.lit(rest_label).alias("label"), rest.alias("n"))
+    return top.union(one.where("n > 0"))
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -94,25 +91,76 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return wide.select(F.inline(pairs)).select("column_name", F.col("nulls").cast("long").alias("nulls"))
 
 
-def _quantiles(c: str, probs: list[float], exact: bool) -> Column:
-    arr = F.array(*[F.lit(p) for p in probs])
-    return F.percentile(F.col(c), arr) if exact else F.percentile_approx(F.col(c), arr, 100_000)
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation (D11), per column.
 
+    The non-null values are counted by value, the distinct values range
+    partitioned and counted per partition (one row each); only the partitions
+    in which a wanted rank falls are read again, so that no task holds all
+    distinct values of a column.
+    """
+    value = lambda c: F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
+    counts = df.select(F.inline(F.array(*[value(c) for c in columns]))).where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts.repartitionByRange("c", "v").withColumn("p", F.spark_partition_id()))
+    parts = counts.groupBy("c", "p").agg(F.sum("n").alias("n"), F.min("v").alias("v")).orderBy("c", "v").collect()  # a row per partition
+    out: dict[str, list[float | None]] = {}
+    for c in columns:
+        own = [r for r in parts if r["c"] == c]
+        total = sum(r["n"] for r in own)
+        ranks = sorted({r for q in probs for r in (int(q * (total - 1)), min(int(q * (total - 1)) + 1, total - 1))}) if total else []
+        at: dict[int, float] = {}
+        before = 0
+        for r in own:
+            wanted = [k for k in ranks if before <= k < before + r["n"]]
+            if wanted:
+                inside = counts.where((F.col("c") == c) & (F.col("p") == r["p"]))
+                upto = inside.withColumn("upto", F.sum("n").over(Window.orderBy("v")))  # one partition's values
+                for k in wanted:
+                    at[k] = upto.where(F.col("upto") > k - before).agg(F.min("v")).first()[0]
+            before += r["n"]
+        out[c] = []
+        for q in probs:
+            if not total:
+                out[c].append(None)
+                continue
+            exact = q * (total - 1)
+            low, high = at[int(exact)], at[min(int(exact) + 1, total - 1)]
+            out[c].append(low + (exact - int(exact)) * (high - low))
+    return out
 
-def measure_stats(df: DataFrame, column: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+
+def measure_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, min, q1, median, q3, max of a measure.
 
-    ``exact=True`` uses linear-interpolated exact percentiles (same as
-    DuckDB ``quantile_cont``); ``exact=False`` switches to the bounded-memory
-    ``percentile_approx`` sketch for very high-cardinality measures.
+    Quartiles are exact with linear interpolation (same as DuckDB
+    ``quantile_cont``).  Values are counted first; within a group the wanted
+    ranks are found by a running count over the sorted distinct values, which
+    spills and never holds a group in memory.  Without ``by`` see
+    :func:`exact_quantiles`.
     """
-    q = _quantiles(column, [0.25, 0.5, 0.75], exact)
-    g = df.groupBy(*by) if by else df.groupBy()
-    out = g.agg(F.count(column).alias("n"), F.avg(column).alias("mean"),
-                F.min(column).alias("min"), q.alias("_q"), F.max(column).alias("max"))
-    return out.select(*by, "n", "mean", "min",
-                      F.col("_q")[0].cast("double").alias("q1"), F.col("_q")[1].cast("double").alias("median"),
-                      F.col("_q")[2].cast("double").alias("q3"), "max")
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    if not by:
+        q = exact_quantiles(df, [column], list(probs.values()))[column]
+        out = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+        return out.select("n", "mean", "min", *[F.lit(v).cast("double").alias(k) for k, v in zip(probs, q, strict=True)], "max")
+    simple = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = simple.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("n").alias("_total"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & upto[c].eqNullSafe(sizes[f"_by{i}"])
+    rank = lambda p: F.lit(p) * (F.col("_total") - 1)
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    found = upto.join(sizes, same).groupBy(*[f"_by{i}" for i in range(len(by))], "_total").agg(
+        *[x for k, p in probs.items() for x in (at(F.floor(rank(p))).alias(f"_l_{k}"),
+                                                at(F.least(F.floor(rank(p)) + 1, F.col("_total") - 1)).alias(f"_h_{k}"))])
+    both = F.lit(True)
+    for i, c in enumerate(by):
+        both = both & simple[c].eqNullSafe(found[f"_by{i}"])
+    j = simple.join(found, both, "left")
+    quartile = lambda k, p: F.col(f"_l_{k}") + (rank(p) - F.floor(rank(p))) * (F.col(f"_h_{k}") - F.col(f"_l_{k}"))
+    return j.select(*[simple[c] for c in by], "n", "mean", "min", *[quartile(k, p).alias(k) for k, p in probs.items()], "max")
 
 
 # ---------------------------------------------------------------- D12: imputation
@@ -122,32 +170,25 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 
 class NullImputer:
     """Text columns -> mode (smallest value on ties, 'Unknown' if the
-    column is all null); numeric columns -> median.  Only columns with nulls
-    are touched.  ``fit`` is a single aggregate over the data."""
+    column is all null); numeric columns -> exact median.  Keys and labels are
+    named in ``exclude`` and never filled.  One pass counts nulls; only
+    columns that have some are looked at further."""
 
-    def __init__(self, columns: Sequence[str] | None = None, unknown: str = "Unknown"):
-        self.columns = columns
-        self.unknown = unknown
+    def __init__(self, columns: Sequence[str] | None = None, unknown: str = "Unknown", exclude: Sequence[str] = ()):
+        self.columns, self.unknown, self.exclude = columns, unknown, set(exclude)
         self.fill: dict[str, object] = {}
 
     def fit(self, df: DataFrame) -> NullImputer:
-        cols = [f for f in df.schema.fields if self.columns is None or f.name in self.columns]
-        aggs = []
-        for i, f in enumerate(cols):
-            aggs.append(F.count_if(F.col(f.name).isNull()).alias(f"z{i}"))
-            if isinstance(f.dataType, _NUMERIC):
-                aggs.append(F.percentile(F.col(f.name).cast("double"), 0.5).alias(f"v{i}"))
-            elif isinstance(f.dataType, T.StringType):
-                aggs.append(F.mode(F.col(f.name), True).alias(f"v{i}"))
-        row = df.agg(*aggs).first()  # one row: per-column fill value
-        self.fill = {}
-        for i, f in enumerate(cols):
-            if not row[f"z{i}"]:
-                continue
-            if isinstance(f.dataType, _NUMERIC):
-                self.fill[f.name] = row[f"v{i}"]
-            elif isinstance(f.dataType, T.StringType):
-                self.fill[f.name] = row[f"v{i}"] if row[f"v{i}"] is not None else self.unknown
+        cols = [f for f in df.schema.fields if (self.columns is None or f.name in self.columns) and f.name not in self.exclude
+                and isinstance(f.dataType, (*_NUMERIC, T.StringType))]
+        nulls = df.agg(*[F.count_if(F.col(f.name).isNull()).alias(f"z{i}") for i, f in enumerate(cols)]).first() if cols else ()
+        cols = [f for f, n in zip(cols, nulls, strict=True) if n]
+        numbers = [f.name for f in cols if isinstance(f.dataType, _NUMERIC)]
+        self.fill = {c: q[0] for c, q in exact_quantiles(df, numbers, [0.5]).items()} if numbers else {}
+        for f in cols:
+            if isinstance(f.dataType, T.StringType):
+                top = df.where(F.col(f.name).isNotNull()).groupBy(f.name).count().orderBy(F.desc("count"), f.name).first()
+                self.fill[f.name] = self.unknown if top is None else top[0]
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -209,8 +250,8 @@ def share_drift(a: DataFrame, b: DataFrame, column: str, limit: float = 0.05) ->
     """Largest absolute difference of class shares between two tables."""
     def shares(d, name):
         g = d.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        return g.select(column, (F.col("n") / F.sum("n").over(_all())).alias(name))
-    j = shares(a, "share_a").join(shares(b, "share_b"), column, "full_outer")
+        return g.select(F.col(column).alias(f"{name}_value"), (F.col("n") / total_of(g)).alias(name))
+    j = shares(a, "share_a").join(shares(b, "share_b"), F.col("share_a_value").eqNullSafe(F.col("share_b_value")), "full_outer")
     diff = F.abs(F.coalesce("share_a", F.lit(0.0)) - F.coalesce("share_b", F.lit(0.0)))
     return j.agg(F.max(diff).alias("max_abs_diff")).withColumn("within_limit", F.col("max_abs_diff") < limit)
 

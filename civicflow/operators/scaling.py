@@ -89,8 +89,7 @@ class YeoJohnsonGrid:
 def class_balance_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """H3 (cheap form): weight = N / (k * n_c) so every class carries the
     same total weight; used as ``weightCol`` instead of synthesising rows."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    k = F.count(F.lit(1)).over(Window.partitionBy())
-    total = F.sum("_nc").over(Window.partitionBy())
-    w = counts.select(label, (total / (k * F.col("_nc"))).alias(out))
-    return df.join(w, label, "left")
+    counts = df.groupBy(F.col(label).alias("_c")).agg(F.count(F.lit(1)).alias("_nc"))
+    total, k = counts.agg(F.sum("_nc")).scalar(), counts.agg(F.count(F.lit(1))).scalar()
+    w = counts.select("_c", (total / (k * F.col("_nc"))).alias(out))
+    return df.join(w, df[label].eqNullSafe(w["_c"]), "left").drop("_c")

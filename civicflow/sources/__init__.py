@@ -1,9 +1,9 @@
 """Readers and sinks.
 
-All readers take an explicit schema (no inference pass over 100 TB) and
+No reader infers types (no extra pass over 100 TB); all
 return lazy DataFrames; column pruning and predicate pushdown happen at scan.
 Scratch output goes under the session's checkpoint folder (a shared folder
-on a cluster), never a machine-local temp dir.
+on a cluster).
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from civicflow.session import ensure_checkpoint_dir
 # Fixed value: the ten raw ticket columns the reference keeps (all text).
 RAW_TICKET_COLUMNS = ["Created Date", "Closed Date", "Agency", "Complaint Type", "Descriptor",
                       "Location Type", "Incident Zip", "Borough", "Vehicle Type", "Location"]
-RAW_TICKET_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_TICKET_COLUMNS])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -34,13 +33,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 # ---------------------------------------------------------------- A1-A4
 
-def read_tickets_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_TICKET_SCHEMA,
-                     columns: Sequence[str] | None = None) -> DataFrame:
-    """A1: projected CSV scan with header and an explicit schema.  Files are
-    split into partitions by the reader (``spark.sql.files.maxPartitionBytes``);
-    there is no user-visible chunk loop."""
-    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return df.select(*[F.col(f"`{c}`") for c in (columns or schema.fieldNames())])
+def _csv_text(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """All columns as text under the names of the header.  A quote inside a
+    quoted field is doubled.  With ``multi_line`` a quoted field may hold line
+    breaks; a file is then one task, so large exports should be many files.
+    """
+    return (spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+                 .option("mode", "PERMISSIVE").csv(path))
+
+
+def read_tickets_csv(spark: SparkSession, path: str, columns: Sequence[str] = RAW_TICKET_COLUMNS,
+                     multi_line: bool = True) -> DataFrame:
+    """A1: the named columns of a CSV export, found by header name, as text.
+    Files are split into partitions by the reader; there is no user-visible
+    chunk loop."""
+    return _csv_text(spark, path, multi_line).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
@@ -60,13 +67,26 @@ def prepare_raw_tickets(df: DataFrame, years: Sequence[int] = (2022, 2023, 2024)
 
 
 def read_dimension_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A4: small dimension file with header and explicit schema."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """A4: dimension file; columns are found by header name and cast (unreadable -> null)."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return _csv_text(spark, path, True).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Load a prepared table; a missing path raises (no silent empty table)."""
-    return spark.read.format(fmt).option("header", True).load(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    """Load a prepared table; a missing path raises (no silent empty table)."""
+    return _csv_text(spark, path, True) if fmt == "csv" else spark.read.format(fmt).load(path)
+
+
+def load_train_test(spark: SparkSession, train: str, test: str, target: str, sensitive: Sequence[str],
+                    rename: Mapping[str, str] = {}, fmt: str = "parquet") -> DataFrame:  # noqa: B006 - never changed
+    """Both tables as one, with ``split``, ``y`` (the target), the sensitive
+    columns under their names and ``features``, a struct of all others."""
+    def side(path: str, name: str) -> DataFrame:
+        df = read_table(spark, path, fmt).withColumnsRenamed(dict(rename))
+        rest = [c for c in df.columns if c != target and c not in sensitive]
+        return df.select(F.lit(name).alias("split"), F.col(f"`{target}`").alias("y"), *[F.col(f"`{c}`") for c in sensitive],
+                         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("features"))
+    return side(train, "train").unionByName(side(test, "test"))
 
 
 # ---------------------------------------------------------------- A5: block report
@@ -123,7 +143,13 @@ def write_block_report(df: DataFrame, key: str, columns: Mapping[str, str], path
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV sink with header (parquet is preferred for intermediate data)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A stored fairness table; the class as text, every other column as a number."""
+    raw = _csv_text(spark, path, False)
+    return raw.select(F.col(raw.columns[0]), *[cf.to_number_or_null(c).alias(c) for c in raw.columns[1:]])
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -152,21 +178,39 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("created_date", T.StringType(), True),
     T.StructField("Borough", T.StringType(), True),
 ])
-REQUEST_DEFAULTS = {"Agency": "DSNY", "Location_Type": "Street/Sidewalk", "Vehicle_Type": "N/A"}
+REQUEST_DEFAULTS = {"Agency": "DSNY", "Location_Type": "Street/Sidewalk", "Vehicle_Type": "N/A", "Descriptor": "Straßenzustand"}
 
 
-def apply_request_defaults(df: DataFrame, as_of=None) -> DataFrame:
-    """Fill absent request fields with their defaults; a missing creation
-    time becomes ``as_of`` (default: now); the text timestamp is parsed (B2)."""
+def apply_request_defaults(df: DataFrame, as_of=None, groups: Sequence[str] | None = None) -> DataFrame:
+    """Fill absent request fields with their defaults; an absent creation
+    time becomes ``as_of`` (default: now); the text timestamp is parsed (B2).
+
+    ``request_error`` names the field that can't be accepted: a creation time
+    that is no timestamp, no zip code, or (with ``groups``) a descriptor group
+    that isn't one of them (B22).  :func:`accepted` and :func:`rejected` part
+    the requests by it.
+    """
     now = F.localtimestamp() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
     exprs = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in REQUEST_DEFAULTS.items()}
-    exprs["created_date"] = F.coalesce(cf.parse_timestamp("created_date"), now)
-    return df.withColumns(exprs)
+    parsed = cf.parse_timestamp("created_date")
+    exprs["created_date"] = F.when(F.col("created_date").isNull(), now).otherwise(parsed)
+    error = F.when(F.col("created_date").isNotNull() & parsed.isNull(), "created_date").when(F.col("Incident_Zip").isNull(), "Incident_Zip")
+    if groups is not None:
+        error = error.when(~exprs["Descriptor"].isin(list(groups)), "Descriptor")
+    return df.withColumn("request_error", error).withColumns(exprs)
+
+
+def accepted(requests: DataFrame) -> DataFrame:
+    return requests.where("request_error is null").drop("request_error")
+
+
+def rejected(requests: DataFrame) -> DataFrame:
+    return requests.where("request_error is not null")
 
 
-def read_requests_json(spark: SparkSession, path: str, as_of=None) -> DataFrame:
+def read_requests_json(spark: SparkSession, path: str, as_of=None, groups: Sequence[str] | None = None) -> DataFrame:
     """JSON ticket requests with an explicit schema plus defaults."""
-    return apply_request_defaults(spark.read.schema(REQUEST_SCHEMA).json(path), as_of)
+    return apply_request_defaults(spark.read.schema(REQUEST_SCHEMA).json(path), as_of, groups)
 
 
 def save_metadata(spark: SparkSession, path: str, meta: Mapping) -> None:
