@@ -7,12 +7,15 @@ numbers are sums over that cube.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow import functions as cf
+from civicflow.operators.ranks import totals_before
+from civicflow.session import cut_lineage
 
 DPD = "demographic_parity_difference"
 EOD = "equalized_odds_difference"
@@ -109,67 +112,66 @@ def reweigh(df: DataFrame, group_cols: Sequence[str], y: str, method: str = "inv
     return df.join(w, cond, "left").select(df["*"], w[out])
 
 
-def threshold_moving(df: DataFrame, group: str, y: str, score: str, bin_width: float, max_bin: int,
-                     grid_steps: int = 1000):
+def threshold_moving(df: DataFrame, group: str, y: str, score: str, grid_steps: int = 1000):
     """K9: group-wise thresholds under demographic parity.
 
-    Scores are binned (``bin = min(floor(score / bin_width), max_bin)``); per
-    group a cumulative curve from the top bin gives, for every threshold, the
-    selection count and the number of correct predictions.  Each grid rate
-    r = i / grid_steps is assigned, per group, the highest threshold whose
-    selection rate is >= r: the curve point covering r is found with
-    integer bounds and ``sequence`` expansion (no theta or cross join).
-    The rate with the best pooled accuracy (smallest rate on ties) wins.
+    Every distinct score of a group is a possible threshold, and so is
+    selecting nobody (null).  Running totals from the top score give, for
+    every threshold, the selection count and the number of correct
+    predictions.  Each grid rate r = i / grid_steps is assigned, per group, the
+    highest threshold whose selection rate is >= r: the rates that a threshold
+    covers follow from its own and the previous total (no theta or cross
+    join).  The rate with the best pooled accuracy (smallest rate on ties) wins.
 
-    Returns ``(thresholds, curve)``: thresholds = (group, threshold_bin,
+    Returns ``(thresholds, curve)``: thresholds = (group, threshold,
     selection_rate, best_rate, pooled_accuracy); predict 1 when
-    ``bin >= threshold_bin``.
+    ``score >= threshold``.
     """
     G = int(grid_steps)
-    binned = df.select(group, F.col(y).cast("int").alias("_y"),
-                       F.least(F.floor(F.col(score) / F.lit(bin_width)), F.lit(max_bin)).cast("int").alias("_bin"))
-    hist = binned.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"))
-    wg = Window.partitionBy(group)
-    wdesc = Window.partitionBy(group).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = (hist.withColumn("_gn", F.sum("_n").over(wg)).withColumn("_gp", F.sum("_pos").over(wg))
-                 .withColumn("_sel", F.sum("_n").over(wdesc)).withColumn("_tp", F.sum("_pos").over(wdesc)))
-    # "select nobody" point
-    none = (hist.groupBy(group).agg(F.sum("_n").alias("_gn"), F.sum("_pos").alias("_gp"))
-                .select(group, F.lit(max_bin + 1).alias("_bin"), "_gn", "_gp",
-                        F.lit(0).cast("long").alias("_sel"), F.lit(0).cast("long").alias("_tp")))
-    curve = curve.select(group, "_bin", "_gn", "_gp", "_sel", "_tp").unionByName(none)
+    s = F.col(score).cast("double")
+    hist = df.select(group, F.col(y).cast("int").alias("_y"), s.alias("_score")).groupBy(group, "_score").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"))
+    hist = totals_before(hist, group, -F.col("_score"), "_n", "_prev")
+    hist = totals_before(hist, group, -F.col("_score"), "_pos", "_prev_tp")
+    sums = hist.groupBy(F.col(group).alias("_g")).agg(F.sum("_n").alias("_gn"), F.sum("_pos").alias("_gp"))
+    curve = hist.join(sums, F.col(group).eqNullSafe(F.col("_g"))).select(
+        group, "_score", "_gn", "_gp", (F.col("_prev") + F.col("_n")).alias("_sel"), (F.col("_prev_tp") + F.col("_pos")).alias("_tp"),
+        (F.floor(F.col("_prev") * G / F.col("_gn")) + 1).cast("int").alias("_lo"))
+    zero = F.lit(0).cast("long")
+    none = sums.select(F.col("_g").alias(group), F.lit(None).cast("double").alias("_score"), "_gn", "_gp", zero.alias("_sel"), zero.alias("_tp"),
+                       F.lit(0).alias("_lo"))
+    curve = curve.unionByName(none)
     # correct = selected positives + unselected negatives
     curve = curve.withColumn("_correct", F.col("_tp") + (F.col("_gn") - F.col("_gp")) - (F.col("_sel") - F.col("_tp")))
-    prev = F.lag("_sel").over(Window.partitionBy(group).orderBy(F.desc("_bin")))
     hi = F.floor(F.col("_sel") * G / F.col("_gn")).cast("int")
-    lo = F.when(prev.isNull(), F.lit(0)).otherwise(F.floor(prev * G / F.col("_gn")).cast("int") + 1)
-    cover = curve.withColumn("_lo", lo).withColumn("_hi", hi).filter(F.col("_lo") <= F.col("_hi"))
-    per_rate = cover.select(group, "_bin", "_sel", "_gn", "_correct",
-                            F.explode(F.sequence("_lo", "_hi")).alias("_i"))
-    acc = (per_rate.groupBy("_i").agg(F.sum("_correct").alias("_c"), F.sum("_gn").alias("_t"),
-                                       F.count(F.lit(1)).alias("_groups"))
+    per_rate = curve.withColumn("_hi", hi).filter(F.col("_lo") <= F.col("_hi")).select(
+        group, "_score", "_sel", "_gn", "_correct", F.explode(F.sequence("_lo", "_hi")).alias("_i"))
+    per_rate = cut_lineage(per_rate)  # grid_steps + 1 rows per group
+    acc = (per_rate.groupBy("_i").agg(F.sum("_correct").alias("_c"), F.sum("_gn").alias("_t"))
                    .withColumn("pooled_accuracy", F.col("_c") / F.col("_t")))
-    n_groups = F.max("_groups").over(Window.partitionBy())
-    best = (acc.withColumn("_all", n_groups).filter(F.col("_groups") == F.col("_all"))
-               .orderBy(F.desc("pooled_accuracy"), F.asc("_i")).limit(1)
-               .select("_i", (F.col("_i") / F.lit(float(G))).alias("best_rate"), "pooled_accuracy"))
-    thresholds = per_rate.join(best, "_i").select(
-        group, F.col("_bin").alias("threshold_bin"), (F.col("_sel") / F.col("_gn")).alias("selection_rate"),
+    best = acc.orderBy(F.desc("pooled_accuracy"), F.asc("_i")).limit(1).select(
+        "_i", (F.col("_i") / F.lit(float(G))).alias("best_rate"), "pooled_accuracy")
+    thresholds = per_rate.join(F.broadcast(best), "_i").select(
+        group, F.col("_score").alias("threshold"), (F.col("_sel") / F.col("_gn")).alias("selection_rate"),
         "best_rate", "pooled_accuracy")
     return thresholds, acc.select((F.col("_i") / F.lit(float(G))).alias("rate"), "pooled_accuracy")
 
 
-def apply_thresholds(df: DataFrame, thresholds: DataFrame, group: str, score: str, bin_width: float,
-                     max_bin: int, out: str = "p_adjusted") -> DataFrame:
-    """K9 step 5: join (group, threshold) back and predict ``bin >= threshold``."""
-    t = thresholds.select(group, "threshold_bin")
-    b = F.least(F.floor(F.col(score) / F.lit(bin_width)), F.lit(max_bin)).cast("int")
-    return df.join(t, group, "left").withColumn(out, (b >= F.col("threshold_bin")).cast("int")).drop("threshold_bin")
+def apply_thresholds(df: DataFrame, thresholds: DataFrame, group: str, score: str, out: str = "p_adjusted") -> DataFrame:
+    """K9 step 5: join (group, threshold) back and predict ``score >= threshold`` (no threshold: nobody)."""
+    t = thresholds.select(F.col(group).alias("_g"), F.col("threshold").alias("_threshold"))
+    hit = F.coalesce(F.col(score).cast("double") >= F.col("_threshold"), F.lit(False)).cast("int")
+    return df.join(t, df[group].eqNullSafe(t["_g"]), "left").withColumn(out, hit).drop("_g", "_threshold")
 
 
-def metric_flags(metrics: DataFrame, cutoff: float = 0.2) -> DataFrame:
-    """Flag each class whose DPD or EOD exceeds ``cutoff``."""
-    return metrics.withColumn("dpd_flag", F.col(DPD) > cutoff).withColumn("eod_flag", F.col(EOD) > cutoff)
+def metric_flags(metrics: DataFrame, cutoff: float = 0.2, names: DataFrame | None = None) -> DataFrame:
+    """Flag each class whose DPD or EOD exceeds ``cutoff``; with ``names``
+    (cls, class_name, class_group) also the readable label ``group (name)``."""
+    out = metrics.withColumn("dpd_flag", F.col(DPD) > cutoff).withColumn("eod_flag", F.col(EOD) > cutoff)
+    if names is None:
+        return out
+    label = F.concat(F.coalesce("class_group", F.lit("Other")), F.lit(" ("), F.coalesce("class_name", F.lit("Unknown")), F.lit(")"))
+    return out.join(names, "cls", "left").withColumn("class_label", label).drop("class_group", "class_name")
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -178,3 +180,53 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     a = after.select("cls", *[F.col(c).alias(f"{c}_after") for c in (DPD, EOD, DIR)])
     j = b.join(a, "cls", "full_outer")
     return j.withColumn("dpd_change", F.col(f"{DPD}_after") - F.col(f"{DPD}_before"))
+
+
+def accuracy_change(df: DataFrame, y: str, before: str, after: str) -> DataFrame:
+    """One row: accuracy before and after the thresholds, and the change."""
+    share = lambda p: F.avg(F.col(y).eqNullSafe(F.col(p)).cast("double"))
+    return df.agg(share(before).alias("accuracy_before"), share(after).alias("accuracy_after")).withColumn(
+        "accuracy_change", F.col("accuracy_after") - F.col("accuracy_before"))
+
+
+@dataclass
+class Audit:
+    """What :func:`audit_flow` found; ``predictions`` are null without a violation."""
+
+    before: DataFrame
+    verdict: DataFrame
+    violated: bool
+    metrics: DataFrame
+    predictions: DataFrame | None
+
+
+def audit_flow(train: DataFrame, test: DataFrame, key: str, y: str, group_cols: Sequence[str], group: str,
+               fit: Callable[[DataFrame, str | None], Callable[[DataFrame], DataFrame]], path: str, target=1,
+               classes=None, grid_steps: int = 1000) -> Audit:
+    """Metrics -> verdict -> reweigh and retrain -> group thresholds for
+    the target class -> store.
+
+    ``fit(train, weight_col)`` returns a function that adds ``prediction`` and
+    ``score`` (of the target class) to rows.  ``metrics`` has the stages
+    ``plain``, ``reweighed`` and ``adjusted`` (the target class only) with the
+    accuracy of each; adjusted predictions go to ``path``, keyed by ``key``.
+    """
+    def measured(df: DataFrame, label: str, p: str, stage: str, cls) -> DataFrame:
+        m = per_class_metrics(df, label, p, group_cols, cls)
+        return m.withColumn("stage", F.lit(stage)).withColumn("accuracy", df.agg(
+            F.avg(F.col(label).eqNullSafe(F.col(p)).cast("double"))).scalar())
+
+    plain = cut_lineage(fit(train, None)(test))
+    before = measured(plain, y, "prediction", "plain", classes)
+    found = verdict(before)
+    violated = bool(found.first()["violation"])
+    if not violated:
+        return Audit(before, found, False, before, None)
+    weighted = cut_lineage(fit(reweigh(train, group_cols, y), "weight")(test)).withColumn("_is_target", (F.col(y) == target).cast("int"))
+    thresholds, _ = threshold_moving(weighted, group, "_is_target", "score", grid_steps)
+    adjusted = apply_thresholds(weighted, thresholds, group, "score")
+    adjusted.select(key, *dict.fromkeys([group, *group_cols]), y, "_is_target", "p_adjusted").write.mode("overwrite").parquet(path)
+    stored = train.sparkSession.read.parquet(path)
+    metrics = before.unionByName(measured(weighted, y, "prediction", "reweighed", classes)).unionByName(
+        measured(stored, "_is_target", "p_adjusted", "adjusted", [1]))
+    return Audit(before, found, True, metrics, stored.select(key, "p_adjusted"))

@@ -6,39 +6,47 @@ bounded by classes^2.  No metric looks at rows twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicflow.operators.ranks import totals_before
+
 
 def _safe_div(a, b):
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
 
 
+def pair_counts(df: DataFrame, y: str, p: str) -> DataFrame:
+    """(y, p, n) of the pairs that occur; a null label or prediction is a label of its own."""
+    return df.groupBy(y, p).agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion_counts(df: DataFrame, y: str, p: str) -> DataFrame:
     """(y, p, n) for every pair of labels in the sorted union of true
     and predicted labels; absent pairs have n = 0.
 
-    The label grid is built by exploding the (small) label array twice, so
-    no cross join is planned.
+    The result is the square of the labels by definition; the other metrics
+    use only :func:`pair_counts`.
     """
-    counts = df.groupBy(y, p).agg(F.count(F.lit(1)).alias("n"))
-    labels = counts.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.col(y), F.col(p)))))).alias("_l"))
-    grid = labels.select(F.explode("_l").alias(y), "_l").select(y, F.explode("_l").alias(p))
-    return grid.join(counts, [y, p], "left").select(y, p, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    counts = pair_counts(df, y, p)
+    labels = counts.agg(F.array_distinct(F.flatten(F.collect_list(F.array(F.col(y), F.col(p))))).alias("_l"))
+    grid = labels.select(F.explode("_l").alias("_y"), "_l").select("_y", F.explode("_l").alias("_p"))
+    return grid.join(counts, F.col("_y").eqNullSafe(counts[y]) & F.col("_p").eqNullSafe(counts[p]), "left").select(
+        F.col("_y").alias(y), F.col("_p").alias(p), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def per_class_table(conf: DataFrame, y: str, p: str) -> DataFrame:
+def per_class_table(counts: DataFrame, y: str, p: str) -> DataFrame:
     """label, tp, support (true count), predicted (predicted count)."""
-    tp = conf.filter(F.col(y) == F.col(p)).select(F.col(y).alias("label"), F.col("n").alias("tp"))
-    sup = conf.groupBy(F.col(y).alias("label")).agg(F.sum("n").alias("support"))
-    prd = conf.groupBy(F.col(p).alias("label")).agg(F.sum("n").alias("predicted"))
-    return tp.join(sup, "label").join(prd, "label")
+    n, none = F.col("n"), F.lit(0).cast("long")
+    true = counts.select(F.col(y).alias("label"), F.when(F.col(y).eqNullSafe(F.col(p)), n).otherwise(none).alias("tp"), n.alias("support"), none.alias("predicted"))
+    said = counts.select(F.col(p).alias("label"), none.alias("tp"), none.alias("support"), n.alias("predicted"))
+    return true.union(said).groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
 
 
 def class_report(df: DataFrame, y: str, p: str) -> DataFrame:
     """Per-class precision / recall / F1 / support, then 'macro avg' and
     'weighted avg' rows (undefined ratios are 0)."""
-    t = per_class_table(confusion_counts(df, y, p), y, p)
+    t = per_class_table(pair_counts(df, y, p), y, p)
     prec = _safe_div(F.col("tp"), F.col("predicted"))
     rec = _safe_div(F.col("tp"), F.col("support"))
     rows = t.select(F.col("label").cast("string").alias("label"), prec.alias("precision"), rec.alias("recall"),
@@ -60,7 +68,7 @@ def class_report(df: DataFrame, y: str, p: str) -> DataFrame:
 def summary_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     """One row with n, accuracy, Cohen's kappa, multi-class MCC and
     weighted precision / recall / F1, macro F1."""
-    t = per_class_table(confusion_counts(df, y, p), y, p)
+    t = per_class_table(pair_counts(df, y, p), y, p)
     prec = _safe_div(F.col("tp"), F.col("predicted"))
     rec = _safe_div(F.col("tp"), F.col("support"))
     f1 = _safe_div(2 * prec * rec, prec + rec)
@@ -82,16 +90,20 @@ def summary_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
         (F.col("wf") / s).alias("f1_weighted"), "f1_macro")
 
 
+def accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
+    """Rows and share of equal label and prediction, for one model."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).eqNullSafe(F.col(p)).cast("double")).alias("accuracy"))
+
+
 def auc_from_long(long_df: DataFrame, cls: str, pos: str, score: str) -> DataFrame:
     """J5 core: per class AUC by the rank-sum formula with average ranks for
     tied scores.  Input rows: (class, is_positive 0/1, score).
 
-    Works on the (class, score) count table; bin the score first when its
-    domain is continuous and huge.
+    Works on the (class, score) count table; ranks are distributed running
+    totals, exact for any number of distinct scores.
     """
     g = long_df.groupBy(cls, score).agg(F.count(F.lit(1)).alias("n"), F.sum(pos).alias("npos"))
-    w = Window.partitionBy(cls).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    g = totals_before(g, cls, F.col(score), "n")
     g = g.withColumn("_rank", F.col("_before") + (F.col("n") + 1) / 2.0)
     per = g.groupBy(cls).agg(F.sum(F.col("npos") * F.col("_rank")).alias("R"),
                              F.sum("npos").cast("double").alias("P"), F.sum("n").cast("double").alias("T"))
@@ -100,29 +112,20 @@ def auc_from_long(long_df: DataFrame, cls: str, pos: str, score: str) -> DataFra
     return per.select(cls, auc.alias("auc"), F.col("P").cast("long").alias("support"))
 
 
-def _binned(score, bins: int | None):
-    s = F.col(score).cast("double") if isinstance(score, str) else score.cast("double")
-    return s if not bins else F.floor(s * bins) / float(bins)
-
-
-def auc_binary(df: DataFrame, y: str, score: str, positive=1, bins: int | None = None) -> DataFrame:
-    """J5 for a binary label and one score column.  ``bins`` (for scores in
-    [0, 1]) bounds the number of distinct scores per class, and with it the
-    size of the per-class rank window, at the price of treating scores in a
-    bin as tied."""
-    long_df = df.select(F.lit(positive).alias("cls"), (F.col(y) == positive).cast("int").alias("pos"),
-                        _binned(score, bins).alias("score"))
-    return auc_from_long(long_df, "cls", "pos", "score")
+def auc_binary(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
+    """J5 for a binary label and one score column."""
+    return auc_from_long(df.select(F.lit(positive).alias("cls"), (F.col(y) == positive).cast("int").alias("pos"),
+                                   F.col(score).cast("double").alias("score")), "cls", "pos", "score")
 
 
-def auc_ovr(df: DataFrame, y: str, scores: str, classes: list, bins: int | None = None) -> DataFrame:
+def auc_ovr(df: DataFrame, y: str, scores: str, classes: list) -> DataFrame:
     """J5 one-vs-rest: ``scores`` is an array column, index i scoring
     ``classes[i]``.  Rows per class plus a support-weighted 'weighted' row."""
     cls_arr = F.array(*[F.lit(c) for c in classes])
     long_df = (df.select(F.col(y), F.posexplode(scores).alias("_i", "_s"))
                  .select(F.element_at(cls_arr, F.col("_i") + 1).alias("cls"),
                          (F.col(y) == F.element_at(cls_arr, F.col("_i") + 1)).cast("int").alias("pos"),
-                         _binned("_s", bins).alias("score")))
+                         F.col("_s").cast("double").alias("score")))
     per = auc_from_long(long_df, "cls", "pos", "score")
     weighted = per.agg(F.lit(None).cast(per.schema["cls"].dataType).alias("cls"),
                        (F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc"),

@@ -7,17 +7,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from civicflow import sources
 from civicflow.operators import fairness as fair
 from civicflow.plans.catalog import register
 from civicflow.plans.catalog.profile import _YP_SQL, labelled
+from civicflow.session import cut_lineage
 
-# K9 parameters: 100-character bins capped at bin 50, common-rate grid 0..1 in steps of 1/20.
-BIN_WIDTH, MAX_BIN, GRID = 100.0, 50, 20
+# K9 parameter: common-rate grid 0..1 in steps of 1/1000.
+GRID = 1000
 
 
-def _rates_sql(group: str) -> str:
+def _rates_sql(group: str, rows: str = _YP_SQL) -> str:
     return f"""
-    WITH t AS ({_YP_SQL}), cls AS (SELECT DISTINCT y AS c FROM t)
+    WITH t AS ({rows}), cls AS (SELECT DISTINCT y AS c FROM t)
     SELECT cls.c AS cls, {group}, CAST(count(*) AS BIGINT) AS rows,
            count_if(p = cls.c) / count(*) AS selection_rate,
            CASE WHEN count_if(y = cls.c) > 0 THEN count_if(y = cls.c AND p = cls.c) / count_if(y = cls.c)
@@ -31,9 +33,9 @@ def _r3(e: str) -> str:
     return f"round_even(({e}) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE"
 
 
-def _metrics_sql(groups: str, first: str) -> str:
+def _metrics_sql(groups: str, first: str, rows: str = _YP_SQL) -> str:
     return f"""
-    WITH a AS ({_rates_sql(groups)}), b AS ({_rates_sql(first)}),
+    WITH a AS ({_rates_sql(groups, rows)}), b AS ({_rates_sql(first, rows)}),
          dp AS (SELECT cls, max(selection_rate) - min(selection_rate) AS dpd,
                        greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)) AS eod FROM a GROUP BY cls),
          di AS (SELECT cls, CASE WHEN max(selection_rate) > 0 THEN min(selection_rate) / max(selection_rate) END AS dir
@@ -88,43 +90,67 @@ def reweigh_independence(spark, sf):
     return fair.reweigh(labelled(spark, sf), ["lang"], "y", method="independence").select("doc_id", "lang", "y", "weight")
 
 
-# Independent brute-force formulation for K9: every (grid rate, group, threshold)
-# combination is enumerated and the highest admissible threshold is picked.
-_TM_SQL = f"""
-WITH t AS ({_YP_SQL}),
-     b AS (SELECT lang, y, CAST(least(floor(n_chars / {BIN_WIDTH}::DOUBLE), {MAX_BIN}) AS INTEGER) AS bin FROM t),
-     th AS (SELECT DISTINCT lang, bin AS thr FROM b UNION SELECT DISTINCT lang, {MAX_BIN + 1} FROM b),
-     cur AS (SELECT th.lang, th.thr, count(*) AS n_g, count_if(b.bin >= th.thr) AS sel,
-                    count_if(b.bin >= th.thr AND b.y = 1) + count_if(b.bin < th.thr AND b.y <> 1) AS correct
-             FROM th JOIN b ON th.lang = b.lang GROUP BY th.lang, th.thr),
+def _thresholds_sql(rows: str) -> str:
+    """Independent brute-force formulation for K9 over rows (g, y, score): every
+    (grid rate, group, threshold) combination is enumerated and the highest
+    admissible threshold is picked."""
+    return f"""
+WITH b AS ({rows}),
+     th AS (SELECT DISTINCT g, score AS thr FROM b UNION SELECT DISTINCT g, 'infinity'::DOUBLE FROM b),
+     cur AS (SELECT th.g, th.thr, count(*) AS n_g, count_if(b.score >= th.thr) AS sel,
+                    count_if(b.score >= th.thr AND b.y = 1) + count_if(b.score < th.thr AND b.y <> 1) AS correct
+             FROM th JOIN b ON th.g = b.g GROUP BY th.g, th.thr),
      grid AS (SELECT range AS i FROM range(0, {GRID + 1})),
-     pick AS (SELECT g.i, c.lang, max(c.thr) AS thr FROM grid g JOIN cur c ON c.sel * {GRID} >= g.i * c.n_g
-              GROUP BY g.i, c.lang),
+     pick AS (SELECT g.i, c.g, max(c.thr) AS thr FROM grid g JOIN cur c ON c.sel * {GRID} >= g.i * c.n_g
+              GROUP BY g.i, c.g),
      acc AS (SELECT p.i, sum(c.correct) / sum(c.n_g) AS pooled_accuracy
-             FROM pick p JOIN cur c ON p.lang = c.lang AND p.thr = c.thr GROUP BY p.i),
+             FROM pick p JOIN cur c ON p.g = c.g AND p.thr = c.thr GROUP BY p.i),
      best AS (SELECT i, pooled_accuracy FROM acc ORDER BY pooled_accuracy DESC, i LIMIT 1)
-SELECT p.lang, CAST(p.thr AS INTEGER) AS threshold_bin, c.sel / c.n_g AS selection_rate,
-       best.i / {float(GRID)}::DOUBLE AS best_rate, best.pooled_accuracy
-FROM best JOIN pick p ON p.i = best.i JOIN cur c ON c.lang = p.lang AND c.thr = p.thr"""
+SELECT p.g, p.thr, c.sel / c.n_g AS selection_rate, best.i / {float(GRID)}::DOUBLE AS best_rate, best.pooled_accuracy
+FROM best JOIN pick p ON p.i = best.i JOIN cur c ON c.g = p.g AND c.thr = p.thr"""
+
 
+_YP_SCORE_SQL = f"SELECT lang AS g, y, CAST(n_chars AS DOUBLE) AS score FROM ({_YP_SQL})"
+_ADJUSTED_SQL = f"""
+SELECT t.*, CAST(t.n_chars >= m.thr AS INTEGER) AS p_adj FROM ({_YP_SQL}) t JOIN ({_thresholds_sql(_YP_SCORE_SQL)}) m ON t.lang = m.g"""
 
-@register("threshold_moving", _TM_SQL)
+
+@register("threshold_moving", f"""
+SELECT g AS lang, nullif(thr, 'infinity'::DOUBLE) AS threshold, selection_rate, best_rate, pooled_accuracy
+FROM ({_thresholds_sql(_YP_SCORE_SQL)})""")
 def threshold_moving(spark, sf):
-    thresholds, _ = fair.threshold_moving(labelled(spark, sf), "lang", "y", "n_chars", BIN_WIDTH, MAX_BIN, GRID)
+    thresholds, _ = fair.threshold_moving(labelled(spark, sf), "lang", "y", "n_chars", GRID)
     return thresholds
 
 
-@register("fair_compare", None)
-def fair_compare(spark, sf):
-    """Metrics before vs after threshold moving (rows-only check)."""
+def _adjusted(spark, sf):
     df = labelled(spark, sf)
-    thresholds, _ = fair.threshold_moving(df, "lang", "y", "n_chars", BIN_WIDTH, MAX_BIN, GRID)
-    after = fair.apply_thresholds(df, thresholds, "lang", "n_chars", BIN_WIDTH, MAX_BIN, out="p_adj")
-    before_m = fair.per_class_metrics(df, "y", "p", ["lang"])
-    after_m = fair.per_class_metrics(after, "y", "p_adj", ["lang"], classes=[0, 1])
+    thresholds, _ = fair.threshold_moving(df, "lang", "y", "n_chars", GRID)
+    return fair.apply_thresholds(df, thresholds, "lang", "n_chars", out="p_adj")
+
+
+_ADJUSTED_YP = f"SELECT * REPLACE (p_adj AS p) FROM ({_ADJUSTED_SQL})"
+
+
+@register("fair_compare", f"""
+WITH b AS ({_metrics_sql('lang', 'lang')}), a AS ({_metrics_sql('lang', 'lang', _ADJUSTED_YP)})
+SELECT coalesce(b.cls, a.cls) AS cls, {', '.join(f'b.{c} AS {c}_before' for c in (fair.DPD, fair.EOD, fair.DIR))},
+       {', '.join(f'a.{c} AS {c}_after' for c in (fair.DPD, fair.EOD, fair.DIR))}, a.{fair.DPD} - b.{fair.DPD} AS dpd_change
+FROM b FULL JOIN a ON a.cls = b.cls""")
+def fair_compare(spark, sf):
+    """Metrics before vs after threshold moving."""
+    before_m = fair.per_class_metrics(labelled(spark, sf), "y", "p", ["lang"])
+    after_m = fair.per_class_metrics(_adjusted(spark, sf), "y", "p_adj", ["lang"])
     return fair.compare(before_m, after_m)
 
 
+@register("fair_accuracy_change", f"""
+SELECT avg(CAST(y = p AS INTEGER)) AS accuracy_before, avg(CAST(y = p_adj AS INTEGER)) AS accuracy_after,
+       avg(CAST(y = p_adj AS INTEGER)) - avg(CAST(y = p AS INTEGER)) AS accuracy_change FROM ({_ADJUSTED_SQL})""")
+def fair_accuracy_change(spark, sf):
+    return fair.accuracy_change(_adjusted(spark, sf), "y", "p", "p_adj")
+
+
 @register("metric_flags", f"""
 WITH m AS ({_metrics_sql('lang, source', 'lang')})
 SELECT *, {fair.DPD} > 0.1 AS dpd_flag, {fair.EOD} > 0.1 AS eod_flag FROM m""")
@@ -133,10 +159,59 @@ def metric_flags(spark, sf):
     return fair.metric_flags(m, cutoff=0.1)
 
 
-@register("fair_adjusted_rates", None)
+@register("fair_adjusted_rates", f"SELECT * FROM ({_rates_sql('lang', _ADJUSTED_YP)}) WHERE cls = 1")
 def fair_adjusted_rates(spark, sf):
     """K9 step 5 + K1: selection rates per group after applying the moved thresholds."""
-    df = labelled(spark, sf)
-    thresholds, _ = fair.threshold_moving(df, "lang", "y", "n_chars", BIN_WIDTH, MAX_BIN, GRID)
-    after = fair.apply_thresholds(df, thresholds, "lang", "n_chars", BIN_WIDTH, MAX_BIN, out="p_adj")
-    return fair.group_rates(after.withColumn("p_adj", F.col("p_adj")), "y", "p_adj", ["lang"], classes=[1])
+    return fair.group_rates(_adjusted(spark, sf), "y", "p_adj", ["lang"], classes=[1])
+
+
+# ---------------------------------------------------------------- K10
+
+# The audited model is a table of (weighted) label rates per length class, so that SQL can follow it.
+_LENGTH = "CAST(least(n_chars // 400, 12) AS INTEGER)"
+_AUDIT_ROWS = f"SELECT doc_id, lang, y, {_LENGTH} AS b FROM ({_YP_SQL})"
+
+
+def _rate_fit(train, weight):
+    """Label rate per length class; a class that wasn't trained on has the overall rate."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    t = cut_lineage(train.groupBy("b").agg(F.sum(w * F.col("y")).alias("_pos"), F.sum(w).alias("_all")))
+    overall = t.agg(F.round(F.sum("_pos") / F.sum("_all"), 9)).scalar()
+    rates = t.select("b", F.round(F.col("_pos") / F.col("_all"), 9).alias("_rate"))
+    return lambda rows: (rows.join(F.broadcast(rates), "b", "left").withColumn("score", F.coalesce("_rate", overall)).drop("_rate")
+                         .withColumn("prediction", (F.col("score") >= 0.9).cast("int")))
+
+
+def _scored_sql(weight: str) -> str:
+    return f"""
+    SELECT s.doc_id, s.lang, s.y, s.score, CAST(s.score >= 0.9 AS INTEGER) AS p FROM (
+      SELECT t.*, coalesce(r.rate, (SELECT round(sum(w * y) / sum(w), 9) FROM w)) AS score
+      FROM r0 t LEFT JOIN (SELECT b, round(sum(w * y) / sum(w), 9) AS rate FROM w GROUP BY b) r USING (b) WHERE t.doc_id % 3 = 0) s"""
+
+
+def _audit_stage(weight: str, inner: str) -> str:
+    return f"""
+    WITH r0 AS ({_AUDIT_ROWS}), tr AS (SELECT * FROM r0 WHERE doc_id % 3 <> 0), w AS (SELECT *, {weight} AS w FROM tr)
+    {inner}"""
+
+
+_PLAIN = _audit_stage("1.0::DOUBLE", _scored_sql(""))
+_REWEIGHED = _audit_stage("count(*) OVER () / count(*) OVER (PARTITION BY lang, y)", _scored_sql(""))
+_MOVED = f"""
+    SELECT s.doc_id, s.lang, s.y, CAST(s.score >= m.thr AS INTEGER) AS p FROM ({_REWEIGHED}) s
+    JOIN ({_thresholds_sql(f'SELECT lang AS g, y, score FROM ({_REWEIGHED})')}) m ON s.lang = m.g"""
+
+
+def _stage_sql(rows: str, stage: str, only: str = "") -> str:
+    return f"""SELECT *, '{stage}' AS stage, (SELECT avg(CAST(y = p AS INTEGER)) FROM ({rows})) AS accuracy
+    FROM ({_metrics_sql('lang', 'lang', rows)}) {only}"""
+
+
+@register("audit_flow", f"""
+{_stage_sql(_PLAIN, 'plain')} UNION ALL {_stage_sql(_REWEIGHED, 'reweighed')} UNION ALL {_stage_sql(_MOVED, 'adjusted', 'WHERE cls = 1')}""")
+def audit_flow(spark, sf):
+    """Audit of a table model on every third labelled document."""
+    rows = cut_lineage(labelled(spark, sf).select("doc_id", "lang", "y", F.expr("cast(least(n_chars div 400, 12) as int)").alias("b")))
+    found = fair.audit_flow(rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 3 = 0"), "doc_id", "y", ["lang"], "lang",
+                            _rate_fit, sources.scratch_path(spark, "adjusted"), target=1, grid_steps=GRID)
+    return found.metrics

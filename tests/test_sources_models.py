@@ -42,7 +42,7 @@ def test_model_save_and_load(spark, tmp_path):
 
 def test_threshold_moving_rates_within_one_bin(spark):
     df = labelled(spark, SF_SMALL)
-    th, curve = fairness.threshold_moving(df, "lang", "y", "n_chars", 100.0, 50, grid_steps=20)
+    th, curve = fairness.threshold_moving(df, "lang", "y", "n_chars", grid_steps=20)
     rows = th.collect()
     best = rows[0].best_rate
     assert all(r.best_rate == best for r in rows)
