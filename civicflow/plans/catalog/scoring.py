@@ -1,62 +1,70 @@
 """Catalogue: ticket scoring (L1) in batch and as a Structured Stream, with
 requests (A9) derived from ``events`` and result records (A10).
 
-zip -> borough uses nation -> region; group shares are the per-region
-segment shares; agency / descriptor / class dictionaries are small literals.
+Tickets are events joined with ``part``: the part type is the descriptor
+group, the brand the descriptor.  zip -> borough uses nation -> region; group
+shares are the per-region segment shares; all codes are fitted on the tickets.
 """
 
 from __future__ import annotations
 
-import time
-
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from civicflow import sources
+from civicflow.operators import models
 from civicflow.operators.joins import literal_table
 from civicflow.plans import scoring
 from civicflow.plans.catalog import register
 from civicflow.plans.catalog.enrich import _DIM_SQL, _SHARE_COLS, _SHARES_SQL, _shares, _zip_dim
-from civicflow.session import table
+from civicflow.session import cut_lineage, table
 
 AS_OF = "2024-02-01 00:00:00"
 
-# Request vocabularies used by the scorer.
-AGENCY_CODES = [("CLICK", 0), ("VIEW", 1), ("PURCHASE", 2), ("SIGNUP", 3), ("DSNY", 4)]
-GROUPS = ["noise", "cleanliness", "traffic", "street", "infrastructure", "other"]
-GROUP_DESCRIPTOR = [("noise", "loud"), ("cleanliness", "dirty"), ("traffic", "blocked"), ("street", "pothole"),
-                    ("infrastructure", "water")]
-DESCRIPTOR_CODES = [("loud", 0), ("dirty", 15), ("blocked", 3), ("pothole", 6), ("water", 7)]
+# Class names of the event types; class 5 of the rule model has no name.
 CLASS_NAMES = [(0, "click"), (1, "view"), (2, "purchase"), (3, "signup"), (4, "error")]
 CLASS_GROUPS = [("click", "browse"), ("view", "browse"), ("purchase", "convert"), ("signup", "convert")]
 
 
+def _ticket_rows(spark, sf):
+    """Events with the type and brand of a part."""
+    ev = table(spark, sf, "events")
+    part = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
+    return ev.join(part, ev.user_id + 1 == part.p_partkey, "left")
+
+
+_TICKET_SQL = "SELECT e.*, p.p_type, p.p_brand FROM events e LEFT JOIN part p ON e.user_id + 1 = p.p_partkey"
+
+
+def _training_fields(spark, sf):
+    """The request fields as training tickets have them."""
+    e = F.col("event_id")
+    dim = _zip_dim(spark, sf)
+    t = _ticket_rows(spark, sf)
+    return t.join(dim, F.col("user_id") % 25 == dim.zip, "left").select(
+        F.upper("event_type").alias("Agency"), F.when(e % 4 != 0, F.lit("Residential Building/House")).otherwise(F.lit("Street/Sidewalk")).alias("Location_Type"),
+        F.col("borough").alias("Borough"), F.when(e % 6 == 0, F.lit("CAR")).otherwise(F.lit("N/A")).alias("Vehicle_Type"),
+        F.col("p_brand").alias("Descriptor"), F.col("p_type").alias("group"))
+
+
 def _dims(spark, sf) -> scoring.ScoringDims:
+    fitted = scoring.fit_dictionaries(_training_fields(spark, sf), group="group")
     return scoring.ScoringDims(
-        zip_dim=_zip_dim(spark, sf),
-        shares=_shares(spark, sf),
-        share_cols=_SHARE_COLS,
-        agency_codes=literal_table(spark, AGENCY_CODES, "agency string, code int"),
-        group_descriptor=literal_table(spark, GROUP_DESCRIPTOR, "group string, descriptor string"),
-        descriptor_codes=literal_table(spark, DESCRIPTOR_CODES, "descriptor string, code int"),
+        zip_dim=_zip_dim(spark, sf), shares=_shares(spark, sf), share_cols=_SHARE_COLS, **fitted,
         class_names=literal_table(spark, CLASS_NAMES, "cls int, name string"),
-        class_groups=literal_table(spark, CLASS_GROUPS, "name string, grp string"),
-        literal_dicts=True,
-    )
+        class_groups=literal_table(spark, CLASS_GROUPS, "name string, grp string"))
 
 
 def _requests_raw(spark, sf):
-    ev = table(spark, sf, "events")
     e = F.col("event_id")
-    groups = F.array(*[F.lit(g) for g in GROUPS])
-    return ev.select(
+    return _ticket_rows(spark, sf).select(
         e.alias("ticket_id"),
-        F.when(e % 3 == 0, F.lit(None)).otherwise(F.upper("event_type")).alias("Agency"),
-        F.get_json_object("props", "$.k").alias("Incident_Zip"),
-        F.element_at(groups, (F.col("user_id") % len(GROUPS) + 1).cast("int")).alias("Descriptor"),
-        F.when(e % 5 == 0, F.lit(None)).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("created_date"),
-    )
+        F.when(e % 3 != 0, F.upper("event_type")).alias("Agency"),
+        F.when(e % 4 != 0, F.lit("Residential Building/House")).alias("Location_Type"),
+        F.when(e % 17 == 0, F.lit("n/a")).otherwise(F.concat(F.lit(" "), F.get_json_object("props", "$.k"), F.lit(" "))).alias("Incident_Zip"),
+        F.when(e % 6 == 0, F.lit("CAR")).when(e % 7 == 0, F.lit("SUBMARINE")).alias("Vehicle_Type"),
+        F.when(e % 11 == 0, F.lit("SOMETHING")).when(e % 13 != 0, F.col("p_type")).alias("Descriptor"),
+        F.when(e % 23 == 0, F.lit("yesterday")).when(e % 5 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("created_date"),
+        F.when(e % 19 == 0, F.lit("")).when(e % 29 == 0, F.lit("EUROPE")).alias("Borough"))
 
 
 def _requests(spark, sf):
@@ -66,57 +74,75 @@ def _requests(spark, sf):
     return path, sources.read_requests_json(spark, path, as_of=AS_OF)
 
 
-def _model(spark, sf, dims, requests):
-    """Decision tree predicting the event type from request features, fitted
-    on a seeded half of the requests (label joined from events)."""
-    from civicflow import functions as cf
-    feats = scoring.build_features(requests, dims, AS_OF)
-    codes = literal_table(spark, [(n, float(c)) for c, n in CLASS_NAMES], "et string, label double")
-    ev = table(spark, sf, "events").select(F.col("event_id").alias("ticket_id"), "event_type")
-    lab = ev.join(codes, F.col("event_type") == F.col("et")).select("ticket_id", "label")
-    train = feats.join(lab, "ticket_id").filter(cf.hash_unit("ticket_id", 42) < 0.5)
-    vec = VectorAssembler(inputCols=scoring.feature_columns(dims), outputCol="features", handleInvalid="keep")
-    return DecisionTreeClassifier(maxDepth=5, seed=42).fit(vec.transform(train))
-
-
-_FEATURE_COLS = ["ticket_id", "zip_code", "Borough", *_SHARE_COLS, "age_days", "created_hour", "created_month",
-                 "created_dayofweek", "agency_code", "descriptor_code", "descriptor_used"]
-
-
-def _values(rows, cols):
-    return "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")"
-                                  for r in rows) + f") AS v({cols})"
-
-
-@register("score_features", f"""
-WITH r AS (
-  SELECT event_id AS ticket_id,
-         coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE upper(event_type) END, 'DSNY') AS Agency,
-         json_extract_string(props, '$.k') AS Incident_Zip,
-         ['{"', '".join(GROUPS)}'][user_id % {len(GROUPS)} + 1] AS Descriptor,
-         coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE date_trunc('second', ts) END, TIMESTAMP '{AS_OF}') AS created_date
-  FROM events),
-  z AS ({_DIM_SQL}), s AS ({_SHARES_SQL}),
+class RuleModel:
+    """A fixed rule in place of a trained model, so that SQL can follow every
+    column: class = (zip + hour) mod 6, with two class probabilities."""
+
+    def transform(self, df):
+        p = (F.col("zip_code") % 50 + 50) / F.lit(100.0)
+        return (df.withColumn("prediction", ((F.col("zip_code") + F.col("created_hour")) % 6).cast("double"))
+                  .withColumn("probability", F.array(1 - p, p)))
+
+
+def _code_sql(field: str) -> str:
+    return f"(SELECT {field} AS value, dense_rank() OVER (ORDER BY {field}) - 1 AS code FROM (SELECT DISTINCT {field} FROM training WHERE {field} IS NOT NULL))"
+
+
+_FEATURES_SQL = f"""
+WITH ticket AS ({_TICKET_SQL}), z AS ({_DIM_SQL}), s AS ({_SHARES_SQL}),
+  training AS (
+  SELECT upper(event_type) AS Agency, CASE WHEN event_id % 4 <> 0 THEN 'Residential Building/House' ELSE 'Street/Sidewalk' END AS Location_Type,
+         z.borough AS Borough, CASE WHEN event_id % 6 = 0 THEN 'CAR' ELSE 'N/A' END AS Vehicle_Type, p_brand AS Descriptor, p_type AS grp
+  FROM ticket LEFT JOIN z ON user_id % 25 = z.zip),
+  brands AS (SELECT Descriptor AS d, count(*) AS n FROM training WHERE Descriptor IS NOT NULL GROUP BY 1 ORDER BY n DESC, d LIMIT 50),
+  brand_codes AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS code FROM (
+      SELECT d FROM brands UNION SELECT '{scoring.REST}' WHERE (SELECT sum(n) FROM brands) < (SELECT count(*) FROM training))),
+  representative AS (SELECT grp, Descriptor AS d FROM (
+      SELECT grp, Descriptor, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, Descriptor) AS r
+      FROM training WHERE Descriptor IS NOT NULL GROUP BY grp, Descriptor) WHERE r = 1),
+  r AS (
+  SELECT event_id AS ticket_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN upper(event_type) END, 'DSNY') AS Agency,
+         coalesce(CASE WHEN event_id % 4 <> 0 THEN 'Residential Building/House' END, 'Street/Sidewalk') AS Location_Type,
+         CASE WHEN event_id % 17 = 0 THEN 'n/a' ELSE json_extract_string(props, '$.k') END AS zip_text,
+         coalesce(CASE WHEN event_id % 6 = 0 THEN 'CAR' WHEN event_id % 7 = 0 THEN 'SUBMARINE' END, 'N/A') AS Vehicle_Type,
+         coalesce(CASE WHEN event_id % 11 = 0 THEN 'SOMETHING' WHEN event_id % 13 <> 0 THEN p_type END, 'Straßenzustand') AS grp,
+         coalesce(CASE WHEN event_id % 5 <> 0 THEN date_trunc('second', ts) END, TIMESTAMP '{AS_OF}') AS created_date,
+         CASE WHEN event_id % 19 <> 0 AND event_id % 29 = 0 THEN 'EUROPE' END AS given
+  FROM ticket WHERE event_id % 23 <> 0),
   m AS (SELECT {', '.join(f'round_even(avg({c}) * 1e9::DOUBLE, 0) / 1e9::DOUBLE AS {c}' for c in _SHARE_COLS)} FROM s),
   f AS (
-  SELECT r.*, CASE WHEN regexp_matches(Incident_Zip, '^[0-9]+$') THEN CAST(Incident_Zip AS BIGINT) ELSE 0 END AS zip_code
-  FROM r)
-SELECT f.ticket_id, f.zip_code, coalesce(z.borough, 'Unspecified') AS Borough,
+  SELECT r.*, CASE WHEN regexp_matches(zip_text, '^[0-9]+$') THEN CAST(zip_text AS BIGINT) ELSE 0 END AS zip_code,
+         coalesce(given, z.borough, '{scoring.NO_BOROUGH}') AS Borough
+  FROM r LEFT JOIN z ON r.zip_text = CAST(z.zip AS VARCHAR))
+SELECT f.ticket_id, f.zip_code, f.Borough,
        {', '.join(f'coalesce(s.{c}, m.{c}) AS {c}' for c in _SHARE_COLS)},
        (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(f.created_date)) / 86400000000.0 AS age_days,
        CAST(hour(f.created_date) AS INTEGER) AS created_hour, CAST(month(f.created_date) AS INTEGER) AS created_month,
        CAST(isodow(f.created_date) - 1 AS INTEGER) AS created_dayofweek,
-       CAST(coalesce(a.code, -1) AS INTEGER) AS agency_code, CAST(coalesce(dc.code, 99) AS INTEGER) AS descriptor_code,
-       gd.descriptor AS descriptor_used
-FROM f LEFT JOIN z ON f.zip_code = z.zip
-LEFT JOIN s ON upper(trim(coalesce(z.borough, 'Unspecified'))) = upper(trim(s.region))
+       {', '.join(f"CAST(coalesce({out}.code, -1) AS INTEGER) AS {out}" for out in scoring.CODED.values())},
+       coalesce(g.d, '{scoring.REST}') AS descriptor_used,
+       CAST(coalesce(dc.code, (SELECT code FROM brand_codes WHERE d = '{scoring.REST}'), 99) AS INTEGER) AS descriptor_code
+FROM f LEFT JOIN s ON upper(trim(f.Borough)) = upper(trim(s.region))
 CROSS JOIN m
-LEFT JOIN (SELECT * FROM {_values(AGENCY_CODES, 'agency, code')}) a ON upper(f.Agency) = a.agency
-LEFT JOIN (SELECT * FROM {_values(GROUP_DESCRIPTOR, '"group", descriptor')}) gd ON f.Descriptor = gd."group"
-LEFT JOIN (SELECT * FROM {_values(DESCRIPTOR_CODES, 'descriptor, code')}) dc ON gd.descriptor = dc.descriptor""")
+{' '.join(f"LEFT JOIN {_code_sql(field)} {out} ON f.{field} = {out}.value" for field, out in scoring.CODED.items())}
+LEFT JOIN representative g ON f.grp = g.grp
+LEFT JOIN brand_codes dc ON coalesce(g.d, '{scoring.REST}') = dc.d"""
+
+_FEATURE_COLS = ["ticket_id", "Borough", "descriptor_used", *scoring.FEATURE_ORDER, *_SHARE_COLS]
+
+
+@register("score_features", _FEATURES_SQL)
 def score_features(spark, sf):
     _, req = _requests(spark, sf)
-    return scoring.build_features(req, _dims(spark, sf), AS_OF).select(*_FEATURE_COLS)
+    return scoring.build_features(sources.accepted(req), _dims(spark, sf), AS_OF).select(*_FEATURE_COLS)
+
+
+@register("rejected_requests", """
+SELECT event_id AS ticket_id, 'created_date' AS request_error FROM events WHERE event_id % 23 = 0""")
+def rejected_requests(spark, sf):
+    """Requests that can't be accepted, with the field at fault."""
+    _, req = _requests(spark, sf)
+    return sources.rejected(req).select("ticket_id", "request_error")
 
 
 def _flat(results):
@@ -124,34 +150,71 @@ def _flat(results):
     return results.select("ticket_id", r.group.alias("group"), r.specific_type.alias("specific_type"),
                           r.confidence.alias("confidence"), r.borough.alias("borough"),
                           r.descriptor_used.alias("descriptor_used"), r.duration_days.alias("duration_days"),
-                          F.to_json(r.shares).alias("shares_json"))
+                          *[r.shares[c].alias(c) for c in _SHARE_COLS])
+
+
+def _values(rows, cols):
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")"
+                                  for r in rows) + f") AS v({cols})"
+
 
+_SCORE_SQL = f"""
+SELECT f.ticket_id, coalesce(g.grp, '{scoring.NO_GROUP}') AS "group", coalesce(n.name, '{scoring.NO_CLASS}') AS specific_type,
+       greatest((f.zip_code % 50 + 50) / 100.0::DOUBLE, 1 - (f.zip_code % 50 + 50) / 100.0::DOUBLE) AS confidence,
+       f.Borough AS borough, f.descriptor_used, f.age_days AS duration_days, {', '.join(f'f.{c}' for c in _SHARE_COLS)}
+FROM ({_FEATURES_SQL}) f LEFT JOIN (SELECT * FROM {_values(CLASS_NAMES, 'cls, name')}) n ON (f.zip_code + f.created_hour) % 6 = n.cls
+LEFT JOIN (SELECT * FROM {_values(CLASS_GROUPS, 'name, grp')}) g ON coalesce(n.name, '{scoring.NO_CLASS}') = g.name"""
 
-@register("score_batch")
+
+@register("score_batch", _SCORE_SQL)
 def score_batch(spark, sf):
     """L1 batch: score every request."""
-    dims = _dims(spark, sf)
     _, req = _requests(spark, sf)
-    return _flat(scoring.score(req, dims, _model(spark, sf, dims, req), AS_OF))
+    return _flat(scoring.score(req, _dims(spark, sf), RuleModel(), AS_OF))
 
 
-@register("score_stream")
+@register("score_stream", _SCORE_SQL)
 def score_stream(spark, sf):
     """L1 stream: the same scorer over a file stream of requests
     (availableNow trigger), results appended to parquet and read back."""
     from civicflow.streaming import start_scoring
-    dims = _dims(spark, sf)
-    path, req = _requests(spark, sf)
-    model = _model(spark, sf, dims, req)
+    path, _ = _requests(spark, sf)
     out = sources.scratch_path(spark, "score-stream-out")
-    q = start_scoring(spark, path, out, dims, model, AS_OF)
-    q.awaitTermination(600)
-    if q.isActive:
-        q.stop()
-        time.sleep(0.1)
+    q = start_scoring(spark, path, out, _dims(spark, sf), RuleModel(), sources.scratch_path(spark, "score-stream-ckpt"), AS_OF)
+    q.awaitTermination()  # until the input is used up; a failed query raises
     return _flat(spark.read.parquet(out))
 
 
+@register("score_json", f"""
+SELECT ticket_id, "group", confidence, {_SHARE_COLS[0]} FROM ({_SCORE_SQL})""")
+def score_json(spark, sf):
+    """A10: result records as JSON lines, written and read back."""
+    _, req = _requests(spark, sf)
+    path = sources.scratch_path(spark, "results")
+    scoring.score_json(scoring.score(req, _dims(spark, sf), RuleModel(), AS_OF)).write.json(path)
+    j = lambda p: F.get_json_object("json", p)
+    return spark.read.schema("ticket_id long, json string").json(path).select(
+        "ticket_id", j("$.group").alias("group"), j("$.confidence").cast("double").alias("confidence"),
+        j(f"$.shares.{_SHARE_COLS[0]}").cast("double").alias(_SHARE_COLS[0]))
+
+
+@register("score_tree", "SELECT true AS all_scored, true AS same_again, true AS classes_known")
+def score_tree(spark, sf):
+    """L1 with a trained tree: every accepted request gets a class of the
+    training labels, and a second fit gives the same results."""
+    dims = _dims(spark, sf).written()
+    req = cut_lineage(sources.accepted(_requests(spark, sf)[1]))
+    codes = literal_table(spark, [(n, float(c)) for c, n in CLASS_NAMES], "et string, label double")
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("ticket_id"), "event_type")
+    lab = ev.join(codes, F.col("event_type") == F.col("et")).select("ticket_id", "label")
+    train = cut_lineage(models.with_features(scoring.build_features(req, dims, AS_OF).join(lab, "ticket_id"), scoring.feature_columns(dims)))
+    first, second = (_flat(scoring.score(req, dims, models.estimator("dt", 14, 5).fit(train), AS_OF)) for _ in range(2))
+    same = first.join(second.select("ticket_id", F.col("specific_type").alias("again"), F.col("confidence").alias("c2")), "ticket_id")
+    return same.agg((F.count(F.lit(1)) == req.agg(F.count(F.lit(1))).scalar()).alias("all_scored"),
+                    F.bool_and((F.col("specific_type") == F.col("again")) & (F.col("confidence") == F.col("c2"))).alias("same_again"),
+                    F.bool_and(F.col("specific_type").isin([n for _, n in CLASS_NAMES])).alias("classes_known"))
+
+
 def _raw_tickets(spark, sf):
     """Raw-ticket-shaped table derived from events (text columns, some blanks)."""
     ev = table(spark, sf, "events")
@@ -159,7 +222,8 @@ def _raw_tickets(spark, sf):
     r = table(spark, sf, "region").select("r_regionkey", "r_name")
     dim = F.broadcast(n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name"))
     e = F.col("event_id")
-    groups = F.array(*[F.lit(g) for g in GROUPS])
+    part = table(spark, sf, "part").select("p_partkey", "p_brand")
+    ev = ev.join(part, ev.user_id + 1 == part.p_partkey, "left")
     t = ev.join(dim, (F.col("user_id") % 25) == F.col("n_nationkey"), "left")
     return t.select(
         e.alias("ticket_id"),
@@ -168,7 +232,7 @@ def _raw_tickets(spark, sf):
         .alias("Closed Date"),
         F.upper("event_type").alias("Agency"),
         F.col("event_type").alias("Complaint Type"),
-        F.element_at(groups, (F.col("user_id") % len(GROUPS) + 1).cast("int")).alias("Descriptor"),
+        F.col("p_brand").alias("Descriptor"),
         F.when(e % 7 == 0, F.lit(" ")).otherwise(F.lit("Street/Sidewalk")).alias("Location Type"),
         (F.col("user_id") % 25).cast("string").alias("Incident Zip"),
         F.when(e % 9 == 0, F.lit(None)).otherwise(F.col("r_name")).alias("Borough"),

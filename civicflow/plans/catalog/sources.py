@@ -41,7 +41,7 @@ def _request_rows(spark, sf):
 @register("json_requests", """
 SELECT event_id AS ticket_id, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE upper(event_type) END, 'DSNY') AS Agency,
        coalesce(CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'Residential Building/House' END, 'Street/Sidewalk') AS Location_Type,
-       json_extract_string(props, '$.k') AS Incident_Zip, 'N/A' AS Vehicle_Type, CAST(NULL AS VARCHAR) AS Descriptor,
+       json_extract_string(props, '$.k') AS Incident_Zip, 'N/A' AS Vehicle_Type, 'Straßenzustand' AS Descriptor,
        coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE date_trunc('second', ts) END, TIMESTAMP '2024-02-01 00:00:00')
          AS created_date,
        CAST(NULL AS VARCHAR) AS Borough

@@ -3,8 +3,8 @@
 Requests arrive as JSON files in a folder; the stream applies the request
 defaults (A9) and the very same :func:`civicflow.plans.scoring.score` used in
 batch, joining static dimensions per micro-batch.  The scorer is stateless,
-so no watermark is needed; the checkpoint (offsets) lives under the shared
-checkpoint folder so a restarted query resumes exactly where it stopped.
+so no watermark is needed.  The caller names the checkpoint folder (offsets):
+a query restarted with the same one resumes exactly where it stopped.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ def request_stream(spark: SparkSession, path: str, as_of=None, max_files_per_tri
     return sources.apply_request_defaults(r.json(path), as_of)
 
 
-def start_scoring(spark: SparkSession, in_path: str, out_path: str, dims: ScoringDims, model, as_of=None,
-                  checkpoint: str | None = None, available_now: bool = True):
+def start_scoring(spark: SparkSession, in_path: str, out_path: str, dims: ScoringDims, model, checkpoint: str,
+                  as_of=None, available_now: bool = True):
     """Start the scoring stream: requests in ``in_path`` -> result records
     (parquet, append) in ``out_path``.  ``available_now`` processes what is
-    there and stops (incremental batch); otherwise it runs continuously."""
-    results = score(request_stream(spark, in_path, as_of), dims, model, as_of)
-    ckpt = checkpoint or sources.scratch_path(spark, "scoring-stream-ckpt")
-    w = results.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", ckpt)
+    there and stops (incremental batch); otherwise it runs continuously.
+    Dimensions are written once, not computed again per micro-batch."""
+    results = score(request_stream(spark, in_path, as_of), dims.written(), model, as_of)
+    w = results.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
     w = w.outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
