@@ -65,31 +65,42 @@ def class_report(df: DataFrame, y: str, p: str) -> DataFrame:
     return rows.select(cols).unionByName(macro.select(cols)).unionByName(weighted.select(cols))
 
 
-def summary_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """One row with n, accuracy, Cohen's kappa, multi-class MCC and
-    weighted precision / recall / F1, macro F1."""
-    t = per_class_table(pair_counts(df, y, p), y, p)
+def summary_by(counts: DataFrame, key: str, y: str, p: str) -> DataFrame:
+    """J2/J4 for many models at once: one row per ``key`` with n, accuracy,
+    Cohen's kappa, multi-class MCC and weighted precision / recall / F1,
+    macro F1, from the counts ``(key, y, p, n)``."""
+    n, none = F.col("n"), F.lit(0).cast("long")
+    true = counts.select(key, F.col(y).alias("label"), F.when(F.col(y).eqNullSafe(F.col(p)), n).otherwise(none).alias("tp"), n.alias("support"),
+                         none.alias("predicted"))
+    said = counts.select(key, F.col(p).alias("label"), none.alias("tp"), none.alias("support"), n.alias("predicted"))
+    t = true.union(said).groupBy(key, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
     prec = _safe_div(F.col("tp"), F.col("predicted"))
     rec = _safe_div(F.col("tp"), F.col("support"))
     f1 = _safe_div(2 * prec * rec, prec + rec)
-    a = t.agg(F.sum("support").cast("double").alias("s"), F.sum("tp").cast("double").alias("c"),
-              F.sum(F.col("predicted") * F.col("support")).cast("double").alias("pt"),
-              F.sum(F.col("predicted") * F.col("predicted")).cast("double").alias("pp"),
-              F.sum(F.col("support") * F.col("support")).cast("double").alias("tt"),
-              F.sum(prec * F.col("support")).alias("wp"), F.sum(rec * F.col("support")).alias("wr"),
-              F.sum(f1 * F.col("support")).alias("wf"), F.avg(f1).alias("f1_macro"))
+    a = t.groupBy(key).agg(
+        F.sum("support").cast("double").alias("s"), F.sum("tp").cast("double").alias("c"),
+        F.sum(F.col("predicted") * F.col("support")).cast("double").alias("pt"),
+        F.sum(F.col("predicted") * F.col("predicted")).cast("double").alias("pp"),
+        F.sum(F.col("support") * F.col("support")).cast("double").alias("tt"),
+        F.sum(prec * F.col("support")).alias("wp"), F.sum(rec * F.col("support")).alias("wr"),
+        F.sum(f1 * F.col("support")).alias("wf"), F.avg(f1).alias("f1_macro"))
     s, c = F.col("s"), F.col("c")
     po = c / s
     pe = F.col("pt") / (s * s)
     mcc_den = F.sqrt((s * s - F.col("pp")) * (s * s - F.col("tt")))
     return a.select(
-        s.cast("long").alias("n"), po.alias("accuracy"),
+        key, s.cast("long").alias("n"), po.alias("accuracy"),
         F.when(pe != 1, (po - pe) / (1 - pe)).otherwise(F.lit(0.0)).alias("kappa"),
         _safe_div(c * s - F.col("pt"), mcc_den).alias("mcc"),
         (F.col("wp") / s).alias("precision_weighted"), (F.col("wr") / s).alias("recall_weighted"),
         (F.col("wf") / s).alias("f1_weighted"), "f1_macro")
 
 
+def summary_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
+    """J2/J4 of one model: see :func:`summary_by`."""
+    return summary_by(pair_counts(df, y, p).withColumn("_one", F.lit(1)), "_one", y, p).drop("_one")
+
+
 def accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
     """Rows and share of equal label and prediction, for one model."""
     return df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).eqNullSafe(F.col(p)).cast("double")).alias("accuracy"))

@@ -1,7 +1,7 @@
 """Model training, tuning and prediction as Spark ML jobs.
 
-Every variant is fitted by distributed Spark ML code (tree histograms,
-treeAggregate gradients, class moment aggregates); the driver only ever
+Every variant is fitted by distributed code (tree histograms, treeAggregate
+gradients, class moments added up from Arrow batches); the driver only ever
 holds model parameters.  At 100 TB the training input is the exact stratified
 draw of :mod:`civicflow.operators.split` (tens of thousands of rows), while
 *scoring* runs over the whole table.
@@ -9,25 +9,30 @@ draw of :mod:`civicflow.operators.split` (tens of thousands of rows), while
 
 from __future__ import annotations
 
+import json
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+import pyarrow as pa
+from pyspark import keyword_only
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Binarizer, MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicflow import functions as cf
+from civicflow.operators import metrics
 from civicflow.session import cut_lineage
 
 FEATURES = "features"
@@ -42,289 +47,443 @@ def with_features(df: DataFrame, columns: Sequence[str] | None = None, array_col
 
 # ---------------------------------------------------------------- parameter sets (fixed values)
 
+# Parameters of the variants.  Spark's trees have no minimum of
+# rows to split a node and no minimum of hessian weight; the nearest are
+# minInstancesPerNode (half the rows to split) and minInfoGain.
+BOOSTED = {"xgboost": dict(maxIter=150, maxDepth=10, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8",
+                           minInstancesPerNode=3, minInfoGain=0.1),
+           "catboost": dict(maxIter=50, maxDepth=4, stepSize=0.3),
+           "gbc": dict(maxIter=5, maxDepth=2, stepSize=1.0, subsamplingRate=0.8, minInstancesPerNode=5)}
+VARIANTS = ("xgboost", "dummy", "bernoulli_nb", "ada", "rf", "dt", "nb", "knn", "lda", "qda", "ridge", "mlp", "catboost", "gbc", "logreg")
+
+
 def estimator(name: str, n_features: int, n_classes: int, label: str = "label", seed: int = 42,
               weight_col: str | None = None):
-    """The reference's variants with their parameters, as Spark ML estimators."""
-    common = dict(labelCol=label, featuresCol=FEATURES)
+    """The variants that are Spark ML estimators, with their parameters."""
+    weighted = {"weightCol": weight_col} if weight_col else {}
+    common = dict(labelCol=label, featuresCol=FEATURES, **weighted)
     if name == "dt":
         return DecisionTreeClassifier(maxDepth=8, seed=seed, **common)
     if name == "rf":
         return RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, **common)
-    if name in ("xgboost", "catboost", "gbc"):
-        params = {"xgboost": dict(maxIter=150, maxDepth=10, stepSize=0.1, subsamplingRate=0.8,
-                                  featureSubsetStrategy="0.8"),
-                  "catboost": dict(maxIter=50, maxDepth=4, stepSize=0.3),
-                  "gbc": dict(maxIter=5, maxDepth=2, stepSize=1.0)}[name]
-        gbt = GBTClassifier(seed=seed, **params)
+    if name in BOOSTED:
+        if n_classes <= 2:
+            return GBTClassifier(seed=seed, **BOOSTED[name], **common)
         # one-vs-rest fits the k binary boosters concurrently
-        return (OneVsRest(classifier=gbt, parallelism=min(n_classes, 4), **common) if n_classes > 2
-                else GBTClassifier(seed=seed, **params, **common))
+        return OneVsRest(classifier=GBTClassifier(seed=seed, **BOOSTED[name]), parallelism=min(n_classes, 4), **common)
     if name == "nb":
         return NaiveBayes(modelType="gaussian", **common)
     if name == "bernoulli_nb":
         return Pipeline(stages=[Binarizer(threshold=0.0, inputCol=FEATURES, outputCol="_bin"),
-                                NaiveBayes(modelType="bernoulli", featuresCol="_bin", labelCol=label)])
+                                NaiveBayes(modelType="bernoulli", featuresCol="_bin", labelCol=label, **weighted)])
     if name == "mlp":
+        if weight_col:
+            raise ValueError("the perceptron takes no weights")
         return Pipeline(stages=[MinMaxScaler(inputCol=FEATURES, outputCol="_scaled"),
                                 MultilayerPerceptronClassifier(layers=[n_features, 50, 25, n_classes], maxIter=200,
                                                                seed=seed, featuresCol="_scaled", labelCol=label)])
     if name == "logreg":
-        kw = dict(common, maxIter=100)
-        if weight_col:
-            kw["weightCol"] = weight_col
-        return LogisticRegression(**kw)
+        return LogisticRegression(maxIter=100, **common)
     raise ValueError(f"unknown variant {name}")
 
 
-# ---------------------------------------------------------------- custom variants
-
-class MajorityModel:
-    """Predicts the most frequent training label (smallest on ties)."""
-
-    def __init__(self, label: str = "label"):
-        self.label = label
-        self.value = None
-
-    def fit(self, df: DataFrame) -> MajorityModel:
-        r = df.groupBy(self.label).count().orderBy(F.desc("count"), F.asc(self.label)).first()
-        self.value = None if r is None else r[0]
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", F.lit(float(self.value)))
-
-
-class DiscriminantModel:
-    """Linear (pooled covariance) or quadratic (per-class covariance)
-    discriminant analysis.  ``fit`` is one aggregate of first and second
-    moments per class (``Summarizer``); scoring is a column expression per
-    class followed by an argmax, so prediction never leaves the JVM."""
-
-    def __init__(self, quadratic: bool = False, label: str = "label", reg: float = 1e-6):
-        self.quadratic, self.label, self.reg = quadratic, label, reg
-        self.classes: list = []
-        self.params: list = []
-
-    def fit(self, df: DataFrame) -> DiscriminantModel:
-        feats = df.select(self.label, vector_to_array(FEATURES).alias("_x"))
-        d = len(feats.select("_x").first()[0])
-        outer = F.transform(F.sequence(F.lit(0), F.lit(d * d - 1)),
-                            lambda i: F.element_at("_x", (i / d).cast("int") + 1) * F.element_at("_x", (i % d) + 1))
-        mom = feats.select(self.label, array_to_vector("_x").alias("_v"), array_to_vector(outer).alias("_o"))
-        rows = (mom.groupBy(self.label)
-                   .agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("_v")).alias("s"),
-                        Summarizer.sum(F.col("_o")).alias("ss"))
-                   .orderBy(self.label).collect())  # one row per class: d + d*d numbers
-        total = sum(r["n"] for r in rows)
-        pooled = np.zeros((d, d))
-        stats = []
-        for r in rows:
-            n, s, ss = r["n"], r["s"].toArray(), r["ss"].toArray().reshape(d, d)
-            mu = s / n
-            scatter = ss - n * np.outer(mu, mu)
-            stats.append((r[self.label], n, mu, scatter))
-            pooled += scatter
-        pooled /= max(total - len(rows), 1)
-        self.classes, self.params = [], []
-        for c, n, mu, scatter in stats:
-            cov = pooled if not self.quadratic else scatter / max(n - 1, 1)
-            cov = cov + self.reg * np.eye(d)
-            inv = np.linalg.inv(cov)
-            _, logdet = np.linalg.slogdet(cov)
-            self.classes.append(c)
-            self.params.append((mu, inv, logdet, np.log(n / total)))
-        return self
-
-    def _score(self, x: list[Column], k: int) -> Column:
-        mu, inv, logdet, prior = self.params[k]
-        if not self.quadratic:
-            w = inv @ mu
-            b = -0.5 * mu @ inv @ mu + prior
-            return sum((F.lit(float(w[j])) * x[j] for j in range(len(x))), F.lit(float(b)))
-        diff = [x[j] - F.lit(float(mu[j])) for j in range(len(x))]
-        quad = sum((F.lit(float(inv[i, j])) * diff[i] * diff[j] for i in range(len(x)) for j in range(len(x))),
-                   F.lit(0.0))
-        return F.lit(float(prior - 0.5 * logdet)) - 0.5 * quad
-
-    def _quadratic_scores(self):
-        """Arrow-batched scorer for the quadratic case: d*d terms per class
-        are too many for a column expression, so each batch is scored with
-        one numpy einsum per class."""
-        params = [(np.asarray(mu), np.asarray(inv), float(logdet), float(prior))
-                  for mu, inv, logdet, prior in self.params]
+# ---------------------------------------------------------------- own models
+
+class StateModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """A ``pyspark.ml`` model whose parameters are one JSON text, so that it
+    saves, loads and joins pipelines like any other stage.
+
+    Subclasses give ``scores(df, x)``: an array of one number per class, from
+    the features as an array, and whether they are log likelihoods.
+    """
+
+    state = Param(Params._dummy(), "state", "fitted parameters as JSON", typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, state: str = "{}"):
+        super().__init__()
+        self._set(state=state)
+
+    def values(self) -> dict:
+        return json.loads(self.getOrDefault(self.state))
+
+    def scores(self, x: Column) -> Column:
+        raise NotImplementedError(type(self).__name__)
+
+    def probabilities(self, raw: Column) -> Column:
+        """Softmax, stable against large scores."""
+        e = F.transform(raw, lambda v: F.exp(v - F.array_max(raw)))
+        return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("rawPrediction", self.scores(vector_to_array(F.col(FEATURES))))
+        labels = F.array(*[F.lit(float(c)) for c in self.values()["classes"]])
+        return (out.withColumn("probability", self.probabilities(F.col("rawPrediction")))
+                   .withColumn("prediction", F.element_at(labels, cf.argmax_index("rawPrediction") + 1)))
+
+
+class MajorityModel(StateModel):
+    """Predicts the label with the most (weighted) training rows, the smallest on ties."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", F.lit(float(self.values()["value"])))
+
+
+def fit_majority(df: DataFrame, label: str = "label", weight_col: str | None = None) -> MajorityModel:
+    w = F.sum(weight_col) if weight_col else F.count(F.lit(1))
+    top = df.groupBy(label).agg(w.alias("w")).orderBy(F.desc("w"), F.asc(label)).first()
+    if top is None:
+        raise ValueError("no training rows")
+    return MajorityModel(state=json.dumps({"value": top[0]}))
+
+
+def class_moments(df: DataFrame, label: str, weight_col: str | None = None) -> list[tuple]:
+    """``(class, weight, sum, sum of outer products)`` per class.
+
+    Every Arrow batch is reduced to one row per class before anything is
+    shuffled; the rows are added up by an aggregate.
+    """
+    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    rows = df.select(F.col(label).cast("double").alias("c"), w.alias("w"), vector_to_array(F.col(FEATURES)).alias("x"))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+            out = [(float(k), float(w[c == k].sum()), (w[c == k] @ x[c == k]).tolist(),
+                    ((x[c == k] * w[c == k, None]).T @ x[c == k]).ravel().tolist()) for k in np.unique(c)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out, strict=True)], names=["c", "w", "s", "ss"])
+
+    parts = rows.mapInArrow(reduce, "c double, w double, s array<double>, ss array<double>")
+    found = (parts.select("c", "w", array_to_vector("s").alias("s"), array_to_vector("ss").alias("ss")).groupBy("c")
+                  .agg(F.sum("w").alias("w"), Summarizer.sum(F.col("s")).alias("s"), Summarizer.sum(F.col("ss")).alias("ss"))
+                  .orderBy("c").collect())  # a row per class
+    d = len(found[0]["s"]) if found else 0
+    return [(r["c"], r["w"], r["s"].toArray(), r["ss"].toArray().reshape(d, d)) for r in found]
+
+
+def _linear(x: Column, weights: list[list[float]], offsets: list[float]) -> Column:
+    products = [F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.lit(b)
+                for w, b in zip(weights, offsets, strict=True)]
+    return F.array(*products)
+
+
+class LinearScores(StateModel):
+    """One linear score per class."""
+
+    def scores(self, x: Column) -> Column:
+        v = self.values()
+        return _linear(x, v["weights"], v["offsets"])
+
+
+class QuadraticModel(StateModel):
+    """Log density of each class with its own covariance.  d * d terms per
+    class are too many for a column expression: Arrow batches, one einsum each."""
+
+    def scores(self, x: Column) -> Column:
+        params = [(np.array(m), np.array(i), float(o)) for m, i, o in self.values()["params"]]
 
         @F.pandas_udf("array<double>")
-        def qda_scores(xs: pd.Series) -> pd.Series:
-            x = np.vstack(xs.to_numpy()).astype(float)
-            out = np.empty((x.shape[0], len(params)))
-            for k, (mu, inv, logdet, prior) in enumerate(params):
-                diff = x - mu
-                out[:, k] = prior - 0.5 * logdet - 0.5 * np.einsum("ij,jk,ik->i", diff, inv, diff)
-            return pd.Series(list(out))
-        return qda_scores
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        arr = vector_to_array(FEATURES)
-        d = len(self.params[0][0])
-        tmp = df.withColumn("_xa", arr)
-        if self.quadratic:
-            scores = self._quadratic_scores()(F.col("_xa"))
+        def densities(xs: pd.Series) -> pd.Series:
+            rows = np.vstack(xs.to_numpy()).astype(float)
+            out = [o - 0.5 * np.einsum("ij,jk,ik->i", rows - m, i, rows - m) for m, i, o in params]
+            return pd.Series(list(np.column_stack(out)))
+        return densities(x)
+
+
+def fit_discriminant(df: DataFrame, quadratic: bool = False, label: str = "label", weight_col: str | None = None,
+                     reg: float = 1e-6) -> StateModel:
+    """Linear (pooled covariance) or quadratic (per-class covariance) discriminant analysis."""
+    found = class_moments(df, label, weight_col)
+    total, d = sum(w for _, w, _, _ in found), len(found[0][2])
+    scatter = [ss - np.outer(s, s) / w for _, w, s, ss in found]
+    pooled = sum(scatter) / max(total - len(found), 1)
+    classes, weights, offsets, params = [c for c, *_ in found], [], [], []
+    for (_, w, s, _), own in zip(found, scatter, strict=True):
+        mu = s / w
+        cov = (own / max(w - 1, 1) if quadratic else pooled) + reg * np.eye(d)
+        inv = np.linalg.inv(cov)
+        if quadratic:
+            params.append((mu.tolist(), inv.tolist(), float(np.log(w / total) - 0.5 * np.linalg.slogdet(cov)[1])))
         else:
-            x = [F.col("_xa")[j] for j in range(d)]
-            scores = F.array(*[self._score(x, k) for k in range(len(self.classes))])
-        cls = F.array(*[F.lit(float(c)) for c in self.classes])
-        return (tmp.withColumn("rawPrediction", scores)
-                   .withColumn("prediction", F.element_at(cls, cf.argmax_index("rawPrediction") + 1))
-                   .drop("_xa"))
-
-
-class RidgeOvR:
-    """One ridge regression per class on a +1/-1 target, argmax of the
-    k scores (each fit is a distributed normal-equation solve)."""
-
-    def __init__(self, reg: float = 1.0, label: str = "label"):
-        self.reg, self.label = reg, label
-        self.models: list = []
-
-    def fit(self, df: DataFrame) -> RidgeOvR:
-        classes = [r[0] for r in df.select(self.label).distinct().orderBy(self.label).collect()]
-        self.models = []
-        for c in classes:
-            t = df.withColumn("_t", F.when(F.col(self.label) == c, 1.0).otherwise(-1.0))
-            lr = LinearRegression(featuresCol=FEATURES, labelCol="_t", regParam=self.reg, elasticNetParam=0.0,
-                                  solver="normal", standardization=False)
-            self.models.append((c, lr.fit(t)))
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for i, (_, m) in enumerate(self.models):
-            out = m.setPredictionCol(f"_s{i}").transform(out)
-        scores = F.array(*[F.col(f"_s{i}") for i in range(len(self.models))])
-        cls = F.array(*[F.lit(float(c)) for c, _ in self.models])
-        out = out.withColumn("rawPrediction", scores).withColumn(
-            "prediction", F.element_at(cls, cf.argmax_index("rawPrediction") + 1))
-        return out.drop(*[f"_s{i}" for i in range(len(self.models))])
-
-
-class AdaBoostSAMME:
-    """SAMME boosting over weighted decision stumps; sample weights are a
-    column updated per round, and lineage is cut each round (reliable
-    checkpoint) so a lost executor never replays earlier rounds."""
-
-    def __init__(self, rounds: int = 5, depth: int = 1, label: str = "label", seed: int = 42):
-        self.rounds, self.depth, self.label, self.seed = rounds, depth, label, seed
-        self.stages: list = []
-        self.classes: list = []
-
-    def fit(self, df: DataFrame) -> AdaBoostSAMME:
-        self.classes = [r[0] for r in df.select(self.label).distinct().orderBy(self.label).collect()]
-        k = len(self.classes)
-        cur = df.select(self.label, FEATURES).withColumn("_w", F.lit(1.0))
-        self.stages = []
-        for m in range(self.rounds):
-            tree = DecisionTreeClassifier(maxDepth=self.depth, labelCol=self.label, featuresCol=FEATURES,
-                                          weightCol="_w", seed=self.seed + m).fit(cur)
-            pred = tree.transform(cur).withColumn("_miss", (F.col("prediction") != F.col(self.label)).cast("double"))
-            r = pred.agg((F.sum(F.col("_w") * F.col("_miss")) / F.sum("_w")).alias("err")).first()
-            err = min(max(r["err"], 1e-10), 1 - 1e-10)
-            alpha = float(np.log((1 - err) / err) + np.log(k - 1)) if k > 1 else 1.0
-            if err >= 1 - 1.0 / k:
-                break
-            self.stages.append((tree, alpha))
-            cur = cut_lineage(pred.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss")))
-                                  .select(self.label, FEATURES, "_w"))
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("_votes", F.array_repeat(F.lit(0.0), len(self.classes)))
-        for i, (tree, alpha) in enumerate(self.stages):
-            out = tree.setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}").transform(out)
-            idx = {c: j for j, c in enumerate(self.classes)}
-            pos = F.create_map(*[x for c, j in idx.items() for x in (F.lit(float(c)), F.lit(j))])[F.col(f"_p{i}")]
-            out = out.withColumn("_votes", F.transform("_votes", lambda v, j: v + F.when(j == pos, F.lit(alpha))
-                                                        .otherwise(F.lit(0.0)))).drop(f"_p{i}", f"_r{i}", f"_q{i}")
-        cls = F.array(*[F.lit(float(c)) for c in self.classes])
-        return out.withColumnRenamed("_votes", "rawPrediction").withColumn(
-            "prediction", F.element_at(cls, cf.argmax_index("rawPrediction") + 1))
+            weights.append((inv @ mu).tolist())
+            offsets.append(float(np.log(w / total) - 0.5 * mu @ inv @ mu))
+    state = {"classes": classes, "params": params} if quadratic else {"classes": classes, "weights": weights, "offsets": offsets}
+    return (QuadraticModel if quadratic else LinearScores)(state=json.dumps(state))
+
+
+def fit_ridge(df: DataFrame, alpha: float = 1.0, label: str = "label", weight_col: str | None = None) -> LinearScores:
+    """Per class a ridge regression with intercept on a +1/-1 target,
+    min sum w (t - b - x.v)^2 + alpha |v|^2, all from one set of moments."""
+    found = class_moments(df, label, weight_col)
+    total, s = sum(w for _, w, _, _ in found), sum(s for *_, s, _ in found)
+    gram = sum(ss for *_, ss in found) - np.outer(s, s) / total + alpha * np.eye(len(s))
+    weights, offsets = [], []
+    for _, w, own, _ in found:
+        target = 2 * w - total  # sum of the target
+        v = np.linalg.solve(gram, (2 * own - s) - s * target / total)
+        weights.append(v.tolist())
+        offsets.append(float(target / total - s @ v / total))
+    return LinearScores(state=json.dumps({"classes": [c for c, *_ in found], "weights": weights, "offsets": offsets}))
+
+
+class StumpVotes(StateModel):
+    """Weighted votes of small trees; the confidence is the share of votes."""
+
+    def scores(self, x: Column) -> Column:
+        v = self.values()
+
+        def leaf(tree, k: int) -> Column:
+            if "class" in tree:
+                return F.lit(1.0 if tree["class"] == k else 0.0)
+            return F.when(x[tree["feature"]] <= tree["threshold"], leaf(tree["left"], k)).otherwise(leaf(tree["right"], k))
+        return F.array(*[sum((F.lit(a) * leaf(t, k) for a, t in v["trees"]), F.lit(0.0)) for k in v["classes"]])
+
+    def probabilities(self, raw: Column) -> Column:
+        return F.transform(raw, lambda v: v / F.greatest(F.aggregate(raw, F.lit(0.0), lambda s, w: s + w), F.lit(1e-300)))
+
+
+def _tree(node) -> dict:
+    """A fitted tree as nested dictionaries (continuous splits)."""
+    if node.subtreeDepth() == 0:
+        return {"class": float(node.prediction())}
+    split = node.split()
+    return {"feature": int(split.featureIndex()), "threshold": float(split.threshold()), "left": _tree(node.leftChild()), "right": _tree(node.rightChild())}
+
+
+def fit_ada(df: DataFrame, rounds: int = 5, depth: int = 1, label: str = "label", seed: int = 42,
+            weight_col: str | None = None) -> StumpVotes:
+    """SAMME boosting over weighted stumps; row weights are a column that
+    is updated per round, and lineage is cut each round (reliable checkpoint)
+    so a lost executor never replays earlier rounds."""
+    classes = [float(r[0]) for r in df.select(label).distinct().orderBy(label).collect()]
+    k = len(classes)
+    now = df.select(label, FEATURES, (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("_w"))
+    trees = []
+    for m in range(rounds):
+        tree = DecisionTreeClassifier(maxDepth=depth, labelCol=label, featuresCol=FEATURES, weightCol="_w", seed=seed + m).fit(now)
+        pred = tree.transform(now).withColumn("_miss", (F.col("prediction") != F.col(label)).cast("double"))
+        err = pred.agg(F.sum(F.col("_w") * F.col("_miss")) / F.sum("_w")).first()[0]
+        err = min(max(err, 1e-10), 1 - 1e-10)
+        if k > 1 and err >= 1 - 1.0 / k and trees:
+            break
+        alpha = max(float(np.log((1 - err) / err) + np.log(k - 1)), 1e-10) if k > 1 else 1.0
+        trees.append((alpha, _tree(tree._java_obj.rootNode())))
+        now = cut_lineage(pred.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).select(label, FEATURES, "_w"))
+    return StumpVotes(state=json.dumps({"classes": classes, "trees": trees}))
+
+
+class NeighbourVotes(StateModel):
+    """Votes of the ``k`` nearest training rows (Euclidean; ties: the row
+    that comes first by key; equal votes: the smaller label).
+
+    The training draw travels to the tasks; :func:`fit_neighbours` holds it to
+    a stated number of rows.  Each batch of rows is compared with the draw in
+    blocks, so no pairs are kept but the k best of each row.
+    """
+
+    def scores(self, x: Column) -> Column:
+        v = self.values()
+        train, y, k = np.array(v["rows"]), np.searchsorted(v["classes"], v["labels"]), v["k"]
+        n = len(v["classes"])
+
+        @F.pandas_udf("array<double>")
+        def votes(xs: pd.Series) -> pd.Series:
+            out = []
+            for i in range(0, len(xs), 64):
+                rows = np.vstack(xs.iloc[i:i + 64].to_numpy()).astype(float)
+                far = np.concatenate([((rows[:, None, :] - train[None, j:j + 2048]) ** 2).sum(axis=2) for j in range(0, len(train), 2048)], axis=1)
+                best = np.argsort(far, axis=1, kind="stable")[:, :k]
+                out += [np.bincount(b, minlength=n).astype(float) for b in y[best]]
+            return pd.Series(out)
+        return votes(x)
+
+    probabilities = StumpVotes.probabilities
+
+
+def fit_neighbours(df: DataFrame, key: str, k: int = 5, label: str = "label", max_rows: int = 100_000) -> NeighbourVotes:
+    """I7 on a bounded draw: at most ``max_rows`` rows, else an error."""
+    rows = df.select(key, F.col(label).cast("double").alias("y"), vector_to_array(F.col(FEATURES)).alias("x")).limit(max_rows + 1).toPandas()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} training rows; draw fewer (G2)")
+    rows = rows.sort_values(key)
+    return NeighbourVotes(state=json.dumps({"classes": sorted(set(rows.y)), "labels": rows.y.tolist(), "rows": [list(map(float, x)) for x in rows.x], "k": k}))
+
+
+def oversample(df: DataFrame, key: str, label: str = "label", k: int = 5, seed: int = 42, max_rows: int = 100_000) -> DataFrame:
+    """H3: each class gets as many rows as the largest by points between a row
+    and one of its ``k`` nearest rows of the class (``synthetic`` marks them).
+
+    Works on a bounded draw: a class, of at most ``max_rows`` rows, is one task.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # a row per class
+    if sum(counts.values()) > max_rows:
+        raise ValueError(f"more than {max_rows} rows; draw fewer (G2)")
+    most = max(counts.values(), default=0)
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(label).cast("double").alias("y"), vector_to_array(F.col(FEATURES)).alias("x"))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key").reset_index(drop=True)
+        x = np.vstack(pdf.x.to_numpy()).astype(float)
+        need, rng = most - len(x), np.random.default_rng([seed, int(pdf.y.iloc[0] * 1000) % (1 << 31)])
+        base = np.arange(need) % len(x)
+        partner = base.copy()
+        if len(x) > 1:
+            for i in np.unique(base):
+                far = ((x - x[i]) ** 2).sum(axis=1)
+                far[i] = np.inf
+                near = np.argsort(far, kind="stable")[:min(k, len(x) - 1)]
+                own = np.flatnonzero(base == i)
+                partner[own] = near[rng.integers(0, len(near), len(own))]
+        new = x[base] + rng.random((need, 1)) * (x[partner] - x[base])
+        made = pd.DataFrame({"key": pdf.key.iloc[base].to_numpy(), "y": pdf.y.iloc[0], "x": list(new), "synthetic": True})
+        return pd.concat([pdf.assign(synthetic=False), made], ignore_index=True)[["key", "y", "x", "synthetic"]]
+
+    out = rows.groupBy("y").applyInPandas(grow, "key long, y double, x array<double>, synthetic boolean")
+    return out.select(F.col("key").alias(key), F.col("y").alias(label), array_to_vector("x").alias(FEATURES), "synthetic")
 
 
 # ---------------------------------------------------------------- fit / predict / leaderboard
 
 def fit_variant(name: str, train: DataFrame, n_features: int, n_classes: int, label: str = "label",
-                seed: int = 42, weight_col: str | None = None):
+                seed: int = 42, weight_col: str | None = None, key: str | None = None):
     if name == "dummy":
-        return MajorityModel(label).fit(train)
-    if name == "lda":
-        return DiscriminantModel(False, label).fit(train)
-    if name == "qda":
-        return DiscriminantModel(True, label).fit(train)
+        return fit_majority(train, label, weight_col)
+    if name in ("lda", "qda"):
+        return fit_discriminant(train, name == "qda", label, weight_col)
     if name == "ridge":
-        return RidgeOvR(1.0, label).fit(train)
+        return fit_ridge(train, 1.0, label, weight_col)
     if name == "ada":
-        return AdaBoostSAMME(5, 1, label, seed).fit(train)
+        return fit_ada(train, 5, 1, label, seed, weight_col)
+    if name == "knn":
+        if weight_col or not key:
+            raise ValueError("the neighbour vote takes a key column and no weights")
+        return fit_neighbours(train, key, 5, label)
     return estimator(name, n_features, n_classes, label, seed, weight_col).fit(train)
 
 
 def predict(model, df: DataFrame) -> DataFrame:
-    """Prediction column, plus confidence = max class probability
-    (or max raw score when the model has no probabilities)."""
+    """Prediction column, plus confidence = the largest class
+    probability.  Where a model has raw scores only (one-vs-rest boosters),
+    they become probabilities by a softmax; a constant model has none."""
     out = model.transform(df)
-    if "probability" in out.columns:
-        out = out.withColumn("confidence", F.array_max(vector_to_array("probability")))
-    elif "rawPrediction" in out.columns:
-        raw = F.col("rawPrediction")
-        arr = raw if dict(out.dtypes)["rawPrediction"].startswith("array") else vector_to_array(raw)
-        out = out.withColumn("confidence", F.array_max(arr))
-    else:
-        out = out.withColumn("confidence", F.lit(None).cast("double"))
-    return out
-
-
-def leaderboard(results: dict[str, tuple[DataFrame, float]], label: str = "label") -> DataFrame:
-    """One row per variant (accuracy, F1 weighted / macro, kappa, MCC,
-    train seconds), best weighted F1 first; failed variants are simply absent."""
-    from civicflow.operators import metrics
-    rows = None
-    for name, (pred, secs) in results.items():
-        m = metrics.summary_metrics(pred.select(F.col(label).cast("double").alias("y"),
-                                                F.col("prediction").cast("double").alias("p")), "y", "p")
-        m = m.select(F.lit(name).alias("model"), "accuracy", "f1_weighted", "f1_macro", "kappa", "mcc",
-                     F.lit(round(secs, 3)).alias("train_seconds"))
-        rows = m if rows is None else rows.unionByName(m)
-    return rows.orderBy(F.desc("f1_weighted"), "model")
-
-
-def train_many(names: Sequence[str], train: DataFrame, test: DataFrame, n_features: int, n_classes: int,
-               label: str = "label", seed: int = 42) -> dict[str, tuple[DataFrame, float]]:
-    """I1-I12 + I17: fit each variant; a failing variant is skipped."""
-    out = {}
+    kinds = dict(out.dtypes)
+    as_array = lambda c: F.col(c) if kinds[c].startswith("array") else vector_to_array(F.col(c))
+    if "probability" in kinds:
+        return out.withColumn("confidence", F.array_max(as_array("probability")))
+    if "rawPrediction" in kinds:
+        raw = as_array("rawPrediction")
+        rest = F.aggregate(raw, F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max(raw)))
+        return out.withColumn("confidence", 1 / rest)
+    return out.withColumn("confidence", F.lit(None).cast("double"))
+
+
+def class_scores(out: DataFrame, n_classes: int) -> DataFrame:
+    """``_scores``: a score per class 0..n-1, for AUC; without any, 1 for the predicted class."""
+    kinds = dict(out.dtypes)
+    for c in ("probability", "rawPrediction"):
+        if c in kinds:
+            return out.withColumn("_scores", F.col(c) if kinds[c].startswith("array") else vector_to_array(F.col(c)))
+    return out.withColumn("_scores", F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda i: (i == F.col("prediction")).cast("double")))
+
+
+def train_many(names: Sequence[str], train: DataFrame, n_features: int, n_classes: int, label: str = "label",
+               seed: int = 42, key: str | None = None, fit: Callable = fit_variant) -> dict[str, tuple[object, float, str | None]]:
+    """``name -> (model, seconds, error)``; a variant that fails has its error and no model."""
+    out: dict[str, tuple[object, float, str | None]] = {}
     for name in names:
-        t0 = time.perf_counter()
+        start = time.perf_counter()
         try:
-            model = fit_variant(name, train, n_features, n_classes, label, seed)
-        except Exception:  # noqa: BLE001 - a failed variant is reported by its absence
-            continue
-        out[name] = (predict(model, test), time.perf_counter() - t0)
+            out[name] = (fit(name, train, n_features, n_classes, label, seed, key=key), time.perf_counter() - start, None)
+        except Exception as e:  # noqa: BLE001 - becomes a row of the leaderboard
+            out[name] = (None, time.perf_counter() - start, f"{type(e).__name__}: {str(e).splitlines()[0][:200]}")
     return out
 
 
-def tune_tree(train: DataFrame, label: str = "label", fold_col: str = "fold", depths=(2, 4, 6, 8, 10),
-              parallelism: int = 4):
-    """Grid / random search over tree depth with k-fold CV on a
-    precomputed stratified fold column (G5), weighted-F1 objective."""
+def leaderboard(fitted: dict[str, tuple[object, float, str | None]], test: DataFrame, n_classes: int, label: str = "label") -> DataFrame:
+    """One row per variant (accuracy, AUC, precision, recall, F1,
+    kappa, MCC, seconds or the error), best weighted F1 first.
+
+    Predictions of all variants are written once; counts and AUC of all of
+    them come from one pass each, with the model as key.
+    """
+    spark = test.sparkSession
+    done = None
+    for name, (model, _, error) in fitted.items():
+        if error is None:
+            rows = class_scores(predict(model, test), n_classes).select(
+                F.lit(name).alias("model"), F.col(label).cast("double").alias("y"), F.col("prediction").cast("double").alias("p"),
+                F.col("_scores").cast("array<double>").alias("_scores"))
+            done = rows if done is None else done.unionByName(rows)
+    info = spark.createDataFrame([(n, float(s), e) for n, (_, s, e) in fitted.items()], "model string, train_seconds double, error string")
+    if done is None:
+        return info
+    done = cut_lineage(done)
+    counts = done.groupBy("model", "y", "p").agg(F.count(F.lit(1)).alias("n"))
+    board = metrics.summary_by(counts, "model", "y", "p")
+    long = done.select("model", "y", F.posexplode("_scores").alias("i", "s")).select(
+        F.concat_ws(":", "model", "i").alias("cls"), (F.col("y") == F.col("i")).cast("int").alias("pos"), F.col("s").alias("score"))
+    auc = metrics.auc_from_long(long, "cls", "pos", "score").where("auc is not null").groupBy(
+        F.substring_index("cls", ":", 1).alias("model")).agg((F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc"))
+    return info.join(board, "model", "left").join(auc, "model", "left").orderBy(F.desc_nulls_last("f1_weighted"), "model")
+
+
+# ---------------------------------------------------------------- tuning
+
+# The search space of the tuned boosters.
+GRID = {"learning_rate": [0.01, 0.05, 0.1, 0.15, 0.2], "depth": [4, 6, 8, 10], "iterations": [50, 100, 200, 300]}
+
+
+def draw_points(grid: dict[str, list], n: int, seed: int = 42) -> list[dict]:
+    """``n`` distinct random points of a grid (all, if it has fewer)."""
+    names = list(grid)
+    sizes = [len(grid[k]) for k in names]
+    order = np.random.default_rng(seed).permutation(int(np.prod(sizes)))[:n]
+    return [dict(zip(names, (grid[k][i] for k, i in zip(names, at, strict=True)), strict=True))
+            for at in (np.unravel_index(int(o), sizes) for o in order)]
+
+
+def boosted_grid(estimator_, points: list[dict]) -> list[dict]:
+    """Grid points as parameter maps of a (one-vs-rest) booster."""
+    inner = estimator_.getClassifier() if isinstance(estimator_, OneVsRest) else estimator_
+    maps = []
+    for p in points:
+        own = {inner.stepSize: p["learning_rate"], inner.maxDepth: p["depth"], inner.maxIter: p["iterations"]}
+        maps.append({estimator_.classifier: inner.copy(own)} if isinstance(estimator_, OneVsRest) else own)
+    return maps
+
+
+def cross_validate(estimator_, param_maps: list[dict], train: DataFrame, label: str = "label", fold_col: str = "fold", parallelism: int = 4):
+    """Cross-validation on given stratified folds, weighted F1; the
+    model's ``foldMetrics`` are the F1 of each fold and point."""
+    data = cut_lineage(train.select(label, FEATURES, fold_col))  # read by every fold and point
+    k = data.agg(F.max(fold_col)).first()[0] + 1
+    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
+    cv = CrossValidator(estimator=estimator_, estimatorParamMaps=param_maps, evaluator=evaluator, foldCol=fold_col, numFolds=int(k),
+                        parallelism=parallelism, seed=42)
+    return cv.fit(data)
+
+
+def cross_validate_variant(name: str, train: DataFrame, n_features: int, n_classes: int, key: str, label: str = "label",
+                           fold_col: str = "fold") -> DataFrame:
+    """Accuracy and F1 of a variant in every fold (one row each)."""
+    data = cut_lineage(train)
+    k = data.agg(F.max(fold_col)).first()[0] + 1
+    out = None
+    for i in range(k):
+        model = fit_variant(name, data.where(F.col(fold_col) != i), n_features, n_classes, label, key=key)
+        rows = predict(model, data.where(F.col(fold_col) == i)).select(F.lit(i).alias(fold_col), F.col(label).alias("y"), F.col("prediction").alias("p"))
+        out = rows if out is None else out.unionByName(rows)
+    counts = out.groupBy(fold_col, "y", "p").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.summary_by(counts, fold_col, "y", "p").select(fold_col, "accuracy", "f1_weighted").orderBy(fold_col)
+
+
+def tune_tree(train: DataFrame, label: str = "label", fold_col: str = "fold", depths=(2, 4, 6, 8, 10), parallelism: int = 4):
+    """I18 on the depth of one tree."""
     dt = DecisionTreeClassifier(labelCol=label, featuresCol=FEATURES, seed=42)
-    grid = ParamGridBuilder().addGrid(dt.maxDepth, list(depths)).build()
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
-    # every (fold, grid point) fit re-reads the input: materialise it once
-    data = train.select(label, FEATURES, fold_col).persist()
-    try:
-        k = data.agg(F.max(fold_col)).first()[0] + 1
-        cv = CrossValidator(estimator=dt, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                            numFolds=int(k), parallelism=parallelism, seed=42)
-        return cv.fit(data)
-    finally:
-        data.unpersist()
+    return cross_validate(dt, ParamGridBuilder().addGrid(dt.maxDepth, list(depths)).build(), train, label, fold_col, parallelism)
 
 
 def keep_if_better(base_acc: float, tuned_acc: float) -> dict:
@@ -334,12 +493,43 @@ def keep_if_better(base_acc: float, tuned_acc: float) -> dict:
 
 
 def save_model(spark, model, path: str, meta: dict) -> None:
-    """Persist a fitted Spark ML model plus a one-row metadata table
-    (feature names, target, counts, timestamp, tuned flag)."""
+    """Persist a fitted model (in a pipeline, if it isn't one) plus a one-row
+    metadata table (feature names, target, counts, timestamp, tuned flag)."""
     from civicflow.sources import save_metadata
-    model.write().overwrite().save(f"{path}/model")
+    stage = model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])
+    stage.write().overwrite().save(f"{path}/model")
     save_metadata(spark, path, meta)
 
 
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(f"{path}/model")
+
+
+def accuracy_of(model, test: DataFrame, label: str = "label") -> float:
+    """J2/J6 of one model."""
+    return metrics.accuracy(predict(model, test).select(F.col(label).cast("double").alias("y"), "prediction"), "y", "prediction").first()["accuracy"]
+
+
+def training_flow(train: DataFrame, test: DataFrame, n_features: int, n_classes: int, key: str, path: str, names: Sequence[str] = VARIANTS,
+                  label: str = "label", min_pct: float = 1.5, tune: Callable | None = None, meta: dict | None = None) -> dict:
+    """E8 class filter -> train all -> evaluate -> save the champion ->
+    tune it -> keep the tuned one only if better, and save it, too.
+
+    ``tune(name, model, train)`` returns a tuned model or None.
+    """
+    from civicflow.operators.categories import min_share_filter
+    train, test = (cut_lineage(t) for t in min_share_filter(train, test, label, min_pct))
+    fitted = train_many(names, train, n_features, n_classes, label, key=key)
+    board = cut_lineage(leaderboard(fitted, test, n_classes, label))
+    best = board.first()["model"]
+    model = fitted[best][0]
+    info = {"model": best, "target": label, "features": n_features, "rows": train.count(), **(meta or {})}
+    spark = train.sparkSession
+    save_model(spark, model, f"{path}/champion", info | {"tuned": False})
+    tuned = tune(best, model, train) if tune else None
+    decision = {"use_tuned": False, "improvement_pct": None}
+    if tuned is not None:
+        decision = keep_if_better(accuracy_of(model, test, label), accuracy_of(tuned, test, label))
+        if decision["use_tuned"]:
+            save_model(spark, tuned, f"{path}/tuned", info | {"tuned": True})
+    return {"leaderboard": board, "champion": best, "model": tuned if decision["use_tuned"] else model, **decision}

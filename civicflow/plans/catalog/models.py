@@ -2,7 +2,8 @@
 
 Train / test = seeded-hash split of the vectors (80 / 20); features = the
 embedding array as a dense vector; label = ``label``.  Results are
-predictions on the test rows (rows-only checks, except the majority model).
+predictions on the test rows; what SQL can't follow has checks of its own
+(a second fit, the majority baseline) with constant answers.
 """
 
 from __future__ import annotations
@@ -11,27 +12,28 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from civicflow import functions as cf
+from civicflow import sources
 from civicflow.operators import metrics, models, split
 from civicflow.plans.catalog import register
-from civicflow.session import table
+from civicflow.session import cut_lineage, table
 
 SEED = 42
 
 
 def _data(spark, sf):
+    """The labelled rows, written once: train, test, number of features and of classes."""
     e = table(spark, sf, "embeddings")
     e = models.with_features(e.withColumn("label", F.col("label").cast("double")), array_col="embedding")
-    u = cf.hash_unit("vec_id", SEED)
-    train, test = e.filter(u < 0.8), e.filter(u >= 0.8)
-    d = len(e.select("embedding").first()[0])
-    k = e.agg(F.max("label")).first()[0]
-    return train, test, d, int(k) + 1
+    e = cut_lineage(e.withColumn("u", cf.hash_unit("vec_id", SEED)))
+    d, k = e.agg(F.max(F.size("embedding")), F.max("label")).first()
+    e = e.drop("embedding")
+    return e.filter("u < 0.8").drop("u"), e.filter("u >= 0.8").drop("u"), d, int(k) + 1
 
 
 def _pred(name):
     def run(spark, sf):
         train, test, d, k = _data(spark, sf)
-        model = models.fit_variant(name, train, d, k, "label", SEED)
+        model = models.fit_variant(name, train, d, k, "label", SEED, key="vec_id")
         out = models.predict(model, test)
         return out.select("vec_id", F.col("label").cast("int").alias("label"),
                           F.col("prediction").cast("int").alias("prediction"), "confidence")
@@ -50,6 +52,98 @@ FROM embeddings, m WHERE {_HASH_TEST} >= 0.8""")(_pred("dummy"))
 for _name in ("dt", "rf", "gbc", "nb", "bernoulli_nb", "mlp", "lda", "qda", "ridge", "ada"):
     register(f"train_{_name}")(_pred(_name))
 
+register("train_knn", f"""
+WITH tr AS (SELECT vec_id, label, embedding FROM embeddings WHERE {_HASH_TEST} < 0.8),
+     te AS (SELECT vec_id, label, embedding FROM embeddings WHERE {_HASH_TEST} >= 0.8),
+     far AS (SELECT te.vec_id, tr.label AS vote, row_number() OVER (PARTITION BY te.vec_id
+               ORDER BY list_sum([power(CAST(te.embedding[i] AS DOUBLE) - CAST(tr.embedding[i] AS DOUBLE), 2) FOR i IN range(1, len(te.embedding) + 1)]),
+                        tr.vec_id) AS r FROM te JOIN tr ON true),
+     votes AS (SELECT vec_id, vote, count(*) AS n FROM far WHERE r <= 5 GROUP BY vec_id, vote),
+     best AS (SELECT vec_id, vote, n, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, vote) AS r FROM votes)
+SELECT te.vec_id, te.label, best.vote AS prediction, best.n / 5.0::DOUBLE AS confidence
+FROM te JOIN best ON best.vec_id = te.vec_id AND best.r = 1""")(_pred("knn"))
+
+_NB_SQL = f"""
+WITH tr AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE {_HASH_TEST} < 0.8),
+     te AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE {_HASH_TEST} >= 0.8),
+     n AS (SELECT label, count(*) AS n FROM embeddings WHERE {_HASH_TEST} < 0.8 GROUP BY label),
+"""
+
+
+@register("nb_labels", _NB_SQL + """
+     m AS (SELECT label, i, avg(x) AS mu, var_pop(x) AS v FROM tr GROUP BY label, i),
+     s AS (SELECT te.vec_id, m.label AS cls, ln(any_value(n.n)) - 0.5 * sum(ln(m.v) + (te.x - m.mu) * (te.x - m.mu) / m.v) AS score
+           FROM te JOIN m ON te.i = m.i JOIN n ON n.label = m.label GROUP BY te.vec_id, m.label)
+SELECT vec_id, CAST(arg_max(cls, score) AS INTEGER) AS prediction FROM s GROUP BY vec_id""")
+def nb_labels(spark, sf):
+    """I5 against the closed form."""
+    return _pred("nb")(spark, sf).select("vec_id", "prediction")
+
+
+@register("bernoulli_nb_labels", _NB_SQL + """
+     m AS (SELECT tr.label, i, (sum(CAST(x > 0 AS INTEGER)) + 1) / (any_value(n.n) + 2.0::DOUBLE) AS q FROM tr JOIN n USING (label) GROUP BY tr.label, i),
+     s AS (SELECT te.vec_id, m.label AS cls, ln(any_value(n.n) + 1) + sum(CASE WHEN te.x > 0 THEN ln(m.q) ELSE ln(1 - m.q) END) AS score
+           FROM te JOIN m ON te.i = m.i JOIN n ON n.label = m.label GROUP BY te.vec_id, m.label)
+SELECT vec_id, CAST(arg_max(cls, score) AS INTEGER) AS prediction FROM s GROUP BY vec_id""")
+def bernoulli_nb_labels(spark, sf):
+    """I6 against the closed form."""
+    return _pred("bernoulli_nb")(spark, sf).select("vec_id", "prediction")
+
+
+_CHECKED = ("dt", "rf", "gbc", "lda", "qda", "ridge", "ada")
+
+
+@register("model_checks", "SELECT unnest([" + ", ".join(f"'{n}'" for n in _CHECKED) + "]) AS model, true AS every_row, true AS same_again, true AS not_below_base")
+def model_checks(spark, sf):
+    """I2-I12 without a closed form in SQL: a prediction for every test row, the
+    same from a second fit, and at least the accuracy of the majority label
+    (five stumps on ten classes: of chance) less the deviation of the test size."""
+    train, test, d, k = _data(spark, sf)
+    base = models.accuracy_of(models.fit_majority(train), test)
+    n = test.count()
+    rows = []
+    for name in _CHECKED:
+        first, again = (models.predict(models.fit_variant(name, train, d, k, key="vec_id"), test).select(
+            "vec_id", "label", F.col("prediction").alias(p)) for p in ("a", "b"))
+        both, same, acc = first.join(again.drop("label"), "vec_id").agg(
+            F.count(F.lit(1)), F.bool_and(F.col("a") == F.col("b")), F.avg((F.col("a") == F.col("label")).cast("double"))).first()
+        least = 1 / k if name == "ada" else base
+        rows.append((name, both == n, bool(same), acc >= least - 2 * (least * (1 - least) / n) ** 0.5 - 0.02))
+    return spark.createDataFrame(rows, "model string, every_row boolean, same_again boolean, not_below_base boolean")
+
+
+@register("oversample", f"""
+WITH tr AS (SELECT label FROM embeddings WHERE {_HASH_TEST} < 0.8 AND NOT (label = 1 AND vec_id % 3 <> 0)), c AS (SELECT label, count(*) AS n FROM tr GROUP BY label)
+SELECT CAST(label AS INTEGER) AS label, n AS given, (SELECT max(n) FROM c) - n AS synthetic FROM c""")
+def oversample(spark, sf):
+    """H3: rows per class after interpolation (class 1 thinned out before)."""
+    train, _, _, _ = _data(spark, sf)
+    out = models.oversample(train.where("not (label = 1 and vec_id % 3 <> 0)"), "vec_id")
+    return out.groupBy(F.col("label").cast("int").alias("label")).agg(
+        F.count_if(~F.col("synthetic")).alias("given"), F.count_if("synthetic").alias("synthetic"))
+
+
+def _binary(spark, sf):
+    """Labelled documents: quality from length and word numbers."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
+        "doc_id", F.col("quality").cast("double").alias("label"), F.col("n_chars").cast("double").alias("a"),
+        F.size(F.split("text", " ")).cast("double").alias("b"), F.size(F.array_distinct(F.split("text", " "))).cast("double").alias("c"),
+        F.length(F.regexp_replace("text", "[a-z ]", "")).cast("double").alias("d"))
+    return cut_lineage(models.with_features(d, ["a", "b", "c", "d"]))
+
+
+@register("boosted_checks", "SELECT unnest(['catboost', 'xgboost']) AS model, true AS every_row, true AS not_below_majority")
+def boosted_checks(spark, sf):
+    """I4: the two large boosters on a binary label."""
+    rows = _binary(spark, sf)
+    train, test = rows.where("doc_id % 4 <> 1"), rows.where("doc_id % 4 = 1")
+    base, n, out = models.accuracy_of(models.fit_majority(train), test), test.count(), []
+    for name in ("catboost", "xgboost"):
+        pred = models.predict(models.fit_variant(name, train, 4, 2), test)
+        m, acc = pred.agg(F.count("prediction"), F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()
+        out.append((name, m == n, acc >= base - 0.05))
+    return spark.createDataFrame(out, "model string, every_row boolean, not_below_majority boolean")
+
 
 @register("train_weighted")
 def train_weighted(spark, sf):
@@ -62,12 +156,33 @@ def train_weighted(spark, sf):
                                               F.col("prediction").cast("int").alias("prediction"), "confidence")
 
 
-@register("leaderboard")
+# All variants but the two large boosters, whose one-vs-rest fits on ten
+# classes take minutes (boosted_checks runs them on two).
+BOARD = tuple(v for v in models.VARIANTS if v not in ("xgboost", "catboost", "mlp"))
+
+
+@register("leaderboard", "SELECT unnest([" + ", ".join(f"'{n}'" for n in (*BOARD, "unknown")) + "]) AS model, unnest([" + ", ".join(
+    ["true"] * len(BOARD) + ["false"]) + "]) AS scored, unnest([" + ", ".join(["false"] * len(BOARD) + ["true"]) + "]) AS failed")
 def leaderboard(spark, sf):
-    """Variants ranked by weighted F1 on the test rows."""
+    """Every variant has a row; one that can't be fitted has its error."""
     train, test, d, k = _data(spark, sf)
-    res = models.train_many(["dummy", "dt", "nb", "lda", "ridge"], train, test, d, k)
-    return models.leaderboard(res)
+    board = models.leaderboard(models.train_many([*BOARD, "unknown"], train, d, k, key="vec_id"), test, k)
+    scores = ("accuracy", "auc", "precision_weighted", "recall_weighted", "f1_weighted", "f1_macro")
+    good = F.lit(True)
+    for c in scores:
+        good = good & F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    return board.select("model", good.alias("scored"), F.col("error").isNotNull().alias("failed"))
+
+
+@register("fold_metrics", """
+SELECT unnest(['0', '1', '2', '3', '4', 'mean', 'std']) AS fold, true AS accuracy_in_range, true AS f1_in_range""")
+def fold_metrics(spark, sf):
+    """Per-fold metrics of the Gaussian variant with mean and deviation."""
+    train, _, d, k = _data(spark, sf)
+    folds = split.stratified_fold_ids(train, "vec_id", "label", k=5, seed=SEED)
+    scores = models.cross_validate_variant("nb", folds, d, k, "vec_id")
+    out = split.fold_summary(scores, ["accuracy", "f1_weighted"])
+    return out.select("fold", F.col("accuracy").between(0, 1).alias("accuracy_in_range"), F.col("f1_weighted").between(0, 1).alias("f1_in_range"))
 
 
 @register("tuned")
@@ -77,8 +192,7 @@ def tuned(spark, sf):
     folds = split.stratified_fold_ids(train, "vec_id", "label", k=5, seed=SEED)
     cv = models.tune_tree(folds, depths=(2, 4, 8), parallelism=4)
     base = models.fit_variant("dt", train, d, k)
-    acc = lambda m: models.predict(m, test).select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-    a0, a1 = acc(base), acc(cv.bestModel)
+    a0, a1 = (models.accuracy_of(m, test) for m in (base, cv.bestModel))
     decision = models.keep_if_better(a0, a1)
     best_depth = cv.bestModel.getOrDefault("maxDepth")
     return spark.createDataFrame([(float(a0), float(a1), int(best_depth), bool(decision["use_tuned"]),
@@ -87,11 +201,29 @@ def tuned(spark, sf):
                                  "improvement_pct double")
 
 
+@register("training_flow", "SELECT true AS champion_leads, true AS champion_loads, true AS tuned_only_if_better")
+def training_flow(spark, sf):
+    """Filter, train, rank, save, tune, keep if better, save."""
+    train, test, d, k = _data(spark, sf)
+    path = sources.scratch_path(spark, "training")
+
+    def tune(name, model, rows):
+        folds = split.stratified_fold_ids(rows, "vec_id", "label", k=3, seed=SEED)
+        return models.tune_tree(folds, depths=(2, 4)).bestModel
+    found = models.training_flow(train, test, d, k, "vec_id", path, ("dummy", "dt", "nb", "lda"), tune=tune)
+    board = found["leaderboard"].collect()
+    loaded = models.load_pipeline(f"{path}/champion")
+    first = max((r for r in board if r["f1_weighted"] is not None), key=lambda r: r["f1_weighted"])
+    return spark.createDataFrame([(first["f1_weighted"] == next(r for r in board if r["model"] == found["champion"])["f1_weighted"],
+                                   abs(models.accuracy_of(loaded, test) - next(r for r in board if r["model"] == found["champion"])["accuracy"]) < 1e-9,
+                                   found["use_tuned"] == ((found["improvement_pct"] or 0) > 0))],
+                                 "champion_leads boolean, champion_loads boolean, tuned_only_if_better boolean")
+
+
 @register("auc_ovr_model")
 def auc_ovr_model(spark, sf):
     """J5 one-vs-rest AUC from a model's class probabilities."""
     train, test, d, k = _data(spark, sf)
     model = models.fit_variant("nb", train, d, k)
     pred = model.transform(test).withColumn("_prob", vector_to_array("probability"))
-    return metrics.auc_ovr(pred.withColumn("label", F.col("label").cast("int")), "label", "_prob", list(range(k)),
-                           bins=10_000)
+    return metrics.auc_ovr(pred.withColumn("label", F.col("label").cast("int")), "label", "_prob", list(range(k)))

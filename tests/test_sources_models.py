@@ -49,3 +49,62 @@ def test_threshold_moving_rates_within_one_bin(spark):
     # every group's selection rate reaches the common rate
     assert all(r.selection_rate >= best - 1e-12 for r in rows)
     assert curve.count() == 21
+
+
+def test_every_own_model_saves_loads_and_takes_weights(spark, tmp_path):
+    import numpy as np
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").withColumn("label", (F.col("label") % 3).cast("double"))
+    e = models.with_features(e, array_col="embedding").withColumn("w", 1.0 + F.col("vec_id") % 2)
+    doubled = e.union(e.where("vec_id % 2 = 1"))
+    for name in ("dummy", "lda", "qda", "ridge", "ada", "knn"):
+        m = models.fit_variant(name, e, 64, 3, key="vec_id")
+        models.save_model(spark, m, str(tmp_path / name), {"model": name})
+        a, b = ([(r.prediction, r.confidence) for r in models.predict(x, e).orderBy("vec_id").collect()]
+                for x in (m, models.load_pipeline(str(tmp_path / name))))
+        assert a == b
+        assert all(c is None or 0 < c <= 1 for _, c in a)
+        if name in ("lda", "qda", "ridge"):
+            # a row of weight 2 counts as two rows
+            one, two = models.fit_variant(name, e, 64, 3, weight_col="w"), models.fit_variant(name, doubled, 64, 3)
+            s1, s2 = ([r.rawPrediction for r in models.predict(x, e).orderBy("vec_id").collect()] for x in (one, two))
+            assert np.allclose(s1, s2)
+
+
+def test_ridge_equals_the_normal_equations(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((300, 3))
+    y = (x @ [1.0, -2.0, 0.5] + 0.3 * rng.standard_normal(300) > 0.2).astype(float)
+    df = models.with_features(spark.createDataFrame([(float(b), [float(v) for v in a]) for a, b in zip(x, y)], "label double, x array<double>"), array_col="x")
+    got = models.fit_ridge(df, alpha=2.0).values()
+    t = 2 * y - 1
+    xc = x - x.mean(axis=0)
+    want = np.linalg.solve(xc.T @ xc + 2.0 * np.eye(3), xc.T @ (t - t.mean()))
+    assert np.allclose(got["weights"][1], want) and np.isclose(got["offsets"][1], t.mean() - x.mean(axis=0) @ want)
+
+
+def test_oversampled_points_lie_between_rows_of_their_class(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    rows = [(i, float(i % 10 == 0), [float(v) for v in rng.standard_normal(2) + 10 * (i % 10 == 0)]) for i in range(100)]
+    df = models.with_features(spark.createDataFrame(rows, "id long, label double, x array<double>"), array_col="x")
+    out = models.oversample(df, "id").collect()
+    new = np.array([r.features.toArray() for r in out if r.synthetic])
+    given = np.array([x for _, y, x in rows if y == 1])
+    assert len(new) == 80 and (new >= given.min(axis=0)).all() and (new <= given.max(axis=0)).all()
+
+
+def test_failed_variant_is_a_row(spark):
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").withColumn("label", (F.col("label") % 2).cast("double"))
+    e = models.with_features(e, array_col="embedding")
+    board = {r.model: r for r in models.leaderboard(models.train_many(["dummy", "nonsense"], e, 64, 2), e, 2).collect()}
+    assert "nonsense" in board["nonsense"].error and board["dummy"].accuracy >= 0.5
+
+
+def test_raw_csv_by_name_with_quotes_and_breaks(spark, tmp_path):
+    p = tmp_path / "wide.csv"
+    p.write_text('Unique Key,Agency,"Complaint Type",Created Date\n1,"A ""B"", C","two\nlines",x\n2,D,,y\n')
+    rows = sources.read_tickets_csv(spark, str(p), ["Created Date", "Complaint Type", "Agency"]).collect()
+    assert [tuple(r) for r in rows] == [("x", "two\nlines", 'A "B", C'), ("y", None, "D")]
+    dim = sources.read_dimension_csv(spark, str(p), "Agency string, `Unique Key` int").collect()
+    assert [tuple(r) for r in dim] == [('A "B", C', 1), ("D", 2)]
