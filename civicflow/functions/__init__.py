@@ -81,9 +81,13 @@ def round_half_even(c, digits: int = 2) -> Column:
     return F.rint(col(c) * F.lit(scale)) / F.lit(scale)
 
 
-def normalize_key(c) -> Column:
-    """Upper-case and trim a join key."""
-    return F.upper(F.trim(col(c)))
+def normalize_key(c, suffix: str | None = None) -> Column:
+    """Upper-case and trim a join key, without a closing ``suffix`` (any case)."""
+    key = F.upper(F.trim(col(c)))
+    if not suffix:
+        return key
+    end = suffix.upper()
+    return F.when(F.endswith(key, F.lit(end)), F.trim(F.substring(key, F.lit(1), F.length(key) - len(end)))).otherwise(key)
 
 
 def alias_or_self(c, aliases: dict[str, str]) -> Column:

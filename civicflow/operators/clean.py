@@ -68,6 +68,11 @@ def select_features(df: DataFrame, features: Sequence[str], target: str | None =
     return df.select(*cols)
 
 
+def zero_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Constant fallback columns where the dimension is absent."""
+    return df.withColumns({c: F.lit(0.0) for c in columns})
+
+
 def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
     """Required columns absent from the schema (schema only, no job)."""
     have = set(df.columns)
@@ -136,12 +141,39 @@ def range_rule(column: str, lo=None, hi=None) -> Rule:
     return (f"{column}_range", pred)
 
 
+# The sets of the domain rules.
+AGENCIES = ("NYPD", "DSNY", "DOT", "DEP", "DOB", "FDNY", "HPD", "DOE")
+VEHICLE_TYPES = ("none", "N/A", "PASSENGER VEHICLE", "TRUCK", "MOTORCYCLE", "BUS", "TAXI", "LIVERY VEHICLE")
+
+
+def ticket_rules(duration: str | None = None, hour: str | None = None, month: str | None = None, weekday: str | None = None,
+                 shares: Sequence[str] = (), zip_code: str | None = None, iso_time: str | None = None,
+                 sets: dict[str, Iterable[str]] | None = None) -> list[Rule]:
+    """The domain rules of a ticket for the columns that are named:
+    non-negative duration, hour 0-23, month 1-12, weekday 0-6, shares within
+    [0, 1] that add up to 1 (to 0.01), five-digit zip code, readable ISO
+    timestamp, membership in fixed sets."""
+    rules: list[Rule] = []
+    for column, lo, hi in ((duration, 0, None), (hour, 0, 23), (month, 1, 12), (weekday, 0, 6), *((s, 0.0, 1.0) for s in shares)):
+        if column:
+            rules.append(range_rule(column, lo, hi))
+    if shares:
+        rules.append(("shares_add_up", F.abs(sum((F.col(s) for s in shares), F.lit(0.0)) - 1.0) < 0.01))
+    if zip_code:
+        rules.append((f"{zip_code}_five_digits", F.col(zip_code).cast("string").rlike("^[0-9]{5}$")))
+    if iso_time:
+        rules.append((f"{iso_time}_iso", cf.parse_timestamp(iso_time).isNotNull()))
+    return rules + [enum_rule(c, allowed) for c, allowed in (sets or {}).items()]
+
+
 # ---------------------------------------------------------------- B3
 
 def year_set_predicate(ts_col: str, years) -> Column:
     """``year(ts) IN years`` written as timestamp ranges, one per run of
-    consecutive years, so the predicate reaches the parquet scan (row-group
-    min/max skipping) instead of being evaluated on every row."""
+    consecutive years.  Parquet skips row groups by them on columns with a
+    time zone; on columns without one Spark filters after the scan, so tables
+    that are filtered by year should be written by
+    :func:`civicflow.sources.write_by_year`."""
     ys = sorted(set(int(y) for y in years))
     if not ys:
         return F.lit(False)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,35 +55,49 @@ class YeoJohnsonGrid:
 
     (ties -> smallest lambda).  All columns x lambdas are scored in ONE
     aggregate; the choice is made on the small (column, lambda) table.
+    ``refine`` more passes divide the step of the grid by five each.
     """
 
-    def __init__(self, columns: Sequence[str], lambdas: Sequence[float] = DEFAULT_LAMBDAS):
-        self.columns, self.lambdas = list(columns), [float(v) for v in lambdas]
+    def __init__(self, columns: Sequence[str], lambdas: Sequence[float] = DEFAULT_LAMBDAS, refine: int = 0):
+        self.columns, self.lambdas, self.refine = list(columns), [float(v) for v in lambdas], refine
         self.table: DataFrame | None = None
         self.best: dict[str, float] = {}
 
-    def scores(self, df: DataFrame) -> DataFrame:
-        aggs = [F.count(F.lit(1)).alias("_n")]
+    def scores(self, df: DataFrame, lambdas: dict[str, list[float]] | None = None) -> DataFrame:
+        """(column_name, lambda, llf): one pass; each column's transforms are one vector with one variance."""
+        lambdas = lambdas or {c: self.lambdas for c in self.columns}
+        aggs = []
         for i, c in enumerate(self.columns):
             x = F.col(c).cast("double")
-            aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"_s{i}"))
-            for j, lam in enumerate(self.lambdas):
-                aggs.append(F.var_pop(yeo_johnson(x, lam)).alias(f"_v{i}_{j}"))
+            known = F.when(x.isNotNull(), array_to_vector(F.array(*[yeo_johnson(x, lam) for lam in lambdas[c]])))
+            aggs += [F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"_s{i}"), F.count(x).alias(f"_n{i}"), Summarizer.variance(known).alias(f"_v{i}")]
         wide = df.agg(*aggs)
-        items = [F.struct(F.lit(c).alias("column_name"), F.lit(lam).alias("lambda"),
-                          F.col(f"_v{i}_{j}").alias("var"), F.col(f"_s{i}").alias("slog"))
-                 for i, c in enumerate(self.columns) for j, lam in enumerate(self.lambdas)]
-        t = wide.select("_n", F.inline(F.array(*items)))
-        llf = -F.col("_n") / 2.0 * F.log(F.col("var")) + (F.col("lambda") - 1.0) * F.col("slog")
-        return t.select("column_name", "lambda", llf.alias("llf"))
+        items = []
+        for i, c in enumerate(self.columns):
+            n = F.col(f"_n{i}")
+            for j, lam in enumerate(lambdas[c]):
+                var = vector_to_array(F.col(f"_v{i}"))[j] * (n - 1) / n
+                llf = -n / 2.0 * F.log(var) + (F.lit(lam) - 1.0) * F.col(f"_s{i}")
+                items.append(F.struct(F.lit(c).alias("column_name"), F.lit(lam).alias("lambda"), llf.alias("llf")))
+        return wide.select(F.inline(F.array(*items)))
 
     def fit(self, df: DataFrame) -> YeoJohnsonGrid:
-        t = self.scores(df)
+        lambdas, step = {c: self.lambdas for c in self.columns}, max(self.lambdas) - min(self.lambdas)
+        for _ in range(self.refine):  # a finer grid around the best point
+            best = self._choose(self.scores(df, lambdas))
+            step = min(step, min((b - a for x in lambdas.values() for a, b in zip(x, x[1:])), default=step))
+            lambdas = {c: [best[c] + step * i / 5 for i in range(-5, 6)] for c in self.columns}
+        t = self.scores(df, lambdas)
         w = Window.partitionBy("column_name").orderBy(F.desc("llf"), F.asc("lambda"))
         self.table = t.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-        self.best = {r["column_name"]: r["lambda"] for r in self.table.collect()}  # one row per column
+        self.best = self._choose(t)
         return self
 
+    @staticmethod
+    def _choose(scores: DataFrame) -> dict[str, float]:
+        rows = scores.collect()  # a row per column and lambda
+        return {c: min((-r["llf"], r["lambda"]) for r in rows if r["column_name"] == c)[1] for c in {r["column_name"] for r in rows}}
+
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: yeo_johnson(F.col(c).cast("double"), lam) for c, lam in self.best.items()})
 

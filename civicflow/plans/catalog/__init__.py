@@ -13,7 +13,7 @@ from collections.abc import Callable
 _REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 _FAMILIES = ["dates_clean", "enrich", "profile", "categories", "splits", "evaluation",
-             "fairness", "scaling", "models", "scoring", "sources"]
+             "fairness", "scaling", "models", "scoring", "sources", "housekeeping"]
 
 
 def register(name: str, sql: str | None = None):

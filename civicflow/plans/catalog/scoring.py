@@ -16,6 +16,7 @@ from civicflow.operators.joins import literal_table
 from civicflow.plans import scoring
 from civicflow.plans.catalog import register
 from civicflow.plans.catalog.enrich import _DIM_SQL, _SHARE_COLS, _SHARES_SQL, _shares, _zip_dim
+from civicflow.plans.catalog.splits import _split_sql
 from civicflow.session import cut_lineage, table
 
 AS_OF = "2024-02-01 00:00:00"
@@ -240,11 +241,55 @@ def _raw_tickets(spark, sf):
         F.lit("somewhere").alias("Location"))
 
 
-@register("ticket_features")
-def ticket_features(spark, sf):
-    """The whole preparation chain on event-derived tickets."""
+def _dense_sql(column: str) -> str:
+    """Codes of the distinct values in ascending order, null last."""
+    return f"(SELECT {column} AS value, row_number() OVER (ORDER BY {column} NULLS LAST) - 1 AS code FROM (SELECT DISTINCT {column} FROM joined))"
+
+
+_CODED = ("ctype", "agency", "location_type", "vehicle", "borough", "zip")
+_PREPARED_SQL = f"""
+WITH z AS ({_DIM_SQL}), s AS ({_SHARES_SQL}),
+  raw AS (
+  SELECT e.event_id AS ticket_id, e.ts AS created, upper(e.event_type) AS agency, e.event_type AS ctype, p.p_brand AS descriptor,
+         CASE WHEN e.event_id % 7 = 0 THEN 'Other' ELSE 'Street/Sidewalk' END AS location_type, e.user_id % 25 AS zip,
+         CASE WHEN e.event_id % 9 <> 0 THEN z.borough END AS given, CASE WHEN e.event_id % 4 = 0 THEN 'none' ELSE 'CAR' END AS vehicle,
+         round_even(floor(e.value / 10) * 3600000000 / 86400000000.0::DOUBLE * 100, 0) / 100 AS days
+  FROM events e LEFT JOIN part p ON e.user_id + 1 = p.p_partkey LEFT JOIN z ON e.user_id % 25 = z.zip),
+  cleaned AS (SELECT * FROM raw WHERE days IS NULL OR days >= 0),
+  q AS (SELECT quantile_cont(days, 0.25) AS q1, quantile_cont(days, 0.75) AS q3 FROM cleaned),
+  brands AS (SELECT descriptor AS d, count(*) AS n FROM cleaned WHERE descriptor IS NOT NULL GROUP BY 1 ORDER BY n DESC, d LIMIT 50),
+  brand_codes AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS code FROM (
+      SELECT d FROM brands UNION SELECT 'sonstiges' WHERE (SELECT sum(n) FROM brands) < (SELECT count(*) FROM cleaned))),
+  joined AS (SELECT c.* EXCLUDE (given), coalesce(c.given, z.borough) AS borough, {', '.join(f's.{c}' for c in _SHARE_COLS)}
+             FROM cleaned c LEFT JOIN z ON c.zip = z.zip JOIN s ON upper(trim(coalesce(c.given, z.borough))) = upper(trim(s.region)))
+SELECT j.ticket_id, {', '.join(f'CAST({c}_c.code AS INTEGER) AS {name}' for c, name in zip(_CODED, ('Complaint_Type', 'Agency', 'Location_Type', 'Vehicle_Type', 'Borough', 'Incident_Zip')))},
+       least(greatest(j.days, q.q1 - 1.5 * (q.q3 - q.q1)), q.q3 + 1.5 * (q.q3 - q.q1)) AS duration_days,
+       CAST(hour(j.created) AS INTEGER) AS Created_Date_hour, CAST(month(j.created) AS INTEGER) AS Created_Date_month,
+       CAST(isodow(j.created) - 1 AS INTEGER) AS Created_Date_dayofweek,
+       CAST(coalesce(b.code, (SELECT code FROM brand_codes WHERE d = 'sonstiges')) AS INTEGER) AS Descriptor_encoded,
+       {', '.join(f'j.{c}' for c in _SHARE_COLS)}
+FROM joined j CROSS JOIN q LEFT JOIN brand_codes b ON j.descriptor = b.d
+{' '.join(f'JOIN {_dense_sql(c)} {c}_c ON j.{c} IS NOT DISTINCT FROM {c}_c.value' for c in _CODED)}"""
+
+
+def _prepared(spark, sf):
     from civicflow.plans.ticket_prep import TicketColumns, prepare_features
     zips = _zip_dim(spark, sf).select(F.col("zip").alias("ZipCode"), F.col("borough").alias("Borough"))
     shares = _shares(spark, sf).withColumnRenamed("region", "Stadtteil")
-    res = prepare_features(_raw_tickets(spark, sf), zips, shares, TicketColumns(share_cols=list(_SHARE_COLS)))
-    return res.features
+    return prepare_features(_raw_tickets(spark, sf), zips, shares, TicketColumns(share_cols=list(_SHARE_COLS)), key="ticket_id")
+
+
+@register("ticket_features", _PREPARED_SQL)
+def ticket_features(spark, sf):
+    """The whole preparation chain on event-derived tickets."""
+    return _prepared(spark, sf).features
+
+
+@register("ticket_split", f"""
+WITH f AS ({_PREPARED_SQL}), {_split_sql("f", "ticket_id", "Complaint_Type", 66000, 6000).replace("WITH", "", 1)}""")
+def ticket_split(spark, sf):
+    """P1 to its end: G2 on the prepared features."""
+    from civicflow.plans.ticket_prep import split_features
+    train, test = split_features(_prepared(spark, sf).features, "ticket_id", "Complaint_Type")
+    cols = ["ticket_id", "Complaint_Type"]
+    return train.select(*cols, F.lit("train").alias("split")).union(test.select(*cols, F.lit("test").alias("split")))

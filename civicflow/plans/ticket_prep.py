@@ -2,25 +2,21 @@
 features -> exact stratified train / test split.
 
 The order of the steps matters and follows the reference flow; every step is
-one of the library operators, so the whole chain is one lazy plan apart from
-the small fit aggregates (top lists, quartiles, code tables, fill values),
-which are computed once and reused.  The cleaned and the enriched tables,
-each read by several fits, are persisted (memory and disk; a lost executor's
-blocks are recomputed from lineage), and the distinct-value code table is
-written once to the checkpoint folder.  Call ``PrepResult.release()`` after
-the features have been written.
+one of the library operators.  The cleaned and the enriched tables, each read
+by several fits, are written once to the shared folder; the fits (top lists,
+quartiles, codes, fill values) are small dictionaries that can be saved.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicflow.operators import categories as cat
 from civicflow.operators import clean, dates, enrich, profile, split
+from civicflow.session import written
 
 
 @dataclass
@@ -44,16 +40,11 @@ class PrepResult:
     features: DataFrame
     fitted: dict
 
-    def release(self) -> None:
-        """Unpersist the intermediate tables once the features are written."""
-        for d in self.fitted.get("persisted", []):
-            d.unpersist()
-
 
 def prepare_features(raw: DataFrame, zip_dim: DataFrame | None, shares: DataFrame | None,
                      cols: TicketColumns = TicketColumns(), top_types: int = 20, top_descriptors: int = 50,
                      min_location_pct: float = 0.01, iqr_k: float = 1.5, zip_key: str = "ZipCode",
-                     zip_group: str = "Borough", shares_key: str = "Stadtteil") -> PrepResult:
+                     zip_group: str = "Borough", shares_key: str = "Stadtteil", key: str | None = None) -> PrepResult:
     c = cols
     df = clean.drop_if_present(raw, [c.address])                              # Q6: address dropped early
     df = clean.fill_missing_like(df, c.vehicle, "none")                       # B6
@@ -67,10 +58,7 @@ def prepare_features(raw: DataFrame, zip_dim: DataFrame | None, shares: DataFram
     df = clean.drop_missing_key(df, c.zip)                                    # B7
     df = clean.coerce_integer(df, c.zip)                                      # B8
     df = clean.round_columns(df, ["duration_days"], 2)                        # B14 (B11: named directly)
-    # Several fits read the cleaned table: keep it once (recomputed from
-    # lineage only if an executor holding blocks is lost).
-    cleaned = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df = cleaned
+    df = written(df, "cleaned-tickets")
     capper = cat.IQRCapper(["duration_days"], iqr_k).fit(df)                  # E6 on measures only (Q2)
     df = capper.transform(df)
     df = dates.add_date_features(df, [c.created])                             # F1
@@ -82,24 +70,23 @@ def prepare_features(raw: DataFrame, zip_dim: DataFrame | None, shares: DataFram
     if shares is not None:                                                    # C3 (B18 fallback: zeros)
         df = enrich.attach_shares(df, c.borough, shares, shares_key, c.share_cols, missing="drop")
     else:
-        df = df.withColumns({s: F.lit(0.0) for s in c.share_cols})
-    enriched = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df = enriched
+        df = clean.zero_columns(df, c.share_cols)
+    df = written(df, "enriched-tickets")
     text_cols = [c.ctype, c.agency, c.location_type, c.vehicle, c.borough, c.zip]
     codes = cat.DenseCodes([x for x in text_cols if x in df.columns]).fit(df)  # E4
     df = codes.transform(df)
     df = df.drop(c.created)
-    imputer = profile.NullImputer().fit(df)                                   # D12
+    imputer = profile.NullImputer(exclude=[key, c.ctype]).fit(df)                                   # D12
     df = imputer.transform(df)
     df = clean.clip_columns(df, c.share_cols, 0.0, 1.0)                       # B10
     df = clean.clean_column_names(df)                                         # B12
     fitted = {"rare_location": rare, "top_types": top, "iqr": capper, "descriptor": desc, "codes": codes,
-              "imputer": imputer, "persisted": [cleaned, enriched]}
+              "imputer": imputer}
     return PrepResult(df, fitted)
 
 
 def split_features(features: DataFrame, key: str, label: str, seed: int = 42, total: int = 66_000,
                    test: int = 6_000) -> tuple[DataFrame, DataFrame]:
     """Exact 60,000 / 6,000 (or the small-table branch) stratified split."""
-    s = split.exact_stratified_split(features, key, label, seed, total=total, test=test)
+    s = written(split.exact_stratified_split(features, key, label, seed, total=total, test=test), "split")
     return s.filter("split = 'train'").drop("split"), s.filter("split = 'test'").drop("split")

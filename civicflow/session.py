@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder as parquet and read back: for
+    wide tables that several later passes read a few columns of."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/civicflow-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table (parquet) lazily; pruning/pushdown happen at scan."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -160,6 +160,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     w.parquet(path)
 
 
+def write_by_year(df: DataFrame, ts_col: str, path: str) -> None:
+    """Prepared tickets in one folder per year of ``ts_col`` (B3 reads only the folders it needs)."""
+    df.withColumn("year", F.year(ts_col)).write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def read_years(spark: SparkSession, path: str, years: Sequence[int]) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("year").isin([int(y) for y in years]))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """A10: JSON-lines sink (nested structs / maps kept)."""
     df.write.mode("overwrite").json(path)
