@@ -250,3 +250,13 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFram
     linked = good.join(named, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The same rows by comparing all pairs (for tables of valid vectors).
+SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+     link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= {LEAST_COSINE}),
+     reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, min(r.b) AS component_id, vec_id = min(r.b) AS kept
+FROM v JOIN reach r ON r.a = vec_id GROUP BY vec_id
+"""

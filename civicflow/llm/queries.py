@@ -26,6 +26,9 @@ def op2_spherical_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+SQL["op2_spherical_cap_dedup"] = cap_filters.SQL
+
+
 def op3_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summarise(pii.detect(documents(spark, sf_dir).select("doc_id", "text")))
 
@@ -38,6 +41,9 @@ def op5_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
+SQL["op5_debruijn_substrings"] = substrings.SQL
+
+
 def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -233,3 +233,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, with_text:
     cover = (found.join(twice, ["h1", "h2", "n"]).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("cover")))  # of one text
     rows = texts.join(cover, "rid", "left").select("doc_id", "text", "cover")
     return rows.mapInArrow(_remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+
+
+#: The same rows by counting every window.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     win AS (SELECT rid, s, array_to_string(w[s:s + {WINDOW - 1}], ' ') AS g
+             FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS s FROM d WHERE len(w) >= {WINDOW})),
+     twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+     gone AS (SELECT rid, list(DISTINCT p) AS p FROM (SELECT rid, unnest(range(s, s + {WINDOW})) AS p FROM win SEMI JOIN twice USING (g)) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF NOT coalesce(list_contains(p, i), false)], ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid)
+"""
