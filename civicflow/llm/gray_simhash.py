@@ -256,7 +256,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_BITS) ->
     """One row of each group: that of the smallest id (rows with a null id stay)."""
     found = group_documents(docs, shingle, limit)
     kept = materialise(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "kept-ids")
-    kept = kept.select(F.col("doc_id").alias("kept_id"), "times")
+    # the texts are moved at any size of the list of ids, and not sorted
+    kept = kept.select(F.col("doc_id").alias("kept_id"), "times").hint("shuffle_hash")
     rows = packed(docs)
     rows = rows.where("doc_id is null").select("row").union(_first(rows.join(kept, rows.doc_id == kept.kept_id)))
     return rows.select("row.*")
