@@ -27,6 +27,8 @@ from civicflow.llm.common import materialise, slices
 
 END_ID = 1
 MAX_LENGTH = 2048
+#: Rows (one per task and length, of 20 bytes) up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def binary_pieces(n: int, max_length: int = MAX_LENGTH) -> list[tuple[int, int]]:
@@ -92,8 +94,10 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_length: i
     longer = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
     by_length = (counts.groupBy("length").agg(F.sum("n").alias("n"))
                        .select("length", F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("first")))
-    firsts = by_task.join(F.broadcast(by_length), "length").select(
-        "length", "task", (F.col("tasks_before") + F.col("first")).alias("first"))
+    firsts = materialise(by_task.join(F.broadcast(by_length), "length").select(
+        "length", "task", (F.col("tasks_before") + F.col("first")).alias("first")), "firsts")
+    if firsts.count() <= BROADCAST_ROWS:  # else the pieces are shuffled
+        firsts = F.broadcast(firsts)
     return pieces.join(firsts, ["length", "task"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("first") + F.col("local")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),

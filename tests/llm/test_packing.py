@@ -42,3 +42,9 @@ def test_defined_cases(odd, empty):
     assert packing.pack_documents(empty).count() == 0
     with pytest.raises(ValueError):
         packing.pack_documents(odd, max_length=1000)
+
+
+def test_numbers_by_a_shuffle_join(odd, monkeypatch):
+    want = sorted(map(tuple, packing.pack_documents(odd, with_ids=False).collect()), key=str)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, packing.pack_documents(odd, with_ids=False).collect()), key=str) == want
