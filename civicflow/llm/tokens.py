@@ -28,12 +28,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Kept(dict):
-    """Kept words; those of the present texts that aren't kept are looked up in ``now``."""
+    """Kept words; another word is encoded when it is first met in a batch."""
 
-    now: dict[str, bytes] = {}
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+        self.now: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        return self.now[word]
+        ids = self.now.get(word)
+        if ids is None:
+            ids = self.now[word] = self.encode(word)
+            if len(self) < KEPT_WORDS and len(word) <= KEPT_CHARS:
+                self[word] = ids
+        return ids
 
 
 class WordEncoder:
@@ -44,7 +52,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.kept = _Kept()
+        self.kept = _Kept(self._word)
         self.tails: dict[str, bytes] = {"": b""}
         self.letters = _byte_letters()
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -54,53 +62,43 @@ class WordEncoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _one(self, word: str) -> bytes:
+        return b"".join([self.four[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
     def _tail(self, marks: str) -> bytes:
         ids = b"".join([self.four[t.id] for t in self.model.tokenize(marks)])
         if len(self.tails) < 10_000 and len(marks) <= KEPT_CHARS:
             self.tails[marks] = ids
         return ids
 
-    def _new(self, words: set[str]) -> dict[str, bytes]:
+    def _word(self, word: str) -> bytes:
         """Latin letters with closing punctuation are two BPE pieces and need no normaliser; the rest goes to it."""
-        found, slow = {}, []
-        tokenize, four, tails = self.model.tokenize, self.four, self.tails
-        for word in words:
-            core = word.rstrip(_TAIL)
-            letters = core.lower()
-            if not core:
-                ids = b""
-            elif not core.isalpha():
-                slow.append(word)
-                continue
-            elif core.isascii():
-                ids = b"".join([four[t.id] for t in tokenize(letters)])
-            elif max(core) < "ƀ" and "İ" not in core and unicodedata.is_normalized("NFC", core):
-                letters = letters.encode().decode("latin-1").translate(self.letters)
-                ids = b"".join([four[t.id] for t in tokenize(letters)])
-            else:
-                slow.append(word)
-                continue
-            marks = word[len(core):]
-            found[word] = ids + (tails.get(marks) or self._tail(marks)) if marks else ids
-        for i in range(0, len(slow), 4096):
-            part = slow[i:i + 4096]
-            found.update(zip(part, self._direct(part), strict=True))
-        return found
+        core = word.rstrip(_TAIL)
+        if not core:
+            ids = b""
+        elif not core.isalpha():
+            return self._one(word)
+        elif core.isascii():
+            ids = b"".join([self.four[t.id] for t in self.model.tokenize(core.lower())])
+        elif max(core) < "ƀ" and "İ" not in core and unicodedata.is_normalized("NFC", core):
+            letters = core.lower().encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([self.four[t.id] for t in self.model.tokenize(letters)])
+        else:
+            return self._one(word)
+        if len(core) == len(word):
+            return ids
+        marks = word[len(core):]
+        return ids + (self.tails.get(marks) or self._tail(marks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        kept = self.kept
-        odd = [i for i, text in enumerate(texts) if any(c in text for c in _NOT_SPACE)]
-        split = [text.split() for text in texts]
-        for i in odd:
-            split[i] = []
-        new = self._new(set().union(*split).difference(kept))
-        if len(kept) < KEPT_WORDS:
-            kept.update((w, b) for w, b in new.items() if len(w) <= KEPT_CHARS)
-        kept.now = new
-        out = [b"".join(map(kept.__getitem__, words)) for words in split]
-        kept.now = {}
-        for i, ids in zip(odd, self._direct([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+        get = self.kept.__getitem__
+        out = []
+        for text in texts:
+            if any(c in text for c in _NOT_SPACE):
+                out += self._direct([text])
+            else:
+                out.append(b"".join(map(get, text.split())))
+        self.kept.now.clear()
         return out
 
 
