@@ -18,6 +18,7 @@ than a shard's share keeps its shard to itself.
 from __future__ import annotations
 
 import heapq
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,13 +80,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "size_class", F.expr(f"shiftleft(shiftright(group_size, greatest(length(bin(group_size)) - {SIZE_BITS}, 0)),"
                              f" greatest(length(bin(group_size)) - {SIZE_BITS}, 0))"))
     ranked = global_index(groups, [F.desc("size_class"), F.asc("text_key")], "shard-groups")
-    # bounded: SIZE_BITS classes a doubling
+    # bounded: 2 ** (SIZE_BITS - 1) classes a doubling
     histogram = [tuple(r) for r in ranked.groupBy("size_class").agg(F.count(F.lit(1)), F.sum("group_size"), F.min("rank")).collect()]
-    begin = {c: first for c, _, _, first in histogram}
-    plan = [(c, s, begin[c] + first, begin[c] + first + n) for c, s, first, n in schedule([h[:3] for h in histogram], shards)]
-    plan = spark.createDataFrame(plan, "size_class long, shard int, first long, past long")
-    placed = ranked.join(F.broadcast(plan), (ranked.size_class == plan.size_class) & (F.col("rank") >= F.col("first"))
-                         & (F.col("rank") < F.col("past"))).select("text_key", "shard")
+    upto = {c: [0] * shards for c, *_ in histogram}  # groups of a class in the shards up to each one
+    for c, s, _, n in schedule([h[:3] for h in histogram], shards):
+        upto[c][s] = n
+    plan = spark.createDataFrame([(c, first, list(accumulate(upto[c]))) for c, _, _, first in histogram],
+                                 "size_class long, first long, upto array<long>")
+    shard = F.size(F.filter("upto", lambda n: n <= F.col("rank") - F.col("first")))
+    placed = ranked.join(F.broadcast(plan), "size_class").select("text_key", shard.alias("shard"))
     rows = materialise(rows.join(placed, "text_key"), "shard-placed")
     rows = global_index(rows, [F.asc("shard"), F.asc_nulls_first("doc_id"), F.asc("text_key")], "shard-slots")
     starts = rows.groupBy("shard").agg(F.min("rank").alias("start"))  # one row per shard
