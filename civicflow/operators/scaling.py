@@ -47,6 +47,13 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
+def _yeo_johnson_of(x: Column, lam: Column) -> Column:
+    """The same for a lambda that is a column."""
+    pos = F.when(lam == 0, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
+    neg = F.when(lam == 2, -F.log1p(-x)).otherwise(-(F.pow(1.0 - x, 2.0 - lam) - 1.0) / (2.0 - lam))
+    return F.when(x >= 0, pos).otherwise(neg)
+
+
 class YeoJohnsonGrid:
     """H2: per column, the lambda from ``lambdas`` with the largest
     Yeo-Johnson log-likelihood
@@ -64,22 +71,21 @@ class YeoJohnsonGrid:
         self.best: dict[str, float] = {}
 
     def scores(self, df: DataFrame, lambdas: dict[str, list[float]] | None = None) -> DataFrame:
-        """(column_name, lambda, llf): one pass; each column's transforms are one vector with one variance."""
+        """(column_name, lambda, llf): one pass; the transforms of a value are
+        one vector, of which each column has one variance."""
         lambdas = lambdas or {c: self.lambdas for c in self.columns}
-        aggs = []
-        for i, c in enumerate(self.columns):
-            x = F.col(c).cast("double")
-            known = F.when(x.isNotNull(), array_to_vector(F.array(*[yeo_johnson(x, lam) for lam in lambdas[c]])))
-            aggs += [F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"_s{i}"), F.count(x).alias(f"_n{i}"), Summarizer.variance(known).alias(f"_v{i}")]
-        wide = df.agg(*aggs)
-        items = []
-        for i, c in enumerate(self.columns):
-            n = F.col(f"_n{i}")
-            for j, lam in enumerate(lambdas[c]):
-                var = vector_to_array(F.col(f"_v{i}"))[j] * (n - 1) / n
-                llf = -n / 2.0 * F.log(var) + (F.lit(lam) - 1.0) * F.col(f"_s{i}")
-                items.append(F.struct(F.lit(c).alias("column_name"), F.lit(lam).alias("lambda"), llf.alias("llf")))
-        return wide.select(F.inline(F.array(*items)))
+        value = lambda c: F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x"),
+                                   F.array(*[F.lit(lam) for lam in lambdas[c]]).alias("lambdas"))
+        rows = df.select(F.inline(F.array(*[value(c) for c in self.columns]))).where("x is not null")
+        x = F.col("x")
+        # a loop over an array: a CASE per lambda makes a method too long to be compiled
+        transformed = array_to_vector(F.transform("lambdas", lambda lam: _yeo_johnson_of(x, lam)))
+        sums = rows.groupBy("column_name", "lambdas").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("s"), Summarizer.variance(transformed).alias("v"))
+        n = F.col("n")
+        each = sums.select("column_name", "n", "s", F.inline(F.arrays_zip(F.col("lambdas").alias("lambda"), vector_to_array("v").alias("var"))))
+        llf = -n / 2.0 * F.log(F.col("var") * (n - 1) / n) + (F.col("lambda") - 1.0) * F.col("s")
+        return each.select("column_name", "lambda", llf.alias("llf"))
 
     def fit(self, df: DataFrame) -> YeoJohnsonGrid:
         lambdas, step = {c: self.lambdas for c in self.columns}, max(self.lambdas) - min(self.lambdas)

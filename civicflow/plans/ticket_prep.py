@@ -12,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from civicflow.operators import categories as cat
 from civicflow.operators import clean, dates, enrich, profile, split
