@@ -88,3 +88,13 @@ def test_seeded_fold_sizes(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("c"))
     sizes = [r["count"] for r in split.stratified_fold_ids(df, "id", "c", k=10).groupBy("fold").count().collect()]
     assert max(sizes) - min(sizes) <= 3
+
+
+def test_refined_lambda_is_at_least_as_likely(spark):
+    from civicflow.operators.scaling import YeoJohnsonGrid
+    df = spark.range(400).select((F.pow(F.col("id") % 37, F.lit(1.7)) - 20).alias("x"))
+    grid, fine = YeoJohnsonGrid(["x"]), YeoJohnsonGrid(["x"], refine=2)
+    best = {r["lambda"]: r["llf"] for r in grid.fit(df).table.collect()}
+    finer = {r["lambda"]: r["llf"] for r in fine.fit(df).table.collect()}
+    assert abs(fine.best["x"] - grid.best["x"]) <= 0.5 and max(finer.values()) >= max(best.values()) - 1e-9
+    assert fine.transform(df).agg(F.stddev_pop("x")).first()[0] > 0
