@@ -53,7 +53,6 @@ _NAMES = "|".join(_SPELLED)
 _SPELLED_PAIR = re.compile(rf"\b(?:{_NAMES})\b[\s,-]+(?:{_NAMES})\b", re.I)
 _RUN = re.compile(rf"\b(?:{_NAMES}|[0-9]+)(?:(?:[\s,-]+|\s*\.\s*)(?:{_NAMES}|[0-9]+))+\b", re.I)
 _NAME = re.compile(rf"\b(?:{_NAMES})\b", re.I)
-_BETWEEN = re.compile(rf"(?<![^\W_])(?:{_NAMES})(?P<gap>[\s,-]+)(?=(?:{_NAMES})(?![^\W_]))", re.I)
 _PLUS = re.compile(rf"\bplus\s+(?=(?:{_NAMES}|[0-9]))", re.I)
 _BRACKET_AT = re.compile(r"(?<!\s)\s*[\[({<]\s*(?:at|@|a)\s*[\])}>]\s*", re.I)
 _BRACKET_DOT = re.compile(r"(?<!\s)\s*[\[({<]\s*(?:dot|punkt|\.)\s*[\])}>]\s*", re.I)

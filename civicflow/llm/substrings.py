@@ -88,14 +88,14 @@ class Anchors:
         self.at = self.of[np.append(True, self.of[1:] != self.of[:-1])]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
     for batch in slices(batches):
         yield batch, Words([(t or "").encode("utf-8", "replace") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
 
 
 def _anchors(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in _pieces(batches, window):
+        for batch, words in _pieces(batches):
             rolling = Rolling(words, 0)
             at = Anchors(words, rolling, window, k).at
             if not len(at):
@@ -116,7 +116,7 @@ def _anchors(window: int, k: int):
 def _digests(window: int, k: int):
     """Per text, ``marks``: repeated anchors (kind 0) with the spans that settle their windows, and paths (kind 1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in _pieces(batches, window):
+        for batch, words in _pieces(batches):
             rollings = [Rolling(words, w) for w in (0, 1)]
             anchors = Anchors(words, rollings[0], window, k)
             rid = batch.column(0).to_numpy(zero_copy_only=False)
