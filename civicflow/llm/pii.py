@@ -50,8 +50,8 @@ _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
             "eight": "8", "nine": "9"}
 _NAMES = "|".join(_SPELLED)
-_SPELLED_PAIR = re.compile(rf"\b(?:{_NAMES})\b[\s,-]+(?:{_NAMES})\b", re.I)
-_RUN = re.compile(rf"\b(?:{_NAMES}|[0-9]+)(?:(?:[\s,-]+|\s*\.\s*)(?:{_NAMES}|[0-9]+))+\b", re.I)
+_BETWEEN = r"(?:[\s,-]+|\s*\.\s*)"
+_RUN = re.compile(rf"\b(?:{_NAMES}|[0-9]+)(?:{_BETWEEN}(?:{_NAMES}|[0-9]+))+\b", re.I)
 _NAME = re.compile(rf"\b(?:{_NAMES})\b", re.I)
 _PLUS = re.compile(rf"\bplus\s+(?=(?:{_NAMES}|[0-9]))", re.I)
 _BRACKET_AT = re.compile(r"(?<!\s)\s*[\[({<]\s*(?:at|@|a)\s*[\])}>]\s*", re.I)
@@ -60,8 +60,11 @@ _SPELLED_AT = re.compile(r"(?<=[A-Za-z0-9_])(?:\s+at\s+|\s*@\s*|_at_)(?=[A-Za-z0
 _SPELLED_DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+dot\s+|_dot_)(?=[A-Za-z0-9])", re.I)
 #: What follows a spelled "at": a domain with a spelled "dot" and a short last part.
 _SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{2,4}\b", re.I)
-_WIDE = re.compile("[\u0250-\U0010ffff\xad\xa0\xb7\u0131]")
-_DISGUISE = re.compile(r"\bdot\b|[\[({<]\s*(?:at|@|a|\.)\s*[\])}>]|\s@|@\s", re.I)
+# What every match of the patterns above that changes a text contains, in small letters.
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|a|dot|punkt|\.)\s*[\])}>]")
+_LOOSE_AT = re.compile(r"\s@|@\s")
+_LOOSE_DOT = re.compile(r"\sdot\s|_dot_")
+_THREE_NAMES = re.compile(rf"\b(?:{_NAMES})(?:{_BETWEEN}(?:[0-9]+{_BETWEEN})*(?:{_NAMES})){{2}}\b")
 
 
 class _Characters(dict):
@@ -83,6 +86,8 @@ class _Characters(dict):
 
 
 _CHARACTERS = _Characters()
+#: Characters that the first step changes or drops, with all from U+0250 on.
+_WIDE = re.compile("[\u0250-\U0010ffff" + "".join(c for c in map(chr, range(128, 0x250)) if _CHARACTERS[ord(c)] != ord(c) or _INVISIBLE.match(c)) + "]")
 
 
 class Mapped:
@@ -109,13 +114,27 @@ class Mapped:
         return Mapped("".join([*text, self.text[at:]]), np.concatenate([*starts, own[at:]]), np.concatenate([*ends, past[at:]]))
 
 
+def _wide(text: str) -> bool:
+    return not text.isascii() and _WIDE.search(text) is not None
+
+
+def has_sign(text: str) -> bool:
+    """False only if no step of ``rewritten`` changes the text: the first step that does finds its pattern in the text as it is."""
+    if _wide(text):
+        return True
+    low = text.lower()
+    return bool("@" in low and _LOOSE_AT.search(low) or "dot" in low and _LOOSE_DOT.search(low) or _BRACKETED.search(low)
+                or "plus" in low and _PLUS.search(low) or _THREE_NAMES.search(low))
+
+
 def deobfuscate(text: str) -> Mapped | None:
     """The text in plain characters; None if it has no sign of a disguise."""
-    wide = not text.isascii() and (max(text) > "ɏ" or "­" in text or "·" in text or " " in text or "ı" in text)
-    spelled = _SPELLED_PAIR.search(text)
-    if not (wide or spelled or _DISGUISE.search(text)):
-        return None
-    out = Mapped(text.translate(_CHARACTERS) if wide else text)
+    return rewritten(text) if has_sign(text) else None
+
+
+def rewritten(text: str) -> Mapped:
+    """The text after all steps."""
+    out = Mapped(text.translate(_CHARACTERS) if _wide(text) else text)
     out = out.rewrite([(*m.span(), "") for m in _INVISIBLE.finditer(out.text)])
     out = out.rewrite([(*m.span(), "@") for m in _BRACKET_AT.finditer(out.text)])
     out = out.rewrite([(*m.span(), ".") for m in _BRACKET_DOT.finditer(out.text)])

@@ -67,6 +67,30 @@ def test_clean_or_plain_texts_get_no_added_span(text):
     assert pii.find_added(text, pii.find_plain(text)) == []
 
 
+HIDDEN = {
+    "mail john@example_dot_com now": ("john@example_dot_com", "email"),
+    "mail user@example(punkt)de now": ("user@example(punkt)de", "email"),
+    "host one.two.three.four up": ("one.two.three.four", "ip"),
+    "call plus one 2 three 4 five 5 six 7 eight 9 zero": ("plus one 2 three 4 five 5 six 7 eight 9 zero", "phone"),
+    "call plus 1 212 555 0199 now": ("plus 1 212 555 0199", "phone"),
+    "mail jo\u017f@example (dot) com now": ("jo\u017f@example (dot) com", "email"),
+}
+
+
+@pytest.mark.parametrize("text", HIDDEN)
+def test_disguises_the_pre_filter_must_let_through(text):
+    want, kind = HIDDEN[text]
+    found = pii.find_added(text, pii.find_plain(text))
+    assert [(text[a:b], k) for a, b, k in found] == [(want, kind)]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["a", "x1", "one", "Two", "three", "oh", "2", "44", " ", ".", ",", "-", "@", " at ", "_at_", " dot ", "_dot_", "DOT", "punkt",
+                                 "(", ")", "[", "]", "<", "plus ", "plus", "\n", "com", "é", "\u017f", "\x85", "\xa0", "\u200b", "ß", "\xb7"]), max_size=14).map("".join))
+def test_pre_filter_is_a_superset_of_the_steps(text):
+    assert pii.has_sign(text) or pii.rewritten(text).text == text
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 200_000, " " * 200_000 + "(at)", "a@" * 50_000, "x" * 200_000 + "@", "(" * 100_000 + " dot ", "one " * 30_000, "+1" + "(" * 100_000):
         pii.mask_text(text)
