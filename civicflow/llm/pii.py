@@ -56,10 +56,14 @@ _NAME = re.compile(rf"\b(?:{_NAMES})\b", re.I)
 _PLUS = re.compile(rf"\bplus\s+(?=(?:{_NAMES}|[0-9]))", re.I)
 _BRACKET_AT = re.compile(r"(?<!\s)\s*[\[({<]\s*(?:at|@|a)\s*[\])}>]\s*", re.I)
 _BRACKET_DOT = re.compile(r"(?<!\s)\s*[\[({<]\s*(?:dot|punkt|\.)\s*[\])}>]\s*", re.I)
-_SPELLED_AT = re.compile(r"(?<=[A-Za-z0-9_])(?:\s+at\s+|\s*@\s*|_at_)(?=[A-Za-z0-9-]+(?:\s+dot\s+|\.)[A-Za-z0-9-]+)", re.I)
+_SPELLED_AT = re.compile(r"(?<=[A-Za-z0-9_])(?:\s+at\s+|\s*@\s*|_at_)(?=[A-Za-z0-9-]+(?:\s+dot\s+|_dot_|\.)[A-Za-z0-9-]+)", re.I)
 _SPELLED_DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+dot\s+|_dot_)(?=[A-Za-z0-9])", re.I)
-#: What follows a spelled "at": a domain with a spelled "dot" and a short last part.
-_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{2,4}\b", re.I)
+#: What follows a spelled "at": a domain with a spelled "dot" before the last part.  A last part of five letters or
+#: more does not count where "dot" is a noun by the word before it ("at the dot matrix") or after it ("at sparse dot products").
+_SPELLED_DOMAIN = re.compile(
+    r"(?:[A-Za-z0-9-]+(?:\s+dot\s+|_dot_|\.))*(?:[A-Za-z0-9-]+(?:\s+dot\s+|_dot_)[A-Za-z]{2,4}"
+    r"|(?!(?:the|an?|this|that|these|those|each|every|any|some|no|one|my|your|his|her|its|our|their|polka)\s)"
+    r"[A-Za-z0-9-]+(?:\s+dot\s+|_dot_)(?!(?:matrix|matrices|products?|notation|patterns?|plots?|printers?)\b)[A-Za-z]{5,})(?:\b|(?=_))", re.I)
 # What every match of the patterns above that changes a text contains, in small letters.
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|a|dot|punkt|\.)\s*[\])}>]")
 _LOOSE_AT = re.compile(r"\s@|@\s")

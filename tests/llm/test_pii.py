@@ -84,6 +84,25 @@ def test_disguises_the_pre_filter_must_let_through(text):
     assert [(text[a:b], k) for a, b, k in found] == [(want, kind)]
 
 
+SPELLED_DOMAINS = ["jane at example dot online", "jane at example dot email", "jane at example dot museum", "jane at mail dot example dot cloud", "jane at example dot photography",
+                   "jane at example.co dot travel", "john_at_example_dot_com", "john_at_example_dot_online", "john at example_dot_org", "john_at_mail_dot_example_dot_co_dot_uk",
+                   "john_at_example dot museum", "jane at example dot io"]
+
+
+@pytest.mark.parametrize("address", SPELLED_DOMAINS)
+def test_spelled_domains_of_any_last_part(address):
+    for text in (f"mail {address}, please", f"mail {address}", f"({address}) or call", f"mail _{address}_ now"):
+        found = pii.find_added(text, pii.find_plain(text))
+        assert [(text[a:b].lstrip("_"), k) for a, b, k in found] == [(address, "email")]
+
+
+@pytest.mark.parametrize("text", ["look at the dot matrix printer", "stare at a dot pattern", "good at sparse dot products", "aim at every dot drawn", "laugh at polka dot dresses",
+                                  "look_at_the_file", "at one dot there", "meet at noon dot", "we meet at the corner. Dot arrives", "look at this dot closely",
+                                  "one at example dot 5 apples", "look at each dot product"])
+def test_clean_sentences_beside_spelled_domains(text):
+    assert pii.find_added(text, pii.find_plain(text)) == []
+
+
 @settings(max_examples=1500, deadline=None)
 @given(st.lists(st.sampled_from(["a", "x1", "one", "Two", "three", "oh", "2", "44", " ", ".", ",", "-", "@", " at ", "_at_", " dot ", "_dot_", "DOT", "punkt",
                                  "(", ")", "[", "]", "<", "plus ", "plus", "\n", "com", "é", "\u017f", "\x85", "\xa0", "\u200b", "ß", "\xb7"]), max_size=14).map("".join))
