@@ -115,6 +115,15 @@ def test_long_runs_take_linear_time():
         pii.mask_text(text)
 
 
+def test_texts_that_raised():
+    zeros = "0" * 5000
+    assert pii.find_plain(f"{zeros}.1.1.1") == [(0, 5006, "ip")]
+    assert pii.find_plain(f"1.1.{zeros}.{zeros}255 x") == [(0, 4 + 5000 + 1 + 5003, "ip")]
+    assert pii.find_plain(f"{zeros}256.1.1.1") == [] and pii.find_plain("0" * 200_000 + ".1.1.256") == []
+    text = "call one two f\u0130ve s\u0130x"
+    assert pii.rewritten(text).text == "call 1256"
+
+
 def test_query(spark):
     got = {r.doc_id: r for r in queries.op3_offset_preserving_pii(spark, SF_SMALL).collect()}
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
