@@ -1,10 +1,9 @@
 """Model training, tuning and prediction as Spark ML jobs.
 
 Every variant is fitted by distributed code (tree histograms, treeAggregate
-gradients, class moments added up from Arrow batches); the driver only ever
-holds model parameters.  At 100 TB the training input is the exact stratified
-draw of :mod:`civicflow.operators.split` (tens of thousands of rows), while
-*scoring* runs over the whole table.
+gradients, class moments added up from Arrow batches, neighbours in pairs of
+blocks); the driver only ever holds model parameters.  A caller with very many
+rows can first take the exact stratified draw of :mod:`civicflow.operators.split`.
 """
 
 from __future__ import annotations
@@ -27,12 +26,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicflow import functions as cf
 from civicflow.operators import metrics
+from civicflow.operators.ranks import totals_before
 from civicflow.session import cut_lineage
 
 FEATURES = "features"
@@ -116,7 +116,9 @@ class StateModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("rawPrediction", self.scores(vector_to_array(F.col(FEATURES))))
+        return self._labelled(df.withColumn("rawPrediction", self.scores(vector_to_array(F.col(FEATURES)))))
+
+    def _labelled(self, out: DataFrame) -> DataFrame:
         labels = F.array(*[F.lit(float(c)) for c in self.values()["classes"]])
         return (out.withColumn("probability", self.probabilities(F.col("rawPrediction")))
                    .withColumn("prediction", F.element_at(labels, cf.argmax_index("rawPrediction") + 1)))
@@ -275,74 +277,171 @@ def fit_ada(df: DataFrame, rounds: int = 5, depth: int = 1, label: str = "label"
     return StumpVotes(state=json.dumps({"classes": classes, "trees": trees}))
 
 
+#: Rows of a side in one comparison of :func:`nearest`.
+BLOCK = 8192
+
+
+def _closest(rows: np.ndarray, train: np.ndarray, k: int, differ: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, squared distance)`` of the ``k`` rows of ``train`` closest to each row, the first on ties.
+
+    Inner products choose the candidates, with a margin for rounding; their
+    distances are then sums of squared differences.  ``differ(i, j)`` is false
+    for at most one pair of a row, which does not count.
+    """
+    own, step, out = (train ** 2).sum(axis=1), max(1, (1 << 21) // max(train.shape[1], 1)), []
+    last = min(k + (differ is not None), len(train)) - 1
+    for at in range(0, len(rows), 64):
+        some = rows[at:at + 64]
+        size = (some ** 2).sum(axis=1)
+        about = size[:, None] + own[None, :] - 2 * (some @ train.T)
+        limit = np.partition(about, last, axis=1)[:, last] + 1e-9 * (size + own.max())
+        i, j = np.nonzero(~(about > limit[:, None]))  # what can't be compared stays in
+        far = np.concatenate([((some[i[c:c + step]] - train[j[c:c + step]]) ** 2).sum(axis=1) for c in range(0, len(i), step)])
+        if differ is not None:
+            keep = differ(at + i, j)
+            i, j, far = i[keep], j[keep], far[keep]
+        order = np.lexsort((j, far, i))
+        i, j, far = i[order], j[order], far[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((at + i[first], j[first], far[first]))
+    i, j, far = (np.concatenate(v) for v in zip(*out, strict=True))
+    return i, j, far
+
+
+def _blocks(n: int, cores: int) -> int:
+    return max(-(-n // BLOCK), min(-(-n // 256), cores), 1)
+
+
+def nearest(rows: DataFrame, train: DataFrame, k: int, others: bool = False) -> DataFrame:
+    """``_row`` and ``near``: the ``k`` rows of ``train`` of the same group nearest to each of
+    ``rows``, as structs (far, key, n, y) in this order (``others``: without the row itself).
+
+    ``rows`` has _row, g, x and ``train`` n, g, key, y, x; both are read twice.
+    Each side is dealt into blocks by a hash of its row number, so a group or
+    key of any size is spread out; every pair of blocks of a group is compared
+    in a task, and the k best of each are merged by row.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    rows, train = rows.where("x is not null"), train.where("x is not null")
+    n_rows, n_train = ({r[0]: r[1] for r in side.groupBy("g").count().collect()} for side in (rows, train))  # a row per group
+    sizes = {g: (_blocks(n, cores), _blocks(n_train[g], 1)) for g, n in n_rows.items() if g in n_train}
+    kind = train.schema["key"].dataType.simpleString()
+    if not sizes:
+        return rows.select("_row", F.lit(None).cast(f"array<struct<far:double,key:{kind},n:bigint,y:double>>").alias("near")).limit(0)
+    t, b = (F.create_map(*[F.lit(v) for g, s in sizes.items() for v in (float(g), s[at])])[F.col("g")] for at in (0, 1))
+    parts = min(sum(x * y for x, y in sizes.values()), 100_000)
+
+    def deal(side: DataFrame, number: str, own: str, n: Column, copied: str, m: Column) -> DataFrame:
+        side = side.where(n.isNotNull()).withColumn(own, F.pmod(F.xxhash64(number), n).cast("int"))
+        return side.withColumn(copied, F.explode(F.sequence(F.lit(0), m - 1))).repartition(parts, "g", "_t", "_b")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("key", "ascending"), ("n", "ascending")])
+        row, n, i, j, far = left["_row"].to_numpy(), right["n"].to_numpy(), *[np.empty(0, np.int64)] * 2, np.empty(0)
+        if len(left) and len(right):
+            x, z = (v["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) for v in (left, right))
+            i, j, far = _closest(x, z, k, (lambda i, j: row[i] != n[j]) if others else None)
+        best = right.select(["key", "n", "y"]).take(pa.array(j, pa.int64()))
+        return pa.Table.from_arrays([pa.array(row[i], pa.int64()), pa.array(far, pa.float64()), *best.columns], names=["_row", "far", *best.column_names])
+
+    pairs = deal(rows, "_row", "_t", t, "_b", b).groupBy("g", "_t", "_b").cogroup(deal(train, "n", "_b", b, "_t", t).groupBy("g", "_t", "_b"))
+    found = pairs.applyInArrow(compare, f"_row long, far double, key {kind}, n long, y double")
+    return found.groupBy("_row").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "key", "n", "y"))), 1, k).alias("near"))
+
+
+class _RowsWriter(DefaultParamsWriter):
+    """Saves the training rows of a :class:`NeighbourVotes` beside its parameters."""
+
+    def saveImpl(self, path: str) -> None:  # noqa: N802 - name of pyspark.ml
+        super().saveImpl(path)
+        self.sparkSession.read.parquet(self.instance.values()["rows"]).write.parquet(f"{path}/rows")
+
+
+class _RowsReader(DefaultParamsReader):
+    def load(self, path: str) -> "NeighbourVotes":
+        model = super().load(path)
+        return model._set(state=json.dumps(model.values() | {"rows": f"{path}/rows"}))
+
+
 class NeighbourVotes(StateModel):
     """Votes of the ``k`` nearest training rows (Euclidean; ties: the row
     that comes first by key; equal votes: the smaller label).
 
-    The training draw travels to the tasks; :func:`fit_neighbours` holds it to
-    a stated number of rows.  Each batch of rows is compared with the draw in
-    blocks, so no pairs are kept but the k best of each row.
+    The training rows are a table in the shared folder, of any size; the state
+    holds its path.  A row without features has no prediction.
     """
 
-    def scores(self, x: Column) -> Column:
-        v = self.values()
-        train, y, k = np.array(v["rows"]), np.searchsorted(v["classes"], v["labels"]), v["k"]
-        n = len(v["classes"])
+    def write(self) -> _RowsWriter:
+        return _RowsWriter(self)
 
-        @F.pandas_udf("array<double>")
-        def votes(xs: pd.Series) -> pd.Series:
-            out = []
-            for i in range(0, len(xs), 64):
-                rows = np.vstack(xs.iloc[i:i + 64].to_numpy()).astype(float)
-                far = np.concatenate([((rows[:, None, :] - train[None, j:j + 2048]) ** 2).sum(axis=2) for j in range(0, len(train), 2048)], axis=1)
-                best = np.argsort(far, axis=1, kind="stable")[:, :k]
-                out += [np.bincount(b, minlength=n).astype(float) for b in y[best]]
-            return pd.Series(out)
-        return votes(x)
+    @classmethod
+    def read(cls) -> _RowsReader:
+        return _RowsReader(cls)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        v = self.values()
+        rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+        train = df.sparkSession.read.parquet(v["rows"]).withColumn("g", F.lit(0.0))
+        near = nearest(rows.select("_row", F.lit(0.0).alias("g"), vector_to_array(F.col(FEATURES)).alias("x")), train, v["k"])
+        labels = F.array(*[F.lit(float(c)) for c in v["classes"]])
+        votes = near.select("_row", F.transform(labels, lambda c: F.size(F.filter("near", lambda n: n["y"] == c)).cast("double")).alias("rawPrediction"))
+        return self._labelled(rows.join(votes, "_row", "left").drop("_row"))
 
     probabilities = StumpVotes.probabilities
 
 
-def fit_neighbours(df: DataFrame, key: str, k: int = 5, label: str = "label", max_rows: int = 100_000) -> NeighbourVotes:
-    """I7 on a bounded draw: at most ``max_rows`` rows, else an error."""
-    rows = df.select(key, F.col(label).cast("double").alias("y"), vector_to_array(F.col(FEATURES)).alias("x")).limit(max_rows + 1).toPandas()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} training rows; draw fewer (G2)")
-    rows = rows.sort_values(key)
-    return NeighbourVotes(state=json.dumps({"classes": sorted(set(rows.y)), "labels": rows.y.tolist(), "rows": [list(map(float, x)) for x in rows.x], "k": k}))
+def _numbered(df: DataFrame, key: str, label: str, name: str) -> tuple[DataFrame, str]:
+    """The rows with a label, written once with a number of their own: n, key, y, x; and their path."""
+    from civicflow.sources import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    (df.where(F.col(label).isNotNull())
+       .select(F.monotonically_increasing_id().alias("n"), F.col(key).alias("key"), F.col(label).cast("double").alias("y"), vector_to_array(F.col(FEATURES)).alias("x"))
+       .write.parquet(path))
+    return df.sparkSession.read.parquet(path), path
+
+
+def fit_neighbours(df: DataFrame, key: str, k: int = 5, label: str = "label") -> NeighbourVotes:
+    """The rows with a label, written to the shared folder."""
+    rows, path = _numbered(df, key, label, "neighbours")
+    classes = [r[0] for r in rows.select("y").distinct().orderBy("y").collect()]
+    if not classes:
+        raise ValueError("no training rows")
+    return NeighbourVotes(state=json.dumps({"classes": classes, "rows": path, "k": k}))
 
 
-def oversample(df: DataFrame, key: str, label: str = "label", k: int = 5, seed: int = 42, max_rows: int = 100_000) -> DataFrame:
+def oversample(df: DataFrame, key: str, label: str = "label", k: int = 5, seed: int = 42) -> DataFrame:
     """H3: each class gets as many rows as the largest by points between a row
     and one of its ``k`` nearest rows of the class (``synthetic`` marks them).
 
-    Works on a bounded draw: a class, of at most ``max_rows`` rows, is one task.
+    New points go round the class in the order of the key.  A row that has
+    more than 10,000 of them has them made in several tasks.  Rows without a
+    label are left out.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # a row per class
-    if sum(counts.values()) > max_rows:
-        raise ValueError(f"more than {max_rows} rows; draw fewer (G2)")
+    rows, _ = _numbered(df.withColumn(key, F.col(key).cast("long")), key, label, "oversample")
+    counts = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}  # a row per class
     most = max(counts.values(), default=0)
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(label).cast("double").alias("y"), vector_to_array(F.col(FEATURES)).alias("x"))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key").reset_index(drop=True)
-        x = np.vstack(pdf.x.to_numpy()).astype(float)
-        need, rng = most - len(x), np.random.default_rng([seed, int(pdf.y.iloc[0] * 1000) % (1 << 31)])
-        base = np.arange(need) % len(x)
-        partner = base.copy()
-        if len(x) > 1:
-            for i in np.unique(base):
-                far = ((x - x[i]) ** 2).sum(axis=1)
-                far[i] = np.inf
-                near = np.argsort(far, kind="stable")[:min(k, len(x) - 1)]
-                own = np.flatnonzero(base == i)
-                partner[own] = near[rng.integers(0, len(near), len(own))]
-        new = x[base] + rng.random((need, 1)) * (x[partner] - x[base])
-        made = pd.DataFrame({"key": pdf.key.iloc[base].to_numpy(), "y": pdf.y.iloc[0], "x": list(new), "synthetic": True})
-        return pd.concat([pdf.assign(synthetic=False), made], ignore_index=True)[["key", "y", "x", "synthetic"]]
-
-    out = rows.groupBy("y").applyInPandas(grow, "key long, y double, x array<double>, synthetic boolean")
-    return out.select(F.col("key").alias(key), F.col("y").alias(label), array_to_vector("x").alias(FEATURES), "synthetic")
+    given = rows.select("key", "y", "x", F.lit(False).alias("synthetic"))
+    small = {y: n for y, n in counts.items() if n < most}
+    if small:
+        size = F.create_map(*[F.lit(v) for y, n in small.items() for v in (y, n)])[F.col("y")]
+        ranked = totals_before(rows.where(size.isNotNull()).select("n", "key", "y", F.lit(1).alias("_one")), "y", F.struct("key", "n"), "_one", "_rank")
+        need = F.lit(most) - size
+        base = ranked.withColumn("_made", F.floor(need / size).cast("long") + (F.col("_rank") < need % size).cast("long")).where("_made > 0")
+        base = cut_lineage(base.join(rows.select("n", "x"), "n").select("n", "key", "y", "x", "_rank", "_made"))
+        near = nearest(base.select(F.col("n").alias("_row"), F.col("y").alias("g"), "x"), rows.withColumn("g", F.col("y")), k, others=True)
+        base = base.join(near.withColumnRenamed("_row", "n"), "n", "left")
+        lots = base.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_made") - 1, F.lit(10_000).cast("long"))))
+        each = lots.repartition("n", "_lot").withColumn(
+            "_copy", F.explode(F.sequence(F.col("_lot"), F.least(F.col("_lot") + 10_000, F.col("_made")) - 1)))
+
+        def draw(what: str) -> Column:
+            return F.pmod(F.xxhash64(F.lit(f"{seed}:{what}"), "y", "_rank", "_copy"), F.lit(1 << 40)) / float(1 << 40)
+        picked = each.select("key", "y", "x", draw("part").alias("_u"), F.coalesce(  # a class of one row has no other
+            F.try_element_at("near", (F.floor(draw("near") * F.size("near")) + 1).cast("int"))["n"], F.col("n")).alias("_m"))
+        partner = rows.select(F.col("n").alias("_m"), F.col("x").alias("_z"))
+        made = picked.join(partner, "_m").select("key", "y", F.zip_with("x", "_z", lambda a, b: a + F.col("_u") * (b - a)).alias("x"), F.lit(True).alias("synthetic"))
+        given = given.unionByName(made)
+    return given.select(F.col("key").alias(key), F.col("y").alias(label), array_to_vector("x").alias(FEATURES), "synthetic")
 
 
 # ---------------------------------------------------------------- fit / predict / leaderboard

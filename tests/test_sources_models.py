@@ -94,6 +94,55 @@ def test_oversampled_points_lie_between_rows_of_their_class(spark):
     assert len(new) == 80 and (new >= given.min(axis=0)).all() and (new <= given.max(axis=0)).all()
 
 
+def test_neighbours_in_many_blocks_equal_all_pairs(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(models, "BLOCK", 37)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 4)).round(1)
+    x[::3] = x[0]  # a third of all rows are equal
+    rows = [(i // 2, float(i % 5), [float(v) for v in x[i]]) for i in range(400)]
+    df = models.with_features(spark.createDataFrame(rows, "id long, label double, x array<double>"), array_col="x")
+    train, test = df.where("id < 150"), df.where("id >= 150")
+    model = models.fit_neighbours(train, "id", 5)
+    assert "rows" in model.values() and len(model.getOrDefault("state")) < 1000  # no rows on the driver
+    got = sorted((r.id, r.label, tuple(r.x), r.confidence) for r in models.predict(model, test).collect())
+    far = ((x[300:, None] - x[None, :300]) ** 2).sum(axis=2)
+    want = []
+    for i, d in enumerate(far):
+        order = sorted(range(300), key=lambda j: (d[j], j // 2, j))[:5]
+        votes = np.bincount([int(rows[j][1]) for j in order], minlength=5)
+        want.append((rows[300 + i][0], rows[300 + i][1], tuple(rows[300 + i][2]), votes.max() / 5))
+    assert len(got) == 100 and got == sorted(want)
+
+
+def test_more_than_100000_rows_have_neighbours_and_samples(spark):
+    df = spark.range(100_300).selectExpr("id", "cast(id % 400 < 3 as double) as label", "array(cast(id as double), cast(id % 7 as double)) as x")
+    df = models.with_features(df, array_col="x")
+    out = models.predict(models.fit_neighbours(df, "id", 1), df.where("id % 5000 = 1")).collect()
+    assert len(out) == 21 and all(r.prediction == r.label for r in out)
+    counts = {(r.label, r.synthetic): r["count"] for r in models.oversample(df, "id").groupBy("label", "synthetic").count().collect()}
+    small = sum(i % 400 < 3 for i in range(100_300))
+    assert counts == {(0.0, False): 100_300 - small, (1.0, False): small, (1.0, True): 100_300 - 2 * small}
+
+
+def test_oversampled_partners_are_among_the_nearest(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(models, "BLOCK", 16)
+    rows = [(i, 0.0 if i < 200 else 1.0 if i < 260 else 2.0, [float(i * i % 977), float(i % 13)]) for i in range(261)]
+    df = models.with_features(spark.createDataFrame(rows, "id long, label double, x array<double>"), array_col="x")
+    made = [r for r in models.oversample(df, "id", k=3).collect() if r.synthetic]
+    assert sum(r.label == 1 for r in made) == 140 and sum(r.label == 2 for r in made) == 199
+    assert sorted(np.bincount([r.id - 200 for r in made if r.label == 1], minlength=60)) == [2] * 40 + [3] * 20
+    x = np.array([r[2] for r in rows])
+    for r in made:
+        own = [i for i in range(261) if rows[i][1] == r.label and i != r.id] or [r.id]
+        near = sorted(own, key=lambda i: ((x[i] - x[r.id]) ** 2).sum())
+        least = sorted(((x[i] - x[r.id]) ** 2).sum() for i in near)[:3][-1]
+        p = r.features.toArray() - x[r.id]
+        assert any(((x[i] - x[r.id]) ** 2).sum() <= least and abs(np.cross([*p, 0], [*(x[i] - x[r.id]), 0])).max() < 1e-6
+                   and -1e-9 <= p @ (x[i] - x[r.id]) <= ((x[i] - x[r.id]) ** 2).sum() + 1e-9 for i in near)
+
+
 def test_failed_variant_is_a_row(spark):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").withColumn("label", (F.col("label") % 2).cast("double"))
     e = models.with_features(e, array_col="embedding")
