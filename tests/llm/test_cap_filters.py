@@ -52,6 +52,20 @@ def test_recall_at_the_limit():
     assert (a[:, :, None] == b[:, None, :]).any((1, 2)).mean() >= 0.998
 
 
+@pytest.mark.parametrize("n", [1_000_000, 10_000_000])
+def test_recall_is_kept_at_larger_sizes(n):
+    rng = np.random.default_rng(4)
+    x, z = rng.standard_normal((2, 4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    code = cf.ProductCode(64, cf.directions(n))
+    a, b = code.decode(x), code.decode(0.95 * x + (1 - 0.95**2) ** 0.5 * z)
+    shared = np.array([len(np.intersect1d(u, v)) for u, v in zip(a, b, strict=True)])
+    print(n, code.per_block, code.listed, (shared == 0).sum(), shared.mean())
+    assert (shared > 0).mean() >= 0.9995 and shared.mean() >= 15
+
+
 def test_decoding_lists_the_largest_products():
     code = cf.ProductCode(8, 5)
     x = np.random.default_rng(5).standard_normal((20, 8))
