@@ -73,6 +73,15 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def one_per_turn(rows: DataFrame, mark: str) -> DataFrame:
+    """``turn``, ``mark`` and one ``text`` of each turn (a hash of the id): of several texts the one with the largest hash.
+
+    Rows of a turn are first reduced where they are, so an id repeated in very many rows is no large group.
+    """
+    best = F.max(F.struct(F.col("text").isNotNull().alias("has"), F.xxhash64("text").alias("hash"), "text"))
+    return rows.groupBy("turn", mark).agg(best.alias("best")).select("turn", mark, F.col("best.text").alias("text"))
+
+
 def global_index(df: DataFrame, order: list, what: str, name: str = "rank") -> DataFrame:
     """``df`` with a gapless 0-based position in the given order.
 

@@ -8,8 +8,8 @@ Features are hashed and scaled by the number of words: lower-cased words, runs
 of character classes (4-grams over letters, capitals, digits, single marks) and
 repetition (a word equal to the one before, pairs of words that came before).
 
-The fit takes at most about ``max_rows`` rated rows (a documented bound: a hash
-of ``doc_id`` decides); every document is scored on its whole text.
+The fit takes at most about ``max_rows`` rated ids (a documented bound: a hash
+of ``doc_id`` decides) and one row of each; every document is scored on its whole text.
 
 Defined cases: null or empty texts have no features and get the grade that the
 thresholds alone give, and are rejected by ``select`` (nothing to train on);
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import materialise, slices, with_fields
+from civicflow.llm.common import materialise, one_per_turn, slices, with_fields
 from civicflow.llm.hashing import Words, mix
 from civicflow.llm.toxicity import held_out, sigmoid
 
@@ -170,9 +170,10 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rows:
     if share < 1:
         known = known.where(F.col("turn").cast("double") < share * 2.0 ** 64 - 2.0 ** 63)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-                .select("turn", "grade", F.col("text").cast("string").alias("text"))
+                .select("turn", "grade", F.col("text").cast("string").alias("text")))
+    rows = (one_per_turn(rows, "grade")
                 .mapInArrow(_rows, "turn long, grade int, features binary, of binary"))
-    # max_rows rows: a stated bound
+    # max_rows rows, one of each id: a stated bound
     return materialise(rows.repartition(1).sortWithinPartitions("turn", "features")
                            .mapInArrow(_fit(grades), "feature long, weight double"), "quality-weights")
 

@@ -6,8 +6,8 @@ than letters and digits separate words.  Training runs FTRL-proximal with a
 learning rate per coordinate and L1, which leaves few weights: they are at most
 ``2 ** bits`` numbers and are sent to the scoring tasks.
 
-Training takes at most about ``max_rows`` labelled rows (a documented bound: a
-hash of ``doc_id`` decides), every document is scored on its whole text.
+Training takes at most about ``max_rows`` labelled ids (a documented bound: a
+hash of ``doc_id`` decides) and one row of each, every document is scored on its whole text.
 
 Defined cases: null or empty texts get the score of the bias; null labels or
 null ids are not learned from; a label row repeated with different marks counts
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import materialise, slices, with_fields
+from civicflow.llm.common import materialise, one_per_turn, slices, with_fields
 from civicflow.llm.hashing import Words, mix
 
 BITS = 20
@@ -136,9 +136,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_r
     if share < 1:
         known = known.where(F.col("turn").cast("double") < share * 2.0 ** 64 - 2.0 ** 63)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-                .select("turn", "label", F.col("text").cast("string").alias("text"))
+                .select("turn", "label", F.col("text").cast("string").alias("text")))
+    rows = (one_per_turn(rows, "label")
                 .mapInArrow(_extract(bits), "turn long, label int, features binary"))
-    # max_rows rows: a stated bound
+    # max_rows rows, one of each id: a stated bound
     return materialise(rows.repartition(1).sortWithinPartitions("turn", "features")
                            .mapInArrow(_fit(bits, passes), "feature long, weight double"), "toxicity-weights")
 

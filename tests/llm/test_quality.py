@@ -61,6 +61,14 @@ def test_held_out_accuracy(spark, make):
     assert all(0 <= r.expected_grade <= 2 and 0 <= r.tail_probability <= 1 for r in rows)
 
 
+def test_repeated_ids_count_once_in_the_fit(spark, make):
+    some = [(i, " ".join(words(30, seed=i))) for i in range(120)]
+    marks = spark.createDataFrame([(i, i % 3 // 2) for i, _ in some], "doc_id long, grade int")
+    first = next(i for i in range(120) if zlib.crc32(str(i).encode()) % 3 != 1)
+    once, often = (quality.fit_quality(make(rows), marks) for rows in (some, some + 300 * [some[first]]))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, often.collect()))
+
+
 def test_query_and_defined_cases(spark, odd, empty):
     rows = queries.op10_ordinal_quality(spark, SF_SMALL).collect()
     assert len(rows) == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
