@@ -143,6 +143,16 @@ def test_oversampled_partners_are_among_the_nearest(spark, monkeypatch):
                    and -1e-9 <= p @ (x[i] - x[r.id]) <= ((x[i] - x[r.id]) ** 2).sum() + 1e-9 for i in near)
 
 
+def test_a_booster_that_knows_only_its_own_rows_is_below_the_majority(spark, monkeypatch):
+    from civicflow.plans.catalog import models as catalog
+
+    class Learned:
+        def transform(self, df):
+            return df.withColumn("prediction", F.when(F.col("doc_id") % 4 != 1, F.col("label")).otherwise(1 - F.col("label")))
+    monkeypatch.setattr(models, "fit_variant", lambda *a, **k: Learned())
+    assert [tuple(r) for r in catalog.boosted_checks(spark, SF_SMALL).collect()] == [("catboost", True, False), ("xgboost", True, False)]
+
+
 def test_failed_variant_is_a_row(spark):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").withColumn("label", (F.col("label") % 2).cast("double"))
     e = models.with_features(e, array_col="embedding")
