@@ -85,12 +85,15 @@ def one_per_turn(rows: DataFrame, mark: str) -> DataFrame:
 def global_index(df: DataFrame, order: list, what: str, name: str = "rank") -> DataFrame:
     """``df`` with a gapless 0-based position in the given order.
 
-    The rows are range partitioned (equal keys may be split by the later order
-    columns), numbered inside their partition and shifted by the rows of the
-    partitions before; only one count per partition meets in one task.
+    The rows are range partitioned (rows equal in all columns of the order are
+    split by where they were read), numbered inside their partition and shifted
+    by the rows of the partitions before; only one count per partition meets in
+    one task.
     """
     base = 1 << 33
-    local = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [*order, F.col("_row")]
+    local = (df.withColumn("_row", F.monotonically_increasing_id())
+               .repartitionByRange(*order).sortWithinPartitions(*order).drop("_row")
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_i", F.monotonically_increasing_id() % F.lit(base)))
     local = materialise(local, what)
