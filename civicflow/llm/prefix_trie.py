@@ -359,11 +359,12 @@ def conversation_trie(conversations: DataFrame) -> DataFrame:
         goes_on = containers.where("goes_on").withColumn("below", _digest("head", "piece")).join(below, "below", "left").drop("below")
         paid = containers.where("not goes_on").select("*", *none).unionByName(goes_on.fillna(0, ["more_children", "more_leaves", "more_saved"]))
     nodes = _nodes(paid, edges)
-    everyone = cut.where("p = 0").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"))
+    least, everyone = cut.where("p = 0").agg(F.min("conv_id"), F.count(F.lit(1))).first()
     root = nodes.where("kind = 1 and key = ''").agg(
         F.sum("n_children").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"), F.max("ends").alias("ends"))
-    root = everyone.crossJoin(root).where("n_convs > 0").select(  # one row each
-        "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
+    root = root.where(F.lit(everyone > 0)).select(
+        F.lit(least).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"),
+        F.lit(everyone).cast("long").alias("n_convs"),
         F.coalesce("n_children", F.lit(0)).alias("n_children"), F.when(F.col("n_children") > 0, F.col("n_leaves")).otherwise(1).alias("n_leaves"),
         F.coalesce("saved", F.lit(0)).alias("saved"), F.lit("").alias("head"), "ends")
     every = nodes.where("kind = 0").select(*root.columns).unionByName(root)
