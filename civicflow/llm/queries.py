@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from civicflow.llm import cap_filters, decontam, gray_simhash, packing, pii, prefix_trie, quality, sharding, shallot, substrings, token_blocks, toxicity
+from civicflow.llm import cap_filters, decontam, gray_simhash, license_scan, packing, pii, prefix_trie, quality, sharding, shallot, substrings, token_blocks, toxicity
 from civicflow.llm.common import documents
 from civicflow.session import table
 
@@ -73,6 +73,13 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "expected_grade", "tail_probability", quality.keep().alias("kept"))
 
 
+def op11_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+SQL["op11_license_signatures"] = license_scan.SQL
+
+
 def op12_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shallot.summary(*shallot.cluster_vectors(table(spark, sf_dir, "embeddings")))
 
@@ -89,5 +96,5 @@ SQL["op13_burst_prefix_trie"] = prefix_trie.SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_spaced_seed_decontamination, op2_spherical_cap_dedup, op3_offset_preserving_pii, op4_power_of_two_packing, op5_debruijn_substrings, op6_lpt_sharding, op7_gray_simhash, op8_ftrl_toxicity, op9_pfor_token_files, op10_ordinal_quality,
-                              op12_shallot_clusters, op13_burst_prefix_trie)
+                              op11_license_signatures, op12_shallot_clusters, op13_burst_prefix_trie)
 }
