@@ -33,15 +33,18 @@ def parse_timestamp(c) -> Column:
 
 def to_int_or_null(c) -> Column:
     """Text -> nullable integer; '10001.0' -> 10001, '10001-123' -> null,
-    '10001.5' -> null (not integral)."""
-    d = col(c).try_cast("double")
-    return F.when(d.isNotNull() & ~F.isnan(d) & (d == F.floor(d)), d.cast("long"))
+    '10001.5' -> null (not integral).  Whole numbers never pass through a
+    double, which would change keys above 2^53; a number beyond a bigint is null."""
+    text = col(c).cast("string")
+    exact, wide = text.try_cast("decimal(38,18)"), text.try_cast("double")
+    whole = ~F.isnan(wide) & (wide == F.rint(wide)) & F.coalesce(exact == F.floor(exact), F.lit(True))
+    return F.coalesce(text.try_cast("long"), F.when(whole & (F.abs(wide) < 2.0 ** 63), F.coalesce(exact, wide.try_cast("decimal(38,0)")).try_cast("long")))
 
 
 def digits_or_zero(c) -> Column:
-    """All-digit text -> integer, anything else (incl. null) -> 0."""
+    """All-digit text -> integer, anything else (null, or digits beyond a bigint) -> 0."""
     c = col(c)
-    return F.when(c.rlike("^[0-9]+$"), c.try_cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.coalesce(F.when(c.rlike("^[0-9]+$"), c.try_cast("long")), F.lit(0).cast("long"))
 
 
 def to_number_or_null(c) -> Column:

@@ -148,16 +148,17 @@ VEHICLE_TYPES = ("none", "N/A", "PASSENGER VEHICLE", "TRUCK", "MOTORCYCLE", "BUS
 
 def ticket_rules(duration: str | None = None, hour: str | None = None, month: str | None = None, weekday: str | None = None,
                  shares: Sequence[str] = (), zip_code: str | None = None, iso_time: str | None = None,
-                 sets: dict[str, Iterable[str]] | None = None) -> list[Rule]:
+                 sets: dict[str, Iterable[str]] | None = None, shares_add_up: bool = False) -> list[Rule]:
     """The domain rules of a ticket for the columns that are named:
     non-negative duration, hour 0-23, month 1-12, weekday 0-6, shares within
-    [0, 1] that add up to 1 (to 0.01), five-digit zip code, readable ISO
-    timestamp, membership in fixed sets."""
+    [0, 1], five-digit zip code, readable ISO timestamp, membership in fixed
+    sets.  ``shares_add_up`` also asks that the shares add up to 1 (to 0.01):
+    not so by default, as the shares of overlapping groups come to more."""
     rules: list[Rule] = []
     for column, lo, hi in ((duration, 0, None), (hour, 0, 23), (month, 1, 12), (weekday, 0, 6), *((s, 0.0, 1.0) for s in shares)):
         if column:
             rules.append(range_rule(column, lo, hi))
-    if shares:
+    if shares and shares_add_up:
         rules.append(("shares_add_up", F.abs(sum((F.col(s) for s in shares), F.lit(0.0)) - 1.0) < 0.01))
     if zip_code:
         rules.append((f"{zip_code}_five_digits", F.col(zip_code).cast("string").rlike("^[0-9]{5}$")))

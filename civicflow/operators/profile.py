@@ -91,76 +91,97 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return wide.select(F.inline(pairs)).select("column_name", F.col("nulls").cast("long").alias("nulls"))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles with linear interpolation (D11), per column.
+#: Bins of one interval in a round of :func:`grouped_quantiles`.
+BINS = 1 << 14
+
+
+def _magnitude(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises, the same for values within an eighth of a power of e."""
+    size = F.floor(F.log(F.abs(v)) * 8).cast("int") + 6_000  # above 0 for every double but 0
+    finite = F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
+    return F.when(F.isnan(v), 30_000).when(v == float("inf"), 20_000).when(v == float("-inf"), -20_000).otherwise(finite)
+
+
+def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """``by`` columns, ``n`` and ``quantiles``, an array of exact
+    quantiles with linear interpolation, of every group that has a value.
 
-    The non-null values are counted by value, the distinct values range
-    partitioned and counted per partition (one row each); only the partitions
-    in which a wanted rank falls are read again, so that no task holds all
-    distinct values of a column.
+    The values of a group are counted by value; the wanted ranks of all groups
+    are then narrowed down together: a histogram of magnitudes first, then
+    ``BINS`` equal bins between the least and the greatest value of the bin
+    that holds the rank, until they are the same (six rounds for any doubles).
+    A round is one aggregation over what is left of the values; no task ever
+    holds or sorts a group, only its bins.
     """
+    g, v = F.struct(*by).alias("g"), F.col(value).cast("double").alias("v")
+    counts = cut_lineage(df.select(*by, v).where("v is not null").groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n")).select(g, "v", "n"))
+    sizes = cut_lineage(counts.groupBy("g").agg(F.sum("n").alias("total")))
+    low = [F.floor(F.lit(float(p)) * (F.col("total") - 1)) for p in probs]
+    ranks = F.array_distinct(F.array(*[x for k in low for x in (k, F.least(k + 1, F.col("total") - 1))]))
+    wanted = sizes.select(F.col("g").alias("wg"), F.explode(ranks).alias("rank"))
+
+    def found(bins: DataFrame, part: list[str], targets: DataFrame, same: Column) -> DataFrame:
+        """The bin of each rank: its least and greatest value and the rows before."""
+        upto = F.sum("n").over(Window.partitionBy(*part).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        bins = bins.withColumn("before", F.col("start") + upto - F.col("n"))
+        inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+        return targets.join(bins, same & inside).select("wg", "rank", "least", "most", "before")
+
+    def histogram(rows: DataFrame, part: list[str]) -> DataFrame:
+        return rows.groupBy(*part, "bin").agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+    bins = histogram(counts.withColumn("bin", _magnitude(F.col("v"))), ["g"]).withColumn("start", F.lit(0))
+    state = cut_lineage(found(bins, ["g"], wanted, F.col("wg") == F.col("g")))
+    parts = []
+    while True:
+        open_ = F.col("least") < F.col("most")
+        parts.append(state.where(~open_))
+        state = state.where(open_)
+        if state.isEmpty():
+            break
+        narrow = state.select(F.col("wg").alias("ig"), F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("before").alias("start")).distinct()
+        rows = counts.join(narrow, (F.col("g") == F.col("ig")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        place = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BINS - 1))
+        bins = histogram(rows.withColumn("bin", place), ["g", "lo", "start"])
+        targets = state.select("wg", "rank", F.col("least").alias("at"))
+        state = cut_lineage(found(bins, ["g", "lo"], targets, (F.col("wg") == F.col("g")) & (F.col("at") == F.col("lo"))))
+    values = parts[0]
+    for part in parts[1:]:
+        values = values.unionByName(part)
+    at = values.groupBy("wg").agg(F.map_from_entries(F.collect_list(F.struct("rank", F.col("least")))).alias("at"))  # two for each quantile
+
+    def quantile(p: float, k: Column) -> Column:
+        a, b, rest = F.col("at")[k], F.col("at")[F.least(k + 1, F.col("total") - 1)], F.lit(float(p)) * (F.col("total") - 1) - k
+        return F.when((rest == 0) | (a == b), a).otherwise(a + rest * (b - a))
+    out = sizes.join(at, F.col("wg") == F.col("g"))
+    return out.select("g.*", F.col("total").alias("n"), F.array(*[quantile(p, k) for p, k in zip(probs, low, strict=True)]).alias("quantiles"))
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation (D11), per column: all columns and ranks together."""
     value = lambda c: F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
-    counts = df.select(F.inline(F.array(*[value(c) for c in columns]))).where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut_lineage(counts.repartitionByRange("c", "v").withColumn("p", F.spark_partition_id()))
-    parts = counts.groupBy("c", "p").agg(F.sum("n").alias("n"), F.min("v").alias("v")).orderBy("c", "v").collect()  # a row per partition
-    out: dict[str, list[float | None]] = {}
-    for c in columns:
-        own = [r for r in parts if r["c"] == c]
-        total = sum(r["n"] for r in own)
-        ranks = sorted({r for q in probs for r in (int(q * (total - 1)), min(int(q * (total - 1)) + 1, total - 1))}) if total else []
-        at: dict[int, float] = {}
-        before = 0
-        for r in own:
-            wanted = [k for k in ranks if before <= k < before + r["n"]]
-            if wanted:
-                inside = counts.where((F.col("c") == c) & (F.col("p") == r["p"]))
-                upto = inside.withColumn("upto", F.sum("n").over(Window.orderBy("v")))  # one partition's values
-                for k in wanted:
-                    at[k] = upto.where(F.col("upto") > k - before).agg(F.min("v")).first()[0]
-            before += r["n"]
-        out[c] = []
-        for q in probs:
-            if not total:
-                out[c].append(None)
-                continue
-            exact = q * (total - 1)
-            low, high = at[int(exact)], at[min(int(exact) + 1, total - 1)]
-            out[c].append(low + (exact - int(exact)) * (high - low))
-    return out
+    long = df.select(F.inline(F.array(*[value(c) for c in columns])))
+    rows = grouped_quantiles(long, ["c"], "v", probs).collect()  # a row per column
+    return {c: [None] * len(probs) for c in columns} | {r["c"]: list(r["quantiles"]) for r in rows}
 
 
 def measure_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, min, q1, median, q3, max of a measure.
+    """Count, mean, min, q1, median, q3, max of a measure, for each group of ``by`` or for all rows.
 
     Quartiles are exact with linear interpolation (same as DuckDB
-    ``quantile_cont``).  Values are counted first; within a group the wanted
-    ranks are found by a running count over the sorted distinct values, which
-    spills and never holds a group in memory.  Without ``by`` see
-    :func:`exact_quantiles`.
+    ``quantile_cont``), by :func:`grouped_quantiles`.
     """
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    simple = [F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max")]
     if not by:
         q = exact_quantiles(df, [column], list(probs.values()))[column]
-        out = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
-        return out.select("n", "mean", "min", *[F.lit(v).cast("double").alias(k) for k, v in zip(probs, q, strict=True)], "max")
-    simple = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = simple.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("n").alias("_total"))
+        return df.agg(*simple).select("n", "mean", "min", *[F.lit(v).cast("double").alias(k) for k, v in zip(probs, q, strict=True)], "max")
+    stats = df.groupBy(*by).agg(*simple)
+    found = grouped_quantiles(df, by, column, list(probs.values())).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "quantiles")
     same = F.lit(True)
     for i, c in enumerate(by):
-        same = same & upto[c].eqNullSafe(sizes[f"_by{i}"])
-    rank = lambda p: F.lit(p) * (F.col("_total") - 1)
-    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
-    found = upto.join(sizes, same).groupBy(*[f"_by{i}" for i in range(len(by))], "_total").agg(
-        *[x for k, p in probs.items() for x in (at(F.floor(rank(p))).alias(f"_l_{k}"),
-                                                at(F.least(F.floor(rank(p)) + 1, F.col("_total") - 1)).alias(f"_h_{k}"))])
-    both = F.lit(True)
-    for i, c in enumerate(by):
-        both = both & simple[c].eqNullSafe(found[f"_by{i}"])
-    j = simple.join(found, both, "left")
-    quartile = lambda k, p: F.col(f"_l_{k}") + (rank(p) - F.floor(rank(p))) * (F.col(f"_h_{k}") - F.col(f"_l_{k}"))
-    return j.select(*[simple[c] for c in by], "n", "mean", "min", *[quartile(k, p).alias(k) for k, p in probs.items()], "max")
+        same = same & stats[c].eqNullSafe(found[f"_by{i}"])
+    return stats.join(found, same, "left").select(*[stats[c] for c in by], "n", "mean", "min", *[F.col("quantiles")[i].alias(k) for i, k in enumerate(probs)], "max")
 
 
 # ---------------------------------------------------------------- D12: imputation

@@ -56,13 +56,17 @@ def preview(spark, sf):
 
 
 @register("dimension_csv", """
-SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS n_regionkey, n_name FROM nation""")
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS c_nationkey, c_name, n_name FROM customer
+LEFT JOIN nation ON c_custkey % 2 = 0 AND c_nationkey = n_nationkey""")
 def dimension_csv(spark, sf):
-    """A4: another column order, an unreadable number."""
-    path = sources.scratch_path(spark, "dimension")
-    sources.write_csv(table(spark, sf, "nation").select("n_name", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey").cast("string")).otherwise("?")
-                                                        .alias("n_regionkey"), "n_nationkey"), path)
-    return sources.read_dimension_csv(spark, path, "n_nationkey int, n_regionkey int, n_name string")
+    """A4: two dimension files with another column order, one with unreadable numbers, joined."""
+    path, nations = sources.scratch_path(spark, "dimension"), sources.scratch_path(spark, "nations")
+    key = F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")).otherwise("?").alias("c_nationkey")
+    sources.write_csv(table(spark, sf, "customer").select("c_name", key, "c_custkey"), path)
+    sources.write_csv(table(spark, sf, "nation").select("n_name", "n_regionkey", "n_nationkey"), nations)
+    customers = sources.read_dimension_csv(spark, path, "c_custkey long, c_nationkey int, c_name string")
+    names = sources.read_dimension_csv(spark, nations, "n_nationkey int, n_name string")
+    return customers.join(names, F.col("c_nationkey") == F.col("n_nationkey"), "left").drop("n_nationkey")
 
 
 @register("train_test_load", """
@@ -118,11 +122,11 @@ def metric_text(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", cf.to_number_or_null(text).alias("value"))
 
 
-@register("suffix_key", "SELECT n_nationkey, 'NATION_' || n_nationkey AS key FROM nation")
+@register("suffix_key", "SELECT c_custkey, upper(c_name) AS key FROM customer")
 def suffix_key(spark, sf):
     """A closing suffix goes, whatever its case."""
-    name = F.concat(F.lit("  "), F.lower("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(" County ")).otherwise(F.lit("")))
-    return table(spark, sf, "nation").select("n_nationkey", cf.normalize_key(name, "county").alias("key"))
+    name = F.concat(F.lit("  "), F.lower("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.lit(" County ")).otherwise(F.lit("")))
+    return table(spark, sf, "customer").select("c_custkey", cf.normalize_key(name, "county").alias("key"))
 
 
 @register("required_columns", "SELECT unnest(['Agency', 'Incident_Zip']) AS missing, count(*) AS rows FROM customer")
@@ -150,7 +154,7 @@ def domain_rules(spark, sf):
         ((k % 3) / 2.0).alias("a"), (1 - (k % 4) / 2.0).alias("b"), (F.col("o_custkey") * 100).alias("zip"),
         F.when(k % 9 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon").alias("time"),
         F.when(k % 2 == 0, "NYPD").otherwise("XXXX").alias("agency"))
-    return clean.rule_report(t, clean.ticket_rules("days", "hour", "month", "weekday", ["a", "b"], "zip", "time", {"agency": clean.AGENCIES}))
+    return clean.rule_report(t, clean.ticket_rules("days", "hour", "month", "weekday", ["a", "b"], "zip", "time", {"agency": clean.AGENCIES}, shares_add_up=True))
 
 
 @register("kept_counts", """

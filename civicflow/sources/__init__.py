@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow import functions as cf
+from civicflow.sources import csv_ranges
 from civicflow.session import ensure_checkpoint_dir
 
 # Fixed value: the ten raw ticket columns the reference keeps (all text).
@@ -36,7 +37,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def _csv_text(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """All columns as text under the names of the header.  A quote inside a
     quoted field is doubled.  With ``multi_line`` a quoted field may hold line
-    breaks; a file is then one task, so large exports should be many files.
+    breaks; a file is then one task (small tables; others by :func:`csv_ranges.read_csv`).
     """
     return (spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
                  .option("mode", "PERMISSIVE").csv(path))
@@ -45,9 +46,10 @@ def _csv_text(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
 def read_tickets_csv(spark: SparkSession, path: str, columns: Sequence[str] = RAW_TICKET_COLUMNS,
                      multi_line: bool = True) -> DataFrame:
     """A1: the named columns of a CSV export, found by header name, as text.
-    Files are split into partitions by the reader; there is no user-visible
-    chunk loop."""
-    return _csv_text(spark, path, multi_line).select(*[F.col(f"`{c}`") for c in columns])
+    With ``multi_line`` a quoted field may hold line breaks, and a file is
+    still read by ranges (:mod:`civicflow.sources.csv_ranges`)."""
+    raw = csv_ranges.read_csv(spark, path) if multi_line else _csv_text(spark, path, False)
+    return raw.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
@@ -74,7 +76,7 @@ def read_dimension_csv(spark: SparkSession, path: str, schema: T.StructType | st
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Load a prepared table; a missing path raises (no silent empty table)."""
-    return _csv_text(spark, path, True) if fmt == "csv" else spark.read.format(fmt).load(path)
+    return csv_ranges.read_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
 
 
 def load_train_test(spark: SparkSession, train: str, test: str, target: str, sensitive: Sequence[str],
