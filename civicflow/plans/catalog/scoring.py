@@ -174,16 +174,32 @@ def score_batch(spark, sf):
     return _flat(scoring.score(req, _dims(spark, sf), RuleModel(), AS_OF))
 
 
+def _streamed(spark, sf, again: bool = False):
+    """Folders of results and rejected requests of the stream; ``again``: all request files are delivered twice."""
+    from civicflow.streaming import start_scoring
+    path, _ = _requests(spark, sf)
+    out, bad, checkpoint = (sources.scratch_path(spark, f"score-stream-{n}") for n in ("out", "rejected", "ckpt"))
+    for last in range(2 if again else 1):
+        if last:
+            _requests_raw(spark, sf).write.mode("append").json(path)
+        q = start_scoring(spark, path, out, _dims(spark, sf), RuleModel(), checkpoint, bad, AS_OF)
+        q.awaitTermination()  # until the input is used up; a failed query raises
+    return out, bad
+
+
 @register("score_stream", _SCORE_SQL)
 def score_stream(spark, sf):
     """L1 stream: the same scorer over a file stream of requests
     (availableNow trigger), results appended to parquet and read back."""
-    from civicflow.streaming import start_scoring
-    path, _ = _requests(spark, sf)
-    out = sources.scratch_path(spark, "score-stream-out")
-    q = start_scoring(spark, path, out, _dims(spark, sf), RuleModel(), sources.scratch_path(spark, "score-stream-ckpt"), AS_OF)
-    q.awaitTermination()  # until the input is used up; a failed query raises
-    return _flat(spark.read.parquet(out))
+    return _flat(spark.read.parquet(_streamed(spark, sf)[0]))
+
+
+@register("score_stream_rejected", """
+SELECT event_id AS ticket_id, CASE WHEN event_id % 3 <> 0 THEN upper(event_type) END AS "Agency", 'yesterday' AS created_date, 'created_date' AS request_error
+FROM events WHERE event_id % 23 = 0""")
+def score_stream_rejected(spark, sf):
+    """L1/A9 stream: the other sink, after every file has come twice."""
+    return spark.read.parquet(_streamed(spark, sf, again=True)[1]).select("ticket_id", "Agency", "created_date", "request_error")
 
 
 @register("score_json", f"""

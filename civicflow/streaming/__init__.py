@@ -1,36 +1,102 @@
 """Structured Streaming scoring (L1).
 
-Requests arrive as JSON files in a folder; the stream applies the request
-defaults (A9) and the very same :func:`civicflow.plans.scoring.score` used in
-batch, joining static dimensions per micro-batch.  The scorer is stateless,
-so no watermark is needed.  The caller names the checkpoint folder (offsets):
-a query restarted with the same one resumes exactly where it stopped.
+Requests arrive as JSON files in a folder.  Keyed state lets each request
+through once: a file that is delivered again, or a ticket that is sent again
+within the time the state is kept, changes nothing.  Every micro-batch goes to
+two sinks, the result records (by the very same
+:func:`civicflow.plans.scoring.score` as in batch) and the requests that can't
+be accepted with the field at fault, in folders named by the batch, so that a
+batch that is run again after a failure replaces what it wrote.
+
+The caller names the checkpoint folder (offsets and state): a query restarted
+with the same one resumes exactly where it stopped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator, Sequence
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from civicflow import sources
 from civicflow.plans.scoring import ScoringDims, score
 
+#: How long the state remembers a request after it came.
+REMEMBERED = timedelta(days=1)
 
-def request_stream(spark: SparkSession, path: str, as_of=None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A9 as a stream: JSON request files with an explicit schema + defaults."""
+
+def request_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A9 as a stream: JSON request files with an explicit schema, as they were sent."""
     r = spark.readStream.schema(sources.REQUEST_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return sources.apply_request_defaults(r.json(path), as_of)
-
-
-def start_scoring(spark: SparkSession, in_path: str, out_path: str, dims: ScoringDims, model, checkpoint: str,
-                  as_of=None, available_now: bool = True):
-    """Start the scoring stream: requests in ``in_path`` -> result records
-    (parquet, append) in ``out_path``.  ``available_now`` processes what is
-    there and stops (incremental batch); otherwise it runs continuously.
-    Dimensions are written once, not computed again per micro-batch."""
-    results = score(request_stream(spark, in_path, as_of), dims.written(), model, as_of)
-    w = results.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
-    w = w.outputMode("append")
+    return r.json(path)
+
+
+def _first_of(remembered_ms: int):
+    """The first request of a key: of several in one batch the least text, whatever their order."""
+    def run(key: tuple, rows: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        least, arrived = None, 0
+        for some in rows:
+            own = some["request"].min()
+            least = own if least is None else min(least, own)
+            arrived = max(arrived, int(some["arrived_ms"].max()))
+        known = state.exists
+        state.update((True,))
+        state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + remembered_ms)
+        if not known:
+            yield pd.DataFrame({"request": [least]})
+
+    return run
+
+
+def once(requests: DataFrame, as_of=None, groups: Sequence[str] | None = None, remembered: timedelta = REMEMBERED) -> DataFrame:
+    """``request`` (JSON text): each accepted ticket, and each rejected ticket and fault, the first time it comes.
+
+    The key is the ticket's id, or the whole request where it has none; a
+    ticket that was rejected is free to come again in better shape.  Time is
+    that of arrival, so that no request is ever late.
+    """
+    fields = sources.REQUEST_SCHEMA.fieldNames()
+    text = F.to_json(F.struct(*fields))
+    rows = requests.withColumns({"request": text, "arrived": F.current_timestamp()}).withColumn("arrived_ms", F.unix_millis("arrived"))
+    rows = sources.apply_request_defaults(rows, as_of, groups).withWatermark("arrived", "1 second")
+    ticket = F.coalesce(F.col("ticket_id").cast("string"), F.sha2("request", 256))
+    keyed = rows.select(F.concat_ws(":", F.coalesce("request_error", F.lit("")), ticket).alias("key"), "request", "arrived", "arrived_ms")
+    return keyed.groupBy("key").applyInPandasWithState(
+        _first_of(int(remembered.total_seconds() * 1000)), "request string", "known boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def start_scoring(spark: SparkSession, in_path: str, out_path: str, dims: ScoringDims, model, checkpoint: str, rejected_path: str,
+                  as_of=None, available_now: bool = True, groups: Sequence[str] | None = None, max_files_per_trigger: int | None = None,
+                  remembered: timedelta = REMEMBERED):
+    """Start the scoring stream: requests in ``in_path`` -> result records in
+    ``out_path`` and rejected requests, with ``request_error``, in
+    ``rejected_path`` (parquet, a folder per batch).  ``available_now``
+    processes what is there and stops (incremental batch); otherwise it runs
+    continuously.  Dimensions are written once, not computed again per micro-batch.
+    """
+    written = dims.written()
+
+    def both(batch: DataFrame, number: int) -> None:
+        own = f"batch={number}"
+        # the state is asked once; both sinks read what it let through
+        staged = f"{checkpoint}/staged/{own}"
+        batch.write.mode("overwrite").parquet(staged)
+        sent = batch.sparkSession.read.schema("request string").parquet(staged)
+        requests = sent.select(F.from_json("request", sources.REQUEST_SCHEMA).alias("sent")).select("sent", "sent.*")
+        checked = sources.apply_request_defaults(requests, as_of, groups)
+        score(checked.drop("sent"), written, model, as_of).write.mode("overwrite").parquet(f"{out_path}/{own}")
+        sources.rejected(checked).select("sent.*", "request_error").write.mode("overwrite").parquet(f"{rejected_path}/{own}")
+
+    w = once(request_stream(spark, in_path, max_files_per_trigger), as_of, groups, remembered).writeStream.foreachBatch(both)
+    w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
