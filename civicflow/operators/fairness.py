@@ -7,9 +7,10 @@ numbers are sums over that cube.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,56 +113,130 @@ def reweigh(df: DataFrame, group_cols: Sequence[str], y: str, method: str = "inv
     return df.join(w, cond, "left").select(df["*"], w[out])
 
 
+def _extend(hull: list[tuple], p: tuple) -> None:
+    """Adds a point ``(x, y, ...)`` to the right of an upper hull; exact on integers."""
+    while len(hull) > 1 and (hull[-1][0] - hull[-2][0]) * (p[1] - hull[-2][1]) >= (hull[-1][1] - hull[-2][1]) * (p[0] - hull[-2][0]):
+        hull.pop()
+    hull.append(p)
+
+
+def upper_hull(points: list[tuple]) -> list[tuple]:
+    """Vertices of the upper hull of points that come by ascending ``x``."""
+    hull: list[tuple] = []
+    for p in points:
+        _extend(hull, p)
+    return hull
+
+
+def _range_hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hull of each group's points in a partition, which come sorted; only vertices are held."""
+    key, hull, schema = None, [], None
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(found), schema.field(0).type), *[pa.array(c, f.type) for c, f in zip(
+            zip(*found, strict=True), list(schema)[1:], strict=True)]], schema=schema)
+
+    for batch in batches:
+        schema = batch.schema
+        for g, *point in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if hull and g != key:
+                yield rows(hull)
+                hull = []
+            key = g
+            _extend(hull, tuple(point))
+    if hull:
+        yield rows(hull)
+
+
+def _segments(table: pa.Table) -> pa.Table:
+    """Edges of a group's hull from the vertices of its ranges."""
+    table = table.sort_by("x")
+    points = upper_hull(list(zip(*(table[c].to_pylist() for c in ("x", "y", "score")), strict=True)))
+    g = table["g"].slice(0, 1)
+    pairs = list(zip(points, points[1:], strict=False)) or [(points[0], points[0])]
+    columns = [[v[side][i] for v in pairs] for side in (0, 1) for i in range(3)]
+    kinds = [pa.int64(), pa.int64(), pa.float64()] * 2
+    return pa.Table.from_arrays([pa.concat_arrays([g.combine_chunks()] * len(pairs)), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
+                                names=["g", "x0", "y0", "high", "x1", "y1", "low"])
+
+
 def threshold_moving(df: DataFrame, group: str, y: str, score: str, grid_steps: int = 1000):
-    """K9: group-wise thresholds under demographic parity.
-
-    Every distinct score of a group is a possible threshold, and so is
-    selecting nobody (null).  Running totals from the top score give, for
-    every threshold, the selection count and the number of correct
-    predictions.  Each grid rate r = i / grid_steps is assigned, per group, the
-    highest threshold whose selection rate is >= r: the rates that a threshold
-    covers follow from its own and the previous total (no theta or cross
-    join).  The rate with the best pooled accuracy (smallest rate on ties) wins.
-
-    Returns ``(thresholds, curve)``: thresholds = (group, threshold,
-    selection_rate, best_rate, pooled_accuracy); predict 1 when
-    ``score >= threshold``.
+    """K9: group-wise thresholds under demographic parity, exact on any ties.
+
+    Each distinct score of a group is a point: how many rows are selected from
+    it upwards, and how many predictions are then correct.  Running totals
+    from the top score give the points; the upper hull of a group's points is
+    what two mixed thresholds can reach at every rate in between.  Hulls are
+    taken per range of scores and merged per group (a hull of n such integer
+    points has at most in the order of n^(2/3) vertices).  Of the rates
+    i / grid_steps that all groups can reach, the one with the best pooled
+    accuracy on the hulls wins (to 12 digits; the smallest on ties).
+
+    Rows with a null score are never selected but count in their group's size,
+    so a group can't be asked for more than its scored share; they count as
+    correct where the label isn't 1.
+
+    Returns ``(thresholds, curve)``: thresholds = (group, high, low, take,
+    selected, rows, best_rate, pooled_accuracy): all rows with ``score >=
+    high`` are selected (null: none) and ``take`` of those with ``low <= score
+    < high``, in all ``selected`` of ``rows``; curve = (rate, pooled_accuracy).
     """
     G = int(grid_steps)
     s = F.col(score).cast("double")
-    hist = df.select(group, F.col(y).cast("int").alias("_y"), s.alias("_score")).groupBy(group, "_score").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos"))
-    hist = totals_before(hist, group, -F.col("_score"), "_n", "_prev")
-    hist = totals_before(hist, group, -F.col("_score"), "_pos", "_prev_tp")
-    sums = hist.groupBy(F.col(group).alias("_g")).agg(F.sum("_n").alias("_gn"), F.sum("_pos").alias("_gp"))
-    curve = hist.join(sums, F.col(group).eqNullSafe(F.col("_g"))).select(
-        group, "_score", "_gn", "_gp", (F.col("_prev") + F.col("_n")).alias("_sel"), (F.col("_prev_tp") + F.col("_pos")).alias("_tp"),
-        (F.floor(F.col("_prev") * G / F.col("_gn")) + 1).cast("int").alias("_lo"))
-    zero = F.lit(0).cast("long")
-    none = sums.select(F.col("_g").alias(group), F.lit(None).cast("double").alias("_score"), "_gn", "_gp", zero.alias("_sel"), zero.alias("_tp"),
-                       F.lit(0).alias("_lo"))
-    curve = curve.unionByName(none)
-    # correct = selected positives + unselected negatives
-    curve = curve.withColumn("_correct", F.col("_tp") + (F.col("_gn") - F.col("_gp")) - (F.col("_sel") - F.col("_tp")))
-    hi = F.floor(F.col("_sel") * G / F.col("_gn")).cast("int")
-    per_rate = curve.withColumn("_hi", hi).filter(F.col("_lo") <= F.col("_hi")).select(
-        group, "_score", "_sel", "_gn", "_correct", F.explode(F.sequence("_lo", "_hi")).alias("_i"))
-    per_rate = cut_lineage(per_rate)  # grid_steps + 1 rows per group
-    acc = (per_rate.groupBy("_i").agg(F.sum("_correct").alias("_c"), F.sum("_gn").alias("_t"))
-                   .withColumn("pooled_accuracy", F.col("_c") / F.col("_t")))
-    best = acc.orderBy(F.desc("pooled_accuracy"), F.asc("_i")).limit(1).select(
-        "_i", (F.col("_i") / F.lit(float(G))).alias("best_rate"), "pooled_accuracy")
-    thresholds = per_rate.join(F.broadcast(best), "_i").select(
-        group, F.col("_score").alias("threshold"), (F.col("_sel") / F.col("_gn")).alias("selection_rate"),
-        "best_rate", "pooled_accuracy")
-    return thresholds, acc.select((F.col("_i") / F.lit(float(G))).alias("rate"), "pooled_accuracy")
-
-
-def apply_thresholds(df: DataFrame, thresholds: DataFrame, group: str, score: str, out: str = "p_adjusted") -> DataFrame:
-    """K9 step 5: join (group, threshold) back and predict ``score >= threshold`` (no threshold: nobody)."""
-    t = thresholds.select(F.col(group).alias("_g"), F.col("threshold").alias("_threshold"))
-    hit = F.coalesce(F.col(score).cast("double") >= F.col("_threshold"), F.lit(False)).cast("int")
-    return df.join(t, df[group].eqNullSafe(t["_g"]), "left").withColumn(out, hit).drop("_g", "_threshold")
+    rows = df.select(F.col(group).alias("g"), (F.coalesce(F.col(y) == 1, F.lit(False))).cast("long").alias("pos"), s.alias("score"))
+    hist = rows.groupBy("g", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
+    hist = cut_lineage(hist.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).groupBy("g", "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")))
+    sums = cut_lineage(hist.groupBy("g").agg(F.sum("n").alias("gn"), F.sum("pos").alias("gp")))
+    scored = totals_before(hist.where("score is not null"), "g", -F.col("score"), "n", "prev")
+    scored = totals_before(scored, "g", -F.col("score"), "pos", "prev_pos")
+    joined = scored.withColumnRenamed("g", "_g").join(sums, F.col("_g").eqNullSafe(F.col("g")))
+    x, tp = F.col("prev") + F.col("n"), F.col("prev_pos") + F.col("pos")
+    points = joined.select("g", x.alias("x"), (2 * tp - x + F.col("gn") - F.col("gp")).alias("y"), "score").unionByName(
+        sums.select("g", F.lit(0).cast("long").alias("x"), (F.col("gn") - F.col("gp")).alias("y"), F.lit(None).cast("double").alias("score")))
+    kind = points.schema["g"].dataType.simpleString()
+    hulls = points.repartitionByRange("g", "x").sortWithinPartitions("g", "x").mapInArrow(_range_hulls, f"g {kind}, x long, y long, score double")
+    edges = hulls.groupBy("g").applyInArrow(_segments, f"g {kind}, x0 long, y0 long, high double, x1 long, y1 long, low double")
+    edges = cut_lineage(edges.withColumnRenamed("g", "_g").join(sums, F.col("_g").eqNullSafe(F.col("g"))).drop("_g"))
+    # the rates on an edge without its beginning, and rate 0 on the first one
+    lo = F.when(F.col("x0") == 0, 0).otherwise(F.floor(F.col("x0") * G / F.col("gn")) + 1).cast("int")
+    hi = F.floor(F.col("x1") * G / F.col("gn")).cast("int")
+    at = F.col("i") * F.col("gn") / G
+    per_rate = edges.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("i", F.explode(F.sequence("lo", "hi")))
+    value = F.when(F.col("x1") > F.col("x0"), F.col("y0") + (F.col("y1") - F.col("y0")) * (at - F.col("x0")) / (F.col("x1") - F.col("x0"))).otherwise(F.col("y0"))
+    per_rate = cut_lineage(per_rate.withColumn("value", value))  # grid_steps + 1 rows per group
+    groups = sums.agg(F.count(F.lit(1))).scalar()
+    acc = per_rate.groupBy("i").agg(F.round(F.sum("value") / F.sum("gn"), 12).alias("pooled_accuracy"), F.count(F.lit(1)).alias("there")).where(F.col("there") == groups)
+    best = acc.orderBy(F.desc("pooled_accuracy"), F.asc("i")).limit(1).select("i", (F.col("i") / F.lit(float(G))).alias("best_rate"), "pooled_accuracy")
+    selected = F.floor(at + 0.5).cast("long")
+    thresholds = per_rate.join(F.broadcast(best), "i").select(
+        F.col("g").alias(group), "high", "low", (selected - F.col("x0")).alias("take"), selected.alias("selected"), F.col("gn").alias("rows"), "best_rate", "pooled_accuracy")
+    return thresholds, acc.select((F.col("i") / F.lit(float(G))).alias("rate"), "pooled_accuracy")
+
+
+def apply_thresholds(df: DataFrame, thresholds: DataFrame, group: str, score: str, key: str, out: str = "p_adjusted", seed: int = 42) -> DataFrame:
+    """K9 step 5: predictions by the thresholds of each group (no threshold: nobody).
+
+    Of the rows between its two thresholds a group takes those with the
+    smallest seeded hash of ``key``: hash buckets are counted first, and only
+    the rows of the bucket in which the draw ends are ordered.
+    """
+    t = cut_lineage(thresholds.select(F.col(group).alias("_g"), "high", "low", "take"))
+    s = F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double"))
+    above, least = F.coalesce(s >= F.col("_high"), F.lit(False)), F.coalesce(s >= F.col("_low"), F.lit(False))
+    names = {"high": "_high", "low": "_low", "take": "_take"}
+    rows = df.join(t.withColumnsRenamed(names), df[group].eqNullSafe(t["_g"]), "left").withColumns(
+        {"_above": above, "_band": least & ~above, "_hash": cf.seeded_hash(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)}).drop("_g", "_high", "_low")
+    rows = rows.withColumn("_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
+    counts = rows.where("_band and _take > 0").groupBy(F.col(group).alias("_g"), "_take", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_g").orderBy("_bucket")))  # at most 65,536 a group
+    last = cut_lineage(upto.where("_upto >= _take").groupBy("_g").agg(
+        F.min("_bucket").alias("_last"), F.min_by(F.col("_take") - F.col("_upto") + F.col("_n"), "_bucket").alias("_rest")))
+    rows = rows.join(last, rows[group].eqNullSafe(last["_g"]), "left").drop("_g")
+    ends = F.coalesce(F.col("_band") & (F.col("_bucket") == F.col("_last")), F.lit(False))
+    sure = F.col("_above") | F.coalesce(F.col("_band") & (F.col("_bucket") < F.col("_last")), F.lit(False))
+    order = Window.partitionBy(group).orderBy("_hash", key, score)
+    drawn = rows.where(ends).withColumn(out, (F.row_number().over(order) <= F.col("_rest")).cast("int"))
+    return rows.where(~ends).withColumn(out, sure.cast("int")).unionByName(drawn).select(*df.columns, out)
 
 
 def metric_flags(metrics: DataFrame, cutoff: float = 0.2, names: DataFrame | None = None) -> DataFrame:
@@ -224,7 +299,7 @@ def audit_flow(train: DataFrame, test: DataFrame, key: str, y: str, group_cols:
         return Audit(before, found, False, before, None)
     weighted = cut_lineage(fit(reweigh(train, group_cols, y), "weight")(test)).withColumn("_is_target", (F.col(y) == target).cast("int"))
     thresholds, _ = threshold_moving(weighted, group, "_is_target", "score", grid_steps)
-    adjusted = apply_thresholds(weighted, thresholds, group, "score")
+    adjusted = apply_thresholds(weighted, thresholds, group, "score", key)
     adjusted.select(key, *dict.fromkeys([group, *group_cols]), y, "_is_target", "p_adjusted").write.mode("overwrite").parquet(path)
     stored = train.sparkSession.read.parquet(path)
     metrics = before.unionByName(measured(weighted, y, "prediction", "reweighed", classes)).unionByName(

@@ -91,33 +91,43 @@ def reweigh_independence(spark, sf):
 
 
 def _thresholds_sql(rows: str) -> str:
-    """Independent brute-force formulation for K9 over rows (g, y, score): every
-    (grid rate, group, threshold) combination is enumerated and the highest
-    admissible threshold is picked."""
+    """K9 over rows (g, y, score): a point is a vertex of its group's hull if
+    every slope from the left is steeper than every slope to the right."""
     return f"""
-WITH b AS ({rows}),
-     th AS (SELECT DISTINCT g, score AS thr FROM b UNION SELECT DISTINCT g, 'infinity'::DOUBLE FROM b),
-     cur AS (SELECT th.g, th.thr, count(*) AS n_g, count_if(b.score >= th.thr) AS sel,
-                    count_if(b.score >= th.thr AND b.y = 1) + count_if(b.score < th.thr AND b.y <> 1) AS correct
-             FROM th JOIN b ON th.g = b.g GROUP BY th.g, th.thr),
-     grid AS (SELECT range AS i FROM range(0, {GRID + 1})),
-     pick AS (SELECT g.i, c.g, max(c.thr) AS thr FROM grid g JOIN cur c ON c.sel * {GRID} >= g.i * c.n_g
-              GROUP BY g.i, c.g),
-     acc AS (SELECT p.i, sum(c.correct) / sum(c.n_g) AS pooled_accuracy
-             FROM pick p JOIN cur c ON p.g = c.g AND p.thr = c.thr GROUP BY p.i),
+WITH b AS (SELECT g, coalesce(y = 1, false) AS pos, CASE WHEN NOT isnan(score) THEN score END AS score FROM ({rows})),
+     gs AS (SELECT g, count(*) AS n, count_if(pos) AS p FROM b GROUP BY g),
+     pt AS (SELECT g, sum(c) OVER o AS x, sum(2 * tp - c) OVER o + (SELECT n - p FROM gs WHERE gs.g IS NOT DISTINCT FROM t.g) AS y, score
+            FROM (SELECT g, score, count(*) AS c, count_if(pos) AS tp FROM b WHERE score IS NOT NULL GROUP BY g, score) t WINDOW o AS (PARTITION BY g ORDER BY score DESC)
+            UNION ALL SELECT g, 0, n - p, NULL FROM gs),
+     v AS (SELECT p.g, p.x, p.y, p.score FROM pt p LEFT JOIN pt o ON o.g IS NOT DISTINCT FROM p.g AND o.x <> p.x GROUP BY p.g, p.x, p.y, p.score
+           HAVING coalesce(min((p.y - o.y) / (p.x - o.x)::DOUBLE) FILTER (o.x < p.x), 9) > coalesce(max((o.y - p.y) / (o.x - p.x)::DOUBLE) FILTER (o.x > p.x), -9)),
+     edge AS (SELECT g, x AS x0, y AS y0, score AS high, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(score) OVER w AS low, count(*) OVER (PARTITION BY g) AS k
+              FROM v WINDOW w AS (PARTITION BY g ORDER BY x)),
+     full_edge AS (SELECT g, x0, y0, high, coalesce(x1, x0) AS x1, coalesce(y1, y0) AS y1, CASE WHEN x1 IS NULL THEN high ELSE low END AS low
+                   FROM edge WHERE x1 IS NOT NULL OR k = 1),
+     per AS (SELECT e.*, n, i, CASE WHEN x1 > x0 THEN y0 + (y1 - y0) * (i * n / {GRID}::DOUBLE - x0) / (x1 - x0) ELSE y0 END AS val
+             FROM full_edge e JOIN gs ON gs.g IS NOT DISTINCT FROM e.g JOIN (SELECT range AS i FROM range(0, {GRID + 1})) r
+               ON i * n <= x1 * {GRID} AND (i * n > x0 * {GRID} OR (i = 0 AND x0 = 0))),
+     acc AS (SELECT i, round(sum(val) / sum(n), 12) AS pooled_accuracy FROM per GROUP BY i HAVING count(*) = (SELECT count(*) FROM gs)),
      best AS (SELECT i, pooled_accuracy FROM acc ORDER BY pooled_accuracy DESC, i LIMIT 1)
-SELECT p.g, p.thr, c.sel / c.n_g AS selection_rate, best.i / {float(GRID)}::DOUBLE AS best_rate, best.pooled_accuracy
-FROM best JOIN pick p ON p.i = best.i JOIN cur c ON c.g = p.g AND c.thr = p.thr"""
+SELECT g, high, low, CAST(floor(best.i * n / {GRID}::DOUBLE + 0.5) - x0 AS BIGINT) AS take, CAST(floor(best.i * n / {GRID}::DOUBLE + 0.5) AS BIGINT) AS selected,
+       n AS rows, best.i / {float(GRID)}::DOUBLE AS best_rate, best.pooled_accuracy
+FROM best JOIN per ON per.i = best.i"""
 
 
-_YP_SCORE_SQL = f"SELECT lang AS g, y, CAST(n_chars AS DOUBLE) AS score FROM ({_YP_SQL})"
-_ADJUSTED_SQL = f"""
-SELECT t.*, CAST(t.n_chars >= m.thr AS INTEGER) AS p_adj FROM ({_YP_SQL}) t JOIN ({_thresholds_sql(_YP_SCORE_SQL)}) m ON t.lang = m.g"""
+def _moved_sql(rows: str) -> str:
+    """Rows (doc_id, g, y, score) with ``p_adj``: above the upper threshold, or among the first of the band by hash."""
+    return f"""
+SELECT doc_id, g, y, score, CAST(above OR (band AND row_number() OVER (PARTITION BY g, band ORDER BY md5(doc_id || ':42'), doc_id) <= take) AS INTEGER) AS p_adj
+FROM (SELECT r.*, m.take, coalesce(score >= high, false) AS above, coalesce(score >= low, false) AND NOT coalesce(score >= high, false) AS band
+      FROM ({rows}) r JOIN ({_thresholds_sql(rows)}) m ON r.g IS NOT DISTINCT FROM m.g)"""
+
+
+_YP_SCORE_SQL = f"SELECT doc_id, lang AS g, y, CAST(n_chars AS DOUBLE) AS score FROM ({_YP_SQL})"
+_ADJUSTED_SQL = f"SELECT t.*, m.p_adj FROM ({_YP_SQL}) t JOIN ({_moved_sql(_YP_SCORE_SQL)}) m ON t.doc_id = m.doc_id"
 
 
-@register("threshold_moving", f"""
-SELECT g AS lang, nullif(thr, 'infinity'::DOUBLE) AS threshold, selection_rate, best_rate, pooled_accuracy
-FROM ({_thresholds_sql(_YP_SCORE_SQL)})""")
+@register("threshold_moving", f"SELECT g AS lang, * EXCLUDE (g) FROM ({_thresholds_sql(_YP_SCORE_SQL)})")
 def threshold_moving(spark, sf):
     thresholds, _ = fair.threshold_moving(labelled(spark, sf), "lang", "y", "n_chars", GRID)
     return thresholds
@@ -126,7 +136,7 @@ def threshold_moving(spark, sf):
 def _adjusted(spark, sf):
     df = labelled(spark, sf)
     thresholds, _ = fair.threshold_moving(df, "lang", "y", "n_chars", GRID)
-    return fair.apply_thresholds(df, thresholds, "lang", "n_chars", out="p_adj")
+    return fair.apply_thresholds(df, thresholds, "lang", "n_chars", "doc_id", out="p_adj")
 
 
 _ADJUSTED_YP = f"SELECT * REPLACE (p_adj AS p) FROM ({_ADJUSTED_SQL})"
@@ -197,9 +207,7 @@ def _audit_stage(weight: str, inner: str) -> str:
 
 _PLAIN = _audit_stage("1.0::DOUBLE", _scored_sql(""))
 _REWEIGHED = _audit_stage("count(*) OVER () / count(*) OVER (PARTITION BY lang, y)", _scored_sql(""))
-_MOVED = f"""
-    SELECT s.doc_id, s.lang, s.y, CAST(s.score >= m.thr AS INTEGER) AS p FROM ({_REWEIGHED}) s
-    JOIN ({_thresholds_sql(f'SELECT lang AS g, y, score FROM ({_REWEIGHED})')}) m ON s.lang = m.g"""
+_MOVED = f"SELECT doc_id, g AS lang, y, p_adj AS p FROM ({_moved_sql(f'SELECT doc_id, lang AS g, y, score FROM ({_REWEIGHED})')})"
 
 
 def _stage_sql(rows: str, stage: str, only: str = "") -> str:
