@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,15 +127,17 @@ class DenseCodes(Fitted):
     that are made distinct with a map-side aggregate.  The distinct values are
     range partitioned, numbered inside their partition and shifted by the rows
     of the partitions before, so that no column is ranked in one task.
-    ``transform`` joins each column's codes.  Values unseen at fit get a null
-    code.
+    ``transform`` joins each column's codes.  A value unseen at fit gets a null
+    code, or with ``unseen="error"`` ends the job with its column and text.
     """
 
-    params = ("columns", "suffix")
+    params = ("columns", "suffix", "unseen")
 
-    def __init__(self, columns: Sequence[str], suffix: str = ""):
+    def __init__(self, columns: Sequence[str], suffix: str = "", unseen: str = "null"):
+        if unseen not in ("null", "error"):
+            raise ValueError(unseen)
         self.columns = list(columns)
-        self.suffix = suffix
+        self.suffix, self.unseen = suffix, unseen
         self.codes: DataFrame | None = None
 
     def fit(self, df: DataFrame) -> DenseCodes:
@@ -164,11 +166,17 @@ class DenseCodes(Fitted):
             table = (self.codes.filter(F.col("_col") == c)
                      .select(F.col("_s").alias(f"_s_{c}"), F.col("_code").alias(f"_c_{c}")))
             out = (out.join(table, out[c].cast("string").eqNullSafe(F.col(f"_s_{c}")), "left")
-                      .withColumn(c + self.suffix, F.col(f"_c_{c}"))
+                      .withColumn(c + self.suffix, self._code(c, F.col(f"_c_{c}")))
                       .drop(f"_s_{c}", f"_c_{c}"))
         return out
 
 
+    def _code(self, c: str, code: Column) -> Column:
+        if self.unseen == "null":
+            return code
+        return F.coalesce(code, F.raise_error(F.concat(F.lit(f"{c}: unseen value "), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("int"))
+
+
 # ---------------------------------------------------------------- E5
 
 class RareBucketer(Fitted):

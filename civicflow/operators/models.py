@@ -11,32 +11,30 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import keyword_only
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Binarizer, MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow import functions as cf
-from civicflow.operators import metrics
+from civicflow.operators import metrics, scaling
 from civicflow.operators.ranks import totals_before
+from civicflow.operators.stages import FEATURES, Moments, Standardized, StateModel, Total, data_steps
 from civicflow.session import cut_lineage
 
-FEATURES = "features"
-
 
 def with_features(df: DataFrame, columns: Sequence[str] | None = None, array_col: str | None = None) -> DataFrame:
     """Assemble numeric columns (or one array column) into the ML vector column."""
@@ -89,41 +87,6 @@ def estimator(name: str, n_features: int, n_classes: int, label: str = "label",
 
 # ---------------------------------------------------------------- own models
 
-class StateModel(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """A ``pyspark.ml`` model whose parameters are one JSON text, so that it
-    saves, loads and joins pipelines like any other stage.
-
-    Subclasses give ``scores(df, x)``: an array of one number per class, from
-    the features as an array, and whether they are log likelihoods.
-    """
-
-    state = Param(Params._dummy(), "state", "fitted parameters as JSON", typeConverter=TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, state: str = "{}"):
-        super().__init__()
-        self._set(state=state)
-
-    def values(self) -> dict:
-        return json.loads(self.getOrDefault(self.state))
-
-    def scores(self, x: Column) -> Column:
-        raise NotImplementedError(type(self).__name__)
-
-    def probabilities(self, raw: Column) -> Column:
-        """Softmax, stable against large scores."""
-        e = F.transform(raw, lambda v: F.exp(v - F.array_max(raw)))
-        return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return self._labelled(df.withColumn("rawPrediction", self.scores(vector_to_array(F.col(FEATURES)))))
-
-    def _labelled(self, out: DataFrame) -> DataFrame:
-        labels = F.array(*[F.lit(float(c)) for c in self.values()["classes"]])
-        return (out.withColumn("probability", self.probabilities(F.col("rawPrediction")))
-                   .withColumn("prediction", F.element_at(labels, cf.argmax_index("rawPrediction") + 1)))
-
-
 class MajorityModel(StateModel):
     """Predicts the label with the most (weighted) training rows, the smallest on ties."""
 
@@ -247,12 +210,30 @@ class StumpVotes(StateModel):
         return F.transform(raw, lambda v: v / F.greatest(F.aggregate(raw, F.lit(0.0), lambda s, w: s + w), F.lit(1e-300)))
 
 
-def _tree(node) -> dict:
+def node_table(model) -> list[list[dict]]:
+    """The nodes of a tree or of each tree of an ensemble, by their ids, from what the model saves
+    (as many rows as nodes): feature, threshold, children, prediction and rows."""
+    from civicflow.sources import scratch_path
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, "trees")
+    model.write().save(path)
+    rows = spark.read.parquet(f"{path}/data")
+    rows = rows.select("treeID", "nodeData.*") if "treeID" in rows.columns else rows.withColumn("treeID", F.lit(0))
+    trees: dict[int, dict[int, dict]] = {}
+    for r in rows.collect():
+        split = r["split"]
+        trees.setdefault(r["treeID"], {})[r["id"]] = {
+            "left": r["leftChild"], "right": r["rightChild"], "prediction": float(r["prediction"]), "rows": float(r["rawCount"]),
+            "feature": split["featureIndex"], "threshold": split["leftCategoriesOrThreshold"][0] if split["leftCategoriesOrThreshold"] else 0.0}
+    return [[trees[t][i] for i in sorted(trees[t])] for t in sorted(trees)]
+
+
+def _tree(nodes: list[dict], at: int = 0) -> dict:
     """A fitted tree as nested dictionaries (continuous splits)."""
-    if node.subtreeDepth() == 0:
-        return {"class": float(node.prediction())}
-    split = node.split()
-    return {"feature": int(split.featureIndex()), "threshold": float(split.threshold()), "left": _tree(node.leftChild()), "right": _tree(node.rightChild())}
+    node = nodes[at]
+    if node["left"] < 0:
+        return {"class": node["prediction"]}
+    return {"feature": int(node["feature"]), "threshold": float(node["threshold"]), "left": _tree(nodes, node["left"]), "right": _tree(nodes, node["right"])}
 
 
 def fit_ada(df: DataFrame, rounds: int = 5, depth: int = 1, label: str = "label", seed: int = 42,
@@ -272,7 +253,7 @@ def fit_ada(df: DataFrame, rounds: int = 5, depth: int = 1, label: str = "label"
         if k > 1 and err >= 1 - 1.0 / k and trees:
             break
         alpha = max(float(np.log((1 - err) / err) + np.log(k - 1)), 1e-10) if k > 1 else 1.0
-        trees.append((alpha, _tree(tree._java_obj.rootNode())))
+        trees.append((alpha, _tree(node_table(tree)[0])))
         now = cut_lineage(pred.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).select(label, FEATURES, "_w"))
     return StumpVotes(state=json.dumps({"classes": classes, "trees": trees}))
 
@@ -565,14 +546,74 @@ def cross_validate(estimator_, param_maps: list[dict], train: DataFrame, label:
     return cv.fit(data)
 
 
+class GaussianVotes(StateModel):
+    """Log densities of independent Gaussians, which are linear in the features and their squares."""
+
+    def scores(self, x: Column) -> Column:
+        v = self.values()
+        return _linear(F.concat(x, F.transform(x, lambda c: c * c)), v["weights"], v["offsets"])
+
+
+def gaussian_of(classes: dict[float, Total], steps: list[StateModel], at: np.ndarray, smoothing: float = 1e-9) -> GaussianVotes:
+    """The Gaussian variant on features that ``steps`` have normalised, from the sums of each class (before normalising)."""
+    pick, total = np.arange(len(at)), sum(c.rows for c in classes.values())
+    scale = steps[-1].values() if steps and isinstance(steps[-1], Standardized) else {"mean": np.zeros(len(at)), "sd": np.ones(len(at))}
+    m, s = np.array(scale["mean"]), np.array(scale["sd"])
+    flat = s == 0  # tells no class from another
+    s = np.where(flat, 1.0, s)
+    weights, offsets = [], []
+    for c in classes.values():
+        mu, v = np.where(flat, 0, (c.mean[at, pick] - m) / s), np.where(flat, 1, c.var[at, pick] / s ** 2 + smoothing)
+        weights.append([*(mu / v).tolist(), *(-0.5 / v).tolist()])
+        offsets.append(float(np.log(c.rows / total) - 0.5 * np.sum(np.log(v) + mu ** 2 / v)))
+    return GaussianVotes(state=json.dumps({"classes": list(classes), "weights": weights, "offsets": offsets}))
+
+
+def gaussian_folds(train: DataFrame, label: str = "label", fold_col: str = "fold", power: bool = False) -> dict[int, PipelineModel]:
+    """For each fold, the data steps and the Gaussian variant fitted on all others.
+
+    The moments of each (fold, class) are added up once for all folds; those of
+    "all but this fold" are the others' put together, so nothing of a held-out
+    row enters what is fitted.
+    """
+    moments = Moments.of(train.where(F.col(label).isNotNull()), [fold_col, label], scaling.DEFAULT_LAMBDAS if power else (1.0,))
+    out = {}
+    for fold in sorted({k[0] for k in moments.sums}):
+        rest = lambda k, fold=fold: k[0] != fold
+        total = moments.total(rest)
+        steps = data_steps(moments, total, power)
+        at = moments.best_lambdas(total) if power else np.zeros(total.mean.shape[1], int)
+        classes = {c: moments.total(lambda k, c=c: rest(k) and k[1] == c) for c in sorted({k[1] for k in moments.sums if rest(k)})}
+        out[int(fold)] = PipelineModel(stages=[*steps, gaussian_of(classes, steps, at)])
+    return out
+
+
+def prepared(train: DataFrame, key: str, label: str = "label", normalize: bool = True, power: bool = True, balance: bool = True,
+             seed: int = 42) -> tuple[DataFrame, list[StateModel]]:
+    """The rows that models are fitted on (classes made equal, then H2 and H1), written once, and the fitted steps."""
+    rows = cut_lineage(oversample(train, key, label, seed=seed)) if balance else train
+    if not (normalize or power):
+        return rows, []
+    moments = Moments.of(rows, [], scaling.DEFAULT_LAMBDAS if power else (1.0,))
+    steps = data_steps(moments, moments.total(), power, normalize)
+    return cut_lineage(PipelineModel(stages=steps).transform(rows)), steps
+
+
 def cross_validate_variant(name: str, train: DataFrame, n_features: int, n_classes: int, key: str, label: str = "label",
-                           fold_col: str = "fold") -> DataFrame:
-    """Accuracy and F1 of a variant in every fold (one row each)."""
+                           fold_col: str = "fold", **steps: bool) -> DataFrame:
+    """Accuracy and F1 of a variant in every fold (one row each); ``steps`` as in
+    :func:`prepared` (default: none) are fitted on the other folds each time."""
     data = cut_lineage(train)
     k = data.agg(F.max(fold_col)).first()[0] + 1
+    chosen = {"normalize": False, "power": False, "balance": False} | steps
+    quick = gaussian_folds(data, label, fold_col, chosen["power"]) if name == "nb" and chosen["normalize"] and not chosen["balance"] else {}
     out = None
     for i in range(k):
-        model = fit_variant(name, data.where(F.col(fold_col) != i), n_features, n_classes, label, key=key)
+        if i in quick:
+            model = quick[i]
+        else:
+            rows, own = prepared(data.where(F.col(fold_col) != i), key, label, **chosen)
+            model = PipelineModel(stages=[*own, fit_variant(name, rows, n_features, n_classes, label, key=key)])
         rows = predict(model, data.where(F.col(fold_col) == i)).select(F.lit(i).alias(fold_col), F.col(label).alias("y"), F.col("prediction").alias("p"))
         out = rows if out is None else out.unionByName(rows)
     counts = out.groupBy(fold_col, "y", "p").agg(F.count(F.lit(1)).alias("n"))
@@ -591,13 +632,23 @@ def keep_if_better(base_acc: float, tuned_acc: float) -> dict:
             "improvement_pct": (tuned_acc - base_acc) / base_acc * 100.0 if base_acc else None}
 
 
+#: Columns of a model's metadata; anything else that is given is kept as text.
+METADATA = "model string, target string, features array<string>, n_features int, rows long, tuned boolean, accuracy double, saved_at timestamp, other map<string,string>"
+
+
 def save_model(spark, model, path: str, meta: dict) -> None:
     """Persist a fitted model (in a pipeline, if it isn't one) plus a one-row
-    metadata table (feature names, target, counts, timestamp, tuned flag)."""
-    from civicflow.sources import save_metadata
+    metadata table: name, target, feature names and number, rows, tuned flag,
+    accuracy, time."""
     stage = model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])
     stage.write().overwrite().save(f"{path}/model")
-    save_metadata(spark, path, meta)
+    names = meta.get("features")
+    names = [str(n) for n in names] if isinstance(names, (list, tuple)) else None
+    known = {"model", "target", "features", "n_features", "rows", "tuned", "accuracy"}
+    size = meta.get("n_features", len(names) if names is not None else meta.get("features"))
+    row = (meta.get("model"), meta.get("target"), names, size, meta.get("rows"), meta.get("tuned"), meta.get("accuracy"),
+           datetime.now(timezone.utc).replace(tzinfo=None), {k: str(v) for k, v in meta.items() if k not in known})
+    spark.createDataFrame([row], METADATA).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
 def load_pipeline(path: str) -> PipelineModel:
@@ -610,25 +661,32 @@ def accuracy_of(model, test: DataFrame, label: str = "label") -> float:
 
 
 def training_flow(train: DataFrame, test: DataFrame, n_features: int, n_classes: int, key: str, path: str, names: Sequence[str] = VARIANTS,
-                  label: str = "label", min_pct: float = 1.5, tune: Callable | None = None, meta: dict | None = None) -> dict:
-    """E8 class filter -> train all -> evaluate -> save the champion ->
-    tune it -> keep the tuned one only if better, and save it, too.
-
-    ``tune(name, model, train)`` returns a tuned model or None.
+                  label: str = "label", min_pct: float = 1.5, tune: Callable | None = None, meta: dict | None = None,
+                  feature_names: Sequence[str] | None = None, normalize: bool = False, power: bool = False, balance: bool = False) -> dict:
+    """E8 class filter -> data steps (H3, H2, H1) -> train all -> evaluate ->
+    save the champion with its steps -> tune it -> keep the tuned one only if
+    better, and save it, too.
+
+    The steps are fitted on the training rows, once for all variants.
+    ``tune(name, model, train)`` gets the rows before the steps and returns a
+    tuned model or None.
     """
     from civicflow.operators.categories import min_share_filter
     train, test = (cut_lineage(t) for t in min_share_filter(train, test, label, min_pct))
-    fitted = train_many(names, train, n_features, n_classes, label, key=key)
+    rows, steps = prepared(train, key, label, normalize, power, balance)
+    with_steps = lambda m: PipelineModel(stages=[*steps, m]) if steps else m
+    fitted = {n: (m and with_steps(m), t, e) for n, (m, t, e) in train_many(names, rows, n_features, n_classes, label, key=key).items()}
     board = cut_lineage(leaderboard(fitted, test, n_classes, label))
-    best = board.first()["model"]
-    model = fitted[best][0]
-    info = {"model": best, "target": label, "features": n_features, "rows": train.count(), **(meta or {})}
+    first = board.first()
+    best, model = first["model"], fitted[first["model"]][0]
+    info = {"model": best, "target": label, "features": list(feature_names or [f"x{i}" for i in range(n_features)]), "rows": train.count(), **(meta or {})}
     spark = train.sparkSession
-    save_model(spark, model, f"{path}/champion", info | {"tuned": False})
+    save_model(spark, model, f"{path}/champion", info | {"tuned": False, "accuracy": first["accuracy"]})
     tuned = tune(best, model, train) if tune else None
     decision = {"use_tuned": False, "improvement_pct": None}
     if tuned is not None:
-        decision = keep_if_better(accuracy_of(model, test, label), accuracy_of(tuned, test, label))
+        accuracy = accuracy_of(tuned, test, label)
+        decision = keep_if_better(accuracy_of(model, test, label), accuracy)
         if decision["use_tuned"]:
-            save_model(spark, tuned, f"{path}/tuned", info | {"tuned": True})
+            save_model(spark, tuned, f"{path}/tuned", info | {"tuned": True, "accuracy": accuracy})
     return {"leaderboard": board, "champion": best, "model": tuned if decision["use_tuned"] else model, **decision}

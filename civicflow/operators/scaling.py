@@ -20,7 +20,8 @@ DEFAULT_LAMBDAS = [-2.0, -1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0]
 
 class ZScore:
     """H1: (x - mean) / sd with the population sd (``ddof=0``) by default,
-    like the reference's scaler; ``ddof=1`` gives the sample sd."""
+    as scalers usually do; ``ddof=1`` gives the sample sd.  NaN counts as
+    missing; a column without spread becomes 0."""
 
     def __init__(self, columns: Sequence[str], ddof: int = 0, suffix: str = ""):
         self.columns, self.ddof, self.suffix = list(columns), ddof, suffix
@@ -28,14 +29,15 @@ class ZScore:
 
     def fit(self, df: DataFrame) -> ZScore:
         sd = F.stddev_pop if self.ddof == 0 else F.stddev_samp
-        row = df.agg(*[x for c in self.columns for x in (F.avg(c).alias(f"m_{c}"), sd(c).alias(f"s_{c}"))]).first()
+        value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in self.columns}
+        row = df.agg(*[x for c, v in value.items() for x in (F.avg(v).alias(f"m_{c}"), sd(v).alias(f"s_{c}"))]).first()
         self.stats = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in self.columns}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         exprs = {}
         for c, (m, s) in self.stats.items():
-            z = (F.col(c) - F.lit(m)) / F.lit(s) if s else F.lit(0.0)
+            z = (F.col(c) - F.lit(m)) / F.lit(s) if s else F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), 0.0).otherwise(F.col(c).cast("double"))
             exprs[c + self.suffix] = z
         return df.withColumns(exprs)
 
@@ -47,7 +49,7 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def _yeo_johnson_of(x: Column, lam: Column) -> Column:
+def yeo_johnson_of(x: Column, lam: Column) -> Column:
     """The same for a lambda that is a column."""
     pos = F.when(lam == 0, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
     neg = F.when(lam == 2, -F.log1p(-x)).otherwise(-(F.pow(1.0 - x, 2.0 - lam) - 1.0) / (2.0 - lam))
@@ -79,7 +81,7 @@ class YeoJohnsonGrid:
         rows = df.select(F.inline(F.array(*[value(c) for c in self.columns]))).where("x is not null")
         x = F.col("x")
         # a loop over an array: a CASE per lambda makes a method too long to be compiled
-        transformed = array_to_vector(F.transform("lambdas", lambda lam: _yeo_johnson_of(x, lam)))
+        transformed = array_to_vector(F.transform("lambdas", lambda lam: yeo_johnson_of(x, lam)))
         sums = rows.groupBy("column_name", "lambdas").agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("s"), Summarizer.variance(transformed).alias("v"))
         n = F.col("n")

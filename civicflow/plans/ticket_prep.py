@@ -3,18 +3,20 @@ features -> exact stratified train / test split.
 
 The order of the steps matters and follows the reference flow; every step is
 one of the library operators.  The cleaned and the enriched tables, each read
-by several fits, are written once to the shared folder; the fits (top lists,
-quartiles, codes, fill values) are small dictionaries that can be saved.
+by several fits, are written once to the shared folder; the steps, fitted ones
+with their dictionaries, are one ``PipelineModel`` that saves and loads.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from civicflow.operators import categories as cat
-from civicflow.operators import clean, dates, enrich, profile, split
+from civicflow.operators import profile, split
+from civicflow.operators.stages import Step, step_of
 from civicflow.session import written
 
 
@@ -36,8 +38,11 @@ class TicketColumns:
 
 @dataclass
 class PrepResult:
+    """``pipeline`` turns raw tickets into the same features, here or after it was saved and loaded."""
+
     features: DataFrame
     fitted: dict
+    pipeline: PipelineModel
 
 
 def prepare_features(raw: DataFrame, zip_dim: DataFrame | None, shares: DataFrame | None,
@@ -45,43 +50,48 @@ def prepare_features(raw: DataFrame, zip_dim: DataFrame | None, shares: DataFram
                      min_location_pct: float = 0.01, iqr_k: float = 1.5, zip_key: str = "ZipCode",
                      zip_group: str = "Borough", shares_key: str = "Stadtteil", key: str | None = None) -> PrepResult:
     c = cols
-    df = clean.drop_if_present(raw, [c.address])                              # Q6: address dropped early
-    df = clean.fill_missing_like(df, c.vehicle, "none")                       # B6
-    df = clean.fill_missing_like(df, c.location_type, "Other")                # B6
-    rare = cat.RareBucketer(c.location_type, min_location_pct).fit(df)        # E5
-    df = rare.transform(df)
-    top = cat.TopNBucketer(c.ctype, top_types).fit(df)                        # E2
-    df = top.transform(df)
-    df = dates.add_duration_days(df, c.created, c.closed, "duration_days")    # F2
-    df = clean.drop_negative(df, "duration_days")                             # F4 (nulls kept)
-    df = clean.drop_missing_key(df, c.zip)                                    # B7
-    df = clean.coerce_integer(df, c.zip)                                      # B8
-    df = clean.round_columns(df, ["duration_days"], 2)                        # B14 (B11: named directly)
+    df, steps, fitted = raw, [], {}
+
+    def step(kind: str, table: DataFrame | None = None, **args) -> None:
+        nonlocal df
+        steps.append(Step(kind, table, **args))
+        df = steps[-1].transform(df)
+
+    def fit(name: str, estimator) -> None:
+        nonlocal df
+        fitted[name] = estimator.fit(df)
+        steps.append(step_of(fitted[name]))
+        df = steps[-1].transform(df)
+
+    step("drop_if_present", columns=[c.address])                                               # Q6: address dropped early
+    step("fill_missing_like", column=c.vehicle, default="none")                                # B6
+    step("fill_missing_like", column=c.location_type, default="Other")                         # B6
+    fit("rare_location", cat.RareBucketer(c.location_type, min_location_pct))                  # E5
+    fit("top_types", cat.TopNBucketer(c.ctype, top_types))                                     # E2
+    step("add_duration_days", start=c.created, end=c.closed, out="duration_days")              # F2
+    step("drop_negative", column="duration_days")                                              # F4 (nulls kept)
+    step("drop_missing_key", column=c.zip)                                                     # B7
+    step("coerce_integer", column=c.zip)                                                       # B8
+    step("round_columns", columns=["duration_days"], digits=2)                                 # B14 (B11: named directly)
     df = written(df, "cleaned-tickets")
-    capper = cat.IQRCapper(["duration_days"], iqr_k).fit(df)                  # E6 on measures only (Q2)
-    df = capper.transform(df)
-    df = dates.add_date_features(df, [c.created])                             # F1
-    df = clean.drop_if_present(df, [c.closed])                                # B13
-    desc = cat.TopNEncoder(c.descriptor, top_descriptors, out="Descriptor_encoded").fit(df)   # E3
-    df = desc.transform(df)
-    if zip_dim is not None:                                                   # C1
-        df = enrich.fill_group_from_dimension(df, c.zip, c.borough, zip_dim, zip_key, zip_group)
-    if shares is not None:                                                    # C3 (B18 fallback: zeros)
-        df = enrich.attach_shares(df, c.borough, shares, shares_key, c.share_cols, missing="drop")
+    fit("iqr", cat.IQRCapper(["duration_days"], iqr_k))                                        # E6 on measures only (Q2)
+    step("add_date_features", columns=[c.created])                                             # F1
+    step("drop_if_present", columns=[c.closed])                                                # B13
+    fit("descriptor", cat.TopNEncoder(c.descriptor, top_descriptors, out="Descriptor_encoded"))  # E3
+    if zip_dim is not None:                                                                    # C1
+        step("fill_group_from_dimension", zip_dim, code=c.zip, group=c.borough, key=zip_key, name=zip_group)
+    if shares is not None:                                                                     # C3 (B18 fallback: zeros)
+        step("attach_shares", shares, column=c.borough, key=shares_key, shares=list(c.share_cols), missing="drop")
     else:
-        df = clean.zero_columns(df, c.share_cols)
+        step("zero_columns", columns=list(c.share_cols))
     df = written(df, "enriched-tickets")
     text_cols = [c.ctype, c.agency, c.location_type, c.vehicle, c.borough, c.zip]
-    codes = cat.DenseCodes([x for x in text_cols if x in df.columns]).fit(df)  # E4
-    df = codes.transform(df)
-    df = df.drop(c.created)
-    imputer = profile.NullImputer(exclude=[key, c.ctype]).fit(df)                                   # D12
-    df = imputer.transform(df)
-    df = clean.clip_columns(df, c.share_cols, 0.0, 1.0)                       # B10
-    df = clean.clean_column_names(df)                                         # B12
-    fitted = {"rare_location": rare, "top_types": top, "iqr": capper, "descriptor": desc, "codes": codes,
-              "imputer": imputer}
-    return PrepResult(df, fitted)
+    fit("codes", cat.DenseCodes([x for x in text_cols if x in df.columns]))                    # E4
+    step("drop_if_present", columns=[c.created])
+    fit("imputer", profile.NullImputer(exclude=[key, c.ctype]))                                # D12
+    step("clip_columns", columns=list(c.share_cols), lo=0.0, hi=1.0)                           # B10
+    step("clean_column_names")                                                                 # B12
+    return PrepResult(df, fitted, PipelineModel(stages=steps))
 
 
 def split_features(features: DataFrame, key: str, label: str, seed: int = 42, total: int = 66_000,

@@ -8,8 +8,6 @@ on a cluster).
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -222,9 +220,3 @@ def rejected(requests: DataFrame) -> DataFrame:
 def read_requests_json(spark: SparkSession, path: str, as_of=None, groups: Sequence[str] | None = None) -> DataFrame:
     """JSON ticket requests with an explicit schema plus defaults."""
     return apply_request_defaults(spark.read.schema(REQUEST_SCHEMA).json(path), as_of, groups)
-
-
-def save_metadata(spark: SparkSession, path: str, meta: Mapping) -> None:
-    """One-row metadata table next to a saved model."""
-    spark.createDataFrame([(json.dumps(dict(meta), default=str),)], "meta string").write.mode("overwrite").parquet(
-        os.path.join(path, "metadata"))
