@@ -38,8 +38,20 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_table(spark: SparkSession, what: str) -> str:
+    """A catalogue name for a bucketed table in the shared folder; :func:`release_scratch` drops it."""
+    return f"llm_{what}_{spark.sparkContext.applicationId.replace('-', '_')}_{uuid.uuid4().hex}".lower()
+
+
 def release_scratch(spark: SparkSession) -> None:
-    """Delete what this application wrote to the shared folder."""
+    """Delete what this application wrote to the shared folder, and its entries in the catalogue.
+
+    The caller decides when: results that are read lazily still need the files.
+    """
+    own = f"_{spark.sparkContext.applicationId.replace('-', '_')}_".lower()
+    for t in spark.catalog.listTables():
+        if t.name.startswith("llm_") and own in t.name:
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -10,8 +10,8 @@ masks' hashes of both sides misses no overlap; the words around each hit are
 then compared one by one.
 
 An item of fewer words than a window must hold equal ones counts only as a
-whole and without differences; items of fewer than ``FEWEST`` words are no
-evidence and never match.
+whole and without differences; items of fewer than ``fewest`` words (a parameter;
+1 takes all) are no evidence and never match.
 
 Defined cases: null or empty texts (documents or items) match nothing; null ids
 are ids like any other; rows of one id and text count once, those of one id and
@@ -49,12 +49,12 @@ def _seeds(words: Column, at: Column, masks: dict[int, str]) -> Column:
         for number, mask in masks.items()])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = None, fewest: int = FEWEST) -> DataFrame:
     """``keys, item_id, windows, matched``: number of overlapping windows and the equal words of the best one."""
     keys = keys or ["doc_id"]
-    items = benchmark.select("item_id", word_array("text").alias("item")).where(F.size("item") >= FEWEST).distinct()
+    items = benchmark.select("item_id", word_array("text").alias("item")).where(F.size("item") >= max(1, fewest)).distinct()
     items = materialise(items.withColumn("n", F.size("item")).withColumn("ik", F.monotonically_increasing_id()), "items")
-    # at most EQUAL - FEWEST lengths
+    # at most EQUAL - 1 lengths
     short = [r.n for r in items.where(F.col("n") < EQUAL).select("n").distinct().collect()]
     masks = dict(enumerate(MASKS)) | {1000 + n: "1" * n for n in sorted(short)}
     at_item = items.select("ik", "n", "item", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
@@ -94,10 +94,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = Non
                                                F.max(F.array_max("counts")).cast("long").alias("matched"))
 
 
-def remove_overlapping(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_overlapping(docs: DataFrame, benchmark: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """The rows whose text overlaps no item."""
     rows = packed(docs).withColumn("key", F.xxhash64("text"))
-    found = materialise(overlaps(rows, benchmark, ["doc_id", "key"]).select(
+    found = materialise(overlaps(rows, benchmark, ["doc_id", "key"], fewest).select(
         F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct(), "overlapping")
     return rows.join(found, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")), "left_anti").select("row.*")
 

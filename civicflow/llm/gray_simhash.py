@@ -1,22 +1,24 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
 Distinct fingerprints are sorted by Gray rank, in which neighbours share most
-of their leading bits, and cut into parts of about ``PART`` fingerprints.  A
-node of the index holds the bits that all fingerprints below it share (mask and
-pattern) without those its parent already holds.  A search carries the
-differences seen so far down the levels and drops a whole group as soon as they
-exceed the limit.  The parts' own masks form the top levels, which route each
-fingerprint to the parts that can hold a partner; within a part the levels are
-built when it is searched.
-
-A block of routed fingerprints and one part are one row of a join, so that a
-part that very many fingerprints reach is split like any skewed join.  Searches
-leave a spanning forest of their links, from which components follow.
+of their leading bits, into ranges of a range partitioning, and these are cut
+into parts of ``PART`` fingerprints.  A node of the index holds the bits that all
+fingerprints below it share (mask and pattern) without those its parent already
+holds.  A search carries the differences seen so far down the levels and drops
+a whole group as soon as they exceed the limit.  The masks of the ranges (a
+bounded number) are the top level, which every task has; the masks of a range's
+parts are a row of a table, which fingerprints that reach the range are joined
+with; within a part the levels are built when it is searched.
+
+A block of routed fingerprints and one range or part are one row of a join, so
+that a part that very many fingerprints reach is split like any skewed join.
+Searches leave a spanning forest of their links, from which components follow.
 
 Defined cases: an empty or null text has fingerprint 0 and is linked like any
 other; rows with a null ``doc_id`` are linked with nothing (null component);
-rows that share a ``doc_id`` are one document; repeated rows come out each; an
-empty table gives an empty result.
+rows that share a ``doc_id`` are one document (where one row of it is kept, that
+of the least text hash, then of the least JSON text of all its columns); repeated
+rows come out each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +36,9 @@ from civicflow.llm.common import materialise, packed, slices
 from civicflow.llm.components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
-PART, FEWEST_PARTS = 16_384, 16
-#: Children of an index node; fingerprints searched at a time; fingerprints of a routed block.
-FAN, CHUNK, BLOCK = 16, 512, 8_192
+PART, FEWEST_RANGES, MOST_RANGES, PARTS_OF_A_RANGE = 16_384, 16, 16_384, 16
+#: Children of an index node; fingerprints searched at a time; fingerprints of a routed block, and of all blocks that a task holds.
+FAN, CHUNK, BLOCK, HELD = 16, 512, 8_192, 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -131,34 +134,87 @@ class _Forest:
         return a != b
 
 
-def _route(cuts: np.ndarray, ones: np.ndarray, some: np.ndarray, limit: int):
-    """Blocks ``(part, own, fps, ids)`` of the fingerprints that may have a partner in the part (own or a later one)."""
+class _Blocks:
+    """Routed fingerprints by where they go, in blocks ``(at, own, fps, ids)``; ``own``: the part they come from, if it lies there."""
+
+    def __init__(self):
+        self.held: dict[tuple[int, int], list] = {}
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def _flush(self, key: tuple[int, int]) -> pa.RecordBatch:
+        fps, ids = (np.concatenate(x) for x in zip(*self.held.pop(key), strict=True))
+        del self.sizes[key]
+        return pa.RecordBatch.from_pydict({"at": pa.array([key[0]], pa.int64()), "own": pa.array([key[1]], pa.int64()),
+                                           "fps": pa.array([fps.tobytes()], pa.binary()), "ids": pa.array([ids.tobytes()], pa.binary())})
+
+    def add(self, at: np.ndarray, own: int, home: int, fps: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(at, kind="stable")
+        at, fps, ids = at[order], fps[order], ids[order]
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
+            if len(part):
+                goes = int(at[part[0]])
+                key = (goes, own if goes == home else -1)
+                self.held.setdefault(key, []).append((fps[part], ids[part]))
+                self.sizes[key] = self.sizes.get(key, 0) + len(part)
+                if self.sizes[key] >= BLOCK:
+                    yield self._flush(key)
+        if sum(self.sizes.values()) >= HELD:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for key in list(self.held):
+            yield self._flush(key)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of a range, which come in Gray order, in parts."""
+    where, number, held = TaskContext.get().partitionId(), 0, []
+
+    def part(fps: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "range": pa.array([where], pa.int64()), "part": pa.array([where << 32 | number], pa.int64()),
+            "ones": pa.array([int(np.bitwise_and.reduce(fps))], pa.int64()), "some": pa.array([int(np.bitwise_or.reduce(fps))], pa.int64()),
+            "part_fps": pa.array([fps.tobytes()], pa.binary()), "part_ids": pa.array([ids.tobytes()], pa.binary())})
+
+    for batch in batches:
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+        while sum(len(f) for f, _ in held) >= PART:
+            fps, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield part(fps[:PART], ids[:PART])
+            number, held = number + 1, [[fps[PART:], ids[PART:]]]
+    fps, ids = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 2
+    if len(fps):
+        yield part(fps, ids)
+
+
+def _route_ranges(ranges: np.ndarray, ones: np.ndarray, some: np.ndarray, limit: int):
+    """Blocks of the fingerprints that may have a partner in a range (their own or a later one)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = GrayIndex(ones, ~(ones ^ some))
-        held: dict[int, list] = {}
+        index, blocks = GrayIndex(ones, ~(ones ^ some)), _Blocks()
+        for batch in batches:
+            for home, own, fps, ids in zip(*(batch.column(c).to_pylist() for c in ("range", "part", "part_fps", "part_ids")), strict=True):
+                fps, ids = np.frombuffer(fps, "<u8"), np.frombuffer(ids, "<i8")
+                for query, node in index.search(fps, limit):
+                    later = ranges[node] >= home
+                    yield from blocks.add(ranges[node[later]], own, home, fps[query[later]], ids[query[later]])
+        yield from blocks.rest()
+
+    return run
 
-        def block(part: int) -> pa.RecordBatch:
-            fps, ids = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "fps": pa.array([fps.tobytes()], pa.binary()),
-                                               "ids": pa.array([ids.tobytes()], pa.binary())})
 
+def _route_parts(limit: int):
+    """Blocks of the fingerprints that may have a partner in a part (their own or a later one), from those that reach its range."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks()
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
-            own = np.searchsorted(cuts, gray_rank(fps), "right")
-            for query, part in index.search(fps, limit):
-                later = part >= own[query]
-                query, part = query[later], part[later]
-                order = np.argsort(part, kind="stable")
-                query, part = query[order], part[order]
-                for at in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
-                    if len(at):
-                        p = int(part[at[0]])
-                        held.setdefault(p, []).append((fps[query[at]], ids[query[at]]))
-                        if sum(len(x) for x, _ in held[p]) >= BLOCK:
-                            yield block(p)
-        for p in list(held):
-            yield block(p)
+            for own, fps, ids, below in zip(*(batch.column(c).to_pylist() for c in ("own", "fps", "ids", "below")), strict=True):
+                fps, ids = np.frombuffer(fps, "<u8"), np.frombuffer(ids, "<i8")
+                parts, ones, some = (np.array([b[c] for b in below], np.int64) for c in ("part", "ones", "some"))
+                ones, some = ones.view(np.uint64), some.view(np.uint64)
+                for query, node in GrayIndex(ones, ~(ones ^ some)).search(fps, limit):
+                    later = parts[node] >= own
+                    yield from blocks.add(parts[node[later]], -1, -1, fps[query[later]], ids[query[later]])
+        yield from blocks.rest()
 
     return run
 
@@ -186,25 +242,6 @@ def _search(limit: int):
     return run
 
 
-def _assign(cuts: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rank = gray_rank(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(cuts, rank, "right"), pa.int32())],
-                                             names=[*batch.schema.names, "part"])
-
-    return run
-
-
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            members = batch.column(1)[row].values
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, 1), pa.array([members.field(0).to_numpy().tobytes()], pa.binary()),
-                 pa.array([members.field(1).to_numpy().tobytes()], pa.binary())], names=["part", "part_fps", "part_ids"])
-
-
 def _signed_rank():
     """Gray rank as a signed number in the same order."""
     x = F.col("fp")
@@ -215,22 +252,20 @@ def _signed_rank():
 
 def links(distinct: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     """A spanning forest ``(a, b)`` of the links between ids of distinct fingerprints ``(fp, id)``."""
-    n = distinct.count()
-    parts = max(FEWEST_PARTS, -(-n // PART))
-    # one number per part
-    low, cuts = distinct.select(_signed_rank().alias("r")).agg(F.min("r"), F.percentile_approx(
-        "r", [i / parts for i in range(1, parts)], max(10_000, 50 * parts))).first()
-    # cuts are ranks of fingerprints: every part has one at least
-    cuts = np.unique(np.array([c for c in cuts or [] if c > low], np.int64).view(np.uint64) ^ np.uint64(1 << 63))
-    index = distinct.mapInArrow(_assign(cuts), "fp long, id long, part int").groupBy("part").agg(
-        F.collect_list(F.struct("fp", "id")).alias("members"),  # about PART rows
-        F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some"))
-    index = materialise(index, "gray-parts")
-    tops = index.select("part", "ones", "some").orderBy("part").toPandas()  # one row per part
-    folded = index.select("part", "members").mapInArrow(_fold, "part int, part_fps binary, part_ids binary")
-    ones, some = (tops[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("ones", "some"))
-    routed = materialise(distinct.mapInArrow(_route(cuts, ones, some, limit), "part int, fps binary, ids binary"), "gray-routed")
-    return routed.join(folded, "part").select("fps", "ids", "part_fps", "part_ids").mapInArrow(_search(limit), "a long, b long")
+    ranges = min(MOST_RANGES, max(FEWEST_RANGES, -(-distinct.count() // (PART * PARTS_OF_A_RANGE))))
+    order = _signed_rank()
+    parts = materialise(distinct.select("fp", "id").repartitionByRange(ranges, order).sortWithinPartitions(order).mapInArrow(
+        _parts, "range long, part long, ones long, some long, part_fps binary, part_ids binary"), "gray-parts")
+    tops = parts.groupBy("range").agg(
+        F.sort_array(F.collect_list(F.struct("part", "ones", "some"))).alias("below"), F.bit_and("ones").alias("ones"), F.bit_or("some").alias("some"))
+    tops = materialise(tops, "gray-ranges")  # as many rows as partitions of the range partitioning
+    known = tops.select("range", "ones", "some").orderBy("range").toPandas()
+    ones, some = (known[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("ones", "some"))
+    routed = "at long, own long, fps binary, ids binary"
+    near = parts.mapInArrow(_route_ranges(known["range"].to_numpy().astype(np.int64), ones, some, limit), routed) if len(known) else parts.sparkSession.createDataFrame([], routed)
+    near = near.join(tops.select("range", "below"), F.col("at") == F.col("range")).mapInArrow(_route_parts(limit), routed)
+    near = materialise(near, "gray-routed").select(F.col("at").alias("part"), "fps", "ids")
+    return near.join(parts.select("part", "part_fps", "part_ids"), "part").select("fps", "ids", "part_fps", "part_ids").mapInArrow(_search(limit), "a long, b long")
 
 
 def group_documents(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_BITS) -> DataFrame:
@@ -264,5 +299,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_BITS) ->
 
 
 def _first(rows: DataFrame) -> DataFrame:
-    """One row per id; only ids that several rows have are compared."""
-    return rows.where("times = 1").select("row").union(rows.where("times > 1").dropDuplicates(["doc_id"]).select("row"))
+    """One row per id, whatever their order; only ids that several rows have are compared."""
+    several = rows.where("times > 1").select("doc_id", "row", F.struct(F.xxhash64("text").alias("h"), F.to_json("row").alias("j")).alias("order"))
+    return rows.where("times = 1").select("row").union(several.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row"))

@@ -13,8 +13,9 @@ of ``doc_id`` decides) and one row of each; every document is scored on its whol
 
 Defined cases: null or empty texts have no features and get the grade that the
 thresholds alone give, and are rejected by ``select`` (nothing to train on);
-null ratings or ids are not learned from; a row rated more than once takes its
-lowest grade; without rated rows every text is kept with the highest grade;
+null ratings or ids are not learned from; a grade below 0 or above ``MOST_GRADES``
+- 1 is refused with an error; a row rated more than once takes its lowest grade;
+without rated rows every text is kept with the highest grade;
 repeated rows are scored each; an empty table gives an empty result.
 """
 
@@ -33,7 +34,7 @@ from civicflow.llm.toxicity import held_out, sigmoid
 
 WORD_BITS, SHAPE_BITS = 16, 13
 SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 2
-MAX_ROWS = 8_000
+MAX_ROWS, MOST_GRADES = 8_000, 32
 PASSES, STEP, RATE, DECAY = 12, 64, 0.02, 1e-5
 #: Documents are kept if P(grade >= 1) is at least this.
 KEEP_FROM = 0.5
@@ -106,6 +107,21 @@ class CumulativeLink:
     def thresholds(self) -> np.ndarray:
         return np.concatenate([self.t[:1], self.t[:1] + np.cumsum(np.exp(self.t[1:]))]) if self.grades > 1 else np.zeros(0)
 
+    def gradient(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean weighted negative log likelihood, for the weights and for ``t``."""
+        at = np.concatenate([r[0] for r in rows])
+        x = np.concatenate([r[1] for r in rows]).astype(float)
+        row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        s = np.bincount(row, self.w[at] * x, len(rows))
+        th = np.concatenate([[-np.inf], self.thresholds(), [np.inf]])
+        up, low = sigmoid(th[y + 1] - s), sigmoid(th[y] - s)
+        share = weight / np.maximum(up - low, 1e-9) / len(rows)
+        du, dl = share * up * (1 - up), share * low * (1 - low)
+        gth = np.bincount(y, -du, self.grades)[:-1] + np.bincount(y, dl, self.grades)[1:]
+        gt = np.cumsum(gth[::-1])[::-1].copy()
+        gt[1:] *= np.exp(self.t[1:])
+        return np.bincount(at, (du - dl)[row] * x, len(self.w)), gt
+
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, passes: int = PASSES) -> "CumulativeLink":
         m = [np.zeros_like(self.w), np.zeros_like(self.t)]
         v = [np.zeros_like(self.w), np.zeros_like(self.t)]
@@ -115,18 +131,8 @@ class CumulativeLink:
         for epoch in range(passes):
             for i in range(0, len(rows), STEP):
                 part, grade = rows[i:i + STEP], y[i:i + STEP]
-                at = np.concatenate([r[0] for r in part])
-                x = np.concatenate([r[1] for r in part]).astype(float)
-                row = np.repeat(np.arange(len(part)), [len(r[0]) for r in part])
-                s = np.bincount(row, self.w[at] * x, len(part))
-                th = np.concatenate([[-np.inf], self.thresholds(), [np.inf]])
-                up, low = sigmoid(th[grade + 1] - s), sigmoid(th[grade] - s)
-                share = weight[grade] / np.maximum(up - low, 1e-9) / len(part)
-                du, dl = share * up * (1 - up), share * low * (1 - low)
-                gw = np.bincount(at, (du - dl)[row] * x, len(self.w)) + DECAY * self.w
-                gth = np.bincount(grade, -du, self.grades)[:-1] + np.bincount(grade, dl, self.grades)[1:]
-                gt = np.cumsum(gth[::-1])[::-1].copy()
-                gt[1:] *= np.exp(self.t[1:])
+                gw, gt = self.gradient(part, grade, weight[grade])
+                gw += DECAY * self.w
                 turn += 1
                 rate = RATE * (1 if epoch < passes - 3 else 0.2)
                 for k, (p, g, step) in enumerate(((self.w, gw, 5 * rate), (self.t, gt, rate))):
@@ -155,18 +161,20 @@ def _fit(grades: int):
 
 
 def rated(labels: DataFrame) -> DataFrame:
-    """Ratings from the label table: 0 for poor quality, 1 for good but toxic text, 2 for good text."""
-    quality, toxic = F.col("quality").cast("int"), F.coalesce(F.col("toxic").cast("int"), F.lit(0))
-    return labels.select(F.col("doc_id").cast("long").alias("doc_id"),
-                         F.when(quality == 0, 0).when(quality == 1, 2 - toxic).alias("grade"))
+    """Ratings from the label table: its quality, as it is (0 the poorest)."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("grade"))
 
 
-def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Non-zero weights; features -1, -2, ... are the thresholds.  At most ``SIZE + grades`` rows."""
+def fit_quality(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Non-zero weights; features -1, -2, ... are the thresholds, one less than there are grades (0 to the greatest given).  At most ``SIZE + MOST_GRADES`` rows."""
     known = (ratings.where("doc_id is not null and grade is not null").where(~held_out(F.col("doc_id")))
                     .groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
                     .withColumn("turn", F.xxhash64("doc_id")))
-    share = min(1.0, max_rows / max(1, known.count()))
+    n, low, high = known.agg(F.count(F.lit(1)), F.min("grade"), F.max("grade")).first()
+    if n and (low < 0 or high >= MOST_GRADES):
+        raise ValueError(f"grades go from 0 to {MOST_GRADES - 1}; these go from {low} to {high}")
+    grades = max(2, (high or 0) + 1)
+    share = min(1.0, max_rows / max(1, n))
     if share < 1:
         known = known.where(F.col("turn").cast("double") < share * 2.0 ** 64 - 2.0 ** 63)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
@@ -184,14 +192,14 @@ def _score(w: np.ndarray, thresholds: np.ndarray):
             text, feature, value = features(batch.column(batch.schema.get_field_index("text")).to_pylist())
             s = np.bincount(text, w[feature] * value, batch.num_rows)
             above = sigmoid(s[:, None] - thresholds[None, :])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above.sum(axis=1)), pa.array(above[:, 0])],
-                                             names=[*batch.schema.names, "expected_grade", "tail_probability"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above.tolist(), pa.list_(pa.float64()))],
+                                             names=[*batch.schema.names, "expected_grade", "tail_probability", "tails"])
 
     return score
 
 
 def score_quality(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """``rows`` (with a column ``text``) and ``expected_grade`` and ``tail_probability`` (of grade 1 or better)."""
+    """``rows`` (with a column ``text``) and ``expected_grade``, ``tail_probability`` (of grade 1 or better) and ``tails`` (of each grade above 0 or better)."""
     found = model.toPandas()  # at most SIZE weights and the thresholds
     w = np.zeros(SIZE, np.float64)
     own = found[found.feature >= 0]
@@ -199,7 +207,7 @@ def score_quality(rows: DataFrame, model: DataFrame) -> DataFrame:
     thresholds = found[found.feature < 0].sort_values("feature", ascending=False).weight.to_numpy()
     if not len(thresholds):  # fitted on nothing
         thresholds = np.array([-1e3])
-    return rows.mapInArrow(_score(w, thresholds), with_fields(rows, "expected_grade double, tail_probability double"))
+    return rows.mapInArrow(_score(w, thresholds), with_fields(rows, "expected_grade double, tail_probability double, tails array<double>"))
 
 
 def keep(tail: str = "tail_probability", text: str = "text", keep_from: float = KEEP_FROM):

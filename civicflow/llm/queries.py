@@ -70,7 +70,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit_quality(docs, quality.rated(table(spark, sf_dir, "labels")))
     scored = quality.score_quality(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", "expected_grade", "tail_probability", quality.keep().alias("kept"))
+    return scored.select("doc_id", "expected_grade", "tail_probability", "tails", quality.keep().alias("kept"))
 
 
 def op11_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,13 @@ anchor to the next one and stands for all words of both and between.
    text again and counted by 128-bit digests of their words; what occurs twice
    is removed.
 
+The graph of all k-mers is not built: its repeated nonbranching paths that are
+long enough for a window are those of the sampled graph.  A window's anchor is
+the k-mer of least hash in it, which depends on its words alone, so every copy
+of the window holds the same anchor at the same place: what repeats in the full
+graph repeats in the sampled one, and what is removed is decided by comparing
+the words themselves.  ``tests/llm/test_substrings.py`` compares both graphs.
+
 Texts are written once to the shared folder, bucketed by row, so that later
 passes move coordinates to the texts instead of texts.
 
@@ -29,7 +36,6 @@ they are; other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +43,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import materialise, scratch_path, slices
+from civicflow.llm.common import materialise, scratch_path, scratch_table, slices
 from civicflow.llm.hashing import Words, mix
 
 WINDOW, K = 35, 10
+#: Text of a bucket, which is read by one task.
+BUCKET_BYTES = 128 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -171,11 +179,17 @@ def _remove(with_text: bool):
     return run
 
 
+def _bytes(docs: DataFrame) -> int:
+    """Bytes of the columns that are read, from one pass over lengths."""
+    return int(docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """The rows with a number of their own, bucketed by it in the shared folder."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"texts_{uuid.uuid4().hex}"
+    # a bucket is one task: as many as the bytes of the table ask for
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes(docs) // BUCKET_BYTES))
+    name = scratch_table(spark, "texts")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
     (rows.repartition(buckets, "rid").write.option("path", scratch_path(spark, "texts")).option("compression", "zstd")

@@ -16,8 +16,8 @@ segments of the written manifest count.  The block starts allow reading any
 range of ids.
 
 Defined cases: a null or empty text is the end id alone; null ``doc_id`` comes
-first; repeated rows and equal ids are each written, ordered by text; an empty
-table writes no segment and gives an empty result.
+first; repeated rows and equal ids are each written, ordered by a hash of the
+text; an empty table writes no segment and gives an empty result.
 """
 
 from __future__ import annotations
@@ -203,9 +203,23 @@ class SegmentReader:
             yield doc_id, pieces(int(n))
 
 
+#: Names under which Hadoop knows the stores that ``pyarrow.fs`` has (hdfs and viewfs need libhdfs on the executors).
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "file": "file"}
+
+
+def _store_uri(uri: str) -> str:
+    """The folder's address for ``pyarrow.fs``; a scheme that it lacks is refused before anything is written."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return f"file://{uri}"
+    scheme, rest = uri.split(":", 1)
+    if scheme not in SCHEMES:
+        raise ValueError(f"token files can't be written to {scheme}: (known: {', '.join(sorted(SCHEMES))})")
+    return f"{SCHEMES[scheme]}:{rest}"
+
+
 def _file_system(uri: str):
     from pyarrow import fs
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(_store_uri(uri))
 
 
 def _write(folder: str, vocabulary: str, end_id: int, block: int, share: float):
@@ -239,9 +253,13 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
                       end_id: int = END_ID, block: int = BLOCK, share: float = SHARE) -> DataFrame:
     """Write the segments; the manifest (one row per segment, with the ids before it) is the result."""
     folder = folder or scratch_path(docs.sparkSession, "token-files")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    _store_uri(folder)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.xxhash64("text").alias("_key"), F.monotonically_increasing_id().alias("_row"))
+    # rows of one id, or of one text, in very many places of the table are split, too
+    order = [F.asc_nulls_first("doc_id"), F.asc("_key"), F.asc("_row")]
     manifest = materialise(
-        rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
             .mapInArrow(_write(folder, vocabulary or tokens.vocabulary(), end_id, block, share),
                         "task int, segment string, n_docs long, n_ids long, n_bytes long"), "manifest")
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -99,3 +99,10 @@ def test_rows_of_one_id_are_judged_by_their_text(spark, make):
     bench = spark.createDataFrame(items, "item_id long, text string")
     kept = decontam.remove_overlapping(make([(1, docs[0][1]), (1, "clean"), (None, docs[0][1]), (None, "clean, too")]), bench)
     assert sorted(r.text for r in kept.collect()) == ["clean", "clean, too"]
+
+
+def test_shortest_items_are_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "two three")], "item_id long, text string")
+    assert decontam.overlaps(docs, items).count() == 0
+    assert [tuple(r) for r in decontam.overlaps(docs, items, fewest=1).collect()] == [(1, 9, 1, 2)]

@@ -95,3 +95,24 @@ def test_rows_that_share_an_id_are_one_document(make):
     a, b, c = (" ".join(words(200, s)) for s in (11, 12, 13))
     rows = gs.group_documents(make([(9, a), (9, b), (3, b), (7, c), (8, a)])).collect()
     assert {(r.doc_id, r.component_id) for r in rows} == {(9, 3), (3, 3), (8, 3), (7, 7)}
+
+
+def test_the_kept_row_of_an_id_does_not_depend_on_order(spark):
+    rows = [(i % 5, f"text {j}", i * 10 + j) for i in range(5) for j in range(4)]
+    kept = []
+    for some in (rows, rows[::-1], sorted(rows, key=lambda r: r[2] % 7)):
+        df = spark.createDataFrame(some, "doc_id long, text string, other int").repartition(len(kept) + 2)
+        kept.append(sorted(map(tuple, gs.keep_one(df).collect())))
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == len({r[0] for r in kept[0]})
+
+
+def test_ranges_and_parts_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(gs, "FEWEST_RANGES", 3)
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    x = np.unique(np.concatenate([x, x ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)), x[:50] ^ np.uint64(5)]))
+    rows = spark.createDataFrame([(int(v), i) for i, v in enumerate(x.view(np.int64))], "fp long, id long").repartition(7)
+    plan = gs.links(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and len(plan) < 20_000
+    labels = {r.node: r.component for r in gs.connected_components(gs.links(rows)).collect()}
+    assert [labels.get(i, i) for i in range(len(x))] == components(x)

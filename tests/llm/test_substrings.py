@@ -85,3 +85,27 @@ def test_paths_shorten_a_copied_text(make, monkeypatch):
     run(make([(i, text) for i in range(8)]))
     assert seen["digests"].where(F.col("n") > 1900).count() == 8
     assert seen["digests"].count() < 8 * 80
+
+
+def test_sampled_and_full_graph_lead_to_the_same_windows():
+    """Windows made of repeated k-mers (the full graph) or with a repeated anchor (the sampled one): what verifies is the same."""
+    import hashlib
+    import random
+    from collections import Counter
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(30)}"
+    passage = [word() for _ in range(60)]
+    texts = [[word() for _ in range(80)] + passage[i:50 + i] + [word() for _ in range(20)] for i in range(4)] + [["a", "b"] * 60, [word() for _ in range(100)]]
+    hashed = lambda gram: hashlib.md5(" ".join(gram).encode()).digest()
+    grams = Counter(tuple(t[i:i + substrings.K]) for t in texts for i in range(len(t) - substrings.K + 1))
+    windows = [(n, i, tuple(t[i:i + substrings.WINDOW])) for n, t in enumerate(texts) for i in range(len(t) - substrings.WINDOW + 1)]
+    inside = lambda w: [w[j:j + substrings.K] for j in range(substrings.WINDOW - substrings.K + 1)]
+    anchor = {(n, i): min((hashed(g), j) for j, g in enumerate(inside(w))) for n, i, w in windows}
+    places = Counter((h, n, i + j) for (n, i), (h, j) in anchor.items())
+    anchors = Counter(h for h, _, _ in places)
+    full = [x for x in windows if all(grams[g] > 1 for g in inside(x[2]))]
+    sampled = [x for x in windows if anchors[anchor[x[0], x[1]][0]] > 1]
+    times = Counter(w for *_, w in windows)
+    verified = lambda found: {x[:2] for x in found if Counter(w for *_, w in found)[x[2]] > 1}
+    repeated = {x[:2] for x in windows if times[x[2]] > 1}
+    assert repeated and verified(full) == verified(sampled) == repeated

@@ -68,3 +68,24 @@ def test_defined_cases(spark, odd, empty):
     assert ids == [None, None, 1, 2, 3, 4, 4, 5, 6, 7, 8]  # null first, then ascending
     assert [r.n_tokens for r in rows if r.doc_id in (1, 2, 3)] == [1, 1, 1]
     assert tb.read_token_files(spark, tb.write_token_files(empty)).count() == 0
+
+
+def test_rows_of_one_id_are_split(spark, make):
+    rows = make([(7, f"text number {i}") for i in range(600)] + [(7, "one text")] * 600 + [(i, "x") for i in range(100, 160)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = tb.write_token_files(rows)
+        docs = [r.n_docs for r in manifest.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(docs) == 1260 and max(docs) < 700
+    out = tb.read_token_files(spark, manifest).orderBy("start").collect()
+    assert [r.doc_id for r in out] == sorted(r.doc_id for r in out) and len(out) == 1260
+
+
+def test_stores_by_their_hadoop_names():
+    import pytest
+    assert tb._store_uri("s3a://bucket/x") == "s3://bucket/x"
+    assert tb._store_uri("/tmp/x") == "file:///tmp/x" and tb._store_uri("file:/tmp/x") == "file:/tmp/x"
+    with pytest.raises(ValueError, match="swift"):
+        tb._store_uri("swift://bucket/x")

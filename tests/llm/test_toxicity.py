@@ -82,3 +82,33 @@ def test_query_and_defined_cases(spark, odd, empty):
     assert [tuple(r) for r in nothing.collect()] in ([], [(-1, 0.0)])
     assert {r.score for r in toxicity.score_toxicity(odd.select("text"), nothing).collect()} == {0.5}
     assert toxicity.score_toxicity(empty.select("text"), weights).count() == 0
+
+
+def test_weights_equal_a_plain_ftrl():
+    """Per-coordinate rates and L1 one coordinate at a time, in plain Python."""
+    import math
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(1, 9))) for _ in range(300)]
+    y = np.array([float(3 in r or rng.random() < 0.1) for r in rows])
+    weight = np.where(y > 0, 1.7, 1.0)
+    model = toxicity.Ftrl(40)
+    a, b, l1, l2 = model.alpha, model.beta, model.l1, model.l2
+    z, n, bias_z, bias_n = [0.0] * 40, [0.0] * 40, 0.0, 0.0
+    for at in range(0, 300, 7):
+        part = range(at, min(at + 7, 300))
+        model.step([rows[i] for i in part], y[at:at + 7], weight[at:at + 7])
+        w = [0.0 if abs(z[j]) <= l1 else -(z[j] - math.copysign(l1, z[j])) / ((b + math.sqrt(n[j])) / a + l2) for j in range(40)]
+        bias = -bias_z * a / (b + math.sqrt(bias_n))
+        g, g0 = [0.0] * 40, 0.0
+        for i in part:
+            error = (1 / (1 + math.exp(-(sum(w[j] for j in rows[i]) + bias))) - y[i]) * weight[i]
+            g0 += error
+            for j in rows[i]:
+                g[j] += error
+        for j in {int(j) for i in part for j in rows[i]}:
+            z[j] += g[j] - (math.sqrt(n[j] + g[j] ** 2) - math.sqrt(n[j])) / a * w[j]
+            n[j] += g[j] ** 2
+        bias_z += g0 - (math.sqrt(bias_n + g0 ** 2) - math.sqrt(bias_n)) / a * bias
+        bias_n += g0 ** 2
+    assert np.allclose(model.z, z) and np.allclose(model.n, n) and abs(model.bias_z - bias_z) < 1e-9
+    assert 0 < np.count_nonzero(model.weights()) < 40
