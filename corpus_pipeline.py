@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and read again."""
+    """All stages over ``documents``; each result but the last is written and read again.
+
+    What is written stays in the shared folder until the caller, done with the
+    result, calls :func:`civicflow.llm.common.release_scratch`.
+    """
     docs = documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
