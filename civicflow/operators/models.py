@@ -293,43 +293,190 @@ def _blocks(n: int, cores: int) -> int:
     return max(-(-n // BLOCK), min(-(-n // 256), cores), 1)
 
 
-def nearest(rows: DataFrame, train: DataFrame, k: int, others: bool = False) -> DataFrame:
-    """``_row`` and ``near``: the ``k`` rows of ``train`` of the same group nearest to each of
-    ``rows``, as structs (far, key, n, y) in this order (``others``: without the row itself).
+#: Rows of a cell of :func:`nearest` (on average), and cells that a task may know (their pivots and radii).
+CELL, MOST_CELLS = 4096, 4096
 
-    ``rows`` has _row, g, x and ``train`` n, g, key, y, x; both are read twice.
-    Each side is dealt into blocks by a hash of its row number, so a group or
-    key of any size is spread out; every pair of blocks of a group is compared
-    in a task, and the k best of each are merged by row.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    rows, train = rows.where("x is not null"), train.where("x is not null")
-    n_rows, n_train = ({r[0]: r[1] for r in side.groupBy("g").count().collect()} for side in (rows, train))  # a row per group
-    sizes = {g: (_blocks(n, cores), _blocks(n_train[g], 1)) for g, n in n_rows.items() if g in n_train}
-    kind = train.schema["key"].dataType.simpleString()
-    if not sizes:
-        return rows.select("_row", F.lit(None).cast(f"array<struct<far:double,key:{kind},n:bigint,y:double>>").alias("near")).limit(0)
-    t, b = (F.create_map(*[F.lit(v) for g, s in sizes.items() for v in (float(g), s[at])])[F.col("g")] for at in (0, 1))
-    parts = min(sum(x * y for x, y in sizes.values()), 100_000)
 
-    def deal(side: DataFrame, number: str, own: str, n: Column, copied: str, m: Column) -> DataFrame:
-        side = side.where(n.isNotNull()).withColumn(own, F.pmod(F.xxhash64(number), n).cast("int"))
-        return side.withColumn(copied, F.explode(F.sequence(F.lit(0), m - 1))).repartition(parts, "g", "_t", "_b")
+def _kind(train: DataFrame) -> str:
+    return train.schema["key"].dataType.simpleString()
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    return table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
 
+
+def _compare(k: int, others: bool, counter=None) -> Callable:
+    """The ``k`` best of a block of training rows for each row of a block."""
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by([("key", "ascending"), ("n", "ascending")])
         row, n, i, j, far = left["_row"].to_numpy(), right["n"].to_numpy(), *[np.empty(0, np.int64)] * 2, np.empty(0)
         if len(left) and len(right):
-            x, z = (v["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) for v in (left, right))
-            i, j, far = _closest(x, z, k, (lambda i, j: row[i] != n[j]) if others else None)
+            i, j, far = _closest(_vectors(left), _vectors(right), k, (lambda i, j: row[i] != n[j]) if others else None)
+            if counter is not None:
+                counter.add(len(left) * len(right))
         best = right.select(["key", "n", "y"]).take(pa.array(j, pa.int64()))
         return pa.Table.from_arrays([pa.array(row[i], pa.int64()), pa.array(far, pa.float64()), *best.columns], names=["_row", "far", *best.column_names])
 
-    pairs = deal(rows, "_row", "_t", t, "_b", b).groupBy("g", "_t", "_b").cogroup(deal(train, "n", "_b", b, "_t", t).groupBy("g", "_t", "_b"))
-    found = pairs.applyInArrow(compare, f"_row long, far double, key {kind}, n long, y double")
+    return compare
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("_row").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "key", "n", "y"))), 1, k).alias("near"))
 
 
+def _by_blocks(rows: DataFrame, train: DataFrame, k: int, others: bool, n_rows: dict, n_train: dict, counter=None) -> DataFrame:
+    """All pairs of blocks of a group, each in a task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    sizes = {g: (_blocks(n, cores), _blocks(n_train[g], 1)) for g, n in n_rows.items() if g in n_train}
+    t, b = (F.create_map(*[F.lit(v) for g, s in sizes.items() for v in (float(g), s[at])])[F.col("g")] for at in (0, 1))
+    parts = min(sum(x * y for x, y in sizes.values()), 100_000)
+
+    def deal(side: DataFrame, number: str, own: str, n: Column, copied: str, m: Column) -> DataFrame:
+        side = side.where(n.isNotNull()).withColumn(own, F.pmod(F.xxhash64(number), n).cast("int"))
+        return side.withColumn(copied, F.explode(F.sequence(F.lit(0), m - 1))).repartition(parts, "g", "_t", "_b")
+
+    pairs = deal(rows, "_row", "_t", t, "_b", b).groupBy("g", "_t", "_b").cogroup(deal(train, "n", "_b", b, "_t", t).groupBy("g", "_t", "_b"))
+    return _best(pairs.applyInArrow(_compare(k, others, counter), f"_row long, far double, key {_kind(train)}, n long, y double"), k)
+
+
+class Cells:
+    """Pivots of the groups and, of the training rows nearest to each, how many there are and how near and far the pivot is."""
+
+    def __init__(self, pivots: dict[float, np.ndarray]):
+        self.pivots = pivots
+        self.first = dict(zip(pivots, np.cumsum([0, *[len(p) for p in pivots.values()]])[:-1].tolist(), strict=True))
+        total = sum(len(p) for p in pivots.values())
+        self.count, self.least, self.most = np.zeros(total, np.int64), np.zeros(total), np.full(total, -np.inf)
+
+    def distances(self, g: float, x: np.ndarray) -> np.ndarray:
+        p = self.pivots[g]
+        return np.sqrt(np.stack([((x - c) ** 2).sum(axis=1) for c in p], axis=1))
+
+    def own(self, g: float) -> slice:
+        return slice(self.first[g], self.first[g] + len(self.pivots[g]))
+
+    def blocks(self) -> np.ndarray:
+        """Blocks of each cell."""
+        return np.maximum(-(-self.count // BLOCK), 1)
+
+    def assign(self):
+        """``cell, r``: the nearest pivot and its distance."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                g, x = batch.column(1).to_numpy(zero_copy_only=False), _vectors(pa.Table.from_batches([batch]))
+                cell, r = np.zeros(len(g), np.int64), np.zeros(len(g))
+                for own in np.unique(g):
+                    at = np.flatnonzero(g == own)
+                    d = self.distances(own, x[at])
+                    cell[at], r[at] = d.argmin(axis=1) + self.first[own], d.min(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(r)], names=[*batch.schema.names, "cell", "r"])
+
+        return run
+
+    def home(self, k: int):
+        """``cell``: the nearest cell whose first block has more than ``k`` rows on average (-1: none)."""
+        enough = self.count // self.blocks() > 2 * k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                g, x = batch.column(1).to_numpy(zero_copy_only=False), _vectors(pa.Table.from_batches([batch]))
+                cell = np.full(len(g), -1, np.int64)
+                for own in np.unique(g):
+                    at, fit = np.flatnonzero(g == own), enough[self.own(own)]
+                    if fit.any():
+                        cell[at] = np.where(fit, self.distances(own, x[at]), np.inf).argmin(axis=1) + self.first[own]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+        return run
+
+    def visits(self):
+        """``cells``: those that can hold a row within ``far`` (squared; null: all), by the triangle inequality."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                g, x = table["g"].to_numpy(), _vectors(table)
+                within = np.sqrt(np.nan_to_num(table["far"].to_numpy(zero_copy_only=False).astype(float), nan=np.inf))
+                cells: list[list[int]] = [[]] * len(g)
+                for own in np.unique(g):
+                    at, part = np.flatnonzero(g == own), self.own(own)
+                    d = self.distances(own, x[at])
+                    bound = np.maximum(d - self.most[part], self.least[part] - d) - 1e-9 * (d + np.abs(self.least[part]))
+                    seen = ~(bound > within[at, None]) & (self.count[part] > 0)  # what can't be compared is visited
+                    for i, row in zip(at, seen, strict=True):
+                        cells[i] = (np.flatnonzero(row) + self.first[own]).tolist()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*batch.schema.names, "cells"])
+
+        return run
+
+
+def _by_cells(rows: DataFrame, train: DataFrame, k: int, others: bool, n_train: dict, n_rows: dict, counter=None) -> DataFrame:
+    """Each row meets one block of its nearest cell first; the distance of its k-th best there is a bound, and only cells
+    that can hold something within it are visited."""
+    spark, kind = rows.sparkSession, _kind(train)
+    groups = [g for g in n_rows if g in n_train]
+    wanted = {g: max(1, min(-(-n_train[g] // CELL), MOST_CELLS // max(len(groups), 1))) for g in groups}
+    rows, train = (side.where(F.col("g").isin([float(g) for g in groups])) for side in (rows, train))
+    share = F.create_map(*[F.lit(v) for g in groups for v in (float(g), wanted[g] / n_train[g])])[F.col("g")]
+    # any points will do as pivots: a bounded draw of the rows
+    drawn = train.where(F.pmod(F.xxhash64("n"), F.lit(1 << 30)) / float(1 << 30) < share).select("g", "x").limit(4 * MOST_CELLS).collect()
+    d = train.select(F.max(F.size("x"))).first()[0]
+    cells = Cells({float(g): np.array([r["x"] for r in drawn if r["g"] == g] or [[0.0] * d], float) for g in groups})
+    size = train.select("n", "g", "key", "y", "x")
+    placed = cut_lineage(size.mapInArrow(cells.assign(), f"n long, g double, key {kind}, y double, x array<double>, cell long, r double"))
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("least"), F.max("r").alias("most")).collect():
+        cells.count[r["cell"]], cells.least[r["cell"]], cells.most[r["cell"]] = r["n"], r["least"], r["most"]
+    blocks = cells.blocks()
+    table = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "cell long, blocks int")  # a row per cell
+    placed = placed.join(F.broadcast(table), "cell").withColumn("block", F.pmod(F.xxhash64("n"), "blocks").cast("int")).drop("blocks", "r")
+
+    def meet(own: DataFrame, theirs: DataFrame, copies: dict[tuple[int, int], int]) -> DataFrame:
+        """Rows ``_row, x, cell, block`` with the training rows of that block; a block that many rows meet is copied."""
+        many = spark.createDataFrame([(c, b, -(-n // BLOCK)) for (c, b), n in copies.items()], "cell long, block int, lots int")
+        lot = lambda side: side.join(F.broadcast(many), ["cell", "block"])  # noqa: E731  a row per block that is visited, a few thousand
+        left = lot(own).withColumn("lot", F.pmod(F.xxhash64("_row"), "lots").cast("int")).drop("lots")
+        right = lot(theirs).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+        parts = max(1, min(sum(-(-n // BLOCK) for n in copies.values()), 100_000))
+        left, right = (side.repartition(parts, "cell", "block", "lot").groupBy("cell", "block", "lot") for side in (left, right))
+        return left.cogroup(right).applyInArrow(_compare(k, others, counter), f"_row long, far double, key {kind}, n long, y double")
+
+    def counted(own: DataFrame) -> dict[tuple[int, int], int]:
+        return {(r["cell"], r["block"]): r["n"] for r in own.groupBy("cell", "block").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    at_home = cut_lineage(rows.select("_row", "g", "x").mapInArrow(cells.home(k), "_row long, g double, x array<double>, cell long"))
+    first = at_home.where("cell >= 0").select("_row", "x", "cell", F.lit(0).alias("block"))
+    copies = counted(first)
+    empty = spark.createDataFrame([], f"_row long, far double, key {kind}, n long, y double")
+    found = cut_lineage(meet(first, placed, copies)) if copies else empty
+    bound = found.groupBy("_row").agg(F.when(F.count(F.lit(1)) >= k, F.max("far")).alias("far"))
+    routed = cut_lineage(at_home.join(bound, "_row", "left").select("_row", "g", "x", "far", "cell").mapInArrow(
+        cells.visits(), "_row long, g double, x array<double>, far double, cell long, cells array<long>"))
+    each = routed.select("_row", "x", F.col("cell").alias("home"), F.explode("cells").alias("cell")).join(F.broadcast(table), "cell")
+    each = each.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("not (cell = home and block = 0)").select("_row", "x", "cell", "block")
+    copies = counted(each)
+    more = meet(each, placed, copies) if copies else empty
+    return _best(found.unionByName(more), k)
+
+
+def nearest(rows: DataFrame, train: DataFrame, k: int, others: bool = False, counter=None) -> DataFrame:
+    """``_row`` and ``near``: the ``k`` rows of ``train`` of the same group nearest to each of
+    ``rows``, as structs (far, key, n, y) in this order (``others``: without the row itself).
+
+    ``rows`` has _row, g, x and ``train`` n, g, key, y, x; both are read several
+    times.  Where a group has more than ``CELL`` training rows they are put into
+    cells around pivots, and a row visits only the cells that can hold one of
+    its k best (exact, by the triangle inequality); smaller groups are compared
+    pair by pair.  Cells and groups are dealt into blocks by a hash of the row
+    number, so one of any size is spread out.  ``counter`` adds up the pairs compared.
+    """
+    rows, train = rows.where("x is not null"), train.where("x is not null")
+    n_rows, n_train = ({r[0]: r[1] for r in side.groupBy("g").count().collect()} for side in (rows, train))  # a row per group
+    if not any(g in n_train for g in n_rows):
+        return rows.select("_row", F.lit(None).cast(f"array<struct<far:double,key:{_kind(train)},n:bigint,y:double>>").alias("near")).limit(0)
+    if max(n for g, n in n_train.items() if g in n_rows) > CELL:
+        return _by_cells(rows, train, k, others, n_train, n_rows, counter)
+    return _by_blocks(rows, train, k, others, n_rows, n_train, counter)
+
+
 class _RowsWriter(DefaultParamsWriter):
     """Saves the training rows of a :class:`NeighbourVotes` beside its parameters."""
 
