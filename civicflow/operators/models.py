@@ -214,7 +214,7 @@ def node_table(model) -> list[list[dict]]:
     """The nodes of a tree or of each tree of an ensemble, by their ids, from what the model saves
     (as many rows as nodes): feature, threshold, children, prediction and rows."""
     from civicflow.sources import scratch_path
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()  # none in a thread
     path = scratch_path(spark, "trees")
     model.write().save(path)
     rows = spark.read.parquet(f"{path}/data")
