@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civicflow import functions as cf
+from civicflow import sources
 from civicflow.operators import clean, dates
 from civicflow.plans.catalog import register
 from civicflow.session import table
@@ -59,10 +60,11 @@ FROM orders
 WHERE year(o_orderdate) IN (1996, 1997, 1998) AND o_orderpriority IS NOT NULL
   AND o_orderstatus = 'F' AND o_totalprice > 100000""")
 def year_status_filter(spark, sf):
-    o = table(spark, sf, "orders")
-    keep = (clean.year_set_predicate("o_orderdate", [1996, 1997, 1998])
-            & F.col("o_orderpriority").isNotNull()
-            & (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000))
+    """B3 on files with a zone map, and B4, B5, B24."""
+    path = sources.scratch_path(spark, "orders-zones")
+    sources.write_with_zones(table(spark, sf, "orders"), "o_orderdate", path)
+    o = sources.read_zones(spark, path, "o_orderdate", [1996, 1997, 1998])
+    keep = F.col("o_orderpriority").isNotNull() & (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000)
     return o.filter(keep).select("o_orderkey", "o_orderstatus", "o_totalprice",
                                  F.year("o_orderdate").alias("order_year"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from civicflow import sources
 from civicflow.operators import profile
 from civicflow.plans.catalog import register
 from civicflow.session import table
@@ -172,3 +173,18 @@ SELECT lang, y, CAST(count(*) AS BIGINT) AS n, count(*) / sum(count(*)) OVER ()
 FROM ({_YP_SQL}) GROUP BY lang, y""")
 def pair_shares(spark, sf):
     return profile.pair_shares(labelled(spark, sf), ["lang"], "y")
+
+
+@register("sketched_years", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS rows, true AS distinct_within, true AS median_within FROM orders GROUP BY 1""")
+def sketched_years(spark, sf):
+    """D4/D11 from monthly sketches: each year's distinct customers and median price against the exact ones."""
+    o = table(spark, sf, "orders").select("o_orderdate", "o_custkey", "o_totalprice")
+    path = sources.scratch_path(spark, "sketches")
+    sources.write_parquet(profile.period_sketches(o, "o_orderdate", ["o_custkey"], ["o_totalprice"]), path)
+    year = F.year("period").alias("year")
+    found = profile.from_sketches(spark.read.parquet(path), [year], ["o_custkey"], ["o_totalprice"], [0.5])
+    found = found.select("year", F.col("rows"), "n_o_custkey", F.col("o_totalprice")[0].alias("median"))
+    exact = o.join(F.broadcast(found), F.year("o_orderdate") == F.col("year")).groupBy("year", "rows", "n_o_custkey", "median").agg(  # a row per year
+        F.countDistinct("o_custkey").alias("n"), F.avg((F.col("o_totalprice") <= F.col("median")).cast("double")).alias("below"))
+    return exact.select("year", "rows", (F.abs(F.col("n_o_custkey") / F.col("n") - 1) < 0.05).alias("distinct_within"), (F.abs(F.col("below") - 0.5) < 0.03).alias("median_within"))

@@ -8,16 +8,18 @@ on a cluster).
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow import functions as cf
 from civicflow.sources import csv_ranges
-from civicflow.session import ensure_checkpoint_dir
+from civicflow.session import cut_lineage, ensure_checkpoint_dir
 
 # Fixed value: the ten raw ticket columns the reference keeps (all text).
 RAW_TICKET_COLUMNS = ["Created Date", "Closed Date", "Agency", "Complaint Type", "Descriptor",
@@ -91,33 +93,63 @@ def load_train_test(spark: SparkSession, train: str, test: str, target: str, sen
 
 # ---------------------------------------------------------------- A5: block report
 
+_HEADER, _LABEL, _NUMBER = (re.compile(p) for p in (r"^\s*([^:]+?)\s*:\s*$", r"^\s*([^:]+?)\s*:\s*[-+0-9.]", r":\s*([-+0-9.eE]+)"))
+
+
+def _report_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled lines with the header before them, if it is in the same range (kind 0), and the last header of each range (kind 1)."""
+    key, number, header, out = None, 0, None, []
+
+    def close() -> None:
+        out.append((*key, 1, *(header or (None, None)), None, None))
+
+    for batch in batches:
+        for own, lines in csv_ranges.by_range(batch):
+            if own != key:
+                if key is not None:
+                    close()
+                key, number, header = own, 0, None
+            for line in lines.column(2).to_pylist():
+                number += 1
+                if line.strip().startswith("==="):
+                    continue
+                if found := _HEADER.match(line):
+                    header = (key[1] + number, found[1])  # unique in a file: a line has a byte at least
+                elif found := _LABEL.match(line):
+                    out.append((*key, 0, *(header or (None, None)), found[1], _NUMBER.search(line)[1]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _REPORT.types, strict=True)], schema=_REPORT)
+            out.clear()
+    if key is not None:
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _REPORT.types, strict=True)], schema=_REPORT)
+
+
+_REPORT = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("at", pa.int64()), ("name", pa.string()), ("label", pa.string()), ("number", pa.string())])
+
+
 def read_block_report(spark: SparkSession, path: str, labels: Mapping[str, str], key: str = "key") -> DataFrame:
     """A5: block-structured text report -> one row per block.
 
     A block is a header line ``NAME:`` followed by ``Label: number (...)``
     lines; lines starting with ``===`` are ignored.  A row is emitted only for
     blocks that carry every label in ``labels`` (label text -> column name),
-    so titles and incomplete blocks produce nothing.  Each file is split into
-    numbered lines; a window *per file* carries the current header forward.
+    so titles and incomplete blocks produce nothing.  Files are read by ranges;
+    a header goes on to the lines of its own range, and the last one of each
+    range to those at the beginning of the next (one row per range is looked
+    at for that), so a report of any size is many tasks.
     """
-    raw = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
-    lines = raw.select("_file", F.posexplode(F.split("value", "\n")).alias("_pos", "_line"))
-    lines = lines.filter(~F.trim("_line").startswith("==="))
-    header = F.regexp_extract("_line", r"^\s*([^:]+?)\s*:\s*$", 1)
-    label = F.regexp_extract("_line", r"^\s*([^:]+?)\s*:\s*[-+0-9.]", 1)
-    number = F.regexp_extract("_line", r":\s*([-+0-9.eE]+)", 1)
-    w = Window.partitionBy("_file").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    blk = Window.partitionBy("_file").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = (lines.withColumn("_hdr", F.when(header != "", header))
-              .withColumn("_hpos", F.when(header != "", F.col("_pos")))
-              .withColumn("_block", F.last("_hpos", ignorenulls=True).over(blk))
-              .withColumn(key, F.last("_hdr", ignorenulls=True).over(w))
-              .withColumn("_label", F.when((header == "") & (label != ""), label))
-              .withColumn("_value", F.when(F.col("_label").isNotNull(), number.try_cast("double"))))
-    vals = t.filter(F.col("_label").isNotNull() & F.col(key).isNotNull())
+    rows = csv_ranges.lines(spark, path).mapInArrow(_report_lines, "file long, block long, kind int, at long, name string, label string, number string")
+    wanted = F.col("label").isin(list(labels)) | (F.col("kind") == 1)
+    rows = cut_lineage(rows.where(wanted))  # the report's numbers, without its other lines
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("at").isNotNull(), F.struct("at", "name")), ignorenulls=True).over(before)
+    carried = rows.where("kind = 1").select(F.col("file").alias("_f"), F.col("block").alias("_b"), last.alias("carried"))
+    vals = rows.where("kind = 0").join(carried, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    vals = vals.withColumn("at", F.coalesce("at", "carried.at")).withColumn(key, F.coalesce("name", "carried.name")).where("at is not null")
     mapping = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    vals = vals.withColumn("_col", mapping[F.col("_label")]).filter(F.col("_col").isNotNull())
-    wide = vals.groupBy("_file", "_block", key).pivot("_col", list(labels.values())).agg(F.first("_value"))
+    vals = vals.select("file", "at", key, mapping[F.col("label")].alias("_col"), F.col("number").try_cast("double").alias("_value"))
+    wide = vals.groupBy("file", "at", key).pivot("_col", list(labels.values())).agg(F.first("_value", ignorenulls=True))
     complete = F.lit(True)
     for c in labels.values():
         complete = complete & F.col(c).isNotNull()
@@ -169,6 +201,29 @@ def read_years(spark: SparkSession, path: str, years: Sequence[int]) -> DataFram
     return spark.read.parquet(path).where(F.col("year").isin([int(y) for y in years]))
 
 
+def write_with_zones(df: DataFrame, ts_col: str, path: str, files: int | None = None) -> None:
+    """Parquet files of neighbouring timestamps and, beside them, a zone map: the
+    least and the greatest timestamp of each file (B3 opens only those it needs)."""
+    order = [F.col(ts_col), F.monotonically_increasing_id()]
+    dealt = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    dealt.write.mode("overwrite").parquet(path)
+    own = df.sparkSession.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), ts_col)
+    own.groupBy("file").agg(F.min(ts_col).alias("least"), F.max(ts_col).alias("most"), F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/_zones")
+
+
+def read_zones(spark: SparkSession, path: str, ts_col: str, years: Sequence[int]) -> DataFrame:
+    """B3 on files with a zone map: only files that can hold a row of the years are listed and opened."""
+    from civicflow.operators.clean import year_set_predicate
+    zones = spark.read.parquet(f"{path}/_zones")
+    meets = F.lit(False)
+    for y in sorted({int(y) for y in years}):
+        meets = meets | ((F.year("least") <= y) & (F.year("most") >= y))
+    files = [r["file"] for r in zones.where(meets).select("file").orderBy("file").collect()]  # names of files, as Spark's own file list
+    schema = spark.read.parquet(path).schema
+    found = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    return found.where(year_set_predicate(ts_col, years))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """A10: JSON-lines sink (nested structs / maps kept)."""
     df.write.mode("overwrite").json(path)

@@ -48,13 +48,13 @@ def ends_inside(line: str, inside: bool) -> bool:
             return False
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str) -> DataFrame:
     """``file`` (a hash), ``block`` (the range's first byte) and the lines, in order within a range."""
     text = spark.read.option("lineSep", "\n").text(path)
     return text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def _by_range(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+def by_range(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
     """The runs of lines of one range in a batch."""
     file, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
     cuts = np.flatnonzero((np.diff(file) != 0) | (np.diff(block) != 0)) + 1
@@ -71,12 +71,12 @@ def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The state at the end of each range from either state at its start."""
     key, state, out = None, None, []
     for batch in batches:
-        for own, lines in _by_range(batch):
+        for own, part in by_range(batch):
             if own != key:
                 if key is not None:
                     out.append((*key, *state))
                 key, state = own, (False, True)
-            values = lines.column(2)
+            values = part.column(2)
             for line in values.filter(pa.array(_quoted(values))).to_pylist():
                 first = ends_inside(line, state[0])
                 state = (first, first if state[0] == state[1] else ends_inside(line, state[1]))
@@ -116,13 +116,13 @@ def _records(whole: bool):
                 yield emit(["\n".join(held)], 2 if began else 3, began and record == 0 and key[1] == 0)
 
         for batch in batches:
-            for own, lines in _by_range(batch):
+            for own, part in by_range(batch):
                 if own != key:
                     if key is not None:
                         yield from close()
-                    key, state, held, record = own, bool(lines.column(3)[0].as_py()), [], 0
+                    key, state, held, record = own, bool(part.column(3)[0].as_py()), [], 0
                     began = not state
-                values = lines.column(2)
+                values = part.column(2)
                 marked = np.flatnonzero(_quoted(values))
                 done, at = [], 0
                 # lines without a quote are records of their own outside, and parts of one inside
@@ -168,17 +168,17 @@ _PIECES = "file long, block long, kind int, first boolean, value string"
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """``value``: the text of every record but each file's first one (the header)."""
-    lines = _lines(spark, path)
-    found = lines.mapInArrow(_transitions, "file long, block long, from_out boolean, from_in boolean")
+    text = lines(spark, path)
+    found = text.mapInArrow(_transitions, "file long, block long, from_out boolean, from_in boolean")
     states = cut_lineage(found.groupBy("file").applyInArrow(_compose, "file long, block long, inside boolean, left_open boolean"))  # a row per range
     few = states.count() <= BROADCAST_RANGES
     own = (F.broadcast(states) if few else states).withColumnsRenamed({"file": "_f", "block": "_b"})
     here = [F.col("file") == F.col("_f"), F.col("block") == F.col("_b")]
     # every range of the first pass must be one of the second
     inside = F.coalesce("inside", F.raise_error(F.lit("the ranges of the file have changed")).cast("boolean")).alias("inside")
-    joined = lines.join(own, here, "left")
+    joined = text.join(own, here, "left")
     if not few:  # a shuffle: ranges whole and in order again
-        at = lines.withColumn("_i", F.monotonically_increasing_id())
+        at = text.withColumn("_i", F.monotonically_increasing_id())
         joined = at.join(own, here, "left").repartition("file", "block").sortWithinPartitions("file", "block", "_i")
     each = joined.select("file", "block", "value", inside, "left_open")
     out = each.select("file", "block", "value", "inside").mapInArrow(_records(True), _PIECES).where("not first").select("value")
