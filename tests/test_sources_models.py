@@ -131,14 +131,19 @@ def test_oversampled_partners_are_among_the_nearest(spark, monkeypatch):
                    and -1e-9 <= p @ (x[i] - x[r.id]) <= ((x[i] - x[r.id]) ** 2).sum() + 1e-9 for i in near)
 
 
-def test_a_booster_that_knows_only_its_own_rows_is_below_the_majority(spark, monkeypatch):
+def test_a_booster_that_learns_nothing_fails_its_checks(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
     from civicflow.plans.catalog import models as catalog
 
-    class Learned:
+    class Backwards:
         def transform(self, df):
-            return df.withColumn("prediction", F.when(F.col("doc_id") % 4 != 1, F.col("label")).otherwise(1 - F.col("label")))
-    monkeypatch.setattr(models, "fit_variant", lambda *a, **k: Learned())
-    assert [tuple(r) for r in catalog.boosted_checks(spark, SF_SMALL).collect()] == [("catboost", True, False), ("xgboost", True, False)]
+            p = F.array(F.col("label"), 1 - F.col("label"))
+            return df.withColumn("prediction", 1 - F.col("label")).withColumn("probability", array_to_vector(p))
+
+        def evaluateEachIteration(self, df):  # noqa: N802 - name of pyspark.ml
+            return [0.5, 0.6, 0.7]
+    monkeypatch.setattr(models, "fit_variant", lambda *a, **k: Backwards())
+    assert [tuple(r) for r in catalog.boosted_checks(spark, SF_SMALL).collect()] == [("catboost", True, False, False), ("xgboost", True, False, False)]
 
 
 def test_failed_variant_is_a_row(spark):
