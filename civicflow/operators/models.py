@@ -9,6 +9,7 @@ rows can first take the exact stratified draw of :mod:`civicflow.operators.split
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
@@ -228,12 +229,19 @@ def node_table(model) -> list[list[dict]]:
     return [[trees[t][i] for i in sorted(trees[t])] for t in sorted(trees)]
 
 
-def _tree(nodes: list[dict], at: int = 0) -> dict:
-    """A fitted tree as nested dictionaries (continuous splits)."""
-    node = nodes[at]
-    if node["left"] < 0:
-        return {"class": node["prediction"]}
-    return {"feature": int(node["feature"]), "threshold": float(node["threshold"]), "left": _tree(nodes, node["left"]), "right": _tree(nodes, node["right"])}
+def tree_of(text: str) -> dict:
+    """A fitted tree as nested dictionaries (continuous splits), from its debug string: no job, one line per node and branch."""
+    lines = [line.strip() for line in text.splitlines()[1:] if line.strip()]
+
+    def node(at: int) -> tuple[dict, int]:
+        if found := re.match(r"Predict: (\S+)$", lines[at]):
+            return {"class": float(found[1])}, at + 1
+        feature, threshold = re.match(r"If \(feature (\d+) <= (\S+)\)$", lines[at]).groups()
+        left, at = node(at + 1)
+        right, at = node(at + 1)  # past the "Else"
+        return {"feature": int(feature), "threshold": float(threshold), "left": left, "right": right}, at
+
+    return node(0)[0]
 
 
 def fit_ada(df: DataFrame, rounds: int = 5, depth: int = 1, label: str = "label", seed: int = 42,
@@ -253,7 +261,7 @@ def fit_ada(df: DataFrame, rounds: int = 5, depth: int = 1, label: str = "label"
         if k > 1 and err >= 1 - 1.0 / k and trees:
             break
         alpha = max(float(np.log((1 - err) / err) + np.log(k - 1)), 1e-10) if k > 1 else 1.0
-        trees.append((alpha, _tree(node_table(tree)[0])))
+        trees.append((alpha, tree_of(tree.toDebugString)))
         now = cut_lineage(pred.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).select(label, FEATURES, "_w"))
     return StumpVotes(state=json.dumps({"classes": classes, "trees": trees}))
 

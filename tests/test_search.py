@@ -61,3 +61,16 @@ def test_weights_change_a_booster_as_copies_do(rows):
 def test_perceptron_learns_what_is_not_linear(rows):
     m = models.fit_variant("mlp", rows, 3, 2)
     assert models.accuracy_of(m, rows) > 0.85 > models.accuracy_of(models.fit_variant("logreg", rows, 3, 2), rows)
+
+
+def test_tree_from_its_text(rows):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    m = DecisionTreeClassifier(maxDepth=4, seed=1).fit(rows)
+
+    def nested(nodes, at=0):
+        n = nodes[at]
+        if n["left"] < 0:
+            return {"class": n["prediction"]}
+        return {"feature": n["feature"], "threshold": n["threshold"], "left": nested(nodes, n["left"]), "right": nested(nodes, n["right"])}
+    assert models.tree_of(m.toDebugString) == nested(models.node_table(m)[0])
+    assert models.tree_of(DecisionTreeClassifier(maxDepth=0).fit(rows).toDebugString).keys() == {"class"}
