@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from civicflow.plans.scoring import ScoringDims, score
 
 #: How long the state remembers a request after it came.
 REMEMBERED = timedelta(days=1)
+#: States that share the keys; more of them for more keys (each is read and written as a whole).
+BUCKETS = 256
 
 
 def request_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -37,46 +40,60 @@ def request_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
     return r.json(path)
 
 
+#: A remembered request: digest of its key, and when it came last (milliseconds).
+_KNOWN = np.dtype([("key", "S16"), ("at", "<i8")])
+
+
 def _first_of(remembered_ms: int):
-    """The first request of a key: of several in one batch the least text, whatever their order."""
-    def run(key: tuple, rows: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first request of each key of a bucket: of several in one batch the least text, whatever their order."""
+    def least(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["key", "request"]).drop_duplicates("key")
+
+    def run(bucket: tuple, rows: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        least, arrived = None, 0
-        for some in rows:
-            own = some["request"].min()
-            least = own if least is None else min(least, own)
-            arrived = max(arrived, int(some["arrived_ms"].max()))
-        known = state.exists
-        state.update((True,))
-        state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + remembered_ms)
-        if not known:
-            yield pd.DataFrame({"request": [least]})
+        own = None
+        for some in rows:  # a key that comes very often is reduced as it comes
+            own = least(some if own is None else pd.concat([own, some]))
+        now = max(int(own["arrived_ms"].max()), state.getCurrentWatermarkMs())
+        known = np.frombuffer(state.get[0], _KNOWN).copy() if state.exists else np.empty(0, _KNOWN)
+        known = known[known["at"] > now - remembered_ms]
+        keys = np.array([bytes.fromhex(k) for k in own["key"]], "S16")
+        seen = np.isin(keys, known["key"])
+        known["at"][np.isin(known["key"], keys[seen])] = now
+        new = np.empty(int((~seen).sum()), _KNOWN)
+        new["key"], new["at"] = keys[~seen], now
+        state.update((np.concatenate([known, new]).tobytes(),))
+        state.setTimeoutTimestamp(now + remembered_ms)
+        yield pd.DataFrame({"request": own["request"][~seen]})
 
     return run
 
 
-def once(requests: DataFrame, as_of=None, groups: Sequence[str] | None = None, remembered: timedelta = REMEMBERED) -> DataFrame:
+def once(requests: DataFrame, as_of=None, groups: Sequence[str] | None = None, remembered: timedelta = REMEMBERED, buckets: int = BUCKETS) -> DataFrame:
     """``request`` (JSON text): each accepted ticket, and each rejected ticket and fault, the first time it comes.
 
     The key is the ticket's id, or the whole request where it has none; a
     ticket that was rejected is free to come again in better shape.  Time is
-    that of arrival, so that no request is ever late.
+    that of arrival, so that no request is ever late.  Keys share ``buckets``
+    states (24 bytes a remembered key), so that a batch is a few hundred calls of
+    Python and not one for each key; a checkpoint keeps its number of buckets.
     """
     fields = sources.REQUEST_SCHEMA.fieldNames()
     text = F.to_json(F.struct(*fields))
     rows = requests.withColumns({"request": text, "arrived": F.current_timestamp()}).withColumn("arrived_ms", F.unix_millis("arrived"))
     rows = sources.apply_request_defaults(rows, as_of, groups).withWatermark("arrived", "1 second")
     ticket = F.coalesce(F.col("ticket_id").cast("string"), F.sha2("request", 256))
-    keyed = rows.select(F.concat_ws(":", F.coalesce("request_error", F.lit("")), ticket).alias("key"), "request", "arrived", "arrived_ms")
-    return keyed.groupBy("key").applyInPandasWithState(
-        _first_of(int(remembered.total_seconds() * 1000)), "request string", "known boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    key = F.substring(F.sha2(F.concat_ws(":", F.coalesce("request_error", F.lit("")), ticket), 256), 1, 32)
+    keyed = rows.select(key.alias("key"), "request", "arrived", "arrived_ms").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return keyed.groupBy("bucket").applyInPandasWithState(
+        _first_of(int(remembered.total_seconds() * 1000)), "request string", "known binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def start_scoring(spark: SparkSession, in_path: str, out_path: str, dims: ScoringDims, model, checkpoint: str, rejected_path: str,
                   as_of=None, available_now: bool = True, groups: Sequence[str] | None = None, max_files_per_trigger: int | None = None,
-                  remembered: timedelta = REMEMBERED):
+                  remembered: timedelta = REMEMBERED, buckets: int = BUCKETS):
     """Start the scoring stream: requests in ``in_path`` -> result records in
     ``out_path`` and rejected requests, with ``request_error``, in
     ``rejected_path`` (parquet, a folder per batch).  ``available_now``
@@ -96,7 +113,7 @@ def start_scoring(spark: SparkSession, in_path: str, out_path: str, dims: Scorin
         score(checked.drop("sent"), written, model, as_of).write.mode("overwrite").parquet(f"{out_path}/{own}")
         sources.rejected(checked).select("sent.*", "request_error").write.mode("overwrite").parquet(f"{rejected_path}/{own}")
 
-    w = once(request_stream(spark, in_path, max_files_per_trigger), as_of, groups, remembered).writeStream.foreachBatch(both)
+    w = once(request_stream(spark, in_path, max_files_per_trigger), as_of, groups, remembered, buckets).writeStream.foreachBatch(both)
     w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
