@@ -300,5 +300,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_BITS) ->
 
 def _first(rows: DataFrame) -> DataFrame:
     """One row per id, whatever their order; only ids that several rows have are compared."""
-    several = rows.where("times > 1").select("doc_id", "row", F.struct(F.xxhash64("text").alias("h"), F.to_json("row").alias("j")).alias("order"))
+    # the text of the row itself: both branches read the same columns of one shuffle
+    text = F.col("row")["text"].cast("string")
+    several = rows.where("times > 1").select("doc_id", "row", F.struct(F.xxhash64(text).alias("h"), F.to_json("row").alias("j")).alias("order"))
     return rows.where("times = 1").select("row").union(several.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row"))
