@@ -179,10 +179,11 @@ def _streamed(spark, sf, again: bool = False):
     from civicflow.streaming import start_scoring
     path, _ = _requests(spark, sf)
     out, bad, checkpoint = (sources.scratch_path(spark, f"score-stream-{n}") for n in ("out", "rejected", "ckpt"))
+    dims = _dims(spark, sf)  # fitted once for both deliveries
     for last in range(2 if again else 1):
         if last:
             _requests_raw(spark, sf).write.mode("append").json(path)
-        q = start_scoring(spark, path, out, _dims(spark, sf), RuleModel(), checkpoint, bad, AS_OF)
+        q = start_scoring(spark, path, out, dims, RuleModel(), checkpoint, bad, AS_OF)
         q.awaitTermination()  # until the input is used up; a failed query raises
     return out, bad
 

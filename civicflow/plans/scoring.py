@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from civicflow import functions as cf
 from civicflow.operators import categories as cat
 from civicflow.operators import enrich
-from civicflow.session import cut_lineage
+from civicflow.session import cut_lineage, written
 from civicflow.sources import accepted
 
 # Defaults of the lookups.
@@ -51,8 +51,9 @@ class ScoringDims:
     class_groups: DataFrame       # name, group
 
     def written(self) -> ScoringDims:
-        """The same dimensions, each computed once and kept in the shared folder."""
-        return replace(self, **{f.name: cut_lineage(getattr(self, f.name)) for f in fields(self) if f.name != "share_cols"})
+        """The same dimensions, each computed once and kept in the shared folder, as files: their size tells Spark
+        which to broadcast, so that requests are not dealt out by the few values of a borough or an agency."""
+        return replace(self, **{f.name: written(getattr(self, f.name), f"dims-{f.name}") for f in fields(self) if f.name != "share_cols"})
 
 
 def fit_dictionaries(tickets: DataFrame, descriptor: str = "Descriptor", group: str | None = None,

@@ -46,27 +46,28 @@ _KNOWN = np.dtype([("key", "S16"), ("at", "<i8")])
 
 def _first_of(remembered_ms: int):
     """The first request of each key of a bucket: of several in one batch the least text, whatever their order."""
-    def least(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values(["key", "request"]).drop_duplicates("key")
-
     def run(bucket: tuple, rows: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        own = None
-        for some in rows:  # a key that comes very often is reduced as it comes
-            own = least(some if own is None else pd.concat([own, some]))
-        now = max(int(own["arrived_ms"].max()), state.getCurrentWatermarkMs())
+        least: dict[str, str] = {}
+        now = state.getCurrentWatermarkMs()
+        for some in rows:  # each row is looked at once, and a key that comes very often is one entry
+            now = max(now, int(some["arrived_ms"].max()))
+            for key, request in zip(some["key"].tolist(), some["request"].tolist(), strict=True):
+                held = least.get(key)
+                if held is None or request < held:
+                    least[key] = request
         known = np.frombuffer(state.get[0], _KNOWN).copy() if state.exists else np.empty(0, _KNOWN)
         known = known[known["at"] > now - remembered_ms]
-        keys = np.array([bytes.fromhex(k) for k in own["key"]], "S16")
+        keys = np.frombuffer(bytes.fromhex("".join(least)), "S16")
         seen = np.isin(keys, known["key"])
         known["at"][np.isin(known["key"], keys[seen])] = now
         new = np.empty(int((~seen).sum()), _KNOWN)
         new["key"], new["at"] = keys[~seen], now
         state.update((np.concatenate([known, new]).tobytes(),))
         state.setTimeoutTimestamp(now + remembered_ms)
-        yield pd.DataFrame({"request": own["request"][~seen]})
+        yield pd.DataFrame({"request": [request for request, old in zip(least.values(), seen.tolist(), strict=True) if not old]}, dtype=object)
 
     return run
 
@@ -104,12 +105,12 @@ def start_scoring(spark: SparkSession, in_path: str, out_path: str, dims: Scorin
 
     def both(batch: DataFrame, number: int) -> None:
         own = f"batch={number}"
-        # the state is asked once; both sinks read what it let through
+        # the state is asked once, and what it let through is parsed and checked once; both sinks read that
         staged = f"{checkpoint}/staged/{own}"
-        batch.write.mode("overwrite").parquet(staged)
-        sent = batch.sparkSession.read.schema("request string").parquet(staged)
-        requests = sent.select(F.from_json("request", sources.REQUEST_SCHEMA).alias("sent")).select("sent", "sent.*")
+        requests = batch.select(F.from_json("request", sources.REQUEST_SCHEMA).alias("sent")).select("sent", "sent.*")
         checked = sources.apply_request_defaults(requests, as_of, groups)
+        checked.write.mode("overwrite").parquet(staged)
+        checked = batch.sparkSession.read.schema(checked.schema).parquet(staged)
         score(checked.drop("sent"), written, model, as_of).write.mode("overwrite").parquet(f"{out_path}/{own}")
         sources.rejected(checked).select("sent.*", "request_error").write.mode("overwrite").parquet(f"{rejected_path}/{own}")
 

@@ -2,13 +2,14 @@
 
 import json
 
+import pandas as pd
 import pytest
 
 from conftest import SF_SMALL
 from civicflow import sources
 from civicflow.plans import scoring
 from civicflow.plans.catalog import scoring as cat
-from civicflow.streaming import start_scoring
+from civicflow.streaming import _first_of, start_scoring
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -68,3 +69,48 @@ def test_several_texts_of_one_ticket_in_one_batch(spark, tmp_path, dims):
     (tmp_path / "t2").mkdir()
     one, other = run(spark, tmp_path / "x", tmp_path / "t1", dims), run(spark, tmp_path / "y", tmp_path / "t2", dims)
     assert one == other and len(one[0]) == 1 and "borough='A'" in one[0][0]
+
+
+class Text(str):
+    """Text that counts how often it is compared."""
+    compared = 0
+
+    def __lt__(self, other):
+        Text.compared += 1
+        return str.__lt__(self, other)
+
+
+class State:
+    hasTimedOut, exists, get = False, False, None
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def update(self, new):
+        self.exists, self.get = True, new
+
+    def setTimeoutTimestamp(self, at):
+        pass
+
+
+def test_rows_of_a_bucket_are_looked_at_once():
+    """A bucket that comes in many pieces costs as much as its rows, not as much as the square of its pieces."""
+    def piece(numbers, text):
+        return pd.DataFrame({"key": [f"{256 * i:032x}" for i in numbers], "request": pd.Series([Text(f"{text} {i}") for i in numbers], dtype=object), "arrived_ms": 5})
+
+    state, first = State(), _first_of(1000)
+    pieces = [piece(range(25 * j, 25 * j + 25), "b") for j in range(40)] + [piece([3, 4, 5], "a"), piece([5, 6], "c")]
+    found = [r for frame in first((0,), pieces, state) for r in frame["request"]]
+    assert Text.compared <= 1005
+    assert set(found) == {f"{'a' if i in (3, 4, 5) else 'b'} {i}" for i in range(1000)} and len(found) == 1000
+    # what came is known, and only the rest goes through
+    again = [r for frame in first((0,), [piece([0, 1, 999, 1000], "d")], state) for r in frame["request"]]
+    assert again == ["d 1000"]
+
+
+def test_requests_are_not_dealt_by_the_values_of_a_dimension(spark, tmp_path, dims):
+    """Kept dimensions say their size, so that small ones are broadcast and no borough or agency is one task."""
+    put(tmp_path / "in", "a.json", [ticket(i) for i in range(5)])
+    scored = scoring.score(sources.read_requests_json(spark, str(tmp_path / "in"), AS_OF), dims, cat.RuleModel(), AS_OF)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
