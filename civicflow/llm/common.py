@@ -62,15 +62,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of about ``SLICE_BYTES`` of text, so that few whole texts are Python objects at once."""
+def field(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column, or (``row.text``) a field of a column that is never null itself."""
+    first, *rest = path.split(".")
+    out = batch.column(batch.schema.get_field_index(first))
+    for name in rest:
+        out = out.field(name)
+    return out
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", at_once: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``at_once`` bytes of text, so that few whole texts are Python objects at once."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
+        column = field(batch, text)
         ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(column), 0).cast("int64")).to_numpy()
         first = 0
         while first < batch.num_rows:
             done = int(ends[first - 1]) if first else 0
-            last = max(first + 1, int(ends.searchsorted(done + SLICE_BYTES, "right")))
+            last = max(first + 1, int(ends.searchsorted(done + at_once, "right")))
             yield batch.slice(first, last - first)
             first = last
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import materialise, one_per_turn, slices, with_fields
+from civicflow.llm.common import field, materialise, one_per_turn, slices, with_fields
 from civicflow.llm.hashing import Words, mix
 from civicflow.llm.toxicity import held_out, sigmoid
 
@@ -36,6 +36,8 @@ WORD_BITS, SHAPE_BITS = 16, 13
 SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 2
 MAX_ROWS, MOST_GRADES = 8_000, 32
 PASSES, STEP, RATE, DECAY = 12, 64, 0.02, 1e-5
+#: Bytes of text whose features are found at one time; about 100 bytes of arrays each.
+AT_ONCE = 512 << 10
 #: Documents are kept if P(grade >= 1) is at least this.
 KEEP_FROM = 0.5
 
@@ -87,7 +89,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, at_once=AT_ONCE):
         text, feature, value = features(batch.column(2).to_pylist())
         ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
         own = [(feature[a:b].astype("<i4").tobytes(), value[a:b].astype("<f4").tobytes()) for a, b in zip(ends, ends[1:])]
@@ -186,10 +188,10 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS) -
                            .mapInArrow(_fit(grades), "feature long, weight double"), "quality-weights")
 
 
-def _score(w: np.ndarray, thresholds: np.ndarray):
+def _score(w: np.ndarray, thresholds: np.ndarray, column: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            text, feature, value = features(batch.column(batch.schema.get_field_index("text")).to_pylist())
+        for batch in slices(batches, column, AT_ONCE):
+            text, feature, value = features(field(batch, column).to_pylist())
             s = np.bincount(text, w[feature] * value, batch.num_rows)
             above = sigmoid(s[:, None] - thresholds[None, :])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above.tolist(), pa.list_(pa.float64()))],
@@ -198,8 +200,8 @@ def _score(w: np.ndarray, thresholds: np.ndarray):
     return score
 
 
-def score_quality(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """``rows`` (with a column ``text``) and ``expected_grade``, ``tail_probability`` (of grade 1 or better) and ``tails`` (of each grade above 0 or better)."""
+def score_quality(rows: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` (with a string column ``text``, or a field ``row.text`` of a struct) and ``expected_grade``, ``tail_probability`` (of grade 1 or better) and ``tails`` (of each grade above 0 or better)."""
     found = model.toPandas()  # at most SIZE weights and the thresholds
     w = np.zeros(SIZE, np.float64)
     own = found[found.feature >= 0]
@@ -207,7 +209,7 @@ def score_quality(rows: DataFrame, model: DataFrame) -> DataFrame:
     thresholds = found[found.feature < 0].sort_values("feature", ascending=False).weight.to_numpy()
     if not len(thresholds):  # fitted on nothing
         thresholds = np.array([-1e3])
-    return rows.mapInArrow(_score(w, thresholds), with_fields(rows, "expected_grade double, tail_probability double, tails array<double>"))
+    return rows.mapInArrow(_score(w, thresholds, text), with_fields(rows, "expected_grade double, tail_probability double, tails array<double>"))
 
 
 def keep(tail: str = "tail_probability", text: str = "text", keep_from: float = KEEP_FROM):

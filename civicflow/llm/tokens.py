@@ -2,8 +2,8 @@
 
 The vocabulary drops white space and never joins characters across it, so the
 ids of a text are those of its white-space separated words in order.  A worker
-keeps the ids of the words it met first (a bounded number); a word that is not
-kept is encoded again wherever it occurs.
+keeps the ids of words that it met in two batches (a bounded number); a word
+that is not kept is encoded again in each batch.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from __future__ import annotations
 import os
 import unicodedata
 
-#: Words a worker keeps; about 150 MB.
-KEPT_WORDS = 600_000
+#: Words a worker keeps; about 30 MB.
+KEPT_WORDS = 100_000
+#: Bytes that mark the words met before, by their hash; they are cleared when a quarter is marked.
+MET = 1 << 22
 #: Longer words are not kept.
 KEPT_CHARS = 48
 #: Python counts these as white space, the vocabulary doesn't.
@@ -28,19 +30,27 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Kept(dict):
-    """Kept words; another word is encoded when it is first met in a batch."""
+    """Kept words; another word is encoded when it is first met in a batch, and kept if it was met in one before."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
         self.now: dict[str, bytes] = {}
+        self.met, self.marked = bytearray(MET), 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.now.get(word)
         if ids is None:
             ids = self.now[word] = self.encode(word)
             if len(self) < KEPT_WORDS and len(word) <= KEPT_CHARS:
-                self[word] = ids
+                at = hash(word) % MET
+                if self.met[at]:
+                    self[word] = ids
+                else:
+                    self.marked += 1
+                    if self.marked > MET // 4:
+                        self.met, self.marked = bytearray(MET), 1
+                    self.met[at] = 1
         return ids
 
 

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.llm import decontam, gray_simhash, packing, pii, quality
-from civicflow.llm.common import documents, materialise, packed
+from civicflow.llm.common import documents, materialise
 from civicflow.session import table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier (fitted on the rated ones) does not reject."""
     model = quality.fit_quality(docs, quality.rated(table(spark, sf_dir, "labels")))
-    return quality.score_quality(packed(docs), model).where(quality.keep()).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"))  # the text goes to Python once, inside its row
+    return quality.score_quality(rows, model, "row.text").where(quality.keep(text="row.text")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

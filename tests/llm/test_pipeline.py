@@ -72,3 +72,16 @@ def test_scratch_is_released(spark):
     release_scratch(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_quality_stage_hands_over_each_text_once(spark, monkeypatch):
+    import corpus_pipeline
+    from civicflow.llm import quality
+    found = []
+    score = quality.score_quality
+    monkeypatch.setattr(corpus_pipeline.quality, "score_quality", lambda rows, *more: found.append(rows) or score(rows, *more))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"))
+    docs = spark.createDataFrame([(1, "Some words to keep.", "x"), (2, None, "y"), (None, "", "z")], "doc_id long, text string, more string")
+    kept = corpus_pipeline.keep_quality(spark, docs, "")
+    assert found[0].schema.simpleString().count("text:") == 1
+    assert kept.columns == docs.columns and {r["more"] for r in kept.collect()} <= {"x"}

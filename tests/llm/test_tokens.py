@@ -23,3 +23,11 @@ def test_words_beyond_the_kept_number(monkeypatch):
         assert e.encode([t]) == e._direct([t])
     assert len(e.kept) < 20
     assert np.frombuffer(e.encode(["a b"])[0], "<u4").size == 2
+
+
+def test_words_met_once_are_not_kept():
+    e = WordEncoder(vocabulary())
+    for i in range(30):  # numbers and names that never come again leave the worker's memory to the others
+        texts = [f"alpha{'xyz'[i % 3]} once{i}q{j} beta" for j in range(20)]
+        assert e.encode(texts) == e._direct(texts)
+    assert {"alphax", "beta"} <= set(e.kept) and sum(w.startswith("once") for w in e.kept) < 30
