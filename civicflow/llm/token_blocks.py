@@ -59,10 +59,17 @@ def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
 def _unpack_bits(packed: np.ndarray, width: int, count: int) -> np.ndarray:
     if not width:
         return np.zeros((len(packed), count), np.uint32)
-    size = 2 if width <= 16 else 4
-    bits = np.zeros((len(packed), count, 8 * size), np.uint8)
-    bits[:, :, 8 * size - width:] = np.unpackbits(packed, axis=1, count=count * width).reshape(len(packed), count, width)
-    return np.packbits(bits, axis=2).reshape(len(packed), -1).view(f">u{size}").astype(np.uint32)
+    first = np.arange(count) * width
+    size = (width + 14) // 8  # bytes that a value touches at most
+    padded = np.pad(packed, ((0, 0), (0, size)))
+    kind = np.uint32 if size <= 4 else np.uint64
+    out = np.zeros((len(packed), count), kind)
+    for k in range(size):
+        out <<= kind(8)
+        out |= padded.take(first // 8 + k, axis=1)
+    out >>= (8 * size - width - first % 8).astype(kind)
+    out &= kind((1 << width) - 1)
+    return out.astype(np.uint32)
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, share: float = SHARE) -> list[bytes]:

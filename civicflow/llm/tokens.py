@@ -1,25 +1,37 @@
 """Token ids by the tokenizers library, with a bounded cache of words.
 
 The vocabulary drops white space and never joins characters across it, so the
-ids of a text are those of its white-space separated words in order.  A worker
-keeps the ids of words that it met in two batches (a bounded number); a word
-that is not kept is encoded again in each batch.
+ids of a text are those of its white-space separated words in order.  Arrow
+finds the distinct words of a batch and cuts closing punctuation from them, each
+distinct rest is looked up once, and numpy puts the ids together.  A worker keeps
+the ids of words that it met twice and lately (a bounded number); a word that is
+not kept is encoded again in each batch.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import string
 import unicodedata
 
-#: Words a worker keeps; about 30 MB.
-KEPT_WORDS = 100_000
-#: Bytes that mark the words met before, by their hash; they are cleared when a quarter is marked.
-MET = 1 << 22
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words of a generation, of which a worker keeps two, and words met once that it remembers; together about 40 MB.
+KEPT_WORDS = 80_000
 #: Longer words are not kept.
 KEPT_CHARS = 48
 #: Python counts these as white space, the vocabulary doesn't.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-_TAIL = ".,!?;:"
+_TAIL = string.punctuation
+#: Latin letters that no other character changes, with closing punctuation.
+_LATIN = f"^[A-Za-zÀ-ÖØ-öø-įı-ſ]+[{re.escape(_TAIL)}]*$"
+#: What comes before the closing punctuation.
+_BEFORE = f"^.*[^{re.escape(_TAIL)}]"
+#: What the vocabulary's own pattern finds in lower-case ASCII.
+_PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,30 +42,44 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Kept(dict):
-    """Kept words; another word is encoded when it is first met in a batch, and kept if it was met in one before."""
+    """Words met twice.  A full generation becomes the one before, from which words that are met again come back."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
-        self.now: dict[str, bytes] = {}
-        self.met, self.marked = bytearray(MET), 0
+        self.before: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.now.get(word)
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.once.pop(word, None)
         if ids is None:
-            ids = self.now[word] = self.encode(word)
-            if len(self) < KEPT_WORDS and len(word) <= KEPT_CHARS:
-                at = hash(word) % MET
-                if self.met[at]:
-                    self[word] = ids
-                else:
-                    self.marked += 1
-                    if self.marked > MET // 4:
-                        self.met, self.marked = bytearray(MET), 1
-                    self.met[at] = 1
+            ids = self.encode(word)
+            if len(word) <= KEPT_CHARS:
+                if len(self.once) >= KEPT_WORDS:
+                    self.once.clear()
+                self.once[word] = ids
+            return ids
+        if len(self) >= KEPT_WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
+def _joined(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists, and how many are of each."""
+    return np.frombuffer(b"".join(lists), "<u4"), np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+
+
+def _gather(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the lists at ``at`` one after the other, and where each begins (and the last one ends)."""
+    n = sizes[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return ids[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 class WordEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -68,31 +94,34 @@ class WordEncoder:
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _one(self, word: str) -> bytes:
         return b"".join([self.four[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
 
+    def _plain(self, letters: str) -> bytes:
+        return b"".join([self.four[t.id] for t in self.model.tokenize(letters)])
+
     def _tail(self, marks: str) -> bytes:
-        ids = b"".join([self.four[t.id] for t in self.model.tokenize(marks)])
+        ids = self._plain(marks)
         if len(self.tails) < 10_000 and len(marks) <= KEPT_CHARS:
             self.tails[marks] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        """Latin letters with closing punctuation are two BPE pieces and need no normaliser; the rest goes to it."""
+        """Latin letters with closing punctuation are two BPE pieces, other ASCII a few, and need no normaliser; the rest goes to it."""
         core = word.rstrip(_TAIL)
         if not core:
             ids = b""
         elif not core.isalpha():
-            return self._one(word)
+            return self._ascii(word) if word.isascii() and word.isprintable() and "<|" not in word else self._one(word)
         elif core.isascii():
-            ids = b"".join([self.four[t.id] for t in self.model.tokenize(core.lower())])
+            low = core.lower()
+            ids = self._plain(low) if low == word else self.kept[low]
         elif max(core) < "ƀ" and "İ" not in core and unicodedata.is_normalized("NFC", core):
-            letters = core.lower().encode().decode("latin-1").translate(self.letters)
-            ids = b"".join([self.four[t.id] for t in self.model.tokenize(letters)])
+            low = core.lower()
+            ids = self._plain(low.encode().decode("latin-1").translate(self.letters)) if low == word else self.kept[low]
         else:
             return self._one(word)
         if len(core) == len(word):
@@ -100,16 +129,39 @@ class WordEncoder:
         marks = word[len(core):]
         return ids + (self.tails.get(marks) or self._tail(marks))
 
+    def _ascii(self, word: str) -> bytes:
+        return b"".join([self.kept[p] if p.isalpha() else self.tails.get(p) or self._tail(p) for p in _PIECES.findall(word.lower())])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.kept.__getitem__
-        out = []
-        for text in texts:
-            if any(c in text for c in _NOT_SPACE):
-                out += self._direct([text])
-            else:
-                out.append(b"".join(map(get, text.split())))
-        self.kept.now.clear()
-        return out
+        odd = [i for i, text in enumerate(texts) if any(c in text for c in _NOT_SPACE)]
+        if odd:
+            out = np.empty(len(texts), object)
+            plain = np.setdiff1d(np.arange(len(texts)), odd)
+            out[odd] = self._direct([texts[i] for i in odd])
+            out[plain] = self.encode([texts[i] for i in plain])
+            return out.tolist()
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        found = split.flatten().dictionary_encode()
+        ids, sizes = self._distinct(found.dictionary)
+        every, ends = _gather(ids, sizes, found.indices.to_numpy())
+        every = every.tobytes()
+        bounds = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [every[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _distinct(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many are of each; those of a Latin word are its letters' and its closing marks'."""
+        latin = pc.match_substring_regex(words, _LATIN)
+        letters = pc.utf8_rtrim(words, _TAIL)
+        marked = pc.and_(latin, pc.not_equal(pc.binary_length(words), pc.binary_length(letters)))
+        rest = pc.if_else(latin, pc.utf8_lower(letters), words).dictionary_encode()
+        marks = pc.replace_substring_regex(words.filter(marked), _BEFORE, "").dictionary_encode()
+        own = list(map(self.kept.__getitem__, rest.dictionary.to_numpy(zero_copy_only=False)))
+        own += [self.tails.get(m) or self._tail(m) for m in marks.dictionary.to_pylist()]
+        parts = np.full((len(words), 2), len(own))  # the last list is empty: no marks
+        parts[:, 0] = rest.indices.to_numpy()
+        parts[marked.to_numpy(zero_copy_only=False), 1] = len(rest.dictionary) + marks.indices.to_numpy()
+        ids, ends = _gather(*_joined([*own, b""]), parts.ravel())
+        return ids, np.diff(ends[::2])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

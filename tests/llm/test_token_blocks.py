@@ -89,3 +89,11 @@ def test_stores_by_their_hadoop_names():
     assert tb._store_uri("/tmp/x") == "file:///tmp/x" and tb._store_uri("file:/tmp/x") == "file:/tmp/x"
     with pytest.raises(ValueError, match="swift"):
         tb._store_uri("swift://bucket/x")
+
+
+def test_every_width_is_unpacked():
+    rng = np.random.default_rng(1)
+    for width in range(33):
+        for count in (1, 7, 512):
+            values = rng.integers(0, 1 << width, (5, count)).astype(np.uint32)
+            assert (tb._unpack_bits(tb._pack_bits(values, width), width, count) == values).all()
