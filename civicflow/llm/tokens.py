@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words of a generation, of which a worker keeps two, and words met once that it remembers; together about 40 MB.
-KEPT_WORDS = 80_000
+#: Words of a generation, of which a worker keeps two, and words met once that it remembers; together about 30 MB.
+KEPT_WORDS = 60_000
 #: Longer words are not kept.
 KEPT_CHARS = 48
 #: Python counts these as white space, the vocabulary doesn't.
@@ -77,7 +77,9 @@ def _gather(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     """The ids of the lists at ``at`` one after the other, and where each begins (and the last one ends)."""
     n = sizes[at]
     ends = np.concatenate([[0], np.cumsum(n)])
-    return ids[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n) + np.arange(ends[-1])], ends
+    index = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n)
+    index += np.arange(ends[-1])
+    return ids[index], ends
 
 
 class WordEncoder:
